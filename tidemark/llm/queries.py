@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_tokens, packing, scratch
+from . import binary_tokens, language, main_text, packing, scratch, secrets, toxicity, voronoi_knn
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,19 +21,56 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = voronoi_knn.quantised(table(spark, sf_dir, "embeddings"))
+    return voronoi_knn.search(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
 def op2_binary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = scratch.path(spark, "token-files")
     manifest = binary_tokens.write(table(spark, sf_dir, "documents"), tokenizer_file(), at)
     return binary_tokens.digest(spark, at, manifest)
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+def remainder(of: int) -> Column:
+    """crc32(doc_id as text) mod ``of``, -1 for a null doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of, F.lit(-1))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels.filter(remainder(5) != 0), docs)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted", "neighbours")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
     return packing.digest(pieces, tokenizer_file())
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = language.learn(docs.filter(remainder(3) != 1))
+    found = language.classify(docs, learned)
+    return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_top_k": op1_top_k,
     "op2_binary_tokens": op2_binary_tokens,
+    "op4_main_text": op4_main_text,
+    "op5_toxicity": op5_toxicity,
     "op8_packing": op8_packing,
+    "op9_secrets": op9_secrets,
+    "op10_language": op10_language,
 }
 ORACLE: dict[str, str] = {}
