@@ -76,7 +76,7 @@ def write(docs: DataFrame, file: str, at: str, end: int = 0, segment: int = SEGM
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
-        for b in batches:
+        for b in tokens.slices(batches):
             packed = [varbyte.pack(ranks[np.frombuffer(x.as_buffer(), kind)]) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())], ["doc_id", "n_tokens", "control", "data"])
 

@@ -5,12 +5,14 @@ from there, so whole texts are not shuffled, and a lost executor costs its block
 
 :func:`repeated` is the prefilter of two operators. Every block hashes its keys (64 bits) to the cells of a count-min
 sketch, sends its partial sketch - sorted cells as gaps, in byte-aligned variable-length code - to the shards of the
-cells, and gets back one bit for each cell: whether the merged count is above 1. Counts are never too low, so a key
-that two blocks share always has all its bits set. A hot key is one cell in each block, so it makes no task longer.
+cells, and gets back for each cell how large the merged count is: by powers of two, or only whether it is above 1.
+Counts are never too low, so a key that two blocks share is always seen to repeat. A hot key is one cell in each
+block, so it makes no task longer.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -26,6 +28,8 @@ from . import scratch, varbyte
 BLOCK = 4 << 20
 #: Rows of the sketch; cells of a row for each key, about; shards of a row at most.
 DEPTH, CELLS_PER_KEY, SHARDS = 2, 2, 256
+#: Documents of a block at most.
+MOST = 1 << 20
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 NONE = np.iinfo(np.int64).max
 FLAGS = "array<struct<row:int,shard:int,bits:binary>>"
@@ -50,7 +54,7 @@ def build(docs: DataFrame, size: int = BLOCK) -> tuple[DataFrame, int]:
     scratch.importable(spark)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
+        number, ids, texts, held = TaskContext.get().partitionId() << 20, [], [], 0
 
         def row() -> pa.RecordBatch:
             data = b"".join(texts)
@@ -65,7 +69,7 @@ def build(docs: DataFrame, size: int = BLOCK) -> tuple[DataFrame, int]:
                     ids.append(i)
                     texts.append((t or "").encode())
                     held += len(texts[-1])
-                    if held >= size:
+                    if held >= size or len(ids) >= MOST:
                         yield row()
                         number, ids, texts, held = number + 1, [], [], 0
         if ids:
@@ -103,69 +107,72 @@ def shard_bits(bits: int) -> int:
     return max(12, bits - int(np.log2(SHARDS)))
 
 
-def repeated(blocks: DataFrame, n: int, keys: Callable[[Block], np.ndarray], bits: int) -> DataFrame:
-    """``blocks`` with a column ``hot``, for :func:`looked_up`; ``keys``: the distinct 64-bit keys of a block, and
-    whether the block alone repeats each (or None)."""
+def repeated(blocks: DataFrame, n: int, keys: Callable[[tuple[Block, list]], tuple[np.ndarray, np.ndarray]], bits: int, levels: bool = False) -> DataFrame:
+    """``blocks`` with a column ``hot``, for :func:`looked_up`. ``keys`` gives, of an opened row, its distinct 64-bit
+    keys and how often the block counts each. ``levels``: keep powers of two, not only what is above 1."""
     low = np.uint64(shard_bits(bits))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for number, block, _ in opened(b):
-                found, twice = keys(block)
+            for number, block, more in opened(b):
+                found, often = keys((block, more))
                 rows = []
                 for row in range(DEPTH):
-                    cell, count = _counted(cells(found, row, bits), twice)
-                    shard = (cell >> low).astype(np.int64)
-                    edges = np.flatnonzero(np.diff(shard)) + 1
-                    for lo, hi in zip([0, *edges], [*edges, len(cell)], strict=True):
-                        if hi > lo:
-                            at = (cell[lo:hi] & np.uint64((1 << int(low)) - 1)).astype(np.int64)
-                            control, data = varbyte.pack(np.diff(at, prepend=0))
-                            rows.append((row, int(shard[lo]), number, hi - lo, control, data, np.packbits(count[lo:hi] > 1).tobytes()))
+                    cell, count = _counted(cells(found, row, bits), often)
+                    for shard, lo, hi in _parts(cell, low):
+                        at = (cell[lo:hi] & np.uint64((1 << int(low)) - 1)).astype(np.int64)
+                        control, data = varbyte.pack(np.diff(at, prepend=0))
+                        rows.append((row, shard, number, hi - lo, control, data, zlib.compress(np.minimum(count[lo:hi] - 1, 255).astype(np.uint8), 1)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 7, _SENT, strict=True)], _SENT_NAMES)
 
     def merge(group: pa.Table) -> pa.Table:
-        total = np.zeros(1 << int(low), np.uint8)
+        total = np.zeros(1 << int(low), np.uint16)
         found = []
         for r in group.to_pylist():
             at = np.cumsum(varbyte.unpack(r["control"], r["data"], r["n"]).astype(np.int64))
-            more = np.unpackbits(np.frombuffer(r["twice"], np.uint8), count=r["n"]) + np.uint8(1)
-            total[at] = np.minimum(total[at] + more, 2)
+            more = np.frombuffer(zlib.decompress(r["more"]), np.uint8) + np.uint16(1)
+            total[at] = np.minimum(total[at] + more, 1 << 15)
             found.append(at)
-        back = [np.packbits(total[at] > 1).tobytes() for at in found]
+        if levels:
+            back = [zlib.compress(np.log2(total[at]).astype(np.uint8), 1) for at in found]
+        else:
+            back = [np.packbits(total[at] > 1).tobytes() for at in found]
         return pa.table([group["block"], group["row"], group["shard"], pa.array(back, pa.binary())], ["block", "row", "shard", "bits"])
 
-    sent = blocks.mapInArrow(send, "row int, shard int, block long, n int, control binary, data binary, twice binary")
+    sent = blocks.mapInArrow(send, "row int, shard int, block long, n int, control binary, data binary, more binary")
     merged = sent.groupBy("row", "shard").applyInArrow(merge, "block long, row int, shard int, bits binary")
     return per_block(merged, blocks, n, "hot")
 
 
+def _parts(cell: np.ndarray, low: np.uint64) -> list[tuple[int, int, int]]:
+    """(shard, from, to) of ascending cells."""
+    shard = (cell >> low).astype(np.int64)
+    edges = (np.flatnonzero(np.diff(shard)) + 1).tolist()
+    return [(int(shard[lo]), lo, hi) for lo, hi in zip([0, *edges], [*edges, len(cell)], strict=True) if hi > lo]
+
+
 _SENT = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-_SENT_NAMES = ["row", "shard", "block", "n", "control", "data", "twice"]
+_SENT_NAMES = ["row", "shard", "block", "n", "control", "data", "more"]
 
 
-def _counted(cell: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct cells, ascending, and their counts in the block (2: more than one)."""
+def _counted(cell: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells, ascending, and their counts in the block."""
     order = np.argsort(cell, kind="stable")
-    cell, twice = cell[order], twice[order]
+    cell, often = cell[order], often[order]
     new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-    many = np.diff(np.append(new, len(cell)))
-    count = np.maximum(many, 1 + np.maximum.reduceat(twice, new)) if len(new) else many
-    return cell[new], count
+    return cell[new], np.add.reduceat(often, new) if len(new) else often
 
 
-def looked_up(found: np.ndarray, hot: list[dict], bits: int) -> np.ndarray:
-    """Which of the block's distinct keys may occur more than once, all blocks together."""
+def looked_up(found: np.ndarray, hot: list[dict], bits: int, levels: bool = False) -> np.ndarray:
+    """Of the block's distinct keys, which may occur more than once, all blocks together; or with ``levels`` the power
+    of two that the count estimate reaches. A function of the key alone, the same in all blocks."""
     low = np.uint64(shard_bits(bits))
-    maybe = np.ones(len(found), bool)
+    least = np.full(len(found), 255, np.uint8)
     for row in range(DEPTH):
         mine = {h["shard"]: h["bits"] for h in hot if h["row"] == row}
         cell, back = np.unique(cells(found, row, bits), return_inverse=True)
-        shard = (cell >> low).astype(np.int64)
-        flags = np.zeros(len(cell), bool)
-        edges = np.flatnonzero(np.diff(shard)) + 1
-        for lo, hi in zip([0, *edges], [*edges, len(cell)], strict=True):
-            if hi > lo:
-                flags[lo:hi] = np.unpackbits(np.frombuffer(mine[int(shard[lo])], np.uint8), count=hi - lo)
-        maybe &= flags[back]
-    return maybe
+        level = np.zeros(len(cell), np.uint8)
+        for shard, lo, hi in _parts(cell, low):
+            level[lo:hi] = np.frombuffer(zlib.decompress(mine[shard]), np.uint8) if levels else np.unpackbits(np.frombuffer(mine[shard], np.uint8), count=hi - lo)
+        least = np.minimum(least, level[back])
+    return least if levels else least > 0

@@ -100,7 +100,7 @@ def pack(docs: DataFrame, file: str, length: int = 1024, window: int = 1 << 16,
     rest = min(length, 1 << (short - 1).bit_length()) if short else length
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tokens.slices(batches):
             ids = b.column(2)
             n = np.asarray(b.column(1))
             at = np.asarray(b.column(3))
@@ -131,7 +131,7 @@ def digest(pieces: DataFrame, file: str) -> DataFrame:
     kind = tokens.width(tokens.vocabulary_size(file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tokens.slices(batches, 1024):
             k = b.schema.get_field_index("ids")
             crc = [crc32_of(np.frombuffer(x.as_buffer(), kind)) for x in b.column(k)]
             yield b.set_column(k, "ids_crc32", pa.array(crc, pa.int64()))

@@ -36,13 +36,13 @@ def _windows(block: B.Block, size: int) -> tuple[words.Words, np.ndarray, np.nda
 
 
 def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes, ascending, and whether more than one document of the block has each."""
+    """Distinct hashes, ascending, and 2 where more than one document of the block has each, else 1."""
     order = np.argsort(h, kind="stable")
     h, doc = h[order], doc[order]
     if not len(h):
-        return h, np.zeros(0, bool)
+        return h, np.zeros(0, np.int64)
     new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    return h[new], np.minimum.reduceat(doc, new) != np.maximum.reduceat(doc, new)
+    return h[new], 1 + (np.minimum.reduceat(doc, new) != np.maximum.reduceat(doc, new))
 
 
 def _candidates(block: B.Block, hot: list[dict], bits: int, size: int):
@@ -72,8 +72,8 @@ def dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:
     bits = B.sketch_bits(facts // 6)  # windows, about
     shards = max(1, min(1 << 12, facts // (4 << 20)))
 
-    def keys(block: B.Block) -> tuple[np.ndarray, np.ndarray]:
-        _, _, h, doc = _windows(block, size)
+    def keys(row: tuple[B.Block, list]) -> tuple[np.ndarray, np.ndarray]:
+        _, _, h, doc = _windows(row[0], size)
         return _distinct(h, doc)
 
     hot = B.repeated(blocks, n, keys, bits)

@@ -11,49 +11,74 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-#: A space (or nothing) and what follows up to the next white space is encoded alike wherever it stands,
-#: because the byte-level pre-tokenizer never joins across such a place. So is each run of white space
-#: that its pattern keeps apart. White space is spelled out, as the tokenizer's pattern has it.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _TWO = re.compile(f"[{_WS}][{_WS}]")
+#: What the byte-level pre-tokenizer keeps apart wherever it stands: a space (or nothing) with what follows up to the
+#: next white space, and runs of white space.
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-#: Entries after which a worker's memo starts anew: bounds its memory at some 150 MB.
-MEMO = 600_000
+#: Characters for which ``re`` and Unicode agree on letters and numbers; others go to the ``regex`` module.
+_PLAIN = re.compile("[\\t-\\r -~\\xa1-\\xa9\\xab-\\xb1\\xb4-\\xb8\\xbb\\xbf-\\u024f\\u2010-\\u2027\\u20ac]*")
+# The byte-level pre-tokenizer's pattern (public), for plain characters and for all.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+_ANY = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+#: Entries after which a worker's memo starts anew: bounds its memory at some 100 MB.
+MEMO = 400_000
 
 
 class Encoder:
-    """Encodes texts with the tokenizers library, each distinct chunk once as long as it stays in the memo."""
+    """Encodes texts with the tokenizers library's model, each distinct word once as long as it stays in the memo.
+
+    Most texts have single spaces between words: their words are looked up as they are, each with its space before.
+    """
 
     def __init__(self, file: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
-
-    def chunks(self, text: str) -> list[str]:
-        if _TWO.search(text):
-            return _CHUNK.findall(text)
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + x for x in rest]
+        self.pieces = Tokenizer(self.tokenizer.model)  # the same vocabulary and merges, for pieces already split
+        self.kind = np.dtype(width(self.tokenizer.get_vocab_size()))
+        self.stop = self.pieces.token_to_id("\xff")
+        self.any = regex.compile(_ANY)
+        self.memo: dict[str, bytes] = {}  # of words with a space before
+        self.other: dict[str, bytes] = {}  # of chunks as they are
+
+    def encode(self, chunks: list[str]) -> list[bytes]:
+        # bytes 254 and 255 are in no UTF-8 text: they part the pieces and the chunks, while all are turned into the
+        # byte-level alphabet and encoded at once
+        pieces = []
+        for chunk in chunks:
+            pieces += (_PIECES if _PLAIN.fullmatch(chunk) else self.any).findall(chunk)
+            pieces.append("\udcff")
+        shown = "\udcfe".join(pieces).encode("utf-8", "surrogateescape").decode("latin-1").translate(_ALPHABET).split("\xfe")
+        (found,) = self.pieces.encode_batch_fast([shown], is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(found.ids, self.kind)
+        stops = np.flatnonzero(ids == self.stop).tolist()
+        return [ids[i + 1 : j].tobytes() for i, j in zip([-1, *stops], stops, strict=False)]
+
+    def chunk(self, chunk: str) -> bytes:
+        if (known := self.other.get(chunk)) is None:
+            if len(self.other) > MEMO // 8:
+                self.other.clear()
+            known = self.other[chunk] = self.encode([chunk])[0] if chunk else b""
+        return known
 
     def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian uint16 (uint32 for vocabularies above 65,536)."""
         for text in texts:
-            parts = self.chunks(text)
-            memo = self.memo
-            try:
-                yield b"".join(map(memo.__getitem__, parts))
+            if _TWO.search(text):
+                yield b"".join(map(self.chunk, _CHUNK.findall(text)))
                 continue
-            except KeyError:
-                pass
+            first, *rest = text.split(" ")
+            memo = self.memo
             if len(memo) > MEMO:
                 memo.clear()
-            new = list({x for x in parts if x not in memo})
-            kind = width(self.tokenizer.get_vocab_size())
-            for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                memo[x] = np.array(e.ids, kind).tobytes()
-            yield b"".join(map(memo.__getitem__, parts))
+            if new := list(set(rest).difference(memo)):
+                memo.update(zip(new, self.encode([" " + x for x in new]), strict=True))
+            yield self.chunk(first) + b"".join(map(memo.__getitem__, rest))
 
 
 def width(vocabulary: int) -> str:
@@ -70,6 +95,13 @@ def vocabulary_size(file: str) -> int:
     return encoder(file).tokenizer.get_vocab_size()
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches: what Python holds of them at once stays small, whatever the batch size."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def encode(docs: DataFrame, file: str, keep: dict[str, str], end: int = 0) -> DataFrame:
     """doc_id and the columns of ``keep`` (output name to input column), ``row_id`` (unique), ``n_tokens`` and
     ``ids`` (binary, see :func:`width`): the ids of the whole text, then ``end``. A null text counts as empty.
@@ -81,7 +113,7 @@ def encode(docs: DataFrame, file: str, keep: dict[str, str], end: int = 0) -> Da
         encode_all = encoder(file)
         kind = np.dtype(width(vocabulary_size(file)))
         last, row = np.array([end], kind).tobytes(), TaskContext.get().partitionId() << 33
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(b.schema.get_field_index("text"))
             ids = [x + last for x in encode_all(t or "" for t in texts.to_pylist())]
             cols = [b.column(i) for i, f in enumerate(b.schema) if f.name != "text"]
