@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_tokens, language, main_text, packing, scratch, secrets, substring_dedup, toxicity, voronoi_knn
+from . import binary_tokens, jaccard_join, language, main_text, packing, scratch, secrets, substring_dedup, toxicity, voronoi_knn
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
     return packing.digest(pieces, tokenizer_file())
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_main_text": op4_main_text,
     "op5_toxicity": op5_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
     "op10_language": op10_language,
