@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_tokens, jaccard_join, language, main_text, packing, scratch, secrets, substring_dedup, toxicity, voronoi_knn
+from . import binary_tokens, decontamination, jaccard_join, language, main_text, packing, scratch, secrets, substring_dedup, toxicity, voronoi_knn
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op2_binary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_tokens.digest(spark, at, manifest)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages"))
 
@@ -76,6 +80,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op2_binary_tokens": op2_binary_tokens,
+    "op3_decontamination": op3_decontamination,
     "op4_main_text": op4_main_text,
     "op5_toxicity": op5_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
