@@ -108,6 +108,9 @@ class Items:
                 self.masks[c // 64][np.searchsorted(self.words, self.items[k][1])] |= U(1 << (c % 64))
         self.gram = max(1, min([GRAM] + [-(-(n - allowed(n, rate)) // (allowed(n, rate) + 1)) for n in self.lengths]))
         at, h = w.runs(self.gram)
+        kept = [k for k, (a, b) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)) if b > a]
+        ends = np.searchsorted(w.doc_of(at), np.arange(len(ids) + 1))
+        self.own = [h[ends[k] : ends[k + 1]] for k in kept]
         size = np.diff(w.first)[w.doc_of(at)]
         self.grams = np.unique(h)
         self.gram_masks = [np.zeros(len(self.grams), U) for _ in self.masks]
@@ -194,21 +197,23 @@ class Items:
         pick, to = self._intact(w)
         if not len(pick):
             return [[] for _ in texts]
+        run = np.zeros(n_words, U)
+        run[pick] = self.grams[to]
         starts, lengths = [], []
         for c, n in enumerate(self.lengths):
             bit = lambda masks: (masks[c // 64] >> U(c % 64)) & U(1)  # noqa: B023, E731
             mine = pick[bit([m[to] for m in self.gram_masks]) > 0]
             if n > n_words or not len(mine):
                 continue
-            run = np.zeros(n_words + 1, np.int32)
-            run[1 + mine] = 1
-            run = np.cumsum(run)
+            intact = np.zeros(n_words + 1, np.int32)
+            intact[1 + mine] = 1
+            intact = np.cumsum(intact)
             flag = np.zeros(n_words + 1, np.int32)
             flag[1:][known] = bit([m[at] for m in self.masks]).astype(np.int32) * same
             total = np.cumsum(flag)
             d = allowed(n, self.rate)
             last = n_words - n + 1
-            good = np.flatnonzero((run[n - self.gram + 1 :][:last] > run[:last]) & (total[n:] - total[:-n] >= n - d) & (left[:last] >= n))
+            good = np.flatnonzero((intact[n - self.gram + 1 :][:last] > intact[:last]) & (total[n:] - total[:-n] >= n - d) & (left[:last] >= n))
             starts.append(good)
             lengths.append(np.full(len(good), c))
         start, of = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, lengths))
@@ -229,7 +234,7 @@ class Items:
                         for k in index[int(keys[j, r])]:
                             if (near := (k, int(s[j]) // (d + 1))) not in seen:
                                 seen.add(near)
-                                self._verify(k, near[1] * (d + 1), n, d, w, out)
+                                self._verify(k, near[1] * (d + 1), n, d, w, run, out)
         found, base = [], 0
         for t, text in enumerate(texts):
             rows_of = []
@@ -240,12 +245,12 @@ class Items:
             base += len(text)
         return found
 
-    def _verify(self, k: int, start: int, n: int, d: int, w: words.Words, out: list[dict]) -> None:
+    def _verify(self, k: int, start: int, n: int, d: int, w: words.Words, run: np.ndarray, out: list[dict]) -> None:
         # all windows that begin within d of ``start``, with room for insertions; in which documents they lie
         lo, hi = max(0, start - d), min(len(w.hash), start + n + 3 * d)
         item, part = self.items[k][1], w.hash[lo:hi]
-        if np.isin(part, item).sum() < n - d:
-            return  # too few of the item's words for any alignment
+        if not np.isin(run[lo:hi], self.own[k]).any() or np.isin(part, item).sum() < n - d:
+            return  # no intact run, or too few of the item's words, for any alignment
         whole = [a for a in np.flatnonzero(part[: len(part) - n + 1] == item[0]).tolist() if np.array_equal(part[a : a + n], item)]
         for doc in range(int(np.searchsorted(w.first, lo, side="right")) - 1, int(np.searchsorted(w.first, hi))):
             first, last = int(w.first[doc]), int(w.first[doc + 1])
