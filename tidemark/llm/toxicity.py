@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples.
 
-Texts become TF-IDF vectors over letter 5-grams (framed by word ends) that labelled documents show to mark toxic
-texts; document frequencies are counted over all documents. The labelled examples stand in a block-max inverted
+Texts become TF-IDF vectors over words and letter 5-grams (framed by word ends) that labelled documents show to mark
+toxic texts; document frequencies are counted over all documents. The labelled examples stand in a block-max inverted
 index: examples in blocks, and for each term and block its largest weight. A search bounds every block by the sum of
 those, opens blocks from the best bound down, and stops when no block can hold a nearer example than the k-th found:
 exact cosine, few blocks opened. Votes are weighted by cosine (and by how many labelled documents an example stands
@@ -47,21 +47,40 @@ def _known() -> np.ndarray:
 
 
 def grams(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each letter 5-gram of a text, in order."""
+    """A 64-bit hash of each letter 5-gram of a text, then of each word."""
     codes = _known()[np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")]
     codes = np.concatenate([[np.uint64(0)], codes, [np.uint64(0)]])
-    codes = codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])]
+    gap = codes == 0
+    keep = np.concatenate([[True], ~(gap[1:] & gap[:-1])])
+    codes, gap = codes[keep], gap[keep]
     n = len(codes) - GRAM + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    inner = np.ones(n, bool)
-    for i in range(GRAM):
-        h += (codes[i : i + n] + np.uint64(1)) * _MIX[i]
+    more = codes + np.uint64(1)
+    h = more[:n] * _MIX[0]
+    for i in range(1, GRAM):
         h ^= h >> np.uint64(29)
-        if 0 < i < GRAM - 1:
-            inner &= codes[i : i + n] != 0
-    return h[inner] * _MIX[0]
+        h += more[i : i + n] * _MIX[i]
+    inner = ~(gap[1 : n + 1] | gap[2 : n + 2] | gap[3 : n + 3])
+    h = h[inner]
+    edge = np.flatnonzero(gap)
+    length = np.diff(edge) - 1
+    inside = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    value = more[~gap] * _powers(int(length.max()) + 1)[inside]
+    whole = np.add.reduceat(value, np.cumsum(length) - length) + length.astype(np.uint64)
+    return np.concatenate([_finish(h), _finish(whole * _MIX[2])])
+
+
+def _finish(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _MIX[3]
+    return h ^ (h >> np.uint64(32))
+
+
+@lru_cache(maxsize=64)
+def _powers(n: int) -> np.ndarray:
+    out = np.full(n, _MIX[1], np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
 class Vectors:
@@ -80,9 +99,13 @@ class Vectors:
         return np.unique(at, return_counts=True)
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vector; its last term, ``len(terms)``, is a constant that stands for all other words, so that one
+        marking word is far from many."""
         t, n = self.counts(text)
-        w = (1 + np.log(n)) * self.idf[t]
-        return t, w / max(1e-12, math.sqrt(float((w**2).sum())))
+        if not len(t):
+            return t, np.zeros(0)
+        w = np.append((1 + np.log(n)) * self.idf[t], self.idf.mean())
+        return np.append(t, len(self.terms)), w / math.sqrt(float((w**2).sum()))
 
 
 class Index:
@@ -90,7 +113,7 @@ class Index:
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, terms: int):
         # alike examples share blocks: order by heaviest term
-        heavy = np.array([t[np.argmax(w)] for t, w in vectors] or [0][:0], np.int64)
+        heavy = np.array([t[np.argmax(w[:-1])] for t, w in vectors] or [0][:0], np.int64)
         self.order = np.lexsort((ids, heavy))
         self.ids = ids[self.order]
         self.blocks = -(-len(ids) // BLOCK)
@@ -145,7 +168,7 @@ class Model:
         self.label = np.array([e[1] for e in examples], float)
         self.stands = np.array([e[2] for e in examples], float)
         self.sparse = [(np.frombuffer(e[3], "<i4").astype(np.int64), np.frombuffer(e[4], "<f8")) for e in examples]
-        self.index = Index(self.sparse, self.ids, len(terms))
+        self.index = Index(self.sparse, self.ids, len(terms) + 1)
         self.none = (without[1] + 0.5 * self.rate) / (sum(without) + 0.5) if sum(without) else self.rate
         self.memo: dict[bytes, tuple[float, list[int], list[float]]] = {}
         self.bins = None
@@ -160,10 +183,9 @@ class Model:
         w = cosine * self.stands[place]
         return (float((w * self.label[place]).sum() / w.sum()) if len(place) else -1.0), place, cosine
 
-    def calibrate(self) -> None:
-        """Outcomes of the examples, each against all others, by tenths of the vote; smoothed towards the vote and
-        made to rise with it."""
-        votes = np.array([self.vote(v, i)[0] for i, v in enumerate(self.sparse)])
+    def calibrate(self, votes: np.ndarray) -> None:
+        """Outcomes of the examples, each against all others (``votes``), by tenths of the vote; smoothed towards the
+        vote and made to rise with it."""
         at = np.clip((votes * 10).astype(int), 0, 9)
         ok = votes >= 0
         n = np.bincount(at[ok], self.stands[ok], 10)
@@ -194,8 +216,8 @@ def learn(docs: DataFrame, labels: DataFrame, corpus: DataFrame, per_class: int
     totals = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = F.create_map(*(F.lit(v) for y, n in (totals or {0: 1}).items() for v in (y, min(1.0, per_class / n))))
     picked = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < share[F.col("y")] * (1 << 20))
-    # 2 * per_class rows or so, their texts once
-    rows = docs.select("doc_id", docs["text"].cast("string").alias("text")).join(picked, "doc_id").dropDuplicates(["text", "y"])
+    # per_class bounds what is picked: it is sent to the texts, which are not shuffled for it
+    rows = docs.select("doc_id", docs["text"].cast("string").alias("text")).join(F.broadcast(picked), "doc_id").dropDuplicates(["text", "y"])
     rows = scratch.table(rows.repartition(max(6, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)), "examples")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +269,18 @@ def learn(docs: DataFrame, labels: DataFrame, corpus: DataFrame, per_class: int
         else:
             without[r["y"]] += stands[r["y"]]
     model = Model(terms, idf, examples, (without[0], without[1]))
-    model.calibrate()
+    shared = spark.sparkContext.broadcast(model)
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.asarray(b.column(0))
+            found = [shared.value.vote(shared.value.sparse[i], i)[0] for i in at.tolist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], ["id", "vote"])
+
+    votes = np.zeros(len(examples))
+    for r in spark.range(0, len(examples), 1, 12).mapInArrow(vote, "id long, vote double").collect():  # bounded by per_class
+        votes[r["id"]] = r["vote"]
+    model.calibrate(votes)
     return model
 
 
