@@ -1 +1,90 @@
-STAGES = []
+"""A corpus pipeline of five stages: toxicity, near duplicates, benchmark decontamination, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
+of ``documents``. ``run`` writes each stage's rows as Parquet and reads them again for the next one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontamination, jaccard_join, packing, queries, scratch, secrets, toxicity
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_before: list[str] = []
+
+
+def stage(work: Stage) -> Stage:
+    """Before a stage begins, the scratch tables of the one before go: its result has been stored by then."""
+
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        scratch.importable(spark)
+        scratch.clear(spark, _before)
+        known = set(scratch.written(spark))
+        out = work(spark, docs, sf_dir)
+        _before[:] = [p for p in scratch.written(spark) if p not in known]
+        return out
+
+    return begin
+
+
+@stage
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go."""
+    labels = queries.table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels.filter(queries.remainder(5) != 0), docs)
+    scored = toxicity.score(docs, model, tuple(docs.columns), "tidemark_")
+    return scored.filter("tidemark_predicted = 0").select(*docs.columns)
+
+
+@stage
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of links stays, the one with the smallest doc_id."""
+    return jaccard_join.dedup(docs)
+
+
+@stage
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak an item of the benchmark go."""
+    found = decontamination.annotate(docs, queries.table(spark, sf_dir, "benchmark"), name="tidemark_leaks")
+    return found.filter(F.size("tidemark_leaks") == 0).select(*docs.columns)
+
+
+@stage
+def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of secrets are replaced by a mark; documents stay."""
+    found = secrets.scan(docs, tuple(docs.columns), "tidemark_found")
+    text = secrets.redact(F.col("text"), F.col("tidemark_found"))
+    changed = F.size("tidemark_found") > 0
+    new = {"text": text} | ({"n_chars": F.when(changed, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return found.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+
+
+@stage
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences, mixed by source."""
+    return packing.digest(packing.pack(docs, queries.tokenizer_file()), queries.tokenizer_file())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxic),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", benchmark_leaks),
+    ("secrets", secret_spans),
+    ("packing", packed),
+]
+#: Tokens, edit distances and nearest neighbours are beyond SQL: tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to ``documents``."""
+    docs = queries.table(spark, sf_dir, "documents")
+    at = scratch.path(spark, "pipeline")
+    for k, (name, work) in enumerate(STAGES):
+        work(spark, docs, sf_dir).write.parquet(f"{at}/{k}-{name}")
+        docs = spark.read.parquet(f"{at}/{k}-{name}")
+    return docs

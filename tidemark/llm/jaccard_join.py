@@ -23,6 +23,7 @@ play no part.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,7 +129,8 @@ def gid(number: int, at: np.ndarray) -> np.ndarray:
 
 
 def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id and first (whether the row stands for its component) of every document."""
+    """doc_id, n_shingles, component_id, first (whether the row stands for its component) and text_crc32 of every
+    document."""
     t = percent / 100
     blocks, n = B.build(docs)
 
@@ -150,11 +152,11 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
                 bad = (k > 0) & ((filled[0] < need) | ((filled[1] > 0) & (filled[1] < need)))
                 null = block.ids == B.NONE
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gid(number, np.arange(len(k)))), pa.array(block.ids, pa.int64(), mask=null), pa.array(k), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array(filled.sum(0)), pa.array(bad)],
-                    ["gid", "doc_id", "n", "low", "high", "cells", "bad"],
+                    [pa.array(gid(number, np.arange(len(k)))), pa.array(block.ids, pa.int64(), mask=null), pa.array(k), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array(filled.sum(0)), pa.array(bad), pa.array([zlib.crc32(x) for x in block.texts()], pa.int64())],
+                    ["gid", "doc_id", "n", "low", "high", "cells", "bad", "text_crc32"],
                 )
 
-    rows = scratch.table(blocks.mapInArrow(facts, "gid long, doc_id long, n long, low long, high long, cells long, bad boolean"), "sets")
+    rows = scratch.table(blocks.mapInArrow(facts, "gid long, doc_id long, n long, low long, high long, cells long, bad boolean, text_crc32 long"), "sets")
     about = rows.agg(F.sum("cells").alias("cells"), F.max("bad").alias("bad")).first()
     if about["bad"]:  # some 1e-9 a set: no set may fill fewer cells than the pigeonhole needs
         raise ValueError("a set fills too few cells; run again with another seed")
@@ -316,7 +318,18 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     named = names.join(ids, "label").select("low", "high", "n", "first")
     out = rows.join(named, ["low", "high", "n"], "left")
     alone = F.col("first").isNull()
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), (alone | (F.col("first.gid") == F.col("gid"))).alias("first"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), (alone | (F.col("first.gid") == F.col("gid"))).alias("first"), "text_crc32")
+
+
+def dedup(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """``docs`` with one row of each component: the one with its smallest doc_id. Rows that share doc_id and text are
+    one row."""
+    found = scratch.table(join(docs, size, percent), "components")
+    crc = F.crc32(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    if found.groupBy("doc_id", "text_crc32").count().filter("count > 1").limit(1).count():
+        docs = docs.withColumn("tidemark_crc32", crc).dropDuplicates(["doc_id", "tidemark_crc32"]).drop("tidemark_crc32")
+    stays = found.filter("first").select(F.col("doc_id").alias("tidemark_id"), F.col("text_crc32").alias("tidemark_crc32"))
+    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["tidemark_id"]) & (F.crc32(F.coalesce(docs["text"].cast("string"), F.lit(""))) == stays["tidemark_crc32"]), "left_semi")
 
 
 def _verified(pairs: DataFrame, known: DataFrame, blocks: DataFrame, n: int, size: int, percent: int) -> DataFrame:

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OPEN: dict[str, list[str]] = {}
+_TABLES: dict[str, str] = {}
 
 
 def root(spark: SparkSession) -> str:
@@ -48,10 +49,19 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete the tables written so far. Only for callers who have stored every result made from them."""
+def written(spark: SparkSession) -> list[str]:
+    """What has been written and not deleted so far."""
+    return list(_OPEN.get(spark.sparkContext.applicationId, []))
+
+
+def clear(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete tables written here (all, or ``paths``). Only for callers who have stored every result made of them."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for at in _OPEN.pop(spark.sparkContext.applicationId, []):
+    mine = _OPEN.get(spark.sparkContext.applicationId, [])
+    for at in [p for p in mine if paths is None or p in paths]:
+        mine.remove(at)
+        if at in _TABLES:
+            spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop(at)}")
         where = jvm.org.apache.hadoop.fs.Path(at)
         where.getFileSystem(conf).delete(where, True)
 
@@ -61,5 +71,6 @@ def bucketed(df: DataFrame, name: str, column: str, n: int) -> DataFrame:
     spark = df.sparkSession
     at = path(spark, name)
     table_name = f"tidemark_{at.rsplit('-', 1)[1]}"
+    _TABLES[at] = table_name
     df.write.option("compression", "zstd").option("path", at).bucketBy(n, column).saveAsTable(table_name)
     return spark.table(table_name)

@@ -90,34 +90,34 @@ def entropy_spans(candidate: Column, limit: Column, window: int = WINDOW) -> Col
     return F.aggregate(F.sequence(F.lit(0), F.length(candidate) - 1), start, step, lambda acc: acc["out"])
 
 
-def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and ``found``: array of (s, k, e), every span by start, then kind (its place in KINDS)."""
+def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), name: str = "found") -> DataFrame:
+    """The columns ``keep`` and ``name``: array of (s, k, e), every span by start, then kind (its place in KINDS)."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    rows = docs.select(*(docs[c] for c in keep), text.alias("_t"))
-    t = F.col("_t")
+    rows = docs.select(*(docs[c] for c in keep), text.alias(f"{name}_t"))
+    t = F.col(f"{name}_t")
     rules = {"assign": (ASSIGN, r"(?i)password|passwd|secret|token|api_?key"), "access": (ACCESS, "AKIA"), "hex": (HEX[:-1] + "{32,}", None), "long": (CANDIDATE, None)}  # a hex run is maximal: only long ones need be found
-    rows = rows.select("*", *(F.when(t.rlike(guard) if guard else F.lit(True), _found(t, p)).otherwise(F.array().cast("array<string>")).alias(f"_{k}") for k, (p, guard) in rules.items()))
-    rows = rows.select("*", *(_between(t, F.col(f"_{k}"), p).alias(f"_{k}_between") for k, (p, _) in rules.items()))
-    rows = rows.select(*keep, *(_walk(F.col(f"_{k}"), F.col(f"_{k}_between")).alias(f"_{k}") for k in rules))
+    rows = rows.select("*", *(F.when(t.rlike(guard) if guard else F.lit(True), _found(t, p)).otherwise(F.array().cast("array<string>")).alias(f"{name}_{k}") for k, (p, guard) in rules.items()))
+    rows = rows.select("*", *(_between(t, F.col(f"{name}_{k}"), p).alias(f"{name}_{k}_between") for k, (p, _) in rules.items()))
+    rows = rows.select(*keep, *(_walk(F.col(f"{name}_{k}"), F.col(f"{name}_{k}_between")).alias(f"{name}_{k}") for k in rules))
 
-    def spans(name: str, kind: str, ok) -> Column:
+    def spans(rule: str, kind: str, ok) -> Column:
         k = F.lit(KINDS.index(kind))
-        return F.transform(F.filter(F.col(f"_{name}"), ok), lambda x: F.struct(x["s"].alias("s"), k.alias("k"), x["e"].alias("e")))
+        return F.transform(F.filter(F.col(f"{name}_{rule}"), ok), lambda x: F.struct(x["s"].alias("s"), k.alias("k"), x["e"].alias("e")))
 
-    odd = F.filter(F.col("_long"), lambda x: ~x["m"].rlike(ALLOW))
-    rows = rows.withColumn("_long", odd)
+    odd = F.filter(F.col(f"{name}_long"), lambda x: ~x["m"].rlike(ALLOW))
+    rows = rows.withColumn(f"{name}_long", odd)
     is_hex = lambda m: m.rlike(HEX_ONLY)
     limit = lambda m: F.when(is_hex(m), LIMITS["entropy_hex"]).otherwise(LIMITS["entropy_base64"])
     kind = lambda m: F.when(is_hex(m), KINDS.index("entropy_hex")).otherwise(KINDS.index("entropy_base64"))
-    random = F.flatten(F.transform(F.col("_long"), lambda x: F.transform(entropy_spans(x["m"], limit(x["m"])), lambda y: F.struct((x["s"] + y["a"]).alias("s"), kind(x["m"]).alias("k"), (x["s"] + y["b"]).alias("e")))))
+    random = F.flatten(F.transform(F.col(f"{name}_long"), lambda x: F.transform(entropy_spans(x["m"], limit(x["m"])), lambda y: F.struct((x["s"] + y["a"]).alias("s"), kind(x["m"]).alias("k"), (x["s"] + y["b"]).alias("e")))))
     rows = rows.select(
         *keep,
-        spans("assign", "assign", lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 8).alias("_a"),
-        spans("access", "access", lambda x: F.length(x["m"]) >= 16).alias("_c"),
-        spans("hex", "hex", lambda x: F.length(x["m"]) >= 32).alias("_h"),
-        F.when(F.size("_long") > 0, random).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>")).alias("_r"),
+        spans("assign", "assign", lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 8).alias(f"{name}_a"),
+        spans("access", "access", lambda x: F.length(x["m"]) >= 16).alias(f"{name}_c"),
+        spans("hex", "hex", lambda x: F.length(x["m"]) >= 32).alias(f"{name}_h"),
+        F.when(F.size(f"{name}_long") > 0, random).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>")).alias(f"{name}_r"),
     )
-    return rows.select(*keep, F.array_sort(F.concat("_a", "_c", "_h", "_r")).alias("found"))
+    return rows.select(*keep, F.array_sort(F.concat(f"{name}_a", f"{name}_c", f"{name}_h", f"{name}_r")).alias(name))
 
 
 def _line(found: Column) -> Column:

@@ -284,10 +284,14 @@ def learn(docs: DataFrame, labels: DataFrame, corpus: DataFrame, per_class: int
     return model
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` with score, predicted (1 if score >= 0.5), neighbours (doc_ids) and cosines."""
-    rows = docs.select(*keep, docs["text"].cast("string").alias("_t"))
-    schema = rows.drop("_t").schema.add("score", T.DoubleType()).add("predicted", T.IntegerType()).add("neighbours", T.ArrayType(T.LongType())).add("cosines", T.ArrayType(T.DoubleType()))
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """The columns ``keep`` with score, predicted (1 if score >= 0.5), neighbours (doc_ids) and cosines; their names
+    start with ``prefix``, so that none clashes with a kept column."""
+    rows = docs.select(*keep, docs["text"].cast("string").alias(f"{prefix}_t"))
+    schema = rows.select(*keep).schema.add("score", T.DoubleType()).add("predicted", T.IntegerType()).add("neighbours", T.ArrayType(T.LongType())).add("cosines", T.ArrayType(T.DoubleType()))
+    for field in schema.fields[len(keep) :]:
+        field.name = prefix + field.name
+    schema = T.StructType(schema.fields)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # TERMS and PER_CLASS bound it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
