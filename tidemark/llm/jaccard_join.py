@@ -241,7 +241,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     answers = entries.mapInArrow(firsts, "shard int, block long, keys binary, docs binary").groupBy("shard").applyInArrow(star, "block long, keys binary, first binary")
     answered = entries.join(answers.groupBy("block").agg(F.collect_list(F.struct("keys", "first")).alias("found")), "block", "left")
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 h, d = np.frombuffer(r["keys"], "<u8"), gid(r["block"], np.frombuffer(r["docs"], "<i4"))
@@ -252,15 +252,24 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
                 distinct = h[new]
                 for f in r["found"] or []:
                     least[np.searchsorted(distinct, np.frombuffer(f["keys"], "<u8"))] = np.frombuffer(f["first"], "<i8")
-                own = np.repeat(least, np.diff(np.append(new, len(h))))
-                two = np.unique(np.stack([own, d])[:, own != d], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(two[0]), pa.array(two[1])], ["a", "b"])
+                every = np.repeat(least, np.diff(np.append(new, len(h))))
+                other = every != d  # the first document of a cell has met all others of it after this step
+                two = np.unique(np.stack([every, d])[:, other], axis=1)
+                yield _rows(["block", "keys", "docs", "a", "b"], [pa.int64(), *[pa.binary()] * 4], [(r["block"], h[other].tobytes(), np.frombuffer(r["docs"], "<i4")[other].tobytes(), two[0].tobytes(), two[1].tobytes())])
+
+    entries = scratch.table(answered.mapInArrow(resolve, "block long, keys binary, docs binary, a binary, b binary"), "others")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r[c], "<i8")) for c in "ab"], ["a", "b"])
 
     verify = lambda p: _verified(p, known, blocks, n, size, percent)
-    links = verify(answered.mapInArrow(pairs, "a long, b long"))
+    links = verify(entries.select("a", "b").mapInArrow(pairs, "a long, b long"))
     labels = components(links)
 
-    # 2. cells that still hold documents of several components
+    # 2. cells that hold documents of several components beside their first
+    entries = entries.select("block", "keys", "docs")
     mine = labels.select(F.shiftright("node", 20).alias("block"), F.col("node").bitwiseAND((1 << 20) - 1).cast("int").alias("at"), "label")
     labelled = entries.join(mine.groupBy("block").agg(F.collect_list(F.struct("at", "label")).alias("labels")), "block", "left")
 
