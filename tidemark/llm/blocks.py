@@ -6,7 +6,8 @@ from there, so whole texts are not shuffled, and a lost executor costs its block
 :func:`repeated` is the prefilter of two operators. Every block hashes its keys (64 bits) to the cells of a count-min
 sketch, sends its partial sketch - sorted cells as gaps, in byte-aligned variable-length code - to the shards of the
 cells, and gets back for each cell how large the merged count is: by powers of two, or only whether it is above 1.
-Counts are never too low, so a key that two blocks share is always seen to repeat. A hot key is one cell in each
+A block counts a cell up to 256;
+within that, counts are never too low, so a key that two blocks share is always seen to repeat. A hot key is one cell in each
 block, so it makes no task longer.
 """
 
