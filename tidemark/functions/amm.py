@@ -35,7 +35,7 @@ def buy_out_exact(vsol: Column, vtok: Column, pay: Column) -> Column:
 
 
 def cap_up(amount: Column, bps: int) -> Column:
-    return F.expr("1").cast("long") * F.floor(amount * (10_000 + bps) / 10_000)
+    return F.floor(amount * (10_000 + bps) / 10_000)
 
 
 def cap_down(amount: Column, bps: int) -> Column:
