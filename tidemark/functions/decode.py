@@ -96,9 +96,9 @@ def writable(index: Column, keys: Column, signers: Column, read_only_signed: Col
     return F.when(index < signers, index < signers - read_only_signed).otherwise(index < keys - read_only_unsigned)
 
 
-def resolve_mint(kind: Column, mint: Column, accounts: Column) -> Column:
-    """The mint an intent is about: its own field, else an account by kind, else one ending in ``pump``."""
-    tagged = F.get(F.filter(accounts, lambda a: a.endswith("pump")), 0)
+def resolve_mint(kind: Column, mint: Column, accounts: Column, suffix: str) -> Column:
+    """The mint an intent is about: its own field, else an account by kind, else the first one ending in ``suffix``."""
+    tagged = F.get(F.filter(accounts, lambda a: a.endswith(suffix)), 0)
     return F.coalesce(mint, F.when(kind == "buy", F.get(accounts, 2)).when(kind == "sell", F.get(accounts, 0)), tagged)
 
 
