@@ -253,6 +253,72 @@ def position_pnl(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(both.select("key", "i", (F.col("got") - F.col("cost")).alias("pnl"), (F.col("sn") - F.col("bn")).alias("gap")))
 
 
+@query(
+    "failed_pressure",
+    f"""WITH {TAPE} SELECT key, n, count(*) FILTER (WHERE failed) OVER w AS fails, count(DISTINCT CASE WHEN failed THEN actor END) OVER w AS failers, count(*) FILTER (WHERE failed) OVER (PARTITION BY key ORDER BY ts RANGE BETWEEN 604800.0 PRECEDING AND CURRENT ROW) AS recent FROM tape WINDOW w AS (PARTITION BY key ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+)
+def failed_pressure(spark: SparkSession, sf: str) -> DataFrame:
+    """Failures before a row: how many, by how many actors, and in the last week."""
+    before = by_key().rowsBetween(Window.unboundedPreceding, -1)
+    bad = F.when(F.col("failed"), F.col("actor"))
+    return events_tape(spark, sf).select("key", "n", F.count(bad).over(before).alias("fails"), F.size(F.collect_set(bad).over(before)).cast("long").alias("failers"), F.count(bad).over(by_key("ts").rangeBetween(-604800, 0)).alias("recent"))
+
+
+@query(
+    "before_after",
+    f"""WITH {TAPE}, e AS (SELECT key, min(n) AS fire_n FROM tape WHERE kind='purchase' GROUP BY key) SELECT e.key, fire_n, round(avg(CASE WHEN n<fire_n THEN sol END),6) AS before_mean, round(avg(CASE WHEN n>fire_n THEN sol END),6) AS after_mean, count(*) AS rows FROM tape t JOIN e ON t.key=e.key AND n BETWEEN fire_n-5 AND fire_n+5 GROUP BY 1,2""",
+)
+def before_after(spark: SparkSession, sf: str) -> DataFrame:
+    """Five rows on either side of a key's first purchase."""
+    tape = events_tape(spark, sf)
+    e = tape.filter("kind = 'purchase'").groupBy("key").agg(F.min("n").alias("fire_n"))
+    near = tape.join(e, "key").filter("n between fire_n - 5 and fire_n + 5")
+    return rounded(near.groupBy("key", "fire_n").agg(F.avg(F.when(F.col("n") < F.col("fire_n"), F.col("sol"))).alias("before_mean"), F.avg(F.when(F.col("n") > F.col("fire_n"), F.col("sol"))).alias("after_mean"), F.count("*").alias("rows")))
+
+
+@query(
+    "reputation_null",
+    f"""WITH {MEMBERS}, a AS (SELECT DISTINCT actor, actor % 4 AS s FROM m), i AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY actor) AS i FROM a), j AS (SELECT actor AS other, s, row_number() OVER (PARTITION BY s ORDER BY md5(CAST(actor AS VARCHAR))) AS i FROM a), p AS (SELECT actor, other FROM i JOIN j USING (s, i)),
+t AS (SELECT actor, avg(y*1.0::DOUBLE) AS rate FROM m GROUP BY 1), r AS (SELECT p.actor, x.rate AS own, z.rate AS dealt FROM p JOIN t x ON x.actor=p.actor JOIN t z ON z.actor=p.other)
+SELECT m.key, round(avg(own),6) AS own, round(avg(dealt),6) AS dealt FROM m JOIN r ON r.actor=m.actor GROUP BY m.key""",
+)
+def reputation_null(spark: SparkSession, sf: str) -> DataFrame:
+    """Rates of actors against those of others: a fixed bijection within strata, the null for identity."""
+    m = _members(spark, sf)
+    a = m.select("actor").distinct().withColumn("s", F.col("actor") % 4)
+    i = a.withColumn("i", F.row_number().over(Window.partitionBy("s").orderBy("actor")))
+    j = a.select("s", F.col("actor").alias("other"), F.row_number().over(Window.partitionBy("s").orderBy(F.md5(F.col("actor").cast("string")))).alias("i"))
+    t = m.groupBy("actor").agg(F.avg(F.col("y").cast("double")).alias("own"))
+    p = i.join(j, ["s", "i"]).select("actor", "other").join(t, "actor").join(t.select(F.col("actor").alias("other"), F.col("own").alias("dealt")), "other")
+    return rounded(m.join(p.select("actor", "own", "dealt"), "actor").groupBy("key").agg(F.avg("own").alias("own"), F.avg("dealt").alias("dealt")))
+
+
+@query(
+    "exit_plan",
+    f"""WITH {TAPE}, {ANCHOR}, t AS (SELECT key, arg_min(ret, CASE WHEN ret>=0.3 THEN fwd END) AS a, arg_min(ret, CASE WHEN ret>=1.0 THEN fwd END) AS b, arg_min(ret, CASE WHEN dt>=1209600 THEN fwd END) AS c, arg_max(ret,fwd) AS last FROM fw GROUP BY key)
+SELECT key, round(0.5*coalesce(a,last)+0.3*coalesce(b,last)+0.2*coalesce(c,last),6) AS net FROM t""",
+)
+def exit_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """A plan of legs with fixed fractions: each leg is a first touch."""
+    ret = F.col("ret")
+    hit = lambda c: F.min_by("ret", F.when(c, F.col("fwd")))
+    t = _anchored(spark, sf).groupBy("key").agg(hit(ret >= 0.3).alias("a"), hit(ret >= 1.0).alias("b"), hit(F.col("dt") >= 1209600).alias("c"), F.max_by("ret", "fwd").alias("last"))
+    return rounded(t.select("key", (0.5 * F.coalesce("a", "last") + 0.3 * F.coalesce("b", "last") + 0.2 * F.coalesce("c", "last")).alias("net")))
+
+
+@query("gbt_holdout")
+def gbt_holdout(spark: SparkSession, sf: str) -> DataFrame:
+    """Boosted trees on entry features, scored on keys that a hash leaves out."""
+    from ..functions import amm
+    from ..operators import models
+
+    tape = lineitem_tape(spark, sf)
+    x = features.entry(features.steps(tape), F.lit(5))
+    best = labels.anchored(tape, 5).groupBy("key").agg((F.max("ret") >= 0.5).cast("int").alias("y"))
+    rows = x.join(best, "key").withColumn("part", amm.hash_bucket(F.col("key")))
+    return models.holdout(rows, ["win_ret", "dir_eff", "buy_frac", "uniq", "net_sol", "tot_sol", "single_actor_share", "entry_sol", "drawup", "drawdown"], "part < 70")
+
+
 @query("decoded_events")
 def decoded_events(spark: SparkSession, sf: str) -> DataFrame:
     """Round trip of made payloads through the decoder: one for each order."""
