@@ -69,6 +69,42 @@ def test_amounts(spark):
     assert r["b"] == int(hashlib.md5(b"abc").hexdigest(), 16) % 100
 
 
+def test_sizing(spark):
+    from tidemark.functions import sizing
+
+    vs, vt, bet = 42_400_000_000, 758_800_000_000_000, 50_000_000
+    df = spark.createDataFrame([(x / 10, int(vs * (x / 10) ** 0.5), int(vt / (x / 10) ** 0.5)) for x in range(10, 21)], "drift double, fs long, ft long").withColumns({"vs": F.lit(vs), "vt": F.lit(vt), "bet": F.lit(bet)})
+    p = df.withColumn("p", sizing.plan(F.col("vs"), F.col("vt"), F.col("bet"), 3000))
+    f = p.withColumn("f", sizing.fill(F.col("fs"), F.col("ft"), F.col("p"), 100, F.lit(5000)))
+    rows = f.withColumn("r", sizing.realised(F.col("fs") * 2, (F.col("ft") / 2).cast("long"), F.col("p"), F.col("f"), 100, F.lit(5000))).collect()
+    root = 1.3**0.5
+    cs, ct = int(vs * root), int(vt / root)
+    want = ct - (cs * ct) // (cs + bet)
+    for r in rows:
+        cost = -(-(r["fs"] * r["ft"]) // (r["ft"] - want)) - r["fs"]
+        assert r["p"]["tokens"] == want and r["f"]["filled"] == (cost <= bet) and r["f"]["cost"] == (cost if cost <= bet else 0)
+        if r["f"]["filled"]:
+            assert r["f"]["cost"] <= bet and r["r"]["on_outlay"] < r["r"]["on_curve"]
+    assert rows[0]["f"]["filled"] and not rows[-1]["f"]["filled"]
+
+
+def test_more_decoders(spark):
+    amm = b"B" * 8 + b"x" * 40 + struct.pack("<QQ", 7, 9) + b"y" * 56 + b"p" * 32 + b"u" * 32
+    curve = b"c" * 8 + struct.pack("<QQQQQ", 1, 2, 3, 4, 5) + b"\x01"
+    df = spark.createDataFrame([(amm, curve), (amm[:100], curve[:20])], "a binary, c binary")
+    one, two = df.select(decode.pool_event(F.col("a"), "42" * 8, "53" * 8, "43" * 8).alias("a"), decode.curve_account(F.col("c")).alias("c")).collect()
+    assert one["a"]["kind"] == "buy" and (one["a"]["quote_res"], one["a"]["base_res"]) == (7, 9) and bytes.fromhex(one["a"]["pool"]) == b"p" * 32
+    assert (one["c"]["vtok"], one["c"]["supply"], one["c"]["complete"]) == (1, 5, True) and two["a"] is None and two["c"] is None
+    ix = [(0, [1], bytes([2]) + struct.pack("<I", 200_000)), (0, [], bytes([3]) + struct.pack("<Q", 77)), (1, [], bytes([2]) + struct.pack("<I", 9))]
+    tx = spark.createDataFrame([(ix, [b"k" * 32, b"z" * 32]), ([], [b"k" * 32])], "ix array<struct<program:int,accounts:array<int>,data:binary>>, keys array<binary>")
+    got = [r["b"] for r in tx.select(decode.compute_budget(F.col("ix"), F.col("keys"), (b"k" * 32).hex()).alias("b")).collect()]
+    assert (got[0]["cu_limit"], got[0]["unit_price"]) == (200_000, 77) and (got[1]["cu_limit"], got[1]["unit_price"]) == (0, 0)
+    names = spark.createDataFrame([(["a", "b", "c"],), (["x"],)], "k array<string>").select(decode.first_known(F.col("k"), {"c": "C", "b": "B"}).alias("n")).collect()
+    assert [r["n"] for r in names] == ["B", None]
+    bal = spark.createDataFrame([([("w", "100"), ("m", "4"), ("m", "20")],), ([("w", "1")],)], "b array<struct<mint:string,amt_str:string>>")
+    assert [r["p"] for r in bal.select(decode.balance_price(F.col("b"), "w").alias("p")).collect()] == [5.0, None]
+
+
 def test_upsert_and_journal(spark, tmp_path):
     base = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k int, v double")
     got = {r["k"]: (r["v"], r["orig_v"]) for r in sinks.upsert(base, spark.createDataFrame([(2, 9.0)], "k int, v double"), ["k"]).collect()}

@@ -64,6 +64,51 @@ def create_event(data: Column) -> Column:
     return F.when((F.lower(F.hex(F.substring(data, 1, 8))) == discriminator("CreateEvent", "event")) & (F.octet_length(data) >= at + 128), whole)
 
 
+def pool_event(data: Column, buy: str, sell: str, create: str) -> Column:
+    """Struct of a pool's buy, sell or creation (discriminators in hex): kind, reserves, pool, user, base mint."""
+    disc, size = F.lower(F.hex(F.substring(data, 1, 8))), F.octet_length(data)
+    key = lambda at: F.lower(F.hex(F.substring(data, at + 1, 32)))
+    trade, made = disc.isin(buy, sell) & (size >= 184), (disc == create) & (size >= 205)
+    whole = F.struct(
+        F.when(made, "create").when(disc == buy, "buy").otherwise("sell").alias("kind"), F.when(trade, u64(data, 48)).alias("quote_res"), F.when(trade, u64(data, 56)).alias("base_res"),
+        F.when(trade, key(120)).otherwise(key(173)).alias("pool"), F.when(trade, key(152)).alias("user"), F.when(made, key(50)).alias("base_mint"),
+    )
+    return F.when(trade | made, whole)
+
+
+def curve_account(data: Column) -> Column:
+    """Struct of a curve account: five amounts after 8 bytes, then a flag."""
+    names = ("vtok", "vsol", "rtok", "rsol", "supply")
+    whole = F.struct(*(u64(data, 8 + 8 * i).alias(n) for i, n in enumerate(names)), F.when(F.octet_length(data) > 48, F.hex(F.substring(data, 49, 1)) != "00").alias("complete"))
+    return F.when(F.octet_length(data) >= 48, whole)
+
+
+def compute_budget(instructions: Column, keys: Column, program: str) -> Column:
+    """Struct of the compute limit (tag 2) and the price of a unit (tag 3) that a transaction asks for; the last of each
+    counts. ``program``: the budget program's key in hex."""
+    mine = F.filter(instructions, lambda x: F.lower(F.hex(F.get(keys, x["program"]))) == program.lower())
+
+    def last(tag: str, least: int, read) -> Column:
+        tagged = F.filter(mine, lambda x: (F.hex(F.substring(x["data"], 1, 1)) == tag) & (F.octet_length(x["data"]) >= least))
+        return F.coalesce(F.element_at(F.transform(tagged, lambda x: read(x["data"], 1).cast("decimal(20,0)")), F.when(F.size(tagged) > 0, -1).otherwise(F.lit(None).cast("int"))), F.lit(0).cast("decimal(20,0)"))
+
+    return F.struct(last("02", 5, u32).alias("cu_limit"), last("03", 9, u64).alias("unit_price"))
+
+
+def first_known(keys: Column, known: dict[str, str]) -> Column:
+    """The name of the first key that is known (routes, token programs); null if none is."""
+    names = F.create_map(*(F.lit(x) for k, v in known.items() for x in (k, v)))
+    return F.get(F.filter(F.transform(keys, lambda k: F.try_element_at(names, k)), lambda n: n.isNotNull()), 0)
+
+
+def balance_price(after: Column, quote_mint: str) -> Column:
+    """Price from token balances: the largest of the quote's over the largest of any other."""
+    amount = lambda x: F.coalesce(x["amt_str"].try_cast("double"), F.lit(0.0))
+    quote = F.array_max(F.transform(F.filter(after, lambda x: x["mint"] == quote_mint), amount))
+    base = F.array_max(F.transform(F.filter(after, lambda x: x["mint"] != quote_mint), amount))
+    return F.try_divide(quote, base)
+
+
 def event_name(data: Column, names: list[str]) -> Column:
     """The event whose discriminator a payload starts with, else Unknown."""
     known = F.create_map(*(F.lit(x) for n in names for x in (discriminator(n, "event"), n)))
