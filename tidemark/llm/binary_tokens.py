@@ -74,19 +74,24 @@ def write(docs: DataFrame, file: str, at: str, end: int = 0, segment: int = SEGM
     with fs.open_output_stream(f"{top}/ranks.u4") as out:
         out.write(ids.astype("<u4").tobytes())
 
+    # ranges of doc_id from its column alone, so that no text is encoded twice to find them
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cuts = np.array(encoded.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else [], float)
+
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
         for b in tokens.slices(batches):
             packed = [varbyte.pack(ranks[np.frombuffer(x.as_buffer(), kind)]) for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())], ["doc_id", "n_tokens", "control", "data"])
+            part = np.searchsorted(cuts, np.array([-np.inf if i is None else i for i in b.column(0).to_pylist()]), side="left")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary()), pa.array(part, pa.int32())], ["doc_id", "n_tokens", "control", "data", "part"])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = _open(at)
-        part, numbers = TaskContext.get().partitionId(), []
+        numbers = []
 
         def flush(rows: list[tuple]) -> tuple[int, int, int]:
-            index = np.array([(NULL if i is None else i, n, len(c), len(d)) for i, n, c, d in rows], "<i8").T
-            number = part << 20 | len(numbers)
+            index = np.array([(NULL if i is None else i, n, len(c), len(d)) for i, n, c, d, _ in rows], "<i8").T
+            number = rows[0][4] << 20 | len(numbers)
             new = f"{top}/.{number}-{TaskContext.get().taskAttemptId()}"
             with fs.open_output_stream(new) as out:
                 for x in (MAGIC, len(rows).to_bytes(8, "little"), np.ascontiguousarray(index).tobytes(), *(r[2] for r in rows), *(r[3] for r in rows)):
@@ -95,20 +100,19 @@ def write(docs: DataFrame, file: str, at: str, end: int = 0, segment: int = SEGM
             return number, len(rows), int(index[1].sum())
 
         rows, held = [], 0
-        for b in batches:
+        for b in tokens.slices(batches):
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                rows.append(r)
-                held += len(r[2]) + len(r[3])
-                if held >= segment:
+                if rows and (held >= segment or rows[-1][4] != r[4]):
                     numbers.append(flush(rows))
                     rows, held = [], 0
+                rows.append(r)
+                held += len(r[2]) + len(r[3])
         if rows:
             numbers.append(flush(rows))
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in numbers], pa.int64()) for k in range(3)], ["segment", "docs", "tokens"])
 
-    coded = encoded.select("doc_id", "n_tokens", "ids").mapInArrow(code, "doc_id long, n_tokens long, control binary, data binary")
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = coded.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    coded = encoded.select("doc_id", "n_tokens", "ids").mapInArrow(code, "doc_id long, n_tokens long, control binary, data binary, part int")
+    ordered = coded.repartitionById(n, "part").sortWithinPartitions("doc_id")
     return scratch.table(ordered.mapInArrow(store, "segment long, docs long, tokens long"), "segments")
 
 

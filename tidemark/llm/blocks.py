@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch, varbyte
+from . import scratch, varbyte, words
 
 #: Bytes of text in a block, about.
 BLOCK = 4 << 20
@@ -158,7 +158,7 @@ _SENT_NAMES = ["row", "shard", "block", "n", "control", "data", "more"]
 
 def _counted(cell: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct cells, ascending, and their counts in the block."""
-    order = np.argsort(cell, kind="stable")
+    order = np.argsort(cell)
     cell, often = cell[order], often[order]
     new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
     return cell[new], np.add.reduceat(often, new) if len(new) else often
@@ -171,7 +171,7 @@ def looked_up(found: np.ndarray, hot: list[dict], bits: int, levels: bool = Fals
     least = np.full(len(found), 255, np.uint8)
     for row in range(DEPTH):
         mine = {h["shard"]: h["bits"] for h in hot if h["row"] == row}
-        cell, back = np.unique(cells(found, row, bits), return_inverse=True)
+        cell, back = words.distinct(cells(found, row, bits))
         level = np.zeros(len(cell), np.uint8)
         for shard, lo, hi in _parts(cell, low):
             level[lo:hi] = np.frombuffer(zlib.decompress(mine[shard]), np.uint8) if levels else np.unpackbits(np.frombuffer(mine[shard], np.uint8), count=hi - lo)

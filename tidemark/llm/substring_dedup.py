@@ -37,7 +37,7 @@ def _windows(block: B.Block, size: int) -> tuple[words.Words, np.ndarray, np.nda
 
 def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes, ascending, and 2 where more than one document of the block has each, else 1."""
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     h, doc = h[order], doc[order]
     if not len(h):
         return h, np.zeros(0, np.int64)
@@ -48,8 +48,8 @@ def _distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _candidates(block: B.Block, hot: list[dict], bits: int, size: int):
     """Words; starts, docs and entry of each candidate window; and the entries: both hashes and least doc_id."""
     w, at, h, doc = _windows(block, size)
-    found = np.unique(h)
-    keep = B.looked_up(found, hot, bits)[np.searchsorted(found, h)] if len(h) else np.zeros(0, bool)
+    found, place = words.distinct(h)
+    keep = B.looked_up(found, hot, bits)[place]
     at, h, doc = at[keep], h[keep], doc[keep]
     every, second = w.runs(size, 1)
     g = second[keep]
@@ -84,8 +84,8 @@ def dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 _, _, _, _, h, g, least = _candidates(block, flags, bits, size)
                 rows = []
                 for s, lo, hi in _shards(h, shards):
-                    ids = np.unique(least[lo:hi])
-                    control, data = varbyte.pack(np.searchsorted(ids, least[lo:hi]))
+                    ids, which = words.distinct(least[lo:hi])
+                    control, data = varbyte.pack(which)
                     rows.append((s, number, h[lo:hi].astype("<u8").tobytes(), g[lo:hi].astype("<u8").tobytes(), ids.astype("<i8").tobytes(), control, data))
                 types = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 7, types, strict=True)], ["shard", "block", "h", "g", "ids", "control", "which"])

@@ -24,8 +24,8 @@ _ANY = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 #: The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
-#: Entries after which a worker's memo starts anew: bounds its memory at some 100 MB.
-MEMO = 400_000
+#: Entries after which a worker's memo starts anew: bounds its memory at some 150 MB.
+MEMO = 900_000
 
 
 class Encoder:

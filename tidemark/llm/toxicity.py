@@ -123,12 +123,13 @@ class Index:
         by = np.lexsort((doc, term))
         self.doc, self.weight = doc[by], weight[by]
         self.start = np.searchsorted(term[by], np.arange(terms + 1))
-        self.peak: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.block, self.place = self.doc // BLOCK, self.doc % BLOCK
+        self.peak: dict[int, tuple[np.ndarray, np.ndarray, tuple[int, int]]] = {}
         for t in np.unique(term).tolist():
             lo, hi = self.start[t], self.start[t + 1]
             block = self.doc[lo:hi] // BLOCK
             first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            self.peak[t] = (block[first], np.maximum.reduceat(self.weight[lo:hi], first), np.concatenate([first, [hi - lo]]) + lo)
+            self.peak[t] = (block[first], np.maximum.reduceat(self.weight[lo:hi], first), (lo, hi))
 
     def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places (in the order given) and cosines of the k nearest examples with a cosine above 0."""
@@ -145,10 +146,10 @@ class Index:
             score = np.zeros((len(some), BLOCK))
             slot = np.full(self.blocks, -1)
             slot[some] = np.arange(len(some))
-            for block, _, ends, w in mine:
-                for j in np.flatnonzero(slot[block] >= 0):
-                    part = slice(ends[j], ends[j + 1])
-                    score[slot[block[j]], self.doc[part] % BLOCK] += self.weight[part] * w
+            for _, _, (first, last), w in mine:
+                at = slot[self.block[first:last]]
+                open_ = at >= 0
+                score[at[open_], self.place[first:last][open_]] += self.weight[first:last][open_] * w
             r, c = np.nonzero(score > 0)
             new = some[r] * BLOCK + c
             keep = self.order[new] != but if but is not None else np.ones(len(new), bool)
@@ -221,13 +222,11 @@ def learn(docs: DataFrame, labels: DataFrame, corpus: DataFrame, per_class: int
     rows = scratch.table(rows.repartition(max(6, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)), "examples")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, np.ndarray] = {}
         parts: list[list[np.ndarray]] = [[], []]
         for b in batches:
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 parts[y].append(np.unique(grams(text)))
         both = [np.unique(np.concatenate(p) if p else np.zeros(0, np.uint64), return_counts=True) for p in parts]
-        del seen
         for y, (g, n) in enumerate(both):
             yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n * (y == 0)), pa.array(n * (y == 1))], ["g", "n0", "n1"])
 

@@ -34,6 +34,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and the place of each element among them."""
+    order = np.argsort(x)
+    ordered = x[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(x) else np.zeros(0, bool)
+    place = np.empty(len(x), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ordered[new], place
+
+
 @dataclass
 class Words:
     """Words of the documents of a block, in order; ``first`` has the first word of each document, and the count."""
