@@ -40,7 +40,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*((F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def _entry_sql(idx: str) -> str:
@@ -102,7 +102,7 @@ def exec_features(spark: SparkSession, sf: str) -> DataFrame:
     "rolling_flow",
     f"""WITH {TAPE}, pr AS (SELECT a.key, a.n, a.ts, b.actor, sum(b.sol) AS s, sum(CASE WHEN b.is_buy THEN 1 ELSE 0 END) AS nb, count(*) AS c, sum(CASE WHEN b.is_buy THEN b.sol ELSE -b.sol END) AS net, min(b.ts) AS t0
  FROM tape a JOIN tape b ON a.key=b.key AND b.n BETWEEN a.n-14 AND a.n GROUP BY 1,2,3,4)
-SELECT key, n, round(sum(nb)*1.0/sum(c),6) AS buy_frac, CAST(count(*) AS INTEGER) AS actors, round(max(s)/sum(s),6) AS top_share, round(coalesce(sum(net)/nullif(ts-min(t0),0),0),6) AS velocity FROM pr GROUP BY key, n, ts""",
+SELECT key, n, round(sum(nb)*1.0/sum(c),6) AS buy_frac, CAST(count(*) AS INTEGER) AS actors, round(max(s)/sum(s),6) AS top_share, round(coalesce(sum(net)/nullif(ts-min(t0),0),0),6)+0 AS velocity FROM pr GROUP BY key, n, ts""",
 )
 def rolling_flow(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(features.rolling_flow(events_tape(spark, sf)))
@@ -205,7 +205,7 @@ def suffix_future(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "velocity_accel",
     f"""WITH {LINES}, v AS (SELECT *, (mid-lag(mid) OVER w)/nullif(ts-lag(ts) OVER w,0) AS velocity, mid/lag(mid,3) OVER w - 1 AS ret3 FROM tape WINDOW w AS (PARTITION BY key ORDER BY n))
-SELECT key, n, round(velocity,6) AS velocity, round((velocity-lag(velocity) OVER w)/nullif(ts-lag(ts) OVER w,0),6) AS accel, round(ret3,6) AS ret3 FROM v WINDOW w AS (PARTITION BY key ORDER BY n)""",
+SELECT key, n, round(velocity,6)+0 AS velocity, round((velocity-lag(velocity) OVER w)/nullif(ts-lag(ts) OVER w,0),6)+0 AS accel, round(ret3,6)+0 AS ret3 FROM v WINDOW w AS (PARTITION BY key ORDER BY n)""",
 )
 def velocity_accel(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(features.kinematics(lineitem_tape(spark, sf)))
