@@ -17,3 +17,14 @@ def test_stages(spark, sf, tmp_path):
     assert counts[0] > toxic > unique >= clean == redacted > 0.7 * counts[0]
     kept = {r["doc_id"] for r in docs.select("doc_id").distinct().collect()}
     assert len(kept) == redacted
+
+
+def test_decontamination_stage_drops_short_leaks(spark, tmp_path):
+    """Benchmark items with words missing, alone and at both ends of a text, go; the others stay as they are."""
+    item = ["item%d" % i for i in range(30)]
+    leaks = [item, item[1:], item[:25], item[5:], item[:14] + item[15:], ["so", "it", "goes", *item[:25]], [*item[5:], "and", "so", "on"]]
+    other = [item[:23], item[7:], ["quite", "another", "text"], []]
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, " ".join(t), "x") for i, t in enumerate(leaks + other)], "doc_id long, text string, source string")
+    kept = dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path))
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, docs.filter(f"doc_id >= {len(leaks)}").collect()))

@@ -179,6 +179,34 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.leaks(empty, bench).count() == 0 and decontamination.leaks(more, bench.limit(0)).count() == 0
 
 
+def test_decontamination_equals_brute_force(spark):
+    """Documents shorter than their item, and leaks at both ends of a text; leaks() and the pipeline's stage."""
+    rng = random.Random(4)
+    say = lambda n: ["w%d" % rng.randrange(60) for _ in range(n)]
+    items = [say(n) for n in (5, 10, 15, 15, 20)]
+    texts = [[], ["w1"], say(30)]
+    for item in items:
+        d = decontamination.allowed(len(item))
+        texts += [item, item[1:], item[:-1], item[d:], item[: len(item) - d], item[d + 1 :], item[: len(item) - d - 1]]
+        for k in range(6):
+            near = list(item)
+            for _ in range(k % (d + 1)):
+                at = rng.randrange(len(near))
+                near[at : at + 1] = ([], ["odd"], [near[at], "odd"])[rng.randrange(3)]
+            texts += [near, near + say(9), say(9) + near]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    want = set()
+    for i, t in enumerate(texts):
+        for j, item in enumerate(items):
+            n, d = len(item), decontamination.allowed(len(item))
+            far = min((_edits(item, t[a:b]) for a in range(len(t)) for b in range(a + n - d, min(len(t), a + n + d) + 1)), default=n)
+            if far <= d:
+                want.add((i, j, far))
+    got = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontamination.leaks(docs, bench).collect()}
+    assert got == want and sum(len(texts[i]) < len(items[j]) for i, j, _ in want) >= 20
+
+
 def test_edit_distance_equals_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(60):

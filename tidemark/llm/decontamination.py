@@ -2,14 +2,14 @@
 
 Texts are words: ASCII letters in lower case, other ASCII characters than letters and digits part words. A document
 leaks an item if some part of it is within ``rate`` of the item's words by edit distance (insert, delete, replace a
-word). Every window of the document as long as an item is a candidate, if enough of its words are words of items of
-that length, and some run of words is intact: d edits leave at least n - d of n words, in d + 1 runs at most, so this drops
-no leak. The CGK embedding walks
+word). Every window of the document as long as an item is a candidate, and so is a shorter one that the end of the
+document cuts, down to n - d words; if enough of its words are words of items of that length, and some run of words is
+intact: d edits leave at least n - d of n words, in d + 1 runs at most, so this drops no leak. The CGK embedding walks
 along a window and, at each of 3 n steps, writes the word it stands on and moves on or stays, as a hash of step and
 word says; near windows write mostly the same words at the same steps, so edit distance becomes Hamming distance.
 Samples of steps make LSH keys; walks and samples are repeated until windows at the limit meet their item with
-probability ``recall`` (measured on the items themselves, randomly edited). Windows that meet are verified by exact
-edit distance.
+probability ``recall`` (measured on the items themselves, randomly edited and only shortened, in a text and at its end;
+the worst counts). Windows that meet are verified by exact edit distance.
 
 Items are taken in groups of bounded size; documents pass once for each group. Cases: null and empty documents and
 items leak nothing; items under ``least`` words must be met without an edit; repeated items and documents give a row
@@ -148,21 +148,22 @@ class Items:
         self.repeats = []
         for c, n in enumerate(self.lengths):
             items, d, edited, true = [self.items[k][1] for k in of[n]], allowed(n, self.rate), [], []
-            for _ in range(100):
+            for case in range(400):  # a hundred of each: any edits or deletions only, inside a text or at its end
                 h = items[rng.integers(len(items))]
                 new = list(h)
                 for _ in range(d):
-                    at, kind = int(rng.integers(len(new))), int(rng.integers(3))
+                    at, kind = int(rng.integers(len(new))), 2 if case & 1 else int(rng.integers(3))
                     if kind == 0:
                         new[at] = U(rng.integers(1 << 62))
                     elif kind == 1:
                         new.insert(at, U(rng.integers(1 << 62)))
                     elif len(new) > 1:
                         del new[at]
-                edited.append((new + [U(rng.integers(1 << 62)) for _ in range(n)])[:n])
+                edited.append((new + [U(0) if case & 2 else U(rng.integers(1 << 62)) for _ in range(n)])[:n])
                 true.append(h)
-            both = [embed(np.stack(x).astype(U), np.full(100, n), np.repeat(self.sampled[c : c + 1, :, : 3 * n], 100, 0)) for x in (edited, true)]
-            met = np.maximum.accumulate(both[0] == both[1], axis=1).mean(0)
+            both = [np.concatenate([embed(np.stack(x[lo : lo + 100]).astype(U), np.full(100, n), np.repeat(self.sampled[c : c + 1, :, : 3 * n], 100, 0)) for lo in range(0, 400, 100)]) for x in (edited, true)]
+            met = np.maximum.accumulate(both[0] == both[1], axis=1)
+            met = np.min([met[case::4].mean(0) for case in range(4)], axis=0)
             self.repeats.append(max(4, int(np.argmax(met >= recall)) + 1 if (met >= recall).any() else REPEATS))
 
     def search(self, texts: list[bytes]) -> list[list[tuple[int, int, int, int]]]:
@@ -193,7 +194,7 @@ class Items:
         known = self.maybe[w.hash >> U(44)]
         at = np.minimum(np.searchsorted(self.words, w.hash[known]), len(self.words) - 1)
         same = self.words[at] == w.hash[known]
-        left = np.repeat(w.first[1:], np.diff(w.first)) - np.arange(n_words)
+        here, ends = np.arange(n_words), np.repeat(w.first[1:], np.diff(w.first))
         pick, to = self._intact(w)
         if not len(pick):
             return [[] for _ in texts]
@@ -203,7 +204,8 @@ class Items:
         for c, n in enumerate(self.lengths):
             bit = lambda masks: (masks[c // 64] >> U(c % 64)) & U(1)  # noqa: B023, E731
             mine = pick[bit([m[to] for m in self.gram_masks]) > 0]
-            if n > n_words or not len(mine):
+            d = allowed(n, self.rate)
+            if n - d > n_words or not len(mine):
                 continue
             intact = np.zeros(n_words + 1, np.int32)
             intact[1 + mine] = 1
@@ -211,9 +213,9 @@ class Items:
             flag = np.zeros(n_words + 1, np.int32)
             flag[1:][known] = bit([m[at] for m in self.masks]).astype(np.int32) * same
             total = np.cumsum(flag)
-            d = allowed(n, self.rate)
-            last = n_words - n + 1
-            good = np.flatnonzero((intact[n - self.gram + 1 :][:last] > intact[:last]) & (total[n:] - total[:-n] >= n - d) & (left[:last] >= n))
+            stop = np.minimum(here + n, ends)
+            good = np.flatnonzero(intact[np.maximum(stop - self.gram + 1, 0)] > intact[:-1])
+            good = good[(total[stop[good]] - total[good] >= n - d) & (stop[good] - good >= n - d)]
             starts.append(good)
             lengths.append(np.full(len(good), c))
         start, of = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, lengths))
@@ -222,7 +224,7 @@ class Items:
         for lo in range(0, len(start), 2048):
             s, c = start[lo : lo + 2048], of[lo : lo + 2048]
             reach = np.arange(int(size[c].max()))
-            rows = np.where(reach < size[c][:, None], w.hash[np.minimum(s[:, None] + reach, n_words - 1)], U(0))
+            rows = np.where(reach < np.minimum(size[c], ends[s] - s)[:, None], w.hash[np.minimum(s[:, None] + reach, n_words - 1)], U(0))
             keys = self._keys(rows, c)
             for kind in np.unique(c).tolist():
                 mine = np.flatnonzero(c == kind)
