@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import binary_tokens, blocks, decontamination, jaccard_join, language, main_text, packing, queries, scratch, secrets, substring_dedup, tokens, toxicity, varbyte, voronoi_knn, words
 
+SCHEMA_SHORT = "doc_id long, text string, source string"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, hash string"
 
 
@@ -168,6 +169,34 @@ def test_cells_that_differ_are_no_more_than_tokens():
         assert len(one - two) <= 2 * (n // 10)
 
 
+def test_packing_fills_windows_to_given_shares(spark):
+    rng = random.Random(2)
+    shares = {"web": 0.6, "code": 0.1, None: 0.3}
+    docs = spark.createDataFrame([(i, "a b c " * rng.randint(1, 9), list(shares)[i % 3]) for i in range(600)], SCHEMA_SHORT).repartition(3)
+    pieces = packing.pack(docs, queries.tokenizer_file(), length=64, window=500, shares=shares)
+    found = pieces.filter("start = 0").join(docs.select("doc_id", "source"), "doc_id").select("source", "doc_tokens", (F.col("sequence_id") * 64 + F.col("offset")).alias("at")).collect()
+    totals = {s: sum(r["doc_tokens"] for r in found if r["source"] == s) for s in shares}
+    longest, taken = max(r["doc_tokens"] for r in found), dict.fromkeys(shares, 0)
+    for r in sorted(found, key=lambda r: r["at"]):
+        taken[r["source"]] += r["doc_tokens"]
+        if sum(taken.values()) * 0.6 > totals["web"] - 1000:
+            break  # the first queue is about to run dry
+        # whole windows up to here are off by a document of each queue at most, and the last window is not whole
+        assert all(abs(n - shares[s] * sum(taken.values())) <= 500 + 3 * longest for s, n in taken.items())
+    assert taken["web"] > totals["web"] / 2
+    for wrong in ({"web": 1.0}, shares | {"wbe": 0.1}):
+        with pytest.raises(ValueError):
+            packing.pack(docs, queries.tokenizer_file(), shares=wrong)
+
+
+def test_packing_keeps_each_of_many_sources_a_queue(spark):
+    n = packing.MAX_QUEUES + 44
+    sizes = spark.range(n * 8).select(F.col("id").alias("row_id"), F.concat(F.lit("s"), F.col("id") % n).alias("source"), F.lit(1).cast("long").alias("n_tokens"))
+    for shares in (None, {f"s{i}": 1.0 for i in range(n)}):
+        windows = packing.place(sizes, n, shares).join(sizes, "row_id").groupBy(F.floor(F.col("at") / n)).agg(F.count_distinct("source").alias("sources")).collect()
+        assert [r["sources"] for r in windows] == [n] * 8
+
+
 def test_decontamination(spark, docs, empty):
     items = [(1, made()[18][1][:300]), (2, None), (3, ""), (4, "short one"), (5, " ".join("item%d" % i for i in range(30)))]
     bench = spark.createDataFrame(items, "item_id long, text string")

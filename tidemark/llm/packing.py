@@ -10,7 +10,8 @@ Shares are per window; when a queue runs dry, the others go on in their proporti
 Windows are laid end to end and cut every ``length`` tokens, so that only the last sequence is short.
 
 Cases: a null text counts as empty (one token, ``end``); a null source is a queue of its own; repeated rows are
-packed as often as they come; a document longer than a sequence, or than a window, runs on over the next; an empty
+packed as often as they come; shares are by source (None: the null source), and a source of the table without a share or
+a share without a source is an error; a document longer than a sequence, or than a window, runs on over the next; an empty
 table gives no pieces; other columns play no part.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import scratch, tokens
 
-#: Queues at most: the sources beyond are folded into as many by their hash, so that the schedule stays small.
+#: Queues whose phases are broadcast; those of more are joined as tables of any size are.
 MAX_QUEUES = 256
 #: Buckets of a queue at most, and rows in a bucket, about, below that.
 MAX_BUCKETS, BUCKET_ROWS = 1 << 16, 2000
@@ -55,27 +56,38 @@ def schedule(totals: dict[str, int], shares: dict[str, float] | None, window: in
     return out
 
 
-def place(sizes: DataFrame, window: int = 1 << 16, shares: dict[str, float] | None = None) -> DataFrame:
+def _in_phases(rows: DataFrame, totals: DataFrame, shares: dict[str | None, float], window: int) -> DataFrame:
+    """``rows`` with from, base and rate of the phase that each falls into."""
+    wanted = {"" if s is None else f"={s}": x for s, x in shares.items()}
+    # as many queues as there are shares, and one more that has none
+    held = {r["queue"]: r["n"] for r in totals.limit(len(wanted) + 1).collect()}
+    if odd := sorted(held.keys() ^ wanted.keys()):
+        raise ValueError(f"sources without a share, or shares without a source: {[q[1:] if q else None for q in odd[:9]]}")
+    phases = rows.sparkSession.createDataFrame(schedule(held, wanted, window), "served string, from long, base double, rate double")
+    phases = phases.withColumn("to", F.coalesce(F.lead("from").over(Window.partitionBy("served").orderBy("from")), F.lit(1 << 62)))
+    phases = F.broadcast(phases) if len(held) <= MAX_QUEUES else phases
+    return rows.join(phases, (F.col("queue") == F.col("served")) & (F.col("p") >= F.col("from")) & (F.col("p") < F.col("to")))
+
+
+def place(sizes: DataFrame, window: int = 1 << 16, shares: dict[str | None, float] | None = None) -> DataFrame:
     """row_id and ``at``, the document's first token in the stream of all windows; from row_id, source, n_tokens."""
-    sources = [r[0] for r in sizes.select("source").distinct().limit(MAX_QUEUES + 1).collect()]
-    name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    queue = name if len(sources) <= MAX_QUEUES else F.pmod(F.xxhash64(name), F.lit(MAX_QUEUES)).cast("string")
+    queue = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
     buckets = max(1, min(MAX_BUCKETS, sizes.count() // BUCKET_ROWS))
     rows = sizes.select(queue.alias("queue"), F.pmod(F.xxhash64("row_id"), F.lit(buckets)).alias("bucket"), "row_id", "n_tokens")
     per = rows.groupBy("queue", "bucket").agg(F.sum("n_tokens").alias("n"))
-    totals = {r["queue"]: r["n"] for r in per.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
-    plan = schedule(totals, shares, window)
-    if not plan:
+    totals = per.groupBy("queue").agg(F.sum("n").alias("n"))
+    whole = totals.agg(F.sum("n")).first()[0]
+    if not whole:
         return sizes.select("row_id", F.lit(0).cast("long").alias("at")).limit(0)
     # tokens before a document in its queue: those of earlier buckets, and of earlier rows of its bucket
     before = per.withColumn("before", F.sum("n").over(Window.partitionBy("queue").orderBy("bucket")) - F.col("n")).drop("n")
+    if shares is None:  # a single phase, whatever the number of queues
+        rates = totals.filter("n > 0").select("queue", F.lit(0).cast("long").alias("from"), F.lit(0.0).alias("base"), (1 / (F.lit(float(window)) * F.col("n") / F.lit(float(whole)))).alias("rate"))
+        before = before.join(rates, "queue")
     inside = F.sum("n_tokens").over(Window.partitionBy("queue", "bucket").orderBy("row_id")) - F.col("n_tokens")
     rows = rows.withColumn("p", inside).join(before, ["queue", "bucket"]).withColumn("p", F.col("p") + F.col("before"))
-    phases = sizes.sparkSession.createDataFrame(plan, "served string, from long, base double, rate double")
-    ends = Window.partitionBy("served").orderBy("from")
-    phases = phases.withColumn("to", F.coalesce(F.lead("from").over(ends), F.lit(1 << 62)))
-    # at most MAX_QUEUES ** 2 rows
-    rows = rows.join(F.broadcast(phases), (F.col("queue") == F.col("served")) & (F.col("p") >= F.col("from")) & (F.col("p") < F.col("to")))
+    if shares is not None:
+        rows = _in_phases(rows, totals, shares, window)
     rows = rows.select("queue", "row_id", "p", "n_tokens", F.floor(F.col("base") + (F.col("p") - F.col("from")) * F.col("rate")).alias("window"))
     rows = scratch.table(rows, "windows")
     # where each window's part of a queue begins in the stream
@@ -88,7 +100,7 @@ def place(sizes: DataFrame, window: int = 1 << 16, shares: dict[str, float] | No
     return rows.join(part, ["window", "queue"]).select("row_id", (F.col("p") + F.col("shift")).alias("at"))
 
 
-def pack(docs: DataFrame, file: str, length: int = 1024, window: int = 1 << 16, shares: dict[str, float] | None = None, end: int = 0) -> DataFrame:
+def pack(docs: DataFrame, file: str, length: int = 1024, window: int = 1 << 16, shares: dict[str | None, float] | None = None, end: int = 0) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, padded (length of its sequence with
     padding), ids (binary, little-endian uint16 or uint32)."""
     size = tokens.vocabulary_size(file)
