@@ -363,6 +363,22 @@ def test_voronoi(spark):
     assert voronoi_knn.search(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_voronoi_counts_ids_once(spark):
+    """Copies of a row, and different vectors under one id, leave room for the other neighbours."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in rng.integers(-50, 50, 4)]) for i in range(400)] + [(900, [90.0] * 4)] * 9 + [(901, [80.0 + i, 80.0, 80.0, 80.0]) for i in range(9)]
+    vectors = spark.createDataFrame(rows, "vec_id long, x array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in voronoi_knn.search(vectors, vectors.filter("vec_id % 50 = 0"), 5).collect())
+    want = []
+    for q, v in {i: v for i, v in reversed(rows) if i % 50 == 0}.items():
+        best = {}
+        for i, x in rows:
+            if i != q:
+                best[i] = max(best.get(i, -(1 << 40)), int(np.dot(v, x)))
+        want += [(q, k + 1, i, s) for k, (i, s) in enumerate(sorted(best.items(), key=lambda b: (-b[1], b[0]))[:5])]
+    assert got == sorted(want)
+
+
 def test_sketch_never_counts_too_low(spark, docs):
     table, n = blocks.build(docs.select("doc_id", "text"), size=2000)
     bits = blocks.sketch_bits(1000)

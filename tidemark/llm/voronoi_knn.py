@@ -1,7 +1,7 @@
 """Exact top-k search by inner product: a Voronoi kNN join.
 
 Pivots (a bounded sample of the data) split the data into cells. A summary of each cell - rows, radius, largest
-norm and its k + 1 smallest distances to the pivot - gives, for every query, a lower bound of its k-th best score
+norm and its k + 1 smallest distances of different ids to the pivot - gives, for every query, a lower bound of its k-th best score
 (q.x >= q.p - |q| |x - p|) and an upper bound for each cell (q.x <= q.p + |q| radius, and <= |q| norm). A query goes
 only to cells whose upper bound reaches its lower bound, so no candidate is lost. Cells are cut into chunks of
 bounded rows, a hot cell into many; queries travel in blocks, grouped by their own pivot, and each chunk answers
@@ -70,6 +70,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, max_pivots: int =
     vec_id and x (doubles that hold integers)."""
     spark = vectors.sparkSession
     scratch.importable(spark)
+    vectors = scratch.table(vectors.select("vec_id", "x").distinct(), "vectors")
     facts = vectors.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("dim"), F.max(F.aggregate("x", F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v)))).alias("most")).first()
     out = "query_id long, vec_id long, score long"
     if not facts["n"]:
@@ -96,22 +97,31 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, max_pivots: int =
     data = scratch.table(vectors.select("vec_id", "x").mapInArrow(assign, "vec_id long, x array<double>, cell int, far double, norm double"), "cells")
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = {}
+        kept: dict[int, dict[int, float]] = {}
         for b in batches:
-            cell, far = np.asarray(b.column(0)), np.asarray(b.column(1))
-            for c in np.unique(cell):
-                kept[int(c)] = np.sort(np.concatenate([kept.get(int(c), []), far[cell == c]]))[: k + 1]
-        rows = [(c, v) for c, vs in kept.items() for v in vs]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64())], ["cell", "far"])
-
-    few = data.select("cell", "far").mapInArrow(nearest, "cell int, far double")
+            ids, cell, far = (np.asarray(b.column(i)) for i in range(3))
+            for c in np.unique(cell).tolist():
+                mine = np.flatnonzero(cell == c)
+                some = kept.get(c, {})
+                for i in mine[np.argsort(far[mine], kind="stable")].tolist():
+                    if len(some) > k and far[i] >= max(some.values()):
+                        break
+                    some[int(ids[i])] = min(far[i], some.get(int(ids[i]), np.inf))
+                    if len(some) > k + 1:
+                        del some[max(some, key=some.get)]
+                kept[c] = some
+        rows = [(i, c, v) for c, vs in kept.items() for i, v in vs.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.float64())], ["vec_id", "cell", "far"])
+
+    few = data.select("vec_id", "cell", "far").mapInArrow(nearest, "vec_id long, cell int, far double").groupBy("cell", "vec_id").agg(F.min("far").alias("far"))
     few = few.withColumn("i", F.row_number().over(Window.partitionBy("cell").orderBy("far"))).filter(F.col("i") <= k + 1)
-    low = [(r["cell"], r["far"]) for r in few.select("cell", "far").collect()]  # (k + 1) rows a cell
+    low = sorted((r["vec_id"], r["cell"], r["far"]) for r in few.select("vec_id", "cell", "far").collect())  # (k + 1) rows a cell
     cells = data.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"), F.max("norm").alias("norm")).collect()
     name = np.array([r["cell"] for r in cells])
     chunks = {r["cell"]: -(-r["n"] // chunk) for r in cells}
     radius, norm = np.array([r["radius"] for r in cells]), np.array([r["norm"] for r in cells])
-    low_cell, low_far = np.array([c for c, _ in low]), np.array([f for _, f in low])
+    low_id, low_cell, low_far = (np.array(v) for v in zip(*low, strict=True))
+    low_first = np.flatnonzero(np.append(True, low_id[1:] != low_id[:-1]))  # an id in several cells counts once
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,7 +129,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, max_pivots: int =
             size = np.sqrt((x**2).sum(1))
             to = x @ pivots.T
             slack = 1e-9 * (size[:, None] * (norm.max() + 1) + 1)
-            at_least = np.sort(to[:, low_cell] - size[:, None] * low_far, axis=1)
+            at_least = np.sort(np.maximum.reduceat(to[:, low_cell] - size[:, None] * low_far, low_first, axis=1), axis=1)
             floor = at_least[:, -(k + 1)] if at_least.shape[1] > k else np.full(len(ids), -np.inf)
             most = np.minimum(to[:, name] + size[:, None] * radius, size[:, None] * norm)
             goes = most + slack >= floor[:, None] - slack
@@ -140,9 +150,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, max_pivots: int =
             ids = _ids(left["vec_id"])
             order = np.argsort(ids, kind="stable")
             ids, x = ids[order], _matrix(left["x"].combine_chunks(), dim)[order]
+            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            ids = ids[first]
             for qs, xs in zip(right["ids"].to_pylist(), right["xs"].to_pylist(), strict=True):
                 q = np.frombuffer(qs, "<i8")
                 scores = np.frombuffer(xs, "<f8").reshape(len(q), dim) @ x.T
+                scores = scores if len(first) == len(x) else np.maximum.reduceat(scores, first, axis=1)
                 row, col = _best(scores, ids, q, k)
                 found.append((q[row], ids[col], scores[row, col].astype(np.int64)))
         cols = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3)]
