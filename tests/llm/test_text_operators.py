@@ -47,14 +47,32 @@ def test_varbyte_round_trip():
         assert varbyte.unpack(*varbyte.pack(v[:n]), n).tolist() == v[:n].tolist()
 
 
-def test_encoder_equals_the_library():
+def library(texts):
+    """Ids as the contract calls the library."""
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(queries.tokenizer_file())
-    whole.encode_special_tokens = True
-    odd = ["a  b\n\n c\t d ", "", "  ", "x_-_ y", "½ ² a²b <|endoftext|> don't", "日本語 テキスト　x", " lead", "\n", "e\x1cb\x1d c", "I'm we'll 'tis 's", *[r[1] or "" for r in made()]]
-    got = [np.frombuffer(x, "<u2").tolist() for x in tokens.Encoder(queries.tokenizer_file())(odd)]
-    assert got == [whole.encode(x, add_special_tokens=False).ids for x in odd]
+    return [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_equals_the_library():
+    odd = ["a  b\n\n c\t d ", "", "  ", "x_-_ y", "½ ² a²b <|endoftext|> don't", "a <|endoftext|> b", "<|endoftext|>", "日本語 テキスト　x", " lead", "\n", "e\x1cb\x1d c", "I'm we'll 'tis 's", "x" * 99 + "'s", *[r[1] or "" for r in made()]]
+    rng = random.Random(7)
+    signs = [" ", "  ", "\n", "\t", "a", "Bc", "é", "'s", "'", "'ll", "9", "12", "-", "--", "_", "<|endoftext|>", "\x1c", "\xa0", "日本", "½", "don't", "ß", "<|end"]
+    odd += ["".join(rng.choice(signs) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    encode = tokens.Encoder(queries.tokenizer_file())
+    for _ in range(2):  # the second time from its cache
+        ids, n = encode(odd)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == library(odd)
+
+
+def test_encoder_begins_its_cache_anew(monkeypatch):
+    monkeypatch.setattr(tokens, "POOL", 500)
+    encode = tokens.Encoder(queries.tokenizer_file())
+    texts = [r[1] or "" for r in made()]
+    for k in range(0, len(texts), 5):
+        ids, n = encode(texts[k : k + 5])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == library(texts[k : k + 5])
 
 
 def test_words_equal_bytes_split():
@@ -67,21 +85,32 @@ def test_words_equal_bytes_split():
 
 def test_token_files(spark, docs, empty):
     at = scratch.path(spark, "files")
-    got = sorted(((-1 if r["doc_id"] is None else r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in binary_tokens.digest(spark, at, binary_tokens.write(docs, queries.tokenizer_file(), at, segment=2000)).collect()), key=lambda r: r[1])
-    encode = tokens.Encoder(queries.tokenizer_file())
+    found = binary_tokens.digest(spark, at, binary_tokens.write(docs, queries.tokenizer_file(), at, segment=2000))
+    got = sorted(((-1 if r["doc_id"] is None else r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in found.collect()), key=lambda r: r[1])
     want = {}
-    for i, t, *_ in made():
-        ids = np.append(np.frombuffer(next(encode([t or ""])), "<u2"), 0).astype("<u4")
+    for (i, *_), ids in zip(made(), library([r[1] or "" for r in made()]), strict=True):
+        ids = np.array([*ids, 0], "<u4")
         want.setdefault(-1 if i is None else i, []).append((len(ids), zlib.crc32(ids.tobytes())))
     assert [g[0] for g in got] == sorted(g[0] for g in got) and len(got) == len(made())
     start = 0
     for i, s, n, crc in got:
         assert s == start and (n, crc) in want[i]
         start += n
+    assert len({r["segment"] for r in binary_tokens.read(spark, at).select("segment").distinct().collect()}) > 5
     at = scratch.path(spark, "files")
     assert binary_tokens.digest(spark, at, binary_tokens.write(empty, queries.tokenizer_file(), at)).count() == 0
 
 
+def test_token_files_deal_out_rows_of_one_doc_id(spark):
+    docs = spark.createDataFrame([(7 if i % 3 else None, f"word{i} " * 40) for i in range(90)], "doc_id long, text string")
+    at = scratch.path(spark, "files")
+    binary_tokens.write(docs, queries.tokenizer_file(), at, segment=1000)
+    rows = binary_tokens.read(spark, at).collect()
+    assert len(rows) == 90 and len({r["segment"] for r in rows}) == -(-sum(r["n_tokens"] for r in rows) // 1000)
+    rows.sort(key=lambda r: (r["segment"], r["ordinal"]))
+    assert [r["doc_id"] for r in rows] == [None] * 30 + [7] * 60
+
+
 def test_packing(docs, empty):
     file = queries.tokenizer_file()
     rows = [r.asDict() for r in packing.digest(packing.pack(docs, file, window=4096), file).collect()]
@@ -93,15 +122,43 @@ def test_packing(docs, empty):
         pieces.sort()
         assert [p[0] for p in pieces] == [sum(q[1] for q in pieces[:i]) for i in range(len(pieces))]
         assert sum(p[1] for p in pieces) == (1024 if k < total // 1024 else total % 1024)
-    whole = {}
+    # every id, as the library gives it, lies in one piece
+    want, got = {}, {}
+    for (i, *_), ids in zip(made(), library([r[1] or "" for r in made()]), strict=True):
+        want.setdefault(i, []).append(np.array([*ids, 0], "<u4"))
     for r in rows:
-        whole.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["doc_tokens"]))
-    for pieces in whole.values():
-        copies = len({p for p in pieces if p[0] == 0}) and sum(p[0] == 0 for p in pieces)
-        assert sum(p[1] for p in pieces) == copies * pieces[0][2]
+        got.setdefault(r["doc_id"], []).append(r)
+    assert got.keys() == want.keys()
+    for i, pieces in got.items():
+        assert sum(p["start"] == 0 for p in pieces) == len(want[i])
+        assert sum(p["length"] for p in pieces) == sum(map(len, want[i]))
+        for p in pieces:
+            assert any(p["doc_tokens"] == len(w) and p["ids_crc32"] == zlib.crc32(w[p["start"] : p["start"] + p["length"]].tobytes()) for w in want[i])
     assert packing.pack(empty, file).count() == 0
 
 
+def test_places_equal_a_walked_round_robin(spark):
+    """Token by token: each queue's quota grows with the window, and a document whose first token it reaches is served whole."""
+    rng = random.Random(3)
+    rows = [(k, rng.choice("aaab") if k % 7 else None, rng.randint(1, 40)) for k in range(400)]
+    shares, window = {"a": 2.0, "b": 1.0, None: 1.0}, 100
+    got = sorted((r["at"], r["row_id"]) for r in packing.place(spark.createDataFrame(rows, "row_id long, source string, n_tokens long"), window, shares).collect())
+    size, source = {k: n for k, _, n in rows}, {k: s for k, s, _ in rows}
+    assert [a for a, _ in got] == [sum(size[k] for _, k in got[:i]) for i in range(len(got))]
+    queues = {s: [k for _, k in got if source[k] == s] for s in shares}  # each in the order it is served
+    left, served, quota, walked = {s: list(q) for s, q in queues.items()}, dict.fromkeys(shares, 0), dict.fromkeys(shares, 0.0), []
+    while all(left.values()):  # until a queue runs dry
+        for s in sorted(left, key=lambda s: "" if s is None else "=" + s):
+            quota[s] += window * shares[s] / sum(shares.values())
+            while left[s] and served[s] < quota[s] - 1e-6:
+                walked.append(left[s][0])
+                served[s] += size[left[s].pop(0)]
+    while walked and source[walked[-1]] == source[walked[-2]]:
+        walked.pop()
+    whole = len(walked) - 10  # the window in which the queue ran dry is another's too
+    assert whole > 150 and [k for _, k in got][:whole] == walked[:whole]
+
+
 def test_schedule_keeps_shares():
     plan = packing.schedule({"a": 1000, "b": 100}, {"a": 1.0, "b": 1.0}, 100)
     assert [p[:2] for p in plan] == [("a", 0), ("b", 0), ("a", 100)]

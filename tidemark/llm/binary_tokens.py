@@ -2,7 +2,8 @@
 
 Two passes. The first encodes every whole text and counts ids (a histogram per task, summed by Spark; its size is
 that of the vocabulary). The second replaces ids by their frequency rank, so that common ids take one byte, deals
-the coded documents out by ranges of doc_id and writes one segment file for each range, in ascending doc_id order.
+the coded documents out by the number of ids before them, in ascending doc_id order, and writes a segment file of some
+``SEGMENT`` ids each.
 ``read`` decodes the files themselves.
 
 Segment file: ``TMTK1\\n``, documents (u8), then for each document doc_id (i8, least value: null), tokens (u8),
@@ -21,21 +22,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import scratch, tokens, varbyte
 
 MAGIC, NULL = b"TMTK1\n", np.iinfo(np.int64).min
-#: Bytes of coded tokens in a segment, about.
-SEGMENT = 32 << 20
+#: Ids of a segment, about: what one task holds, but for a longer document.
+SEGMENT = 4 << 20
 
 
 def _open(uri: str):
-    """The file system and path of a URI, for tasks: any that pyarrow reaches."""
+    """The file system and path of a whole URI, for tasks: any that pyarrow reaches."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    return fs.FileSystem.from_uri(uri)
 
 
 def histogram(encoded: DataFrame, size: int) -> np.ndarray:
@@ -44,11 +45,8 @@ def histogram(encoded: DataFrame, size: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
-        for b in batches:
-            for x in b.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=size) if len(x.as_buffer()) > size else 0
-            small = b"".join(x.as_py() for x in b.column(0) if len(x.as_buffer()) <= size)
-            total += np.bincount(np.frombuffer(small, kind), minlength=size)
+        for b in tokens.slices(batches, 1):
+            total += np.bincount(np.frombuffer(b.column(0)[0].as_buffer(), kind), minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
@@ -58,12 +56,25 @@ def histogram(encoded: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def starts(rows: DataFrame) -> DataFrame:
+    """row_id, doc_id and ``start``: the ids of all documents before each, by doc_id (null first), then row_id; from
+    row_id, doc_id, n_tokens. Ranges of documents are summed apart, and their totals carried over."""
+    order = [F.asc_nulls_first("doc_id"), F.asc("row_id")]
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = scratch.table(rows.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()), "ranges")
+    totals = rows.groupBy("range").agg(F.sum("n_tokens").alias("n"))
+    before = totals.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))  # a row for each range
+    inside = F.sum("n_tokens").over(Window.partitionBy("range").orderBy(*order)) - F.col("n_tokens")
+    return rows.withColumn("inside", inside).join(before, "range").select("row_id", "doc_id", (F.col("before") + F.col("inside")).alias("start"))
+
+
 def write(docs: DataFrame, file: str, at: str, end: int = 0, segment: int = SEGMENT) -> DataFrame:
     """Write segment files below ``at``; returns their manifest (segment, docs, tokens), which is stored too."""
     spark = docs.sparkSession
+    at = scratch.qualified(spark, at)
     size = tokens.vocabulary_size(file)
-    kind = tokens.width(size)
-    encoded = scratch.table(tokens.encode(docs, file, {"doc_id": "doc_id"}, end), "ids")
+    kind = np.dtype(tokens.width(size))
+    encoded, buckets = tokens.encode(docs, file, {"doc_id": "doc_id"}, end)
     counts = histogram(encoded, size)
     ids = np.argsort(-counts, kind="stable")
     rank = np.empty(size, np.uint32)
@@ -74,16 +85,24 @@ def write(docs: DataFrame, file: str, at: str, end: int = 0, segment: int = SEGM
     with fs.open_output_stream(f"{top}/ranks.u4") as out:
         out.write(ids.astype("<u4").tobytes())
 
-    # ranges of doc_id from its column alone, so that no text is encoded twice to find them
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = np.array(encoded.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else [], float)
+    # the segment of a document follows from the ids before it, so copies of one doc_id are dealt out like any others
+    placed = starts(tokens.documents(encoded).select("row_id", "doc_id", "n_tokens"))
+    places = placed.select(F.shiftright("row_id", 20).alias("block"), F.struct("row_id", F.floor(F.col("start") / segment).alias("segment")).alias("place")).repartition(buckets, "block").groupBy("block").agg(F.collect_list("place").alias("places"))
+    whole = encoded.join(places.hint("shuffle_hash"), "block").select("block", "doc_id", "n", "ids", "places")
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = shared.value
-        for b in tokens.slices(batches):
-            packed = [varbyte.pack(ranks[np.frombuffer(x.as_buffer(), kind)]) for x in b.column(2)]
-            part = np.searchsorted(cuts, np.array([-np.inf if i is None else i for i in b.column(0).to_pylist()]), side="left")
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary()), pa.array(part, pa.int32())], ["doc_id", "n_tokens", "control", "data", "part"])
+        for b in tokens.slices(batches, 1):
+            doc_id, n = b.column(1).flatten(), np.asarray(b.column(2).flatten())
+            coded = ranks[np.frombuffer(b.column(3)[0].as_buffer(), kind)]
+            row_id, place = (np.asarray(x) for x in b.column(4).flatten().flatten())
+            part = np.empty(len(n), np.int64)
+            part[row_id & ((1 << 20) - 1)] = place
+            ends = np.cumsum(n)
+            for lo in range(0, len(n), 256):
+                hi = min(len(n), lo + 256)
+                packed = [varbyte.pack(coded[e - k : e]) for e, k in zip(ends[lo:hi].tolist(), n[lo:hi].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([doc_id.slice(lo, hi - lo), pa.array(np.int64(b.column(0)[0].as_py() << 20) + np.arange(lo, hi)), pa.array(n[lo:hi]), pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary()), pa.array(part[lo:hi])], ["doc_id", "row_id", "n_tokens", "control", "data", "part"])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = _open(at)
@@ -91,7 +110,7 @@ def write(docs: DataFrame, file: str, at: str, end: int = 0, segment: int = SEGM
 
         def flush(rows: list[tuple]) -> tuple[int, int, int]:
             index = np.array([(NULL if i is None else i, n, len(c), len(d)) for i, n, c, d, _ in rows], "<i8").T
-            number = rows[0][4] << 20 | len(numbers)
+            number = rows[0][4]
             new = f"{top}/.{number}-{TaskContext.get().taskAttemptId()}"
             with fs.open_output_stream(new) as out:
                 for x in (MAGIC, len(rows).to_bytes(8, "little"), np.ascontiguousarray(index).tobytes(), *(r[2] for r in rows), *(r[3] for r in rows)):
@@ -99,20 +118,19 @@ def write(docs: DataFrame, file: str, at: str, end: int = 0, segment: int = SEGM
             fs.move(new, f"{top}/{number:020d}.tok")  # the same bytes, whichever attempt comes last
             return number, len(rows), int(index[1].sum())
 
-        rows, held = [], 0
+        rows: list[tuple] = []
         for b in tokens.slices(batches):
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if rows and (held >= segment or rows[-1][4] != r[4]):
+                if rows and rows[-1][4] != r[4]:
                     numbers.append(flush(rows))
-                    rows, held = [], 0
+                    rows = []
                 rows.append(r)
-                held += len(r[2]) + len(r[3])
         if rows:
             numbers.append(flush(rows))
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in numbers], pa.int64()) for k in range(3)], ["segment", "docs", "tokens"])
 
-    coded = encoded.select("doc_id", "n_tokens", "ids").mapInArrow(code, "doc_id long, n_tokens long, control binary, data binary, part int")
-    ordered = coded.repartitionById(n, "part").sortWithinPartitions("doc_id")
+    coded = whole.mapInArrow(code, "doc_id long, row_id long, n_tokens long, control binary, data binary, part long")
+    ordered = coded.repartition(buckets, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "row_id").select("doc_id", "n_tokens", "control", "data", "part")
     return scratch.table(ordered.mapInArrow(store, "segment long, docs long, tokens long"), "segments")
 
 
@@ -120,6 +138,7 @@ def read(spark: SparkSession, at: str) -> DataFrame:
     """One row per document of the files: segment, ordinal (in its segment), doc_id, first (ids before it in its
     segment), n_tokens, ids (binary, little-endian unsigned 32-bit)."""
     scratch.importable(spark)
+    at = scratch.qualified(spark, at)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(at).select(F.regexp_extract("path", r"(\d+)\.tok$", 1).cast("long").alias("segment"), "content")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,8 +170,6 @@ def read(spark: SparkSession, at: str) -> DataFrame:
 
 def digest(spark: SparkSession, at: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32, from the files."""
-    from pyspark.sql import Window
-
     # one row per segment of tens of MB, so this window orders few rows
     before = manifest.select("segment", (F.sum("tokens").over(Window.orderBy("segment")) - F.col("tokens")).alias("before"))
     rows = read(spark, at).select("segment", "doc_id", "first", "n_tokens", F.crc32("ids").alias("ids_crc32"))

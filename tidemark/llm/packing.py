@@ -30,7 +30,7 @@ from . import scratch, tokens
 #: Queues whose phases are broadcast; those of more are joined as tables of any size are.
 MAX_QUEUES = 256
 #: Buckets of a queue at most, and rows in a bucket, about, below that.
-MAX_BUCKETS, BUCKET_ROWS = 1 << 16, 2000
+MAX_BUCKETS, BUCKET_ROWS = 1 << 16, 256
 #: Windows whose order one task settles.
 SPAN = 1 << 12
 
@@ -102,36 +102,45 @@ def place(sizes: DataFrame, window: int = 1 << 16, shares: dict[str | None, floa
 
 def pack(docs: DataFrame, file: str, length: int = 1024, window: int = 1 << 16, shares: dict[str | None, float] | None = None, end: int = 0) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, padded (length of its sequence with
-    padding), ids (binary, little-endian uint16 or uint32)."""
+    padding), ids (binary, little-endian uint16 or uint32). Ids stay in the block they were encoded in: only row ids,
+    sources and lengths are shuffled to find the places, and the places come back to their block."""
     size = tokens.vocabulary_size(file)
     kind = np.dtype(tokens.width(size))
-    encoded = scratch.table(tokens.encode(docs, file, {"doc_id": "doc_id", "source": "source"}, end), "ids")
-    placed = place(encoded.select("row_id", "source", "n_tokens"), window, shares)
-    total = encoded.agg(F.sum("n_tokens")).first()[0] or 0
+    encoded, buckets = tokens.encode(docs, file, {"doc_id": "doc_id", "source": "source"}, end)
+    rows = scratch.table(tokens.documents(encoded).select("row_id", "source", "n_tokens"), "sizes")
+    placed = place(rows, window, shares)
+    total = rows.agg(F.sum("n_tokens")).first()[0] or 0
     short = total % length  # tokens in the last sequence, 0: it is full
     rest = min(length, 1 << (short - 1).bit_length()) if short else length
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tokens.slices(batches):
-            ids = b.column(2)
-            n = np.asarray(b.column(1))
-            at = np.asarray(b.column(3))
-            pieces = (at + n - 1) // length - at // length + 1
-            row = np.repeat(np.arange(len(n)), pieces)
-            k = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            sequence = at[row] // length + k
-            lo = np.maximum(sequence * length, at[row])
-            hi = np.minimum((sequence + 1) * length, (at + n)[row])
-            start = lo - at[row]
-            raw = [memoryview(x.as_buffer()) for x in ids]
-            w = kind.itemsize
-            data = [bytes(raw[r][s * w : e * w]) for r, s, e in zip(row.tolist(), start.tolist(), (hi - at[row]).tolist(), strict=True)]
-            padded = np.where(sequence == total // length, rest, length)
-            cols = [b.column(0).take(pa.array(row)), *(pa.array(x) for x in (start, hi - lo, n[row], sequence, lo - sequence * length, padded)), pa.array(data, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "padded", "ids"])
-
-    rows = encoded.select("doc_id", "n_tokens", "ids", "row_id").join(placed, "row_id").select("doc_id", "n_tokens", "ids", "at")
-    return rows.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, padded long, ids binary")
+        for block in tokens.slices(batches, 1):
+            doc_id, n = block.column(0).flatten(), np.asarray(block.column(1).flatten())
+            raw = memoryview(block.column(2)[0].as_buffer())
+            row_id, place = (np.asarray(x) for x in block.column(3).flatten().flatten())
+            at = np.empty(len(n), np.int64)
+            at[row_id & ((1 << 20) - 1)] = place
+            base = np.cumsum(n) - n
+            for lo in range(0, len(n), 256):
+                yield _pieces(doc_id, n, at, base, raw, lo, min(len(n), lo + 256))
+
+    def _pieces(doc_id: pa.Array, n: np.ndarray, at: np.ndarray, base: np.ndarray, raw: memoryview, lo: int, hi: int) -> pa.RecordBatch:
+        pieces = (at + n - 1)[lo:hi] // length - at[lo:hi] // length + 1
+        row = lo + np.repeat(np.arange(hi - lo), pieces)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        sequence = at[row] // length + k
+        first = np.maximum(sequence * length, at[row])
+        last = np.minimum((sequence + 1) * length, (at + n)[row])
+        start = first - at[row]
+        w = kind.itemsize
+        data = [bytes(raw[x * w : y * w]) for x, y in zip((base[row] + start).tolist(), (base[row] + last - at[row]).tolist(), strict=True)]
+        padded = np.where(sequence == total // length, rest, length)
+        cols = [doc_id.take(pa.array(row)), *(pa.array(x) for x in (start, last - first, n[row], sequence, first - sequence * length, padded)), pa.array(data, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "padded", "ids"])
+
+    places = placed.select(F.shiftright("row_id", 20).alias("block"), F.struct("row_id", "at").alias("place")).repartition(buckets, "block").groupBy("block").agg(F.collect_list("place").alias("places"))
+    whole = encoded.join(places.hint("shuffle_hash"), "block").select("doc_id", "n", "ids", "places")
+    return whole.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, padded long, ids binary")
 
 
 def crc32_of(ids: np.ndarray) -> int:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import tempfile
 import uuid
@@ -14,13 +15,24 @@ _TABLES: dict[str, str] = {}
 
 
 def root(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; one of our own only where it is unset (tests)."""
+    """The folder that ``spark.checkpoint.dir`` names; one of our own only where it is unset and all is local (tests)."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         sc.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    return qualified(spark, folder).rstrip("/")
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A path with its scheme: what Spark takes for the default file system, Python in tasks cannot know."""
+    if "://" in folder:
+        return folder
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return re.sub("^file:/+", "file:///", whole)
 
 
 def importable(spark: SparkSession) -> None:
