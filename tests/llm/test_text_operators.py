@@ -384,6 +384,76 @@ def test_toxicity(spark, empty):
     assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
+def test_toxicity_equals_brute_force(spark):
+    """Weights, cosines, neighbours, votes, calibration and scores, computed densely in floating point."""
+    rng = random.Random(8)
+    vocabulary = ["w%d" % i for i in range(60)]
+    texts = {i: " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 25))) + (" foul" if i % 5 == 0 and rng.random() < 0.8 else "") for i in range(150)}
+    texts |= {150: None, 151: "", 152: texts[0].upper() + " !", 153: texts[5], 154: "Foul, foul; w1"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    labels = {i: int(i % 5 == 0) for i in range(120)} | {150: 0}
+    model = toxicity.learn(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"), docs)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+
+    bags = {i: {} for i in texts}
+    for i, t in texts.items():
+        for w in re.findall(r"[^\W_]+", (t or "").lower()):
+            bags[i][w] = bags[i].get(w, 0) + 1
+    first = {}  # examples of one text and label are one
+    for i, y in sorted(labels.items()):
+        first.setdefault((texts[i] or "", y), i)
+    examples = sorted(first.values())
+    terms = sorted({w for i in examples for w in bags[i]})
+    d = [sum(labels[i] == y for i in examples) for y in (0, 1)]
+
+    def g2(w):
+        a = [sum(w in bags[i] and labels[i] == y for i in examples) for y in (0, 1)]
+        if a[1] / d[1] <= a[0] / d[0]:
+            return 1.0
+        part = lambda o, e: o * np.log(o / e) if o else 0.0
+        share, total = sum(a) / sum(d), 0.0
+        for y in (0, 1):
+            total += part(a[y], share * d[y]) + part(d[y] - a[y], (1 - share) * d[y])
+        return max(1.0, 2 * total) ** 0.5
+
+    weight = np.array([(np.log((1 + len(texts)) / (1 + sum(w in b for b in bags.values()))) + 1) * g2(w) for w in terms])
+    dense = {i: np.array([(1 + np.log(b[w])) if w in b else 0.0 for w in terms]) * weight for i, b in bags.items()}
+    dense = {i: v / (np.linalg.norm(v) or 1) for i, v in dense.items()}
+    full = [i for i in examples if bags[i]]
+    stands = [sum(y == k for y in labels.values()) / d[k] for k in (0, 1)]
+
+    def vote(v, but=None):
+        near = sorted(((-round(float(v @ dense[j]), 12), j) for j in full if j != but and v @ dense[j] > 0))[: toxicity.NEIGHBOURS]
+        w = [-c * stands[labels[j]] for c, j in near]
+        return (sum(x * labels[j] for x, (_, j) in zip(w, near, strict=True)) / sum(w) if near else -1), [j for _, j in near], [-c for c, _ in near]
+
+    n, y = np.zeros(10), np.zeros(10)
+    for i in full:
+        v = vote(dense[i], i)[0]
+        if v >= 0:
+            n[min(9, int(v * 10))] += stands[labels[i]]
+            y[min(9, int(v * 10))] += stands[labels[i]] * labels[i]
+    middle = (np.arange(10) + 0.5) / 10
+    bins = np.maximum.accumulate((y + 2 * middle) / (n + 2))
+    rate = sum(labels.values()) / len(labels)
+    for i in texts:
+        v, near, cosine = vote(dense[i])
+        want = np.interp(v, middle, bins) if v >= 0 else 0.5 * rate / (stands[0] + 0.5)
+        assert got[i]["score"] == pytest.approx(want, abs=1e-9) and got[i]["predicted"] == int(got[i]["score"] >= 0.5)
+        assert got[i]["neighbours"] == near and got[i]["cosines"] == pytest.approx(cosine)
+    assert got[154]["predicted"] == 1
+
+
+def test_toxicity_reads_whole_texts_and_keeps_clashing_columns(spark):
+    texts = [f"calm sea n{i % 7} n{i % 11}" + " foulest foulest" * (i % 3 == 0) for i in range(80)]
+    texts += ["calm sea " * 20_000 + "foulest foulest foulest n1", "calm sea " * 20_000 + "n1"]
+    docs = spark.createDataFrame([(i, t, 1.0, "x") for i, t in enumerate(texts)], "doc_id long, text string, score double, _t string")
+    labels = spark.createDataFrame([(i, int("foulest" in t)) for i, t in enumerate(texts[:60])], "doc_id long, toxic int")
+    rows = toxicity.score(docs, toxicity.learn(docs, labels, docs), tuple(docs.columns), "tidemark_").collect()
+    assert len(rows) == len(texts) and all(r["score"] == 1.0 and r["_t"] == "x" for r in rows)
+    assert [r["tidemark_predicted"] for r in sorted(rows, key=lambda r: r["doc_id"])] == [int("foulest" in t) for t in texts]
+
+
 def test_block_max_index_equals_brute_force():
     rng = np.random.default_rng(0)
     vectors = []

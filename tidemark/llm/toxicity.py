@@ -1,27 +1,33 @@
 """Toxicity by the nearest labelled examples.
 
-Texts become TF-IDF vectors over words and letter 5-grams (framed by word ends) that labelled documents show to mark
-toxic texts; document frequencies are counted over all documents. The labelled examples stand in a block-max inverted
-index: examples in blocks, and for each term and block its largest weight. A search bounds every block by the sum of
-those, opens blocks from the best bound down, and stops when no block can hold a nearer example than the k-th found:
-exact cosine, few blocks opened. Votes are weighted by cosine (and by how many labelled documents an example stands
-for); held to the leave-one-out outcomes of the examples themselves, they become calibrated scores. The neighbours
-are returned as evidence.
+Texts become TF-IDF vectors over words: every word of the labelled examples is a term, its document frequency is counted
+over all documents, and its weight is (1 + log count) * idf * relevance. Relevance is 1 for most words; one that
+labelled documents show to be more frequent in toxic texts counts the root of its G2 statistic instead, if that is
+more, so that neighbours are alike in what makes texts toxic before they are alike in topic. No limit decides which
+words count, so few labels work like many.
+
+The labelled examples stand in a block-max inverted index: examples in blocks, and for each term and block its largest
+weight. A search bounds every block by the sum of those, opens blocks from the best bound down, and stops when no block
+can hold a nearer example than the k-th found: exact cosine. Votes are weighted by cosine (and by how many labelled
+documents an example stands for); held to the leave-one-out outcomes of the examples themselves, they become calibrated
+scores. The neighbours are returned as evidence.
 
 Examples are a bounded sample: ``per_class`` of each label or so, by a hash of doc_id. Everything else covers all
 documents, whole.
 
-Cases: null and empty texts, and texts without any marking term, get the rate of such texts among the examples;
-without labels all scores are 0; conflicting labels of one doc_id both count; repeated rows each get their row; an
-empty table gives no rows; a null doc_id is not held out; ties between neighbours go to the smaller doc_id; other
-columns play no part.
+Cases: null and empty texts, and texts without a word of any example, get the rate of such texts among the examples;
+without labels all scores are 0; conflicting labels of one doc_id both count; examples of one text and label are one,
+under their smallest doc_id; repeated rows each get their row; an empty table gives no rows; a null doc_id is not held
+out; ties between neighbours go to the smaller doc_id; very long texts are read whole; other columns play no part.
 """
 
 from __future__ import annotations
 
 import math
+import re
+import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,83 +35,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import scratch
-
-#: Labelled examples of each class, about; marking terms at most; least G2 of a term; neighbours that vote.
-PER_CLASS, TERMS, LEAST, NEIGHBOURS = 10_000, 5_000, 40.0, 15
-GRAM, BLOCK = 5, 64
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-
-
-@lru_cache(maxsize=1)
-def _known() -> np.ndarray:
-    """For every code point: itself if it is a letter or digit, else 0."""
-    out = np.zeros(0x110000, np.uint64)
-    known = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000 and chr(i).isalnum()]
-    out[known] = known
-    return out
-
-
-def grams(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each letter 5-gram of a text, then of each word."""
-    codes = _known()[np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")]
-    codes = np.concatenate([[np.uint64(0)], codes, [np.uint64(0)]])
-    gap = codes == 0
-    keep = np.concatenate([[True], ~(gap[1:] & gap[:-1])])
-    codes, gap = codes[keep], gap[keep]
-    n = len(codes) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    more = codes + np.uint64(1)
-    h = more[:n] * _MIX[0]
-    for i in range(1, GRAM):
-        h ^= h >> np.uint64(29)
-        h += more[i : i + n] * _MIX[i]
-    inner = ~(gap[1 : n + 1] | gap[2 : n + 2] | gap[3 : n + 3])
-    h = h[inner]
-    edge = np.flatnonzero(gap)
-    length = np.diff(edge) - 1
-    inside = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-    value = more[~gap] * _powers(int(length.max()) + 1)[inside]
-    whole = np.add.reduceat(value, np.cumsum(length) - length) + length.astype(np.uint64)
-    return np.concatenate([_finish(h), _finish(whole * _MIX[2])])
-
-
-def _finish(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * _MIX[3]
-    return h ^ (h >> np.uint64(32))
-
-
-@lru_cache(maxsize=64)
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _MIX[1], np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-class Vectors:
-    """TF-IDF over the chosen terms."""
-
-    def __init__(self, terms: np.ndarray, idf: np.ndarray):
-        self.terms, self.idf = terms, idf  # terms ascend
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[terms >> np.uint64(44)] = True
-
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        g = grams(text)
-        g = g[self.maybe[g >> np.uint64(44)]]
-        at = np.searchsorted(self.terms, g)
-        at = at[self.terms[np.minimum(at, len(self.terms) - 1)] == g] if len(self.terms) else at[:0]
-        return np.unique(at, return_counts=True)
-
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Unit vector; its last term, ``len(terms)``, is a constant that stands for all other words, so that one
-        marking word is far from many."""
-        t, n = self.counts(text)
-        if not len(t):
-            return t, np.zeros(0)
-        w = np.append((1 + np.log(n)) * self.idf[t], self.idf.mean())
-        return np.append(t, len(self.terms)), w / math.sqrt(float((w**2).sum()))
+from . import scratch, tokens, varbyte, words
+
+#: Labelled examples of each class, about; neighbours that vote; examples in a block of the index.
+PER_CLASS, NEIGHBOURS, BLOCK = 4_000, 15, 64
+#: Terms whose document frequencies one task adds up; texts whose result a task remembers.
+SHARD, MEMO = 1 << 15, 4_096
+U = np.uint64
+#: ASCII signs other than letters and digits part words, as white space does.
+_KEEP = np.arange(256, dtype=np.uint8)
+_KEEP[[i for i in range(128) if not chr(i).isalnum()]] = 32
+_SIGNS = re.compile("[\x80-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\u2000-\u206f\u3000-\u303f]+")
+
+
+def hashed(texts: list[str | None]) -> words.Words:
+    """The words of some texts, in lower case: 64-bit hashes."""
+    raw = [(t.lower() if t.isascii() else _SIGNS.sub(" ", t.lower())).encode() for t in (t or "" for t in texts)]
+    data = _KEEP[np.frombuffer(b"".join(raw), np.uint8)]
+    return words.split(data.tobytes(), np.array([len(t) for t in raw], np.int64))
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0] .. first[0] + n[0] - 1, first[1] .. and so on."""
+    total = np.cumsum(n)
+    return np.arange(int(total[-1]) if len(total) else 0) + np.repeat(first - total + n, n)
+
+
+class Terms:
+    """The words of the examples."""
+
+    def __init__(self, terms: np.ndarray):
+        self.terms = terms  # ascending hashes
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[terms >> U(42)] = True
+
+    def counts(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each text: its terms, ascending, and how often it has each."""
+        w = hashed(texts)
+        doc = np.repeat(np.arange(len(texts)), np.diff(w.first))
+        keep = np.flatnonzero(self.maybe[w.hash >> U(42)])
+        h, doc = w.hash[keep], doc[keep]
+        at = np.searchsorted(self.terms, h)
+        known = self.terms[np.minimum(at, len(self.terms) - 1)] == h if len(self.terms) else np.zeros(len(h), bool)
+        both = np.sort(doc[known] * len(self.terms) + at[known])
+        new = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
+        n = np.diff(np.append(new, len(both)))
+        edges = np.searchsorted(both[new], np.arange(len(texts) + 1) * max(1, len(self.terms)))
+        t = both[new] % max(1, len(self.terms))
+        return [(t[lo:hi], n[lo:hi]) for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+
+def unit(weight: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The TF-IDF vector of a text, of length 1."""
+    w = (1 + np.log(counts)) * weight[terms]
+    return terms, w / math.sqrt(float((w**2).sum())) if len(terms) else w
 
 
 class Index:
@@ -113,73 +96,72 @@ class Index:
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, terms: int):
         # alike examples share blocks: order by heaviest term
-        heavy = np.array([t[np.argmax(w[:-1])] for t, w in vectors] or [0][:0], np.int64)
+        heavy = np.array([t[np.argmax(w)] if len(t) else -1 for t, w in vectors], np.int64)
         self.order = np.lexsort((ids, heavy))
         self.ids = ids[self.order]
         self.blocks = -(-len(ids) // BLOCK)
-        doc = np.concatenate([np.full(len(vectors[j][0]), i) for i, j in enumerate(self.order)] or [np.zeros(0, np.int64)]).astype(np.int64)
-        term = np.concatenate([vectors[j][0] for j in self.order] or [np.zeros(0, np.int64)]).astype(np.int64)
-        weight = np.concatenate([vectors[j][1] for j in self.order] or [np.zeros(0)])
+        doc = np.repeat(np.arange(len(ids)), [len(vectors[j][0]) for j in self.order]) if len(ids) else np.zeros(0, np.int64)
+        term, weight = (np.concatenate([vectors[j][i] for j in self.order] or [np.zeros(0)]) for i in (0, 1))
+        term = term.astype(np.int64)
         by = np.lexsort((doc, term))
-        self.doc, self.weight = doc[by], weight[by]
-        self.start = np.searchsorted(term[by], np.arange(terms + 1))
-        self.block, self.place = self.doc // BLOCK, self.doc % BLOCK
-        self.peak: dict[int, tuple[np.ndarray, np.ndarray, tuple[int, int]]] = {}
-        for t in np.unique(term).tolist():
-            lo, hi = self.start[t], self.start[t + 1]
-            block = self.doc[lo:hi] // BLOCK
-            first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            self.peak[t] = (block[first], np.maximum.reduceat(self.weight[lo:hi], first), (lo, hi))
+        self.doc, self.weight = doc[by].astype(np.int32), weight[by]
+        # an entry for each term and block: its postings, and their peak
+        pair = term[by] * max(1, self.blocks) + doc[by] // BLOCK
+        new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
+        self.first = np.append(new, len(pair))
+        self.block = (pair[new] % max(1, self.blocks)).astype(np.int32)
+        self.peak = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
+        self.of = np.searchsorted(pair[new] // max(1, self.blocks), np.arange(terms + 1))
 
     def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places (in the order given) and cosines of the k nearest examples with a cosine above 0."""
-        mine = [(*self.peak[t], w) for t, w in zip(vector[0].tolist(), vector[1].tolist(), strict=True) if t in self.peak]
-        bound = np.zeros(self.blocks)
-        for block, peak, _, w in mine:
-            bound[block] += peak * w
-        place, cosine, least = np.zeros(0, np.int64), np.zeros(0), 0.0
+        terms, w = vector
+        n = self.of[terms + 1] - self.of[terms]
+        entry, weight = _ranges(self.of[terms], n), np.repeat(w, n)
+        block = self.block[entry]
+        bound = np.bincount(block, self.peak[entry] * weight, self.blocks)
         todo = np.argsort(-bound, kind="stable")
-        for lo in range(0, len(todo), 16):
-            some = todo[lo : lo + 16]
-            if bound[some[0]] <= 0 or bound[some[0]] < least - 1e-12:
-                break
-            score = np.zeros((len(some), BLOCK))
-            slot = np.full(self.blocks, -1)
-            slot[some] = np.arange(len(some))
-            for _, _, (first, last), w in mine:
-                at = slot[self.block[first:last]]
-                open_ = at >= 0
-                score[at[open_], self.place[first:last][open_]] += self.weight[first:last][open_] * w
-            r, c = np.nonzero(score > 0)
-            new = some[r] * BLOCK + c
-            keep = self.order[new] != but if but is not None else np.ones(len(new), bool)
-            place, cosine = np.concatenate([place, new[keep]]), np.concatenate([cosine, score[r, c][keep]])
+        place, cosine, least, at, some = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 4
+        while at < self.blocks and bound[todo[at]] > 0 and bound[todo[at]] >= least - 1e-9:
+            opened = np.zeros(self.blocks, bool)
+            opened[todo[at : at + some]] = True
+            opened &= bound >= least - 1e-9
+            at, some = at + some, 2 * some
+            pick = np.flatnonzero(opened[block])
+            m = self.first[entry[pick] + 1] - self.first[entry[pick]]
+            post = _ranges(self.first[entry[pick]], m)
+            score = np.bincount(self.doc[post], self.weight[post] * np.repeat(weight[pick], m), len(self.ids))
+            new = np.flatnonzero(score > max(0.0, least - 1e-9))
+            if but is not None:
+                new = new[self.order[new] != but]
+            place, cosine = np.concatenate([place, new]), np.concatenate([cosine, score[new]])
             best = np.lexsort((self.ids[place], -cosine.round(12)))[:k]
             place, cosine = place[best], cosine[best]
-            least = cosine[-1] if len(cosine) == k else 0.0
+            least = float(cosine[-1]) if len(cosine) == k else 0.0
         return self.order[place], cosine
 
 
 class Model:
-    """Everything a task needs: bounded by TERMS and PER_CLASS."""
-
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, examples: list[tuple[int, int, float, bytes, bytes]], without: tuple[float, float]):
-        self.vectors = Vectors(terms, idf)
-        self.ids = np.array([e[0] for e in examples], np.int64)
-        self.label = np.array([e[1] for e in examples], float)
-        self.stands = np.array([e[2] for e in examples], float)
-        self.sparse = [(np.frombuffer(e[3], "<i4").astype(np.int64), np.frombuffer(e[4], "<f8")) for e in examples]
-        self.index = Index(self.sparse, self.ids, len(terms) + 1)
-        self.none = (without[1] + 0.5 * self.rate) / (sum(without) + 0.5) if sum(without) else self.rate
+    """Everything a task needs: bounded by PER_CLASS examples and their words."""
+
+    def __init__(self, terms: np.ndarray, weight: np.ndarray, examples: list[tuple[int, int, float, np.ndarray, np.ndarray]]):
+        self.terms, self.weight = Terms(terms), weight
+        vectors = [unit(weight, e[3], e[4]) for e in examples]
+        full = [i for i, v in enumerate(vectors) if len(v[0])]
+        self.ids = np.array([examples[i][0] for i in full], np.int64)
+        self.label = np.array([examples[i][1] for i in full], float)
+        self.stands = np.array([examples[i][2] for i in full], float)
+        self.sparse = [vectors[i] for i in full]
+        self.index = Index(self.sparse, self.ids, len(terms))
+        every = sum(e[2] for e in examples)
+        self.rate = sum(e[1] * e[2] for e in examples) / every if every else 0.0
+        without = [e for e in examples if not len(e[3])]
+        self.none = (sum(e[1] * e[2] for e in without) + 0.5 * self.rate) / (sum(e[2] for e in without) + 0.5)
         self.memo: dict[bytes, tuple[float, list[int], list[float]]] = {}
-        self.bins = None
-
-    @property
-    def rate(self) -> float:
-        total = self.stands.sum()
-        return float((self.stands * self.label).sum() / total) if total else 0.0
+        self.bins = np.linspace(0.05, 0.95, 10)
 
     def vote(self, vector: tuple[np.ndarray, np.ndarray], but: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+        """The share of label 1 among the nearest, weighted by cosine; -1 if there are none."""
         place, cosine = self.index.nearest(vector, NEIGHBOURS, but)
         w = cosine * self.stands[place]
         return (float((w * self.label[place]).sum() / w.sum()) if len(place) else -1.0), place, cosine
@@ -194,19 +176,69 @@ class Model:
         rate = (y + 2 * (np.arange(10) + 0.5) / 10) / (n + 2)
         self.bins = np.maximum.accumulate(rate)
 
-    def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
-        vector = self.vectors(text)
-        if not len(vector[0]):
-            return self.none, [], []
-        key = vector[0].tobytes() + vector[1].tobytes()
-        if key not in self.memo:
-            if len(self.memo) > 20_000:
-                self.memo.clear()
-            v, place, cosine = self.vote(vector)
-            where = (np.arange(10) + 0.5) / 10
-            p = float(np.interp(v, where, self.bins)) if v >= 0 else self.none
-            self.memo[key] = (min(1.0, max(0.0, p)), self.ids[place].tolist(), cosine.tolist())
-        return self.memo[key]
+    def probability(self, vote: float) -> float:
+        if vote < 0:
+            return self.none
+        return min(1.0, max(0.0, float(np.interp(vote, (np.arange(10) + 0.5) / 10, self.bins))))
+
+    def score(self, texts: list[str | None]) -> list[tuple[float, list[int], list[float]]]:
+        """Score, neighbours and their cosines of each text."""
+        out = []
+        for terms, counts in self.terms.counts(texts):
+            key = blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest()  # copies are looked up once
+            if (known := self.memo.get(key)) is None:
+                if len(self.memo) >= MEMO:
+                    self.memo.clear()
+                vote, place, cosine = self.vote(unit(self.weight, terms, counts))
+                known = self.memo[key] = (self.probability(vote), self.ids[place].tolist(), cosine.tolist())
+            out.append(known)
+        return out
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "memo": {}}
+
+
+def relevance(a0: np.ndarray, a1: np.ndarray, d0: int, d1: int) -> np.ndarray:
+    """Of terms that ``a0`` of ``d0`` examples labelled 0 and ``a1`` of ``d1`` labelled 1 have."""
+    total = d0 + d1
+
+    def part(o: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return o * np.log(np.maximum(o, 1e-300) / np.maximum(e, 1e-300))
+
+    g2 = 2 * (part(a1, (a0 + a1) * d1 / total) + part(a0, (a0 + a1) * d0 / total) + part(d1 - a1, (total - a0 - a1) * d1 / total) + part(d0 - a0, (total - a0 - a1) * d0 / total))
+    return np.where(a1 * d0 > a0 * d1, np.sqrt(np.maximum(1, g2)), 1.0)
+
+
+def frequencies(corpus: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
+    """In how many texts of ``corpus`` each term occurs, and how many texts there are. Tasks send their counts in shards
+    of terms, as bytes of variable length."""
+    size = len(terms.terms)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(size, np.int64), 0
+        for b in tokens.slices(batches):
+            found = terms.counts(b.column(0).to_pylist())
+            df += np.bincount(np.concatenate([t for t, _ in found]), minlength=size)
+            n += len(found)
+        if n:
+            parts = [varbyte.pack(df[lo : lo + SHARD]) for lo in range(0, size, SHARD)]
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(parts))], pa.int32()), pa.array([n, *[0] * len(parts)], pa.int64()), pa.array([b"", *(zlib.compress(c, 1) for c, _ in parts)], pa.binary()), pa.array([b"", *(zlib.compress(d, 1) for _, d in parts)], pa.binary())], ["shard", "n", "control", "data"])
+
+    def add(part: pa.Table) -> pa.Table:
+        shard = part["shard"][0].as_py()
+        total = np.zeros(0 if shard < 0 else min(SHARD, size - shard * SHARD), np.int64)
+        for control, data in zip(part["control"], part["data"], strict=True) if shard >= 0 else ():
+            total += varbyte.unpack(zlib.decompress(control.as_buffer()), zlib.decompress(data.as_buffer()), len(total))
+        return pa.table([pa.array([shard], pa.int32()), pa.array([sum(part["n"].to_pylist())], pa.int64()), pa.array([total.astype("<i8").tobytes()], pa.binary())], ["shard", "n", "df"])
+
+    df, n = np.zeros(size, np.int64), 0
+    sent = corpus.select(corpus["text"].cast("string").alias("text")).mapInArrow(count, "shard int, n long, control binary, data binary")
+    for r in sent.groupBy("shard").applyInArrow(add, "shard int, n long, df binary").toLocalIterator():
+        if r["shard"] < 0:
+            n = r["n"]
+        else:
+            df[r["shard"] * SHARD : (r["shard"] + 1) * SHARD] = np.frombuffer(r["df"], "<i8")
+    return df, n
 
 
 def learn(docs: DataFrame, labels: DataFrame, corpus: DataFrame, per_class: int = PER_CLASS) -> Model:
@@ -218,68 +250,41 @@ def learn(docs: DataFrame, labels: DataFrame, corpus: DataFrame, per_class: int
     share = F.create_map(*(F.lit(v) for y, n in (totals or {0: 1}).items() for v in (y, min(1.0, per_class / n))))
     picked = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < share[F.col("y")] * (1 << 20))
     # per_class bounds what is picked: it is sent to the texts, which are not shuffled for it
-    rows = docs.select("doc_id", docs["text"].cast("string").alias("text")).join(F.broadcast(picked), "doc_id").dropDuplicates(["text", "y"])
-    rows = scratch.table(rows.repartition(max(6, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)), "examples")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = [[], []]
-        for b in batches:
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                parts[y].append(np.unique(grams(text)))
-        both = [np.unique(np.concatenate(p) if p else np.zeros(0, np.uint64), return_counts=True) for p in parts]
-        for y, (g, n) in enumerate(both):
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n * (y == 0)), pa.array(n * (y == 1))], ["g", "n0", "n1"])
-
+    rows = docs.select("doc_id", F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = scratch.table(rows.groupBy("text", "y").agg(F.min("doc_id").alias("doc_id")), "examples")
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    d0, d1 = max(1, sizes.get(0, 0)), max(1, sizes.get(1, 0))
-    seen = rows.select("text", "y").mapInArrow(count, "g long, n0 long, n1 long").groupBy("g").agg(F.sum("n0").alias("a0"), F.sum("n1").alias("a1")).filter("a1 > 1")
-    part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(F.lit(0.0))
-    a0, a1, total = F.col("a0"), F.col("a1"), d0 + d1
-    g2 = 2 * (part(a1, (a0 + a1) * d1 / total) + part(a0, (a0 + a1) * d0 / total) + part(d1 - a1, (total - a0 - a1) * d1 / total) + part(d0 - a0, (total - a0 - a1) * d0 / total))
-    best = seen.filter((a1 / d1) >= 5 * (a0 / d0)).withColumn("g2", g2).filter(F.col("g2") >= LEAST).orderBy(F.desc("g2"), "g").limit(TERMS)
-    terms = np.sort(np.array([r["g"] for r in best.select("g").collect()], np.int64).view(np.uint64))
-    raw = Vectors(terms, np.ones(len(terms)))
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(terms) + 1, np.int64), 0
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                df[raw.counts(text)[0]] += 1
-                n += 1
-        df[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], ["t", "n"])
-
-    df = np.zeros(len(terms) + 1, np.int64)
-    for r in corpus.select(corpus["text"].cast("string").alias("text")).mapInArrow(frequencies, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
-        df[r["t"]] = r["n"]
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    vectors = Vectors(terms, idf)
-
-    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [vectors(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([t.astype("<i4").tobytes() for t, _ in found], pa.binary()), pa.array([w.astype("<f8").tobytes() for _, w in found], pa.binary())], ["doc_id", "y", "t", "w"])
-
-    stands = {y: totals.get(y, 0) / n for y, n in sizes.items()}
-    examples, without = [], [0.0, 0.0]
-    for r in rows.select("doc_id", "text", "y").mapInArrow(sparse, "doc_id long, y int, t binary, w binary").orderBy("doc_id", "y").toLocalIterator():
-        if r["t"]:
-            examples.append((r["doc_id"], r["y"], stands[r["y"]], bytes(r["t"]), bytes(r["w"])))
-        else:
-            without[r["y"]] += stands[r["y"]]
-    model = Model(terms, idf, examples, (without[0], without[1]))
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tokens.slices(batches, 64):
+            w = hashed(b.column(2).to_pylist())
+            found = [np.unique(w.hash[lo:hi], return_counts=True) for lo, hi in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([h.astype("<u8").tobytes() for h, _ in found], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in found], pa.binary())], ["doc_id", "y", "h", "n"])
+
+    each = rows.select("doc_id", "y", "text").mapInArrow(bags, "doc_id long, y int, h binary, n binary")
+    found = [(r["doc_id"], r["y"], np.frombuffer(r["h"], "<u8"), np.frombuffer(r["n"], "<i4")) for r in each.toLocalIterator()]  # per_class bounds them
+    found.sort(key=lambda e: e[:2])
+    terms, at = words.distinct(np.concatenate([e[2] for e in found] or [np.zeros(0, U)]))
+    ends = np.cumsum([0, *(len(e[2]) for e in found)]).tolist()
+    places = [at[lo:hi] for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+    seen = [np.bincount(np.concatenate([p for p, e in zip(places, found, strict=True) if e[1] == y] or [np.zeros(0, np.int64)]), minlength=len(terms)).astype(float) for y in (0, 1)]
+    df, n = frequencies(corpus, Terms(terms))
+    weight = (np.log((1 + n) / (1 + df)) + 1) * relevance(seen[0], seen[1], max(1, sizes.get(0, 0)), max(1, sizes.get(1, 0)))
+    stands = {y: totals.get(y, 0) / k for y, k in sizes.items()}
+    model = Model(terms, weight, [(i, y, stands[y], p, k) for p, (i, y, _, k) in zip(places, found, strict=True)])
     shared = spark.sparkContext.broadcast(model)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = np.asarray(b.column(0))
-            found = [shared.value.vote(shared.value.sparse[i], i)[0] for i in at.tolist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], ["id", "vote"])
+            votes = [shared.value.vote(shared.value.sparse[i], i)[0] for i in at.tolist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes, pa.float64())], ["id", "vote"])
 
-    votes = np.zeros(len(examples))
-    for r in spark.range(0, len(examples), 1, 12).mapInArrow(vote, "id long, vote double").collect():  # bounded by per_class
+    votes = np.zeros(len(model.ids))
+    for r in spark.range(0, len(model.ids), 1, 12).mapInArrow(vote, "id long, vote double").collect():  # bounded by per_class
         votes[r["id"]] = r["vote"]
+    shared.unpersist()
     model.calibrate(votes)
+    model.sparse = []  # the index has them
     return model
 
 
@@ -291,13 +296,14 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), pr
     for field in schema.fields[len(keep) :]:
         field.name = prefix + field.name
     schema = T.StructType(schema.fields)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # TERMS and PER_CLASS bound it
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # PER_CLASS bounds it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in batches:
-            found = [model.score(t) for t in b.column(b.num_columns - 1).to_pylist()]
+        for b in tokens.slices(batches):
+            found = model.score(b.column(b.num_columns - 1).to_pylist())
             p = [x[0] for x in found]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32()), pa.array([x[1] for x in found], pa.list_(pa.int64())), pa.array([x[2] for x in found], pa.list_(pa.float64()))], schema.names)
+        model.memo.clear()
 
     return rows.mapInArrow(run, schema)
