@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -454,6 +455,59 @@ def test_toxicity_reads_whole_texts_and_keeps_clashing_columns(spark):
     assert [r["tidemark_predicted"] for r in sorted(rows, key=lambda r: r["doc_id"])] == [int("foulest" in t) for t in texts]
 
 
+def test_line_blocks_equal_brute_force():
+    """Surges and dives by their definition, on made lines."""
+    rng = random.Random(6)
+    for _ in range(300):
+        found = []
+        for _ in range(rng.randint(0, 25)):
+            n = rng.choice([0, 0, 1, 5, 40, 200])
+            found.append(("x" * n if n or rng.random() < 0.5 else "", n, rng.random() < 0.5))
+        marked = any(a for *_, a in found)
+        length = [n * (16 if a else 1 / 16 if marked else 1) for _, n, a in found]
+        sums = [sum(length[i : i + 3]) for i in range(len(length))]
+        limit = min(86, max(sums, default=0))
+        want, i = [], 0
+        while i < len(sums):
+            if length[i] and sums[i] >= limit:  # a surge
+                end = next((j for j in range(i, len(sums)) if not sums[j]), len(sums))  # the dive after it
+                want += [t for t, *_ in found[i:end] if t]
+                i = end
+            i += 1
+        assert main_text.between(found) == want
+
+
+def test_surge_and_dive_decide():
+    text = "a plain sentence of some length that stands here, and goes on for a while longer. "
+    page = "<body><div>Home</div><p>x</p>" + "".join(f"<p>{text * 2}{k}</p>" for k in range(3)) + "<p>short end</p>" + "<p><a href=x>more</a></p>" * 4 + "<p>tiny</p></body>"
+    kept = [(text * 2 + str(k)).strip() for k in range(3)]
+    # the window that surges may begin two lines early
+    assert main_text.main_text(page).split("\n") == ["Home", "x", *kept, "short end"]
+    # inside an article too: links alone are no text, and what follows them is too short to begin one anew
+    page = "<article><h1>Title of it</h1>" + f"<p>{text}</p>" + "<p><a href=x>more</a></p>" * 4 + "<p>1</p><p>2</p></article><p>" + text + "</p>"
+    assert main_text.main_text(page).split("\n") == ["Title of it", text.strip()]
+    # a long text beside the article counts
+    assert "far longer" in main_text.main_text(f"<article><p>{text}</p></article><p>{'far longer ' * 300}</p>")
+    assert "far longer" not in main_text.main_text(f"<article><p>{text}</p></article><p>{'far longer ' * 30}</p>")
+    assert main_text.main_text("<article><p>Hi</p></article>") == "Hi"
+
+
+@pytest.mark.parametrize("page", ["<a" * 500_000, "<a " * 300_000, '<a "' * 250_000, "<a '\"" * 200_000, "<!--" * 250_000, "<" * 1_000_000, "</script" * 120_000, "<script>" + "</script" * 120_000, "<nav>" + "<div>" * 50_000 + "</p>" * 50_000, "<p class" + " " * 500_000 + "x>", "&#" + "9" * 100_000, "<p hidden" * 100_000])
+def test_hard_pages_take_linear_time(page):
+    began = time.process_time()
+    main_text.main_text(page)
+    assert time.process_time() - began < 10
+
+
+def test_pages_as_tables(spark):
+    page = "<article><p>" + "long text " * 200_000 + "</p></article>"
+    rows = [(1, "u", page, 5), (1, "u", page, 5), (None, None, None, 5), (2, "u", "", 5), (3, "u", "no markup & none", 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
+    got = main_text.extract(pages).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 0), (1, 1_999_999), (1, 1_999_999), (2, 0), (3, 16)]
+    assert main_text.extract(pages.limit(0)).count() == 0
+
+
 def test_block_max_index_equals_brute_force():
     rng = np.random.default_rng(0)
     vectors = []
