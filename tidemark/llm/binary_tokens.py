@@ -130,7 +130,7 @@ def write(docs: DataFrame, file: str, at: str, end: int = 0, segment: int = SEGM
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in numbers], pa.int64()) for k in range(3)], ["segment", "docs", "tokens"])
 
     coded = whole.mapInArrow(code, "doc_id long, row_id long, n_tokens long, control binary, data binary, part long")
-    ordered = coded.repartition(buckets, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "row_id").select("doc_id", "n_tokens", "control", "data", "part")
+    ordered = coded.repartitionById(buckets, F.pmod("part", F.lit(buckets)).cast("int")).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "row_id").select("doc_id", "n_tokens", "control", "data", "part")
     return scratch.table(ordered.mapInArrow(store, "segment long, docs long, tokens long"), "segments")
 
 
