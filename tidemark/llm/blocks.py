@@ -6,9 +6,9 @@ from there, so whole texts are not shuffled, and a lost executor costs its block
 :func:`repeated` is the prefilter of two operators. Every block hashes its keys (64 bits) to the cells of a count-min
 sketch, sends its partial sketch - sorted cells as gaps, in byte-aligned variable-length code - to the shards of the
 cells, and gets back for each cell how large the merged count is: by powers of two, or only whether it is above 1.
-A block counts a cell up to 256;
-within that, counts are never too low, so a key that two blocks share is always seen to repeat. A hot key is one cell in each
-block, so it makes no task longer.
+A block counts a cell up to 256; within that, counts are never too low, so a key that two blocks share is always seen to
+repeat. A hot key is one cell in each block, so it makes no task longer. A shard has a fixed number of cells, so that the
+memory of a task does not grow with the data; the number of shards does.
 """
 
 from __future__ import annotations
@@ -27,11 +27,11 @@ from . import scratch, varbyte, words
 
 #: Bytes of text in a block, about.
 BLOCK = 4 << 20
-#: Rows of the sketch; cells of a row for each key, about; shards of a row at most.
-DEPTH, CELLS_PER_KEY, SHARDS = 2, 2, 256
+#: Rows of the sketch; cells of a row for each key, about; bits of the number of a cell in its shard.
+DEPTH, CELLS_PER_KEY, SHARD = 2, 2, 20
 #: Documents of a block at most.
 MOST = 1 << 20
-SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+SEEDS = (1, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 NONE = np.iinfo(np.int64).max
 FLAGS = "array<struct<row:int,shard:int,bits:binary>>"
 
@@ -97,20 +97,21 @@ def per_block(rows: DataFrame, blocks: DataFrame, n: int, name: str) -> DataFram
 
 
 def cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (keys * np.uint64(SEEDS[row])) >> np.uint64(64 - bits)
+    """Cells of keys in a row of the sketch; in the first, they ascend with the keys."""
+    return (keys * np.uint64(SEEDS[row]) if row else keys) >> np.uint64(64 - bits)
 
 
 def sketch_bits(keys: int) -> int:
-    return min(44, max(16, int(np.ceil(np.log2(max(1, keys) * CELLS_PER_KEY)))))
+    return max(16, int(np.ceil(np.log2(max(1, keys) * CELLS_PER_KEY))))
 
 
 def shard_bits(bits: int) -> int:
-    return max(12, bits - int(np.log2(SHARDS)))
+    return min(SHARD, bits - 4)
 
 
 def repeated(blocks: DataFrame, n: int, keys: Callable[[tuple[Block, list]], tuple[np.ndarray, np.ndarray]], bits: int, levels: bool = False) -> DataFrame:
     """``blocks`` with a column ``hot``, for :func:`looked_up`. ``keys`` gives, of an opened row, its distinct 64-bit
-    keys and how often the block counts each. ``levels``: keep powers of two, not only what is above 1."""
+    keys, ascending, and how often the block counts each. ``levels``: keep powers of two, not only what is above 1."""
     low = np.uint64(shard_bits(bits))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +120,7 @@ def repeated(blocks: DataFrame, n: int, keys: Callable[[tuple[Block, list]], tup
                 found, often = keys((block, more))
                 rows = []
                 for row in range(DEPTH):
-                    cell, count = _counted(cells(found, row, bits), often)
+                    cell, count = _counted(cells(found, row, bits), often, row == 0)
                     for shard, lo, hi in _parts(cell, low):
                         at = (cell[lo:hi] & np.uint64((1 << int(low)) - 1)).astype(np.int64)
                         control, data = varbyte.pack(np.diff(at, prepend=0))
@@ -129,10 +130,9 @@ def repeated(blocks: DataFrame, n: int, keys: Callable[[tuple[Block, list]], tup
     def merge(group: pa.Table) -> pa.Table:
         total = np.zeros(1 << int(low), np.uint16)
         found = []
-        for r in group.to_pylist():
-            at = np.cumsum(varbyte.unpack(r["control"], r["data"], r["n"]).astype(np.int64))
-            more = np.frombuffer(zlib.decompress(r["more"]), np.uint8) + np.uint16(1)
-            total[at] = np.minimum(total[at] + more, 1 << 15)
+        for n, control, data, more in zip(*(group[c] for c in ("n", "control", "data", "more")), strict=True):
+            at = np.cumsum(varbyte.unpack(control.as_py(), data.as_py(), n.as_py()), dtype=np.int32)
+            total[at] = np.minimum(total[at] + (np.frombuffer(zlib.decompress(more.as_buffer()), np.uint8) + np.uint16(1)), 1 << 15)
             found.append(at)
         if levels:
             back = [zlib.compress(np.log2(total[at]).astype(np.uint8), 1) for at in found]
@@ -156,22 +156,23 @@ _SENT = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(
 _SENT_NAMES = ["row", "shard", "block", "n", "control", "data", "more"]
 
 
-def _counted(cell: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _counted(cell: np.ndarray, often: np.ndarray, ascends: bool) -> tuple[np.ndarray, np.ndarray]:
     """Distinct cells, ascending, and their counts in the block."""
-    order = np.argsort(cell)
-    cell, often = cell[order], often[order]
+    if not ascends:
+        order = np.argsort(cell)
+        cell, often = cell[order], often[order]
     new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
     return cell[new], np.add.reduceat(often, new) if len(new) else often
 
 
 def looked_up(found: np.ndarray, hot: list[dict], bits: int, levels: bool = False) -> np.ndarray:
-    """Of the block's distinct keys, which may occur more than once, all blocks together; or with ``levels`` the power
+    """Of the block's distinct keys (ascending), which may occur more than once, all blocks together; or with ``levels`` the power
     of two that the count estimate reaches. A function of the key alone, the same in all blocks."""
     low = np.uint64(shard_bits(bits))
     least = np.full(len(found), 255, np.uint8)
     for row in range(DEPTH):
         mine = {h["shard"]: h["bits"] for h in hot if h["row"] == row}
-        cell, back = words.distinct(cells(found, row, bits))
+        cell, back = words.distinct(cells(found, row, bits)) if row else words.ascending(cells(found, row, bits))
         level = np.zeros(len(cell), np.uint8)
         for shard, lo, hi in _parts(cell, low):
             level[lo:hi] = np.frombuffer(zlib.decompress(mine[shard]), np.uint8) if levels else np.unpackbits(np.frombuffer(mine[shard], np.uint8), count=hi - lo)

@@ -1,6 +1,6 @@
 """N-gram Jaccard join: a parity-sketch join.
 
-A document's set holds the 64-bit hashes of its distinct word shingles. The tokens of a set are dealt over the cells
+A document's set holds the 56-bit hashes of its distinct word shingles. The tokens of a set are dealt over the cells
 of a sketch, and each cell keeps the XOR of its tokens: 64 parity sketches side by side. Cells in which two sketches
 differ are at most as many as tokens in which the sets differ, and linked sets of sizes a and b differ in at most
 (a + b) * (1 - t) / (1 + t). So by the pigeonhole principle linked sketches agree in all but that many cells, and
@@ -23,8 +23,8 @@ play no part.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +39,13 @@ U = np.uint64
 #: Tokens for each cell at most: more leave too few filled cells for the pigeonhole. Sets up to SMALL tokens have a
 #: cell for each token, in effect.
 LOAD, SMALL, SMALL_CELLS, STEP = 1.8, 100, 1 << 20, 4
-#: Seeds of the deal of tokens to cells. A deal under which some set fills too few cells for the pigeonhole (one in a
-#: thousand million sets) is made again.
+#: Seeds of the deal of tokens to cells. A deal under which some set fills too few cells for the pigeonhole is made
+#: again; at this load, that is 12 standard deviations from what a set fills.
 SEEDS = 8
-#: Documents of a chunk in the last step.
-CHUNK = 512
+#: Documents of a chunk in the last step; parts that a hot cell's facts are dealt to; pairs of a document in one part.
+CHUNK, SALTS, HUB = 512, 16, 256
+#: Documents whose tokens are sorted at once: with the number of the document before it, a hash has 56 bits.
+SORTED, TOKEN = 256, U((1 << 56) - 1)
 
 
 def token_sets(block: B.Block, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,12 +60,15 @@ def token_sets(block: B.Block, size: int) -> tuple[np.ndarray, np.ndarray]:
             at, h = w.runs(n)
             doc.append(short)
             hashes.append(words.mix(h[np.searchsorted(at, w.first[short])] + U(n)))
-    doc, h = np.concatenate(doc), np.concatenate(hashes)
-    order = np.argsort(h)
-    order = order[np.argsort(doc[order].astype(np.uint16 if len(block.ids) < 1 << 16 else np.int64), kind="stable")]
-    doc, h = doc[order], h[order]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, bool)
-    return doc[new], h[new]
+    out = []
+    for lo in range(0, len(block.ids), SORTED):
+        parts = []
+        for d, x in zip(doc, hashes, strict=True):
+            i, j = np.searchsorted(d, [lo, lo + SORTED])
+            parts.append((d[i:j] - lo).astype(U) << U(56) | x[i:j] >> U(8))
+        some = np.sort(np.concatenate(parts))
+        out.append((lo, some[np.append(True, some[1:] != some[:-1])] if len(some) else some))
+    return np.concatenate([lo + (x >> U(56)).astype(np.int64) for lo, x in out] or [np.zeros(0, np.int64)]), np.concatenate([x & TOKEN for _, x in out] or [np.zeros(0, U)])
 
 
 def cells_of(n: np.ndarray) -> np.ndarray:
@@ -133,7 +138,7 @@ def gid(number: int, at: np.ndarray) -> np.ndarray:
 
 
 def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, first (whether the row stands for its component) and text_crc32 of every
+    """doc_id, n_shingles, component_id, first (whether the row stands for its component) and text_md5 of every
     document."""
     t = percent / 100
     blocks, n = B.build(docs)
@@ -156,12 +161,12 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
                 bad = (k > 0) & ((filled[0] < need) | ((filled[1] > 0) & (filled[1] < need)))
                 null = block.ids == B.NONE
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gid(number, np.arange(len(k)))), pa.array(block.ids, pa.int64(), mask=null), pa.array(k), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array(filled.sum(0)), pa.array(bad), pa.array([zlib.crc32(x) for x in block.texts()], pa.int64())],
-                    ["gid", "doc_id", "n", "low", "high", "cells", "bad", "text_crc32"],
+                    [pa.array(gid(number, np.arange(len(k)))), pa.array(block.ids, pa.int64(), mask=null), pa.array(k), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array(filled.sum(0)), pa.array(bad), pa.array([md5(x).digest() for x in block.texts()], pa.binary())],
+                    ["gid", "doc_id", "n", "low", "high", "cells", "bad", "text_md5"],
                 )
 
     for seed in range(SEEDS):
-        rows = scratch.table(blocks.mapInArrow(facts, "gid long, doc_id long, n long, low long, high long, cells long, bad boolean, text_crc32 long"), "sets")
+        rows = scratch.table(blocks.mapInArrow(facts, "gid long, doc_id long, n long, low long, high long, cells long, bad boolean, text_md5 binary"), "sets")
         about = rows.agg(F.sum("cells").alias("cells"), F.max("bad").alias("bad")).first()
         if not about["bad"]:
             break
@@ -194,15 +199,18 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
                 doc, h, s = cells(block, copies)
                 found, back = words.distinct(s["key"])
                 level = B.looked_up(found, flags, bits, levels=True)[back].astype(np.int64)
-                # of each document and band, the rarest cells; among those the fullest
-                group = s["doc"] * 2 + (s["cells"] != cells_of(np.bincount(doc, minlength=len(block.ids)))[s["doc"]])
-                order = np.lexsort((s["key"], -np.minimum(s["tokens"], 255), level, group))
+                # of each document and band, the rarest cells; among those the fullest. Cells that occur once come first,
+                # and are not sent: where there are enough of them, nothing is
+                sizes = np.bincount(doc, minlength=len(block.ids))
+                need = may_differ(sizes, t) + 1
+                group = s["doc"] * 2 + (s["cells"] != cells_of(sizes)[s["doc"]])
+                once = np.bincount(group[level == 0], minlength=2 * len(sizes))
+                some = np.flatnonzero((level > 0) & (once < np.repeat(need, 2))[group])
+                order = some[np.lexsort((s["key"][some], -np.minimum(s["tokens"][some], 255), level[some], group[some]))]
                 new = _starts(group[order])
-                place = np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order))))
-                need = may_differ(np.bincount(doc, minlength=len(block.ids)), t) + 1
-                sent = order[(place < need[s["doc"][order]]) & (level[order] > 0)]
+                place = np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order)))) + once[group[order]]
+                sent = order[place < need[s["doc"][order]]]
                 sent = sent[np.argsort(s["key"][sent], kind="stable")]
-                sizes = np.bincount(doc, minlength=len(block.ids))
                 first = np.cumsum(sizes) - sizes
                 who = np.unique(s["doc"][sent])
                 parity = [parity_bits(h[first[d] : first[d] + sizes[d]], int(sizes[d])) for d in who.tolist()]
@@ -212,7 +220,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     entries = sent.select("block", "keys", "docs")
     known = sent.select(F.explode(F.arrays_zip("who", "sizes", "parity")).alias("x")).select(F.col("x.who").alias("gid"), F.col("x.sizes").alias("n"), F.col("x.parity").alias("parity"))
     amount = entries.agg(F.sum(F.length("keys"))).first()[0] or 0
-    shards = max(1, min(1 << 12, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), amount // (1 << 18)))
+    shards = max(1, amount // (1 << 19))  # some 64,000 entries each
 
     def shard(h: np.ndarray) -> np.ndarray:
         return (h % U(shards)).astype(np.int64)
@@ -334,24 +342,30 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     named = names.join(ids, "label").select("low", "high", "n", "first")
     out = rows.join(named, ["low", "high", "n"], "left")
     alone = F.col("first").isNull()
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), (alone | (F.col("first.gid") == F.col("gid"))).alias("first"), "text_crc32")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), (alone | (F.col("first.gid") == F.col("gid"))).alias("first"), "text_md5")
 
 
 def dedup(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """``docs`` with one row of each component: the one with its smallest doc_id. Rows that share doc_id and text are
     one row."""
     found = scratch.table(join(docs, size, percent), "components")
-    crc = F.crc32(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    if found.groupBy("doc_id", "text_crc32").count().filter("count > 1").limit(1).count():
-        docs = docs.withColumn("tidemark_crc32", crc).dropDuplicates(["doc_id", "tidemark_crc32"]).drop("tidemark_crc32")
-    stays = found.filter("first").select(F.col("doc_id").alias("tidemark_id"), F.col("text_crc32").alias("tidemark_crc32"))
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["tidemark_id"]) & (F.crc32(F.coalesce(docs["text"].cast("string"), F.lit(""))) == stays["tidemark_crc32"]), "left_semi")
+    md5_of = F.unhex(F.md5(F.coalesce(docs["text"].cast("string"), F.lit(""))))
+    docs = docs.withColumn("tidemark_md5", md5_of)
+    if found.groupBy("doc_id", "text_md5").count().filter("count > 1").limit(1).count():
+        docs = docs.dropDuplicates(["doc_id", "tidemark_md5"])
+    stays = found.filter("first").select(F.col("doc_id").alias("tidemark_id"), F.col("text_md5").alias("tidemark_text"))
+    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["tidemark_id"]) & (F.col("tidemark_md5") == F.col("tidemark_text")), "left_semi").drop("tidemark_md5")
 
 
 def _verified(pairs: DataFrame, known: DataFrame, blocks: DataFrame, n: int, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked: first by sizes and parity bits, then by the sets themselves."""
     one, two = (known.select(F.col("gid").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}")) for x in "ab")
-    near = pairs.distinct().join(one, "a").join(two, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    pairs = pairs.distinct()
+    # the first document of a hot cell has thousands of partners: its pairs are dealt to parts, and it goes to each
+    hubs = scratch.table(pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")).filter("parts > 1"), "hubs")
+    to_parts = lambda rows: rows.join(hubs, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    pairs = pairs.join(hubs, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    near = pairs.join(to_parts(one), ["a", "part"]).join(two, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     t = percent / 100
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,9 +377,9 @@ def _verified(pairs: DataFrame, known: DataFrame, blocks: DataFrame, n: int, siz
                 far = np.count_nonzero(_fold_low(p, bits) != _fold_low(q, bits))
                 keep.append(far <= (r["na"] + r["nb"]) * (1 - t) / (1 + t) + 1e-9)
             k = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(i).filter(k) for i in range(2)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(k) for i in range(3)], ["a", "b", "part"])
 
-    near = scratch.table(near.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(close, "a long, b long"), "near")
+    near = scratch.table(near.select("a", "b", "part", "na", "nb", "pa", "pb").mapInArrow(close, "a long, b long, part int"), "near")
     needed = near.select(F.col("a").alias("gid")).union(near.select("b")).distinct()
     asked = needed.select(F.shiftright("gid", 20).alias("block"), F.col("gid").bitwiseAND((1 << 20) - 1).cast("int").alias("at"))
     wanted = B.per_block(asked, blocks.select("block", "ids", "lengths", "data"), n, "asked")
@@ -385,7 +399,7 @@ def _verified(pairs: DataFrame, known: DataFrame, blocks: DataFrame, n: int, siz
                     yield pa.RecordBatch.from_arrays([pa.array(gid(number, at[lo:hi])), pa.array([h[ends[i] : ends[i + 1]].astype("<u8").tobytes() for i in range(lo, hi)], pa.binary())], ["gid", "set"])
 
     each = scratch.table(wanted.mapInArrow(sets, "gid long, set binary"), "tokens")
-    full = near.join(each.select(F.col("gid").alias("b"), F.col("set").alias("y")), "b").join(each.select(F.col("gid").alias("a"), F.col("set").alias("x")), "a")
+    full = near.join(each.select(F.col("gid").alias("b"), F.col("set").alias("y")), "b").join(to_parts(each.select(F.col("gid").alias("a"), F.col("set").alias("x"))), ["a", "part"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -405,15 +419,20 @@ def _fold_low(bits: np.ndarray, to: int) -> np.ndarray:
 
 def _across(rest: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Pairs of documents in one cell but different components that may be linked. A cell's documents stand in chunks
-    (``base``); all but those of its largest component also visit every chunk (``probe``), and so meet each other and
-    that component once. Pairs are formed and dropped inside a task; only those near in parity leave it."""
+    (``base``); all but those of its largest component also visit every chunk (``probe``), chunk by chunk, and so meet
+    each other and that component once, CHUNK by CHUNK of them in a group. Pairs are formed and dropped inside a task; only those near in parity leave it."""
     t = percent / 100
     sizes = rest.groupBy("key", "label").agg(F.count("*").alias("m"))
     per_key = sizes.groupBy("key").agg(F.sum("m").alias("all"), F.max(F.struct("m", "label")).alias("top"))
     facts = per_key.select("key", F.col("top.label").alias("largest"), F.ceil(F.col("all") / CHUNK).cast("int").alias("chunks"))
-    rows = rest.join(facts, "key").join(known, "gid")
-    base = rows.select("key", F.pmod(F.xxhash64("gid"), F.col("chunks")).cast("int").alias("chunk"), "gid", "label", "n", "parity", F.lit(False).alias("probe"))
-    probe = rows.filter("label <> largest").select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "gid", "label", "n", "parity", F.lit(True).alias("probe"))
+    # a hot cell's rows are dealt to SALTS parts, and its facts go to each
+    facts = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rest.withColumn("salt", F.pmod(F.xxhash64("gid"), F.lit(SALTS)).cast("int")).join(facts, ["key", "salt"]).join(known, "gid")
+    own = F.pmod(F.xxhash64("gid"), F.col("chunks")).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    about = ("gid", "label", "n", "parity")
+    base = rows.select("key", own.alias("chunk"), each.alias("other"), *about, F.lit(False).alias("probe"))
+    probe = rows.filter("label <> largest").select("key", each.alias("chunk"), own.alias("other"), *about, F.lit(True).alias("probe"))
 
     def meet(part: pa.Table) -> pa.Table:
         got = part.select(["gid", "label", "n", "parity", "probe"]).to_pylist()
@@ -429,4 +448,4 @@ def _across(rest: DataFrame, known: DataFrame, percent: int) -> DataFrame:
                 out += [(min(int(gx[i]), g), max(int(gx[i]), g)) for g in gy[ok].tolist()]
         return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
-    return base.union(probe).groupBy("key", "chunk").applyInArrow(meet, "a long, b long")
+    return base.union(probe).groupBy("key", "chunk", "other").applyInArrow(meet, "a long, b long")

@@ -70,7 +70,7 @@ def dedup(docs: DataFrame, size: int = SIZE) -> DataFrame:
     blocks, n = B.build(docs)
     facts = blocks.agg(F.sum(F.length("data"))).first()[0] or 0
     bits = B.sketch_bits(facts // 6)  # windows, about
-    shards = max(1, min(1 << 12, facts // (4 << 20)))
+    shards = max(1, facts // (4 << 20))  # as many as the data need: each holds the candidates of some 4 MB
 
     def keys(row: tuple[B.Block, list]) -> tuple[np.ndarray, np.ndarray]:
         _, _, h, doc = _windows(row[0], size)

@@ -44,6 +44,12 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[new], place
 
 
+def ascending(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Like :func:`distinct`, of values that ascend."""
+    new = np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
+    return x[new], np.cumsum(new) - 1
+
+
 @dataclass
 class Words:
     """Words of the documents of a block, in order; ``first`` has the first word of each document, and the count."""
