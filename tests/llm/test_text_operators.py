@@ -541,6 +541,8 @@ def test_voronoi(spark):
         best = sorted((-int(x[q] @ v), i) for i, v in x.items() if i != q)[:5]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert got == sorted(want)
+    for size in (20, 64):  # several parts, and a cell of copies in many
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in voronoi_knn.search(vectors, vectors.filter("vec_id % 50 = 0"), 5, part_rows=size).collect()) == got
     assert voronoi_knn.search(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
@@ -549,7 +551,9 @@ def test_voronoi_counts_ids_once(spark):
     rng = np.random.default_rng(6)
     rows = [(i, [float(v) for v in rng.integers(-50, 50, 4)]) for i in range(400)] + [(900, [90.0] * 4)] * 9 + [(901, [80.0 + i, 80.0, 80.0, 80.0]) for i in range(9)]
     vectors = spark.createDataFrame(rows, "vec_id long, x array<double>")
-    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in voronoi_knn.search(vectors, vectors.filter("vec_id % 50 = 0"), 5).collect())
+    found = [sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in voronoi_knn.search(vectors, vectors.filter("vec_id % 50 = 0"), 5, part_rows=size).collect()) for size in (8192, 50)]
+    got = found[0]
+    assert found[1] == got
     want = []
     for q, v in {i: v for i, v in reversed(rows) if i % 50 == 0}.items():
         best = {}

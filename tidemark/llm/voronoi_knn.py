@@ -1,11 +1,15 @@
 """Exact top-k search by inner product: a Voronoi kNN join.
 
-Pivots (a bounded sample of the data) split the data into cells. A summary of each cell - rows, radius, largest
-norm and its k + 1 smallest distances of different ids to the pivot - gives, for every query, a lower bound of its k-th best score
-(q.x >= q.p - |q| |x - p|) and an upper bound for each cell (q.x <= q.p + |q| radius, and <= |q| norm). A query goes
-only to cells whose upper bound reaches its lower bound, so no candidate is lost. Cells are cut into chunks of
-bounded rows, a hot cell into many; queries travel in blocks, grouped by their own pivot, and each chunk answers
-with its k best.
+Pivots (a bounded sample of the data) split the data into cells. A summary of each cell - its rows, its radius and its
+largest norm - bounds every score in it (q.x <= q.p + |q| radius, and <= |q| norm). Cells are put into parts of bounded
+rows, a hot cell into many, and a part is one row: ids, cells and vectors as bytes. Queries travel in blocks of bounded
+size, and meet parts by a join on the part's number, so neither side is ever a group in one task, and a part is shuffled
+once whatever the number of queries.
+
+A query first goes to the part of its own cell. Its k-th best score there is a floor; then it goes to those parts only
+that hold a cell whose bound reaches the floor, skips cells below it there too, and sends back nothing below it. No
+candidate is lost, and what is sent back for a query depends on how many scores beat its own cell's, not on the number
+of cells.
 
 Cases: vectors that are null, or hold null or non-finite components, take no part; shorter vectors, empty ones too,
 count as filled up with zeros; rows that share a vec_id are the same vector's: they are no candidates of each other,
@@ -22,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import scratch, tokens
 
-#: Pivots at most, rows of a chunk at least and at most, queries of a block.
-MAX_PIVOTS, CHUNK, BLOCK = 1024, (256, 4096), 256
+#: Pivots at most, rows of a part, about, queries of a block at most.
+MAX_PIVOTS, PART, BLOCK = 1024, 8192, 256
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -65,12 +69,65 @@ def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple
     return row[rank < k], col[rank < k]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+class Cells:
+    """Summaries of the cells, and the parts they are put into: bounded by the number of pivots, but for hot cells,
+    which have a part for each ``size`` rows."""
+
+    def __init__(self, pivots: np.ndarray, cells: list, size: int):
+        self.pivots, self.square = pivots, (pivots**2).sum(1)
+        self.name = np.array([r["cell"] for r in cells], np.int64)
+        self.radius, self.norm = (np.array([r[c] for r in cells], float) for c in ("radius", "norm"))
+        self.first, self.parts = np.zeros(len(pivots), np.int64), np.ones(len(pivots), np.int64)
+        part, held = 0, 0
+        for r in sorted(cells, key=lambda r: r["cell"]):
+            if held and held + r["n"] > size:
+                part, held = part + 1, 0
+            self.first[r["cell"]] = part
+            if (many := -(-r["n"] // size)) > 1:
+                self.parts[r["cell"]] = many
+                part, held = part + many, 0
+            else:
+                held += r["n"]
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each row, and the square of its distance to the pivot."""
+        far = (x**2).sum(1)[:, None] + self.square - 2 * x @ self.pivots.T
+        cell = far.argmin(1)
+        return cell, np.maximum(0, far[np.arange(len(x)), cell])
+
+    def bounds(self, x: np.ndarray) -> np.ndarray:
+        """The most that each row's inner product with a row of each cell (of ``name``) can be."""
+        size = np.sqrt((x**2).sum(1))[:, None]
+        most = np.minimum((x @ self.pivots[self.name].T) + size * self.radius, size * self.norm)
+        return most + 1e-9 * (size * (self.norm.max(initial=0) + 1) + 1)
+
+
+def _packed(rows: pa.Table, dim: int) -> pa.Table:
+    """A part as one row: its vectors by cell, and by id within it."""
+    x, ids, cell = _matrix(rows["x"].combine_chunks(), dim), _ids(rows["vec_id"]), _ids(rows["cell"])
+    order = np.lexsort((ids, cell))
+    new = np.flatnonzero(np.append(True, np.diff(cell[order]) != 0))
+    return pa.table([pa.array([rows["part"][0].as_py()], pa.int64()), pa.array([cell[order][new].tolist()], pa.list_(pa.int32())), pa.array([np.diff(np.append(new, len(ids))).tolist()], pa.list_(pa.int32())), *(pa.array([v.tobytes()], pa.binary()) for v in (ids[order].astype("<i8"), x[order].astype("<f8")))], ["part", "cells", "sizes", "ids", "xs"])
+
+
+def _merged(kept: tuple, more: tuple, k: int) -> tuple:
+    """The k best (query, id, score) of each query out of two lists; an id counts once."""
+    q, i, s = (np.concatenate(c) for c in zip(kept, more, strict=True))
+    order = np.lexsort((-s, i, q))  # an id may lie in several cells: its best score counts
+    order = order[np.append(True, (q[order][1:] != q[order][:-1]) | (i[order][1:] != i[order][:-1]))] if len(order) else order
+    order = order[np.lexsort((i[order], -s[order], q[order]))]
+    q, i, s = q[order], i[order], s[order]
+    rank = np.arange(len(q)) - np.searchsorted(q, q)
+    keep = rank < k
+    return q[keep], i[keep], s[keep]
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, max_pivots: int = MAX_PIVOTS, part_rows: int = PART) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best rows of ``vectors`` for each of ``queries``; both have
     vec_id and x (doubles that hold integers)."""
     spark = vectors.sparkSession
     scratch.importable(spark)
-    vectors = scratch.table(vectors.select("vec_id", "x").distinct(), "vectors")
+    vectors = scratch.table(vectors.filter("vec_id is not null").select("vec_id", "x").distinct(), "vectors")
     facts = vectors.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("dim"), F.max(F.aggregate("x", F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v)))).alias("most")).first()
     out = "query_id long, vec_id long, score long"
     if not facts["n"]:
@@ -83,89 +140,90 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, max_pivots: int =
     pivots = np.zeros((len(sample), dim))
     for i, r in enumerate(sample):
         pivots[i, : len(r["x"])] = r["x"]
-    pivots = np.unique(pivots, axis=0)
-    square = (pivots**2).sum(1)
-    chunk = min(CHUNK[1], max(CHUNK[0], n // len(pivots)))
+    near = Cells(np.unique(pivots, axis=0), [], part_rows)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in tokens.slices(batches, 1024):
             x = _matrix(b.column(1), dim)
-            far = (x**2).sum(1)[:, None] + square - 2 * x @ pivots.T
-            cell = far.argmin(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell, pa.int32()), pa.array(np.sqrt(np.maximum(0, far[np.arange(len(x)), cell]))), pa.array(np.sqrt((x**2).sum(1)))], ["vec_id", "x", "cell", "far", "norm"])
-
-    data = scratch.table(vectors.select("vec_id", "x").mapInArrow(assign, "vec_id long, x array<double>, cell int, far double, norm double"), "cells")
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, dict[int, float]] = {}
+            cell, far = near.nearest(x)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell, pa.int32()), pa.array(np.sqrt(far)), pa.array(np.sqrt((x**2).sum(1)))], ["vec_id", "x", "cell", "far", "norm"])
+
+    data = scratch.table(vectors.mapInArrow(assign, "vec_id long, x array<double>, cell int, far double, norm double"), "cells")
+    found = data.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"), F.max("norm").alias("norm")).collect()  # a row for each pivot
+    cells = Cells(near.pivots, found, part_rows)
+    many = {int(c): int(p) for c, p in enumerate(cells.parts) if p > 1}
+    first = F.create_map(*(F.lit(v) for r in found for v in (r["cell"], int(cells.first[r["cell"]]))))
+    parts = F.coalesce(F.create_map(*(F.lit(v) for kv in many.items() for v in kv))[F.col("cell")], F.lit(1)) if many else F.lit(1)
+    placed = data.select("vec_id", "x", "cell", (first[F.col("cell")] + F.pmod(F.xxhash64("vec_id", "x"), parts)).cast("long").alias("part"))
+    packed = scratch.table(placed.groupBy("part").applyInArrow(lambda rows: _packed(rows, dim), "part long, cells array<int>, sizes array<int>, ids binary, xs binary"), "parts")
+
+    def own(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The part where each query begins."""
+        cell, _ = cells.nearest(x)
+        return cells.first[cell] + ids % cells.parts[cell]
+
+    def blocks(to: list[tuple[int, np.ndarray]], ids: np.ndarray, x: np.ndarray, floor: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for part, q in to:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in (ids[q].astype("<i8"), x[q].astype("<f8"), floor[q].astype("<f8")))], ["part", "queries", "qs", "floors"])
+
+    def grouped(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Queries of like cells in blocks: ids, vectors and floors."""
+        ids, x, floor = np.asarray(b.column(0)), _matrix(b.column(1), dim), np.asarray(b.column(2).cast(pa.float64()).fill_null(-np.inf))
+        order = np.argsort(np.concatenate([cells.nearest(x[lo : lo + BLOCK])[0] for lo in range(0, len(x), BLOCK)] or [np.zeros(0, np.int64)]), kind="stable")
+        for lo in range(0, len(order), BLOCK):
+            q = order[lo : lo + BLOCK]
+            yield ids[q], x[q], floor[q]
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, cell, far = (np.asarray(b.column(i)) for i in range(3))
-            for c in np.unique(cell).tolist():
-                mine = np.flatnonzero(cell == c)
-                some = kept.get(c, {})
-                for i in mine[np.argsort(far[mine], kind="stable")].tolist():
-                    if len(some) > k and far[i] >= max(some.values()):
-                        break
-                    some[int(ids[i])] = min(far[i], some.get(int(ids[i]), np.inf))
-                    if len(some) > k + 1:
-                        del some[max(some, key=some.get)]
-                kept[c] = some
-        rows = [(i, c, v) for c, vs in kept.items() for i, v in vs.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.float64())], ["vec_id", "cell", "far"])
-
-    few = data.select("vec_id", "cell", "far").mapInArrow(nearest, "vec_id long, cell int, far double").groupBy("cell", "vec_id").agg(F.min("far").alias("far"))
-    few = few.withColumn("i", F.row_number().over(Window.partitionBy("cell").orderBy("far"))).filter(F.col("i") <= k + 1)
-    low = sorted((r["vec_id"], r["cell"], r["far"]) for r in few.select("vec_id", "cell", "far").collect())  # (k + 1) rows a cell
-    cells = data.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"), F.max("norm").alias("norm")).collect()
-    name = np.array([r["cell"] for r in cells])
-    chunks = {r["cell"]: -(-r["n"] // chunk) for r in cells}
-    radius, norm = np.array([r["radius"] for r in cells]), np.array([r["norm"] for r in cells])
-    low_id, low_cell, low_far = (np.array(v) for v in zip(*low, strict=True))
-    low_first = np.flatnonzero(np.append(True, low_id[1:] != low_id[:-1]))  # an id in several cells counts once
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, x, floor in grouped(b):
+                part = own(ids, x)
+                yield from blocks([(int(p), np.flatnonzero(part == p)) for p in np.unique(part)], ids, x, floor)
+
+    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, x = np.asarray(b.column(0)), _matrix(b.column(1), dim)
-            size = np.sqrt((x**2).sum(1))
-            to = x @ pivots.T
-            slack = 1e-9 * (size[:, None] * (norm.max() + 1) + 1)
-            at_least = np.sort(np.maximum.reduceat(to[:, low_cell] - size[:, None] * low_far, low_first, axis=1), axis=1)
-            floor = at_least[:, -(k + 1)] if at_least.shape[1] > k else np.full(len(ids), -np.inf)
-            most = np.minimum(to[:, name] + size[:, None] * radius, size[:, None] * norm)
-            goes = most + slack >= floor[:, None] - slack
-            group = np.argsort((square - 2 * to).argmin(1), kind="stable")  # queries by their own pivot
-            rows = []
-            for lo in range(0, len(group), BLOCK):
-                part = group[lo : lo + BLOCK]
-                for j in range(len(name)):
-                    if len(q := part[goes[part, j]]):
-                        rows += [(int(name[j]), c, ids[q].astype("<i8").tobytes(), x[q].astype("<f8").tobytes()) for c in range(chunks[int(name[j])])]
-            for lo in range(0, len(rows), 256):
-                some = rows[lo : lo + 256]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int32()), pa.array([r[1] for r in some], pa.int32()), pa.array([r[2] for r in some], pa.binary()), pa.array([r[3] for r in some], pa.binary())], ["cell", "chunk", "ids", "xs"])
-
-    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = []
-        if left.num_rows and right.num_rows:
-            ids = _ids(left["vec_id"])
-            order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], _matrix(left["x"].combine_chunks(), dim)[order]
-            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-            ids = ids[first]
-            for qs, xs in zip(right["ids"].to_pylist(), right["xs"].to_pylist(), strict=True):
-                q = np.frombuffer(qs, "<i8")
-                scores = np.frombuffer(xs, "<f8").reshape(len(q), dim) @ x.T
-                scores = scores if len(first) == len(x) else np.maximum.reduceat(scores, first, axis=1)
-                row, col = _best(scores, ids, q, k)
-                found.append((q[row], ids[col], scores[row, col].astype(np.int64)))
-        cols = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3)]
-        return pa.table(cols, ["query_id", "vec_id", "score"])
-
-    number = F.create_map(*(F.lit(v) for c, m in chunks.items() for v in (c, m)))
-    placed = data.select("vec_id", "x", "cell", F.pmod(F.xxhash64("vec_id", "x"), number[F.col("cell")]).cast("int").alias("chunk"))
-    asked = queries.groupBy("vec_id").agg(F.min("x").alias("x"))
-    sent = asked.mapInArrow(send, "cell int, chunk int, ids binary, xs binary")
-    local = placed.groupBy("cell", "chunk").cogroup(sent.groupBy("cell", "chunk")).applyInArrow(solve, out)
-    best = local.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+            for ids, x, floor in grouped(b):
+                reached, part = cells.bounds(x) >= floor[:, None], own(ids, x)
+                goes: dict[int, np.ndarray] = {}
+                for j, c in enumerate(cells.name.tolist()):
+                    for p in range(int(cells.first[c]), int(cells.first[c] + cells.parts[c])):
+                        goes[p] = goes.get(p, False) | reached[:, j]
+                yield from blocks([(p, q) for p, at in goes.items() if len(q := np.flatnonzero(at & (part != p)))], ids, x, floor)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        column = {int(c): j for j, c in enumerate(cells.name)}
+        for b in tokens.slices(batches, 1):
+            names, sizes = b.column(0)[0].as_py(), b.column(1)[0].as_py()
+            ids, q, floor = (np.frombuffer(b.column(i)[0].as_buffer(), t) for i, t in ((2, "<i8"), (4, "<i8"), (6, "<f8")))
+            xs, qs = (np.frombuffer(b.column(i)[0].as_buffer(), "<f8").reshape(-1, dim) for i in (3, 5))
+            floor, bounds, at = floor.copy(), cells.bounds(qs), 0
+            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            for c, size in zip(names, sizes, strict=True):
+                rows, at = slice(at, at + size), at + size
+                if not len(pick := np.flatnonzero(bounds[:, column[c]] >= floor)):
+                    continue
+                scores, own_ids = qs[pick] @ xs[rows].T, ids[rows]
+                one = np.flatnonzero(np.append(True, own_ids[1:] != own_ids[:-1]))
+                if len(one) < size:
+                    scores, own_ids = np.maximum.reduceat(scores, one, axis=1), own_ids[one]
+                row, col = _best(scores, own_ids, q[pick], k)
+                value = scores[row, col]
+                keep = value >= floor[pick[row]]
+                row, col, value = row[keep], col[keep], value[keep].astype(np.int64)
+                best = _merged(best, (pick[row], own_ids[col], value), k)
+                full = np.flatnonzero(np.bincount(best[0], minlength=len(q)) == k)
+                floor[full] = np.maximum(floor[full], best[2][np.searchsorted(best[0], full, side="right") - 1])
+            yield pa.RecordBatch.from_arrays([pa.array(q[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query_id", "vec_id", "score"])
+
+    def answers(sent: DataFrame) -> DataFrame:
+        met = packed.join(sent, "part").select("cells", "sizes", "ids", "xs", "queries", "qs", "floors")
+        return scratch.table(met.mapInArrow(solve, out), "answers")
+
+    asked = scratch.table(queries.filter("vec_id is not null").groupBy("vec_id").agg(F.min("x").alias("x")), "queries")
+    sent = "part long, queries binary, qs binary, floors binary"
+    begun = answers(asked.select("vec_id", "x", F.lit(None).cast("long").alias("floor")).mapInArrow(begin, sent))
+    floors = begun.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    rest = answers(asked.join(floors, "vec_id", "left").select("vec_id", "x", "floor").mapInArrow(go_on, sent))
+    best = begun.union(rest).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
