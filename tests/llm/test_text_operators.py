@@ -294,6 +294,33 @@ def test_decontamination_equals_brute_force(spark):
     assert got == want and sum(len(texts[i]) < len(items[j]) for i, j, _ in want) >= 20
 
 
+@pytest.mark.parametrize("n", [10, 30, 60, 120])
+@pytest.mark.parametrize("repeats", [64, 4])
+def test_decontamination_recall_at_the_limit(n, repeats, monkeypatch):
+    """Items with as many edits as are allowed, or only deletions: alone, at both ends of a text and inside it. With too few
+    repetitions for the recall, every candidate is verified."""
+    monkeypatch.setattr(decontamination, "REPEATS", repeats)
+    rng = random.Random(n)
+    say = lambda k: ["w%d" % rng.randrange(300) for _ in range(k)]
+    items = [say(n) for _ in range(12)]
+    index = decontamination.Items(list(range(12)), [" ".join(x).encode() for x in items])
+    d, caught = decontamination.allowed(n), [[] for _ in range(4)]
+    texts, want = [], []
+    for case in range(240):
+        k = rng.randrange(12)
+        near = list(items[k])
+        for _ in range(d):
+            at = rng.randrange(len(near))
+            near[at : at + 1] = [] if case % 8 < 4 else ([], ["odd"], [near[at], "odd"])[rng.randrange(3)]
+        place = case % 4
+        texts.append(" ".join((say(40) if place in (2, 3) else []) + near + (say(40) if place in (1, 3) else [])).encode())
+        want.append((place, k))
+    for (place, k), found in zip(want, index.search(texts), strict=True):
+        caught[place].append(k in {x[0] for x in found})
+    assert min(sum(c) / len(c) for c in caught) >= (0.95 if any(index.repeats) else 1.0), [sum(c) / len(c) for c in caught]
+    assert sum(map(sum, caught)) >= 0.98 * 240
+
+
 def test_edit_distance_equals_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(60):

@@ -4,12 +4,14 @@ Texts are words: ASCII letters in lower case, other ASCII characters than letter
 leaks an item if some part of it is within ``rate`` of the item's words by edit distance (insert, delete, replace a
 word). Every window of the document as long as an item is a candidate, and so is a shorter one that the end of the
 document cuts, down to n - d words; if enough of its words are words of items of that length, and some run of words is
-intact: d edits leave at least n - d of n words, in d + 1 runs at most, so this drops no leak. The CGK embedding walks
+intact: d edits leave at least n - d of n words, in d + 1 runs at most, so this step drops no leak. The CGK embedding walks
 along a window and, at each of 3 n steps, writes the word it stands on and moves on or stays, as a hash of step and
 word says; near windows write mostly the same words at the same steps, so edit distance becomes Hamming distance.
 Samples of steps make LSH keys; walks and samples are repeated until windows at the limit meet their item with
 probability ``recall`` (measured on the items themselves, randomly edited and only shortened, in a text and at its end;
-the worst counts). Windows that meet are verified by exact edit distance.
+the worst counts). Where ``REPEATS`` repetitions do not reach that, every candidate counts as met. Windows that meet are
+verified by exact edit distance. So a leak at the limit itself is found with probability ``recall``, nearer ones with
+more, and what is reported is exact.
 
 Items are taken in groups of bounded size; documents pass once for each group. Cases: null and empty documents and
 items leak nothing; items under ``least`` words must be met without an edit; repeated items and documents give a row
@@ -32,7 +34,7 @@ from . import scratch, words
 
 RATE, RECALL, LEAST = 0.2, 0.99, 8
 #: Words of an intact run that is looked for first, at most; steps of a sample, repetitions at most, bytes of items in a group.
-GRAM, SAMPLE, REPEATS, GROUP = 3, 3, 48, 32 << 20
+GRAM, SAMPLE, REPEATS, GROUP = 3, 2, 64, 4 << 20
 U = np.uint64
 _KEEP = np.arange(256, dtype=np.uint8)
 _KEEP[[i for i in range(128) if not chr(i).isalnum()]] = 32
@@ -118,6 +120,7 @@ class Items:
             self.gram_masks[c // 64][np.searchsorted(self.grams, h[size == n])] |= U(1 << (c % 64))
         self.gram_maybe = np.zeros(1 << 20, bool)
         self.gram_maybe[self.grams >> U(44)] = True
+        self.of = [of[n] for n in self.lengths]
         self._plan(of, recall)
         self.keys: list[list[dict[int, list[int]]]] = []
         for c, n in enumerate(self.lengths):
@@ -138,7 +141,8 @@ class Items:
         return embed(wide, n, self.sampled[c, :most, :steps])
 
     def _plan(self, of: dict[int, list[int]], recall: float) -> None:
-        """Samples for each length: as many repetitions as edited items need to meet themselves often enough."""
+        """Samples for each length: as many repetitions as edited items need to meet themselves often enough;
+        0 where no number does."""
         rng = np.random.default_rng(7)
         most = max(self.lengths, default=1)
         self.sampled = np.zeros((len(self.lengths), REPEATS, 3 * most), bool)
@@ -164,7 +168,7 @@ class Items:
             both = [np.concatenate([embed(np.stack(x[lo : lo + 100]).astype(U), np.full(100, n), np.repeat(self.sampled[c : c + 1, :, : 3 * n], 100, 0)) for lo in range(0, 400, 100)]) for x in (edited, true)]
             met = np.maximum.accumulate(both[0] == both[1], axis=1)
             met = np.min([met[case::4].mean(0) for case in range(4)], axis=0)
-            self.repeats.append(max(4, int(np.argmax(met >= recall)) + 1 if (met >= recall).any() else REPEATS))
+            self.repeats.append(max(4, int(np.argmax(met >= recall)) + 1) if (met >= recall).any() else 0)
 
     def search(self, texts: list[bytes]) -> list[list[tuple[int, int, int, int]]]:
         """Leaks of each text: item_id, code points from and to, edit distance; each item once a text, at its best."""
@@ -230,6 +234,12 @@ class Items:
                 mine = np.flatnonzero(c == kind)
                 n = self.lengths[kind]
                 d = allowed(n, self.rate)
+                if not self.repeats[kind]:
+                    for first in np.unique(s[mine] // (d + 1)).tolist():
+                        for k in self.of[kind]:
+                            if (k, first) not in seen:
+                                seen.add((k, first))
+                                self._verify(k, first * (d + 1), n, d, w, run, out)
                 for r, (index, known_keys) in enumerate(zip(self.keys[kind], self.sorted[kind], strict=True)):
                     key = keys[mine, r]
                     for j in mine[known_keys[np.minimum(np.searchsorted(known_keys, key), len(known_keys) - 1)] == key].tolist():
@@ -270,7 +280,10 @@ class Items:
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall: float = RECALL, name: str = "leaks") -> DataFrame:
-    """All columns of ``docs`` and ``leaks``: an array of item_id, start, end (code points) and distance."""
+    """All columns of ``docs`` and ``name``, which must be new: an array of item_id, start, end (code points) and
+    distance."""
+    if name in docs.columns:
+        raise ValueError(f"there is a column {name} already")
     spark = docs.sparkSession
     scratch.importable(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
@@ -289,7 +302,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, recall:
                 lo = 0
                 while lo < b.num_rows:
                     hi, held, texts = lo, 0, []
-                    while hi < b.num_rows and held < 1 << 21:
+                    while hi < b.num_rows and held < 1 << 20:
                         texts.append((b.column(text_at)[hi].as_py() or "").encode())
                         held += len(texts[-1])
                         hi += 1
