@@ -6,11 +6,13 @@ import os
 import re
 import sys
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OPEN: dict[str, list[str]] = {}
+#: What each thread of a session has written and not deleted.
+_OPEN: dict[tuple[str, int], list[str]] = {}
 _TABLES: dict[str, str] = {}
 
 
@@ -45,11 +47,15 @@ def importable(spark: SparkSession) -> None:
         sys.path.insert(0, here)
 
 
+def _here(spark: SparkSession) -> tuple[str, int]:
+    return spark.sparkContext.applicationId, threading.get_ident()
+
+
 def path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     importable(spark)
     new = f"{root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    _OPEN.setdefault(spark.sparkContext.applicationId, []).append(new)
+    _OPEN.setdefault(_here(spark), []).append(new)
     return new
 
 
@@ -62,14 +68,14 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 
 def written(spark: SparkSession) -> list[str]:
-    """What has been written and not deleted so far."""
-    return list(_OPEN.get(spark.sparkContext.applicationId, []))
+    """What this thread has written and not deleted so far."""
+    return list(_OPEN.get(_here(spark), []))
 
 
 def clear(spark: SparkSession, paths: list[str] | None = None) -> None:
     """Delete tables written here (all, or ``paths``). Only for callers who have stored every result made of them."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    mine = _OPEN.get(spark.sparkContext.applicationId, [])
+    mine = _OPEN.get(_here(spark), [])
     for at in [p for p in mine if paths is None or p in paths]:
         mine.remove(at)
         if at in _TABLES:
