@@ -42,8 +42,8 @@ LOAD, SMALL, SMALL_CELLS, STEP = 1.8, 100, 1 << 20, 4
 #: Seeds of the deal of tokens to cells. A deal under which some set fills too few cells for the pigeonhole is made
 #: again; at this load, that is 12 standard deviations from what a set fills.
 SEEDS = 8
-#: Documents of a chunk in the last step; parts that a hot cell's facts are dealt to; pairs of a document in one part.
-CHUNK, SALTS, HUB = 512, 16, 256
+#: Documents of a chunk in the last step.
+CHUNK = 512
 #: Documents whose tokens are sorted at once: with the number of the document before it, a hash has 56 bits.
 SORTED, TOKEN = 256, U((1 << 56) - 1)
 
@@ -299,40 +299,56 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
             return h, g, np.where(at[k] == d, to[k], g)
         return h, g, g
 
-    def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def holdings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The components in each cell, and how many documents of the block each has there."""
         for b in batches:
             for r in b.to_pylist():
                 h, _, to = label(r)
                 if not len(h):
                     continue
-                new = _starts(h)
-                low, high, h = np.minimum.reduceat(to, new), np.maximum.reduceat(to, new), h[new]
+                order = np.lexsort((to, h))
+                h, to = h[order], to[order]
+                new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (to[1:] != to[:-1])))
+                h, to, n = h[new], to[new], np.diff(np.append(new, len(h)))
                 s = shard(h)
                 order = np.argsort(s, kind="stable")
                 for at in np.split(order, _starts(s[order])[1:]):
-                    yield _rows(["shard", "block", "keys", "low", "high"], [pa.int32(), pa.int64(), *[pa.binary()] * 3], [(int(s[at[0]]), r["block"], h[at].tobytes(), low[at].tobytes(), high[at].tobytes())])
+                    yield _rows(["shard", "block", "keys", "labels", "counts"], [pa.int32(), pa.int64(), *[pa.binary()] * 3], [(int(s[at[0]]), r["block"], h[at].tobytes(), to[at].tobytes(), n[at].astype("<i4").tobytes())])
 
     def differing(part: pa.Table) -> pa.Table:
+        """For each block, its cells that hold several components: the largest, and the chunks of the cell."""
         got = part.to_pylist()
-        h = np.concatenate([np.frombuffer(r["keys"], "<u8") for r in got])
-        low, high = (np.concatenate([np.frombuffer(r[c], "<i8") for r in got]) for c in ("low", "high"))
-        order = np.argsort(h, kind="stable")
-        new = _starts(h[order])
-        mixed = h[order][new][np.minimum.reduceat(low[order], new) < np.maximum.reduceat(high[order], new)]
-        out = [(x := np.frombuffer(r["keys"], "<u8"))[np.isin(x, mixed)].tobytes() for r in got]
-        return pa.table([part["block"], pa.array(out, pa.binary())], ["block", "mixed"])
+        h, to, n = (np.concatenate([np.frombuffer(r[c], t) for r in got]) for c, t in (("keys", "<u8"), ("labels", "<i8"), ("counts", "<i4")))
+        order = np.lexsort((to, h))
+        h, to, n = h[order], to[order], n[order].astype(np.int64)
+        new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (to[1:] != to[:-1])))
+        h, to, n = h[new], to[new], np.add.reduceat(n, new)
+        first = _starts(h)
+        many = np.diff(np.append(first, len(h))) > 1
+        order = np.lexsort((to, n, h))  # of each cell, the largest comes last
+        last = order[np.append(first[1:], len(h)) - 1]
+        keys, largest, chunks = h[first][many], to[last][many], -(-np.add.reduceat(n, first)[many] // CHUNK)
+        out = []
+        for r in got:
+            at = np.flatnonzero(np.isin(keys, np.frombuffer(r["keys"], "<u8")))
+            out.append((keys[at].tobytes(), largest[at].astype("<i8").tobytes(), chunks[at].astype("<i4").tobytes()))
+        return pa.table([part["block"], *(pa.array([o[i] for o in out], pa.binary()) for i in range(3))], ["block", "keys", "largest", "chunks"])
 
-    mixed = labelled.mapInArrow(extremes, "shard int, block long, keys binary, low binary, high binary").groupBy("shard").applyInArrow(differing, "block long, mixed binary")
-    again = labelled.join(mixed.groupBy("block").agg(F.collect_list("mixed").alias("mixed")), "block")
+    mixed = labelled.mapInArrow(holdings, "shard int, block long, keys binary, labels binary, counts binary").groupBy("shard").applyInArrow(differing, "block long, keys binary, largest binary, chunks binary")
+    again = labelled.join(mixed.groupBy("block").agg(F.collect_list(F.struct("keys", "largest", "chunks")).alias("mixed")), "block")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
+                keys, largest, chunks = (np.frombuffer(b"".join(m[c] for m in r["mixed"]), t) for c, t in (("keys", "<u8"), ("largest", "<i8"), ("chunks", "<i4")))
+                order = np.argsort(keys)
                 h, g, to = label(r)
-                keep = np.isin(h, np.frombuffer(b"".join(r["mixed"]), "<u8"))
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(g[keep]), pa.array(to[keep])], ["key", "gid", "label"])
+                at = order[np.minimum(np.searchsorted(keys[order], h), len(order) - 1)] if len(order) else np.zeros(len(h), np.int64)
+                keep = keys[at] == h if len(order) else np.zeros(len(h), bool)
+                at = at[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(g[keep]), pa.array(to[keep]), pa.array(largest[at]), pa.array(chunks[at])], ["key", "gid", "label", "largest", "chunks"])
 
-    rest = scratch.table(again.mapInArrow(members, "key long, gid long, label long"), "mixed")
+    rest = scratch.table(again.mapInArrow(members, "key long, gid long, label long, largest long, chunks int"), "mixed")
     more = verify(_across(rest, known, percent))
     labels = components(links.union(more))
 
@@ -360,12 +376,8 @@ def dedup(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
 def _verified(pairs: DataFrame, known: DataFrame, blocks: DataFrame, n: int, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked: first by sizes and parity bits, then by the sets themselves."""
     one, two = (known.select(F.col("gid").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}")) for x in "ab")
-    pairs = pairs.distinct()
-    # the first document of a hot cell has thousands of partners: its pairs are dealt to parts, and it goes to each
-    hubs = scratch.table(pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")).filter("parts > 1"), "hubs")
-    to_parts = lambda rows: rows.join(hubs, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    pairs = pairs.join(hubs, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    near = pairs.join(to_parts(one), ["a", "part"]).join(two, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    # a document with many partners is a skewed key of these joins, which adaptive execution splits
+    near = pairs.distinct().join(one, "a").join(two, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     t = percent / 100
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,9 +389,9 @@ def _verified(pairs: DataFrame, known: DataFrame, blocks: DataFrame, n: int, siz
                 far = np.count_nonzero(_fold_low(p, bits) != _fold_low(q, bits))
                 keep.append(far <= (r["na"] + r["nb"]) * (1 - t) / (1 + t) + 1e-9)
             k = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(i).filter(k) for i in range(3)], ["a", "b", "part"])
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(k) for i in range(2)], ["a", "b"])
 
-    near = scratch.table(near.select("a", "b", "part", "na", "nb", "pa", "pb").mapInArrow(close, "a long, b long, part int"), "near")
+    near = scratch.table(near.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(close, "a long, b long"), "near")
     needed = near.select(F.col("a").alias("gid")).union(near.select("b")).distinct()
     asked = needed.select(F.shiftright("gid", 20).alias("block"), F.col("gid").bitwiseAND((1 << 20) - 1).cast("int").alias("at"))
     wanted = B.per_block(asked, blocks.select("block", "ids", "lengths", "data"), n, "asked")
@@ -399,7 +411,7 @@ def _verified(pairs: DataFrame, known: DataFrame, blocks: DataFrame, n: int, siz
                     yield pa.RecordBatch.from_arrays([pa.array(gid(number, at[lo:hi])), pa.array([h[ends[i] : ends[i + 1]].astype("<u8").tobytes() for i in range(lo, hi)], pa.binary())], ["gid", "set"])
 
     each = scratch.table(wanted.mapInArrow(sets, "gid long, set binary"), "tokens")
-    full = near.join(each.select(F.col("gid").alias("b"), F.col("set").alias("y")), "b").join(to_parts(each.select(F.col("gid").alias("a"), F.col("set").alias("x"))), ["a", "part"])
+    full = near.join(each.select(F.col("gid").alias("b"), F.col("set").alias("y")), "b").join(each.select(F.col("gid").alias("a"), F.col("set").alias("x")), "a")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -422,12 +434,7 @@ def _across(rest: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     (``base``); all but those of its largest component also visit every chunk (``probe``), chunk by chunk, and so meet
     each other and that component once, CHUNK by CHUNK of them in a group. Pairs are formed and dropped inside a task; only those near in parity leave it."""
     t = percent / 100
-    sizes = rest.groupBy("key", "label").agg(F.count("*").alias("m"))
-    per_key = sizes.groupBy("key").agg(F.sum("m").alias("all"), F.max(F.struct("m", "label")).alias("top"))
-    facts = per_key.select("key", F.col("top.label").alias("largest"), F.ceil(F.col("all") / CHUNK).cast("int").alias("chunks"))
-    # a hot cell's rows are dealt to SALTS parts, and its facts go to each
-    facts = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rest.withColumn("salt", F.pmod(F.xxhash64("gid"), F.lit(SALTS)).cast("int")).join(facts, ["key", "salt"]).join(known, "gid")
+    rows = rest.join(known, "gid")
     own = F.pmod(F.xxhash64("gid"), F.col("chunks")).cast("int")
     each = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     about = ("gid", "label", "n", "parity")
