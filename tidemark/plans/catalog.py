@@ -488,33 +488,6 @@ def almgren_chriss(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(spark.range(1).select(F.posexplode(policies.almgren_chriss(8, 0.3)).alias("step", "holding")))
 
 
-def _fold_sql(first: str) -> str:
-    return f"""WITH RECURSIVE {TAPE}, {ANCHOR}, r AS (SELECT key, 0 AS fwd, 1.0::DOUBLE AS lft, 0.0::DOUBLE AS got, 0.0::DOUBLE AS last, -1.0::DOUBLE AS peak, 0 AS sells, 0.0::DOUBLE AS ret FROM (SELECT DISTINCT key FROM fw)
- UNION ALL SELECT key, fwd, lft-part, got+part*(1+ret), CASE WHEN part>0 THEN dt ELSE last END, greatest(peak,ret), sells+CASE WHEN part>0 THEN 1 ELSE 0 END, ret FROM
- (SELECT f.key, f.fwd, r.lft, r.got, r.last, r.peak, r.sells, f.ret, f.dt, least(r.lft, {first}) AS part FROM r JOIN fw f ON f.key=r.key AND f.fwd=r.fwd+1))
-SELECT key, round(arg_max(got,fwd)+arg_max(lft,fwd)*(1+arg_max(ret,fwd)),6) AS proceeds, arg_max(sells,fwd) AS sells, round(arg_max(got,fwd)+arg_max(lft,fwd)*(1+arg_max(ret,fwd))-1,6) AS exit_ret FROM r GROUP BY key"""
-
-
-@query("k_combined_fold", _fold_sql("CASE WHEN (f.ret>0 AND f.dt-r.last>=5.0) OR f.dt-r.last>=15.0 THEN 0.25 ELSE 0.0 END"))
-def k_combined_fold(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(policies.replay(_anchored(spark, sf), "k_combined"))
-
-
-@query("time_spaced_fold", _fold_sql("CASE WHEN f.dt-r.last>=3600.0 THEN 0.125 ELSE 0.0 END"))
-def time_spaced_fold(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(policies.replay(_anchored(spark, sf), "time_spaced"))
-
-
-@query("hybrid_trail_fold", _fold_sql("CASE WHEN f.ret>=0.5 AND r.lft>0.99 THEN 0.5 WHEN greatest(r.peak,f.ret)>=0.5 AND 1+f.ret<=(1+greatest(r.peak,f.ret))*0.7 THEN 1.0 ELSE 0.0 END"))
-def hybrid_trail_fold(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(policies.replay(_anchored(spark, sf), "hybrid_trail"))
-
-
-@query("frontload_fold", _fold_sql("CASE WHEN r.lft>0.99 THEN 0.5 WHEN f.ret>0 THEN 0.1 ELSE 0.0 END"))
-def frontload_fold(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(policies.replay(_anchored(spark, sf), "frontload"))
-
-
 @query(
     "mdp_tables",
     f"""WITH {TAPE}, {ANCHOR}, s AS (SELECT key, fwd, CASE WHEN ret<-0.5 THEN 0 WHEN ret<0 THEN 1 WHEN ret<0.5 THEN 2 WHEN ret<1 THEN 3 ELSE 4 END AS state, ret FROM fw), t AS (SELECT *, lead(state) OVER w AS nxt, lead(ret) OVER w - ret AS reward FROM s WINDOW w AS (PARTITION BY key ORDER BY fwd))

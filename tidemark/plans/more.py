@@ -323,28 +323,6 @@ def risk_gates(spark: SparkSession, sf: str) -> DataFrame:
     return f.groupBy("key").agg(one(F.col("rate") > 4).alias("too_fast"), one(F.col("fails") >= 4).alias("failing"), one(F.col("lost") < -500).alias("lossy"))
 
 
-@query(
-    "paper_book_fold",
-    f"""WITH RECURSIVE {TAPE}, {ANCHOR}, m AS (SELECT key, max(fwd) AS last FROM fw GROUP BY key), i AS (SELECT DISTINCT m.key, CAST(1 + round_even(k*(last-1)/7.0,0) AS BIGINT) AS fwd FROM m, (SELECT unnest(range(0,8)) AS k)), s AS (SELECT i.key, i.fwd, ret, row_number() OVER (PARTITION BY i.key ORDER BY i.fwd) AS j, count(*) OVER (PARTITION BY i.key) AS c FROM i JOIN fw ON fw.key=i.key AND fw.fwd=i.fwd),
-r AS (SELECT key, 0 AS j, 1.0::DOUBLE AS price, 0.0::DOUBLE AS got FROM m UNION ALL SELECT r.key, r.j+1, price*(1-0.02/c), got + (1+ret)*price/c FROM r JOIN s ON s.key=r.key AND s.j=r.j+1)
-SELECT key, CAST(max(j) AS INTEGER) AS slices, round(arg_max(got,j)-1-0.025,6) AS net FROM r GROUP BY key""",
-)
-def paper_book_fold(spark: SparkSession, sf: str) -> DataFrame:
-    """Up to eight slices at evenly spaced rows (half to even), each selling into the price the ones before moved."""
-    path = _anchored(spark, sf).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("fwd", "ret"))).alias("path"))
-    last = F.size("path")
-    at = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: (1 + F.bround(k * (last - 1) / 7.0, 0)).cast("int")))
-    rows = path.withColumn("at", at)
-    zero = F.struct(F.lit(1.0).alias("price"), F.lit(0.0).alias("got"))
-    c = F.size("at").cast("double")
-
-    def step(s, k):
-        return F.struct((s["price"] * (1 - F.lit(0.02) / c)).alias("price"), (s["got"] + (1 + F.element_at("path", k)["ret"]) * s["price"] / c).alias("got"))
-
-    done = rows.select("key", F.size("at").alias("slices"), (F.aggregate("at", zero, step)["got"] - 1 - 0.025).alias("net"))
-    return rounded(done)
-
-
 @query(
     "value_iteration",
     None,
@@ -365,10 +343,3 @@ def value_iteration(spark: SparkSession, sf: str) -> DataFrame:
         v = np.maximum(0.0, (p * (r + 0.99 * v)).sum(1))
     hold = (p * (r + 0.99 * v)).sum(1)
     return spark.createDataFrame([(i, float(round(hold[i], 6)), bool(hold[i] > 0)) for i in range(5)], "state int, hold_value double, hold boolean")
-
-
-for _name in policies.REGISTRY:
-
-    @query(f"policy_{_name}_impact")
-    def _replay(spark: SparkSession, sf: str, name: str = _name) -> DataFrame:
-        return rounded(policies.replay(_anchored(spark, sf), name, impact=0.02))
