@@ -535,14 +535,15 @@ def test_pages_as_tables(spark):
     assert main_text.extract(pages.limit(0)).count() == 0
 
 
-def test_block_max_index_equals_brute_force():
+@pytest.mark.parametrize("common", [0, 5, 256])
+def test_block_max_index_equals_brute_force(common):
     rng = np.random.default_rng(0)
     vectors = []
     for _ in range(500):
         t = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
         w = rng.random(len(t)) + 0.1
         vectors.append((np.append(t, 40), np.append(w, 0.5) / np.sqrt((w**2).sum() + 0.25)))
-    index = toxicity.Index(vectors, np.arange(500), 41)
+    index = toxicity.Index(vectors, np.arange(500), 41, common)
     dense = np.zeros((500, 41))
     for i, (t, w) in enumerate(vectors):
         dense[i, t] = w

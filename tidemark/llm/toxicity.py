@@ -7,8 +7,10 @@ more, so that neighbours are alike in what makes texts toxic before they are ali
 words count, so few labels work like many.
 
 The labelled examples stand in a block-max inverted index: examples in blocks, and for each term and block its largest
-weight. A search bounds every block by the sum of those, opens blocks from the best bound down, and stops when no block
-can hold a nearer example than the k-th found: exact cosine. Votes are weighted by cosine (and by how many labelled
+weight. The most frequent terms, which are in most blocks, stand apart in a matrix, and give exact parts of all cosines
+for a batch of texts at once. A search bounds every block by its best such part and the sum of its weights for the other
+terms, opens blocks from the best bound down, and stops when no block can hold a nearer example than the k-th found: exact
+cosine. Votes are weighted by cosine (and by how many labelled
 documents an example stands for); held to the leave-one-out outcomes of the examples themselves, they become calibrated
 scores. The neighbours are returned as evidence.
 
@@ -37,8 +39,8 @@ from pyspark.sql import types as T
 
 from . import scratch, tokens, varbyte, words
 
-#: Labelled examples of each class, about; neighbours that vote; examples in a block of the index.
-PER_CLASS, NEIGHBOURS, BLOCK = 4_000, 15, 64
+#: Labelled examples of each class, about; neighbours that vote; examples in a block of the index; terms in the matrix.
+PER_CLASS, NEIGHBOURS, BLOCK, COMMON = 2_500, 15, 64, 256
 #: Terms whose document frequencies one task adds up; texts whose result a task remembers.
 SHARD, MEMO = 1 << 15, 4_096
 U = np.uint64
@@ -94,7 +96,7 @@ def unit(weight: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> tuple[np.
 class Index:
     """Block-max inverted index of unit vectors."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, terms: int):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, terms: int, common: int = COMMON):
         # alike examples share blocks: order by heaviest term
         heavy = np.array([t[np.argmax(w)] if len(t) else -1 for t, w in vectors], np.int64)
         self.order = np.lexsort((ids, heavy))
@@ -103,25 +105,47 @@ class Index:
         doc = np.repeat(np.arange(len(ids)), [len(vectors[j][0]) for j in self.order]) if len(ids) else np.zeros(0, np.int64)
         term, weight = (np.concatenate([vectors[j][i] for j in self.order] or [np.zeros(0)]) for i in (0, 1))
         term = term.astype(np.int64)
+        # the matrix: a column for each of the most frequent terms
+        often = np.bincount(term, minlength=terms)
+        self.column = np.full(terms, -1, np.int32)
+        top = np.argsort(-often, kind="stable")[:common]
+        self.column[top] = np.arange(len(top))
+        self.matrix = np.zeros((len(ids), len(top)))
+        at = self.column[term]
+        self.matrix[doc[at >= 0], at[at >= 0]] = weight[at >= 0]
+        doc, term, weight = doc[at < 0], term[at < 0], weight[at < 0]
         by = np.lexsort((doc, term))
         self.doc, self.weight = doc[by].astype(np.int32), weight[by]
-        # an entry for each term and block: its postings, and their peak
+        # an entry for each other term and block: its postings, and their peak
         pair = term[by] * max(1, self.blocks) + doc[by] // BLOCK
         new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
-        self.first = np.append(new, len(pair))
+        self.first = np.append(new, len(pair)).astype(np.int32)
         self.block = (pair[new] % max(1, self.blocks)).astype(np.int32)
         self.peak = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
-        self.of = np.searchsorted(pair[new] // max(1, self.blocks), np.arange(terms + 1))
-
-    def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places (in the order given) and cosines of the k nearest examples with a cosine above 0."""
-        terms, w = vector
+        self.of = np.searchsorted(pair[new] // max(1, self.blocks), np.arange(terms + 1)).astype(np.int32)
+
+    def parts(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """For each text and example, what the common terms add to their cosine."""
+        rows = np.zeros((len(vectors), self.matrix.shape[1]))
+        for row, (terms, w) in zip(rows, vectors, strict=True):
+            at = self.column[terms]
+            row[at[at >= 0]] = w[at >= 0]
+        return rows @ self.matrix.T
+
+    def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int, but: int | None = None, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places (in the order given) and cosines of the k nearest examples with a cosine above 0; ``part``: the text's
+        row of :meth:`parts`."""
+        place, cosine, least, at, some = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 16
+        if not self.blocks:
+            return place, cosine
+        part = self.parts([vector])[0] if part is None else part
+        rare = self.column[vector[0]] < 0
+        terms, w = vector[0][rare], vector[1][rare]
         n = self.of[terms + 1] - self.of[terms]
         entry, weight = _ranges(self.of[terms], n), np.repeat(w, n)
         block = self.block[entry]
-        bound = np.bincount(block, self.peak[entry] * weight, self.blocks)
+        bound = np.bincount(block, self.peak[entry] * weight, self.blocks) + np.maximum.reduceat(part, np.arange(0, len(part), BLOCK))
         todo = np.argsort(-bound, kind="stable")
-        place, cosine, least, at, some = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 4
         while at < self.blocks and bound[todo[at]] > 0 and bound[todo[at]] >= least - 1e-9:
             opened = np.zeros(self.blocks, bool)
             opened[todo[at : at + some]] = True
@@ -130,8 +154,8 @@ class Index:
             pick = np.flatnonzero(opened[block])
             m = self.first[entry[pick] + 1] - self.first[entry[pick]]
             post = _ranges(self.first[entry[pick]], m)
-            score = np.bincount(self.doc[post], self.weight[post] * np.repeat(weight[pick], m), len(self.ids))
-            new = np.flatnonzero(score > max(0.0, least - 1e-9))
+            score = part + np.bincount(self.doc[post], self.weight[post] * np.repeat(weight[pick], m), len(part))
+            new = np.flatnonzero((score > max(0.0, least - 1e-9)) & np.repeat(opened, BLOCK)[: len(part)])
             if but is not None:
                 new = new[self.order[new] != but]
             place, cosine = np.concatenate([place, new]), np.concatenate([cosine, score[new]])
@@ -146,56 +170,62 @@ class Model:
 
     def __init__(self, terms: np.ndarray, weight: np.ndarray, examples: list[tuple[int, int, float, np.ndarray, np.ndarray]]):
         self.terms, self.weight = Terms(terms), weight
-        vectors = [unit(weight, e[3], e[4]) for e in examples]
-        full = [i for i, v in enumerate(vectors) if len(v[0])]
-        self.ids = np.array([examples[i][0] for i in full], np.int64)
-        self.label = np.array([examples[i][1] for i in full], float)
-        self.stands = np.array([examples[i][2] for i in full], float)
-        self.sparse = [vectors[i] for i in full]
-        self.index = Index(self.sparse, self.ids, len(terms))
+        full = [e for e in examples if len(e[3])]
+        self.ids = np.array([e[0] for e in full], np.int64)
+        self.label = np.array([e[1] for e in full], float)
+        self.stands = np.array([e[2] for e in full], float)
+        self.index = Index([unit(weight, e[3], e[4]) for e in full], self.ids, len(terms))
         every = sum(e[2] for e in examples)
         self.rate = sum(e[1] * e[2] for e in examples) / every if every else 0.0
         without = [e for e in examples if not len(e[3])]
         self.none = (sum(e[1] * e[2] for e in without) + 0.5 * self.rate) / (sum(e[2] for e in without) + 0.5)
-        self.memo: dict[bytes, tuple[float, list[int], list[float]]] = {}
-        self.bins = np.linspace(0.05, 0.95, 10)
 
-    def vote(self, vector: tuple[np.ndarray, np.ndarray], but: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
-        """The share of label 1 among the nearest, weighted by cosine; -1 if there are none."""
-        place, cosine = self.index.nearest(vector, NEIGHBOURS, but)
-        w = cosine * self.stands[place]
-        return (float((w * self.label[place]).sum() / w.sum()) if len(place) else -1.0), place, cosine
+    def votes(self, bags: list[tuple[np.ndarray, np.ndarray]], but: list[int] | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Of each text: the share of label 1 among the nearest, weighted by cosine (-1 if there are none), and their places
+        and cosines."""
+        vectors = [unit(self.weight, t, n) for t, n in bags]
+        out = []
+        for k, (vector, part) in enumerate(zip(vectors, self.index.parts(vectors), strict=True)):
+            place, cosine = self.index.nearest(vector, NEIGHBOURS, but[k] if but else None, part)
+            w = cosine * self.stands[place]
+            out.append((float((w * self.label[place]).sum() / w.sum()) if len(place) else -1.0, place, cosine))
+        return out
 
-    def calibrate(self, votes: np.ndarray) -> None:
+    def calibrated(self, votes: np.ndarray) -> np.ndarray:
         """Outcomes of the examples, each against all others (``votes``), by tenths of the vote; smoothed towards the
         vote and made to rise with it."""
         at = np.clip((votes * 10).astype(int), 0, 9)
         ok = votes >= 0
         n = np.bincount(at[ok], self.stands[ok], 10)
         y = np.bincount(at[ok], (self.stands * self.label)[ok], 10)
-        rate = (y + 2 * (np.arange(10) + 0.5) / 10) / (n + 2)
-        self.bins = np.maximum.accumulate(rate)
+        return np.maximum.accumulate((y + 2 * (np.arange(10) + 0.5) / 10) / (n + 2))
 
-    def probability(self, vote: float) -> float:
-        if vote < 0:
-            return self.none
-        return min(1.0, max(0.0, float(np.interp(vote, (np.arange(10) + 0.5) / 10, self.bins))))
 
-    def score(self, texts: list[str | None]) -> list[tuple[float, list[int], list[float]]]:
-        """Score, neighbours and their cosines of each text."""
-        out = []
-        for terms, counts in self.terms.counts(texts):
-            key = blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest()  # copies are looked up once
-            if (known := self.memo.get(key)) is None:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                vote, place, cosine = self.vote(unit(self.weight, terms, counts))
-                known = self.memo[key] = (self.probability(vote), self.ids[place].tolist(), cosine.tolist())
-            out.append(known)
-        return out
+class Learned:
+    """A broadcast :class:`Model` and its calibration."""
 
-    def __getstate__(self) -> dict:
-        return {**self.__dict__, "memo": {}}
+    def __init__(self, shared, bins: np.ndarray):
+        self.shared, self.bins = shared, bins
+
+
+class Scores:
+    """What a task computes, once for texts that are alike."""
+
+    def __init__(self, model: Model, bins: np.ndarray):
+        self.model, self.bins = model, bins
+        self.memo: dict[bytes, tuple[float, list[int], list[float]]] = {}
+
+    def of(self, texts: list[str | None]) -> list[tuple[float, list[int], list[float]]]:
+        """Score, neighbours and their cosines of each text."""
+        bags = self.model.terms.counts(texts)
+        keys = [blake2b(t.tobytes() + n.tobytes(), digest_size=16).digest() for t, n in bags]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        todo = {k: i for i, k in enumerate(keys) if k not in self.memo}
+        for k, (vote, place, cosine) in zip(todo, self.model.votes([bags[i] for i in todo.values()]), strict=True):
+            p = self.model.none if vote < 0 else float(np.interp(vote, (np.arange(10) + 0.5) / 10, self.bins))
+            self.memo[k] = (min(1.0, max(0.0, p)), self.model.ids[place].tolist(), cosine.tolist())
+        return [self.memo[k] for k in keys]
 
 
 def relevance(a0: np.ndarray, a1: np.ndarray, d0: int, d1: int) -> np.ndarray:
@@ -241,7 +271,7 @@ def frequencies(corpus: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
     return df, n
 
 
-def learn(docs: DataFrame, labels: DataFrame, corpus: DataFrame, per_class: int = PER_CLASS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, corpus: DataFrame, per_class: int = PER_CLASS) -> Learned:
     """A model from ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic); document frequencies from ``corpus``."""
     spark = docs.sparkSession
     scratch.importable(spark)
@@ -260,7 +290,7 @@ def learn(docs: DataFrame, labels: DataFrame, corpus: DataFrame, per_class: int
             found = [np.unique(w.hash[lo:hi], return_counts=True) for lo, hi in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([h.astype("<u8").tobytes() for h, _ in found], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in found], pa.binary())], ["doc_id", "y", "h", "n"])
 
-    each = rows.select("doc_id", "y", "text").mapInArrow(bags, "doc_id long, y int, h binary, n binary")
+    each = scratch.table(rows.select("doc_id", "y", "text").mapInArrow(bags, "doc_id long, y int, h binary, n binary"), "bags")
     found = [(r["doc_id"], r["y"], np.frombuffer(r["h"], "<u8"), np.frombuffer(r["n"], "<i4")) for r in each.toLocalIterator()]  # per_class bounds them
     found.sort(key=lambda e: e[:2])
     terms, at = words.distinct(np.concatenate([e[2] for e in found] or [np.zeros(0, U)]))
@@ -271,24 +301,27 @@ def learn(docs: DataFrame, labels: DataFrame, corpus: DataFrame, per_class: int
     weight = (np.log((1 + n) / (1 + df)) + 1) * relevance(seen[0], seen[1], max(1, sizes.get(0, 0)), max(1, sizes.get(1, 0)))
     stands = {y: totals.get(y, 0) / k for y, k in sizes.items()}
     model = Model(terms, weight, [(i, y, stands[y], p, k) for p, (i, y, _, k) in zip(places, found, strict=True)])
-    shared = spark.sparkContext.broadcast(model)
+    number = {e[:2]: k for k, e in enumerate(e for e in found if len(e[2]))}
+    size = len(number)
+    del found, places, at
+    shared = spark.sparkContext.broadcast(model)  # PER_CLASS bounds it
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.asarray(b.column(0))
-            votes = [shared.value.vote(shared.value.sparse[i], i)[0] for i in at.tolist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes, pa.float64())], ["id", "vote"])
-
-    votes = np.zeros(len(model.ids))
-    for r in spark.range(0, len(model.ids), 1, 12).mapInArrow(vote, "id long, vote double").collect():  # bounded by per_class
+        known = shared.value
+        for b in tokens.slices(batches, 128):
+            ids, labels_of, h, n = (b.column(i).to_pylist() for i in range(4))
+            keep = [i for i, x in enumerate(h) if x]
+            bags_of = [(np.searchsorted(known.terms.terms, np.frombuffer(h[i], "<u8")), np.frombuffer(n[i], "<i4")) for i in keep]
+            at = [number[ids[i], labels_of[i]] for i in keep]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([v for v, _, _ in known.votes(bags_of, at)], pa.float64())], ["id", "vote"])
+
+    votes = np.zeros(size)
+    for r in each.mapInArrow(vote, "id long, vote double").collect():  # bounded by per_class
         votes[r["id"]] = r["vote"]
-    shared.unpersist()
-    model.calibrate(votes)
-    model.sparse = []  # the index has them
-    return model
+    return Learned(shared, model.calibrated(votes))
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+def score(docs: DataFrame, learned: Learned, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
     """The columns ``keep`` with score, predicted (1 if score >= 0.5), neighbours (doc_ids) and cosines; their names
     start with ``prefix``, so that none clashes with a kept column."""
     rows = docs.select(*keep, docs["text"].cast("string").alias(f"{prefix}_t"))
@@ -296,14 +329,13 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), pr
     for field in schema.fields[len(keep) :]:
         field.name = prefix + field.name
     schema = T.StructType(schema.fields)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # PER_CLASS bounds it
+    shared, bins = learned.shared, learned.bins
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        scores = Scores(shared.value, bins)
         for b in tokens.slices(batches):
-            found = model.score(b.column(b.num_columns - 1).to_pylist())
+            found = scores.of(b.column(b.num_columns - 1).to_pylist())
             p = [x[0] for x in found]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32()), pa.array([x[1] for x in found], pa.list_(pa.int64())), pa.array([x[2] for x in found], pa.list_(pa.float64()))], schema.names)
-        model.memo.clear()
 
     return rows.mapInArrow(run, schema)
