@@ -9,16 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that a global order is cut into: raise it with the data.
-RANGES = 32
+#: Ranges that a global order is cut into at most: as many as there are shuffle partitions, which follow the data.
+RANGES = 1000
 
 
-def _ranges(rows: DataFrame, by: str, descending: bool) -> Column:
-    """A number for each range of ``by`` between approximate quantiles, rising in the order asked for."""
-    part = F.lit(0)
-    for c in sorted(set(rows.approxQuantile(by, [i / RANGES for i in range(1, RANGES)], 0.01))):
-        part = part + (F.col(by) > c).cast("int")
-    return -part if descending else part
+def _in_ranges(rows: DataFrame, by: str, descending: bool) -> DataFrame:
+    """``rows`` with ``part``: a number for each range of ``by`` between approximate quantiles, rising in the order asked
+    for. The quantiles are a row of the same plan: nothing runs before the result is asked for."""
+    n = max(2, min(RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    edges = rows.agg(F.array_distinct(F.percentile_approx(by, F.array(*(F.lit(i / n) for i in range(1, n))), F.lit(10 * n))).alias("edges"))
+    part = F.size(F.filter(F.coalesce("edges", F.array().cast(edges.schema["edges"].dataType)), lambda e: e < F.col(by)))
+    return rows.crossJoin(F.broadcast(edges)).withColumn("part", -part if descending else part).drop("edges")  # one row of edges
 
 
 def running(rows: DataFrame, by: str, values: list[str], descending: bool = False) -> DataFrame:
@@ -26,7 +27,7 @@ def running(rows: DataFrame, by: str, values: list[str], descending: bool = Fals
 
     Sums run inside ranges of ``by``, and the few range totals are carried over.
     """
-    rows = rows.withColumn("part", _ranges(rows, by, descending))
+    rows = _in_ranges(rows, by, descending)
     order = F.desc(by) if descending else F.asc(by)
     inside = Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     totals = rows.groupBy("part").agg(*(F.sum(v).alias(v) for v in values))
@@ -36,6 +37,20 @@ def running(rows: DataFrame, by: str, values: list[str], descending: bool = Fals
     return out.withColumns({f"cum_{v}": F.col(f"cum_{v}") + F.col(f"carry_{v}") for v in values}).drop("part", *(f"carry_{v}" for v in values))
 
 
+def quantiles(rows: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """One row: the exact quantiles q0, q1, ... of ``value`` (nulls apart), with linear interpolation. Counts of distinct
+    values and their running sums take the place of a sort in one task."""
+    per = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("m"))
+    cum = running(per, "v", ["m"]).crossJoin(F.broadcast(per.agg(F.sum("m").alias("n"))))  # one row of totals
+    out = []
+    for i, q in enumerate(shares):
+        at = (F.col("n") - 1) * q
+        held = lambda k: F.max(F.when((F.col("cum_m") - F.col("m") <= k) & (k < F.col("cum_m")), F.col("v")))
+        low, high = held(F.floor(at)), held(F.ceil(at))
+        out.append((low + (high - low) * F.max(at - F.floor(at))).alias(f"q{i}"))
+    return cum.agg(*out)
+
+
 def auc(rows: DataFrame) -> DataFrame:
     """Area under the ROC curve by rank sums, ties at their mean rank."""
     per = rows.groupBy("score").agg(F.count("*").alias("m"), F.sum("y").alias("pos"))
@@ -67,7 +82,7 @@ def ks(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
 def ordered(rows: DataFrame, by: str, *then: str, descending: bool = False) -> DataFrame:
     """``rows`` with rn, from 1 in the order of ``by`` and ``then``, and total: ranks inside ranges of ``by``, plus the
     rows of the ranges before."""
-    rows = rows.withColumn("part", _ranges(rows, by, descending))
+    rows = _in_ranges(rows, by, descending)
     inside = Window.partitionBy("part").orderBy(F.desc(by) if descending else F.asc(by), *then)
     sizes = rows.groupBy("part").agg(F.count("*").alias("c"))
     whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

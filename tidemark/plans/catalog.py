@@ -417,9 +417,12 @@ def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
 SELECT stale, count(gap) AS gaps, CAST(sum(CASE WHEN gap>stale THEN 1 ELSE 0 END) AS BIGINT) AS false_closes, count(DISTINCT CASE WHEN gap>stale THEN key END) AS keys, round(quantile_cont(gap,0.5),6) AS gap_p50, round(max(gap),6) AS gap_max FROM g, x GROUP BY stale""",
 )
 def gap_audit(spark: SparkSession, sf: str) -> DataFrame:
-    rows = features.steps(events_tape(spark, sf)).withColumn("stale", F.explode(F.array(F.lit(3600.0), F.lit(86400.0), F.lit(604800.0))))
+    steps = features.steps(events_tape(spark, sf)).select("key", "gap")
+    rows = steps.withColumn("stale", F.explode(F.array(F.lit(3600.0), F.lit(86400.0), F.lit(604800.0))))
     late = F.col("gap") > F.col("stale")
-    return rounded(rows.groupBy("stale").agg(F.count("gap").alias("gaps"), F.sum(F.coalesce(late.cast("long"), F.lit(0))).alias("false_closes"), F.count_distinct(F.when(late, F.col("key"))).alias("keys"), F.percentile("gap", 0.5).alias("gap_p50"), F.max("gap").alias("gap_max")))
+    per = rows.groupBy("stale", "key").agg(F.count("gap").alias("gaps"), F.sum(F.coalesce(late.cast("long"), F.lit(0))).alias("late"), F.max("gap").alias("gap_max"))
+    out = per.groupBy("stale").agg(F.sum("gaps").alias("gaps"), F.sum("late").alias("false_closes"), F.count(F.when(F.col("late") > 0, 1)).alias("keys"), F.max("gap_max").alias("gap_max"))
+    return rounded(out.crossJoin(F.broadcast(evaluation.quantiles(steps, "gap", [0.5]))).select("stale", "gaps", "false_closes", "keys", F.col("q0").alias("gap_p50"), "gap_max"))  # one row
 
 
 @query("contention", f"WITH {TAPE} SELECT key, n, count(*) OVER (PARTITION BY key ORDER BY ts RANGE BETWEEN 172800.0 PRECEDING AND CURRENT ROW) - 1 AS others FROM tape")
@@ -629,8 +632,10 @@ SELECT round(b.p90-a.p90,6) AS p90_shift, round(b.fires-a.fires,6) AS fire_shift
 )
 def drift_flags(spark: SparkSession, sf: str) -> DataFrame:
     s = scored(spark, sf)
-    median = s.agg(F.percentile("ts", 0.5).alias("median"))
-    h = s.crossJoin(F.broadcast(median)).groupBy((F.col("ts") > F.col("median")).alias("late")).agg(F.percentile("score", 0.9).alias("p90"), F.avg((F.col("score") >= 0.8).cast("double")).alias("fires"), F.avg(F.col("y").cast("double")).alias("wins"))  # one row
+    halves = s.crossJoin(F.broadcast(evaluation.quantiles(s, "ts", [0.5])))  # one row
+    late = F.col("ts") > F.col("q0")
+    p90 = [evaluation.quantiles(halves.filter(c).select("score"), "score", [0.9]).select(F.lit(v).alias("late"), F.col("q0").alias("p90")) for c, v in ((late, True), (~late, False))]
+    h = halves.groupBy(late.alias("late")).agg(F.avg((F.col("score") >= 0.8).cast("double")).alias("fires"), F.avg(F.col("y").cast("double")).alias("wins")).join(p90[0].union(p90[1]), "late")
     d = lambda c: (F.max(F.when(F.col("late"), F.col(c))) - F.max(F.when(~F.col("late"), F.col(c))))
     out = h.agg(d("p90").alias("p90_shift"), d("fires").alias("fire_shift"), d("wins").alias("win_shift"))
     return rounded(out.withColumn("flag", F.when(F.abs("win_shift") > 0.01, "wins").otherwise("ok")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, exits, labels, policies
+from ..operators import evaluation, exits, labels
 from ..sources.tape import by_key, events_tape, lineitem_tape, read
 from .catalog import ANCHOR, LINES, SCORED, TAPE, _anchored, query, rounded, scored
 
@@ -280,7 +280,7 @@ def bootstrap_mean(spark: SparkSession, sf: str) -> DataFrame:
 )
 def impute_median(spark: SparkSession, sf: str) -> DataFrame:
     s = scored(spark, sf).select("key", F.when(F.col("key") % 7 != 0, F.col("score")).alias("launch"))
-    med = s.agg(F.percentile("launch", 0.5).alias("med"))
+    med = evaluation.quantiles(s, "launch", [0.5]).select(F.col("q0").alias("med"))
     return rounded(s.crossJoin(F.broadcast(med)).select(F.coalesce("launch", "med").alias("launch"))).groupBy("launch").agg(F.count("*").alias("rows"))  # one row
 
 
