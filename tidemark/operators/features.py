@@ -20,57 +20,89 @@ def steps(tape: DataFrame) -> DataFrame:
 
 
 def entry(rows: DataFrame, idx: Column) -> DataFrame:
-    """The 11 entry features over each key's rows with n <= ``idx``."""
+    """The 11 entry features over each key's rows with n <= ``idx``: sums per actor first, then per key, in one pass."""
     part = rows.filter(F.col("n") <= idx)
     side = F.when(F.col("is_buy"), F.col("sol")).otherwise(-F.col("sol"))
-    per_actor = part.groupBy("key", "actor").agg(F.sum("sol").alias("s"), F.count("*").alias("c"))
-    actors = per_actor.groupBy("key").agg(F.max("s").alias("top"), F.count("*").alias("uniq"))
-    total = part.groupBy("key").agg(
-        (F.max_by("mid", "n") / F.min_by("mid", "n") - 1).alias("win_ret"), ratio(F.abs(F.sum("change")), F.sum(F.abs("change"))).alias("dir_eff"), F.avg(F.col("is_buy").cast("double")).alias("buy_frac"), F.sum(side).alias("net_sol"), F.sum("sol").alias("tot_sol"),
-        (F.count("*") / F.greatest(F.lit(1e-6), F.max_by("ts", "n") - F.min_by("ts", "n"))).alias("trades_per_sec"), F.min_by("sol", "n").alias("entry_sol"), F.greatest(F.lit(0.0), F.max("rel")).alias("drawup"), F.least(F.lit(0.0), F.min("rel")).alias("drawdown"),
+    ends = F.struct("n", "mid", "ts", "sol")
+    per = part.groupBy("key", "actor").agg(
+        F.sum("sol").alias("s"), F.count("*").alias("c"), F.min(ends).alias("first"), F.max(ends).alias("last"), F.sum("change").alias("change"), F.sum(F.abs("change")).alias("way"), F.sum(F.col("is_buy").cast("int")).alias("buys"), F.sum(side).alias("net"),
+        F.max("rel").alias("high"), F.min("rel").alias("low"),
     )
-    return total.join(actors, "key").select("key", "win_ret", "dir_eff", "buy_frac", "uniq", "net_sol", "tot_sol", (F.col("top") / F.col("tot_sol")).alias("single_actor_share"), "trades_per_sec", "entry_sol", "drawup", "drawdown")
+    total = per.groupBy("key").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), ratio(F.abs(F.sum("change")), F.sum("way")).alias("dir_eff"), F.sum("c").alias("c"), (F.sum("buys") / F.sum("c")).alias("buy_frac"), F.count("*").alias("uniq"), F.sum("net").alias("net_sol"), F.sum("s").alias("tot_sol"),
+        F.max("s").alias("top"), F.greatest(F.lit(0.0), F.max("high")).alias("drawup"), F.least(F.lit(0.0), F.min("low")).alias("drawdown"),
+    )
+    span = F.greatest(F.lit(1e-6), F.col("last.ts") - F.col("first.ts"))
+    return total.select("key", (F.col("last.mid") / F.col("first.mid") - 1).alias("win_ret"), "dir_eff", "buy_frac", "uniq", "net_sol", "tot_sol", (F.col("top") / F.col("tot_sol")).alias("single_actor_share"), (F.col("c") / span).alias("trades_per_sec"), F.col("first.sol").alias("entry_sol"), "drawup", "drawdown")
+
+
+def four(value: Column, name: str) -> list[Column]:
+    """Mean, median, 90th percentile and maximum of a key's values, 0 without any."""
+    zero = F.lit(0.0)
+    return [F.coalesce(x, zero).alias(f"{name}_{n}") for n, x in (("mean", F.avg(value)), ("p50", F.percentile(value, 0.5)), ("p90", F.percentile(value, 0.9)), ("max", F.max(value)))]
 
 
 def snapshot(rows: DataFrame, idx: Column) -> DataFrame:
-    """Counts, ages, inter-arrival times and sizes over each key's rows with n <= ``idx``."""
+    """The 11 entry features, and counts, ages, gaps and sizes (10 and 8) over each key's rows with n <= ``idx``."""
     part = rows.filter(F.col("n") <= idx)
-    buy, sell = F.when(F.col("is_buy"), F.col("sol")), F.when(~F.col("is_buy"), F.col("sol"))
-    return part.groupBy("key").agg(
-        F.count("*").alias("rows"), (F.max_by("ts", "n") - F.min_by("ts", "n")).alias("age"), F.coalesce(F.sum(buy), F.lit(0.0)).alias("cum_buy"), F.coalesce(F.sum(sell), F.lit(0.0)).alias("cum_sell"), F.max_by("sol", "n").alias("last_sol"),
-        F.avg("gap").alias("gap_mean"), F.percentile("gap", 0.5).alias("gap_p50"), F.percentile("gap", 0.9).alias("gap_p90"), F.min("gap").alias("gap_min"), F.avg(buy).alias("buy_mean"), F.percentile(buy, 0.9).alias("buy_p90"), F.max(sell).alias("sell_max"),
+    buy, sell, zero = F.when(F.col("is_buy"), F.col("sol")), F.when(~F.col("is_buy"), F.col("sol")), F.lit(0.0)
+    more = part.groupBy("key").agg(
+        F.count("*").alias("n_trades"), F.greatest(F.lit(1e-6), F.max_by("ts", "n") - F.min_by("ts", "n")).alias("age_sec"), F.coalesce(F.sum(buy), zero).alias("cum_buy"), F.coalesce(F.sum(sell), zero).alias("cum_sell"), F.max_by("sol", "n").alias("last_sol"), F.max_by("is_buy", "n").cast("int").alias("last_is_buy"),
+        F.coalesce(F.avg("gap"), zero).alias("gap_mean"), F.coalesce(F.percentile("gap", 0.5), zero).alias("gap_p50"), F.coalesce(F.percentile("gap", 0.9), zero).alias("gap_p90"), F.coalesce(F.min("gap"), zero).alias("gap_min"), *four(buy, "buy"), *four(sell, "sell"),
     )
+    return entry(rows, idx).join(more, "key")
 
 
 def last_n(rows: DataFrame, n: int) -> DataFrame:
-    """Aggregates of each key's last ``n`` rows."""
+    """The 11 aggregates of each key's last ``n`` rows."""
     back = F.row_number().over(by_key(F.desc("n")))
     part = rows.withColumn("back", back).filter(F.col("back") <= n)
-    return part.groupBy("key").agg(
-        F.count("*").alias("rows"), (F.max_by("mid", "n") / F.min_by("mid", "n") - 1).alias("ret"), F.avg(F.col("is_buy").cast("double")).alias("buy_frac"), F.count_distinct("actor").alias("uniq"), F.sum("sol").alias("tot_sol"), F.max("sol").alias("max_sol"),
-        (F.max_by("ts", "n") - F.min_by("ts", "n")).alias("span"),
+    ends, side = F.struct("n", "mid", "ts", "is_buy", "sol"), F.when(F.col("is_buy"), F.col("sol")).otherwise(-F.col("sol"))
+    per = part.groupBy("key", "actor").agg(F.sum("sol").alias("s"), F.count("*").alias("c"), F.min(ends).alias("first"), F.max(ends).alias("last"), F.sum(F.col("is_buy").cast("int")).alias("buys"), F.sum(side).alias("net"), F.max("sol").alias("most"))
+    total = per.groupBy("key").agg(F.sum("c").alias("rows"), F.min("first").alias("first"), F.max("last").alias("last"), (F.sum("buys") / F.sum("c")).alias("buy_frac"), F.sum("net").alias("net_sol"), F.sum("s").alias("tot_sol"), F.count("*").alias("uniq"), (F.max("s") / F.sum("s")).alias("top_share"), F.max("most").alias("max_sol"))
+    span = F.col("last.ts") - F.col("first.ts")
+    return total.select("key", "rows", span.alias("span"), (F.col("last.mid") / F.col("first.mid") - 1).alias("ret"), "buy_frac", "net_sol", "tot_sol", "uniq", "top_share", (F.col("rows") / F.greatest(F.lit(1e-6), span)).alias("trades_per_sec"), "max_sol", F.col("last.is_buy").cast("int").alias("last_is_buy"))
+
+
+def execution(rows: DataFrame, values: dict[str, Column], tip: Column, route: Column, failed: Column) -> DataFrame:
+    """Mean, median, 90th percentile and maximum of each of ``values``; rate and sum of tips; rates of routed and failed."""
+    parts = [x for name, value in values.items() for x in four(value, name)]
+    return rows.groupBy("key").agg(*parts, F.avg((tip > 0).cast("double")).alias("tip_rate"), F.sum(tip).alias("tip_sum"), F.avg(route.cast("double")).alias("route_rate"), F.avg(failed.cast("double")).alias("failed_rate"))
+
+
+def cross(rows: DataFrame, multiple: float = 2.0, recent: int = 20) -> DataFrame:
+    """The 22 features of a key's rows up to its first at ``multiple`` times its first price; ``rows`` with the columns of
+    :func:`steps`."""
+    hit = rows.filter(F.col("rel") >= multiple - 1).groupBy("key").agg(F.min("n").alias("cross_n"))
+    part = rows.join(hit, "key").filter("n <= cross_n")
+    near = F.col("n") > F.col("cross_n") - (recent + 1)
+    buy = F.col("is_buy")
+    ends = F.struct("n", "mid", "ts", "rsol", "gap")
+    per = part.groupBy("key", "actor", "cross_n").agg(
+        F.count("*").alias("c"), F.sum(buy.cast("int")).alias("nb"), F.sum("sol").alias("vol"), F.sum(F.when(buy, F.col("sol")).otherwise(0.0)).alias("bought"), F.max(F.when(buy, F.col("sol"))).alias("most"), F.sum((F.col("change") > 0).cast("int")).alias("ups"), F.min("rel").alias("low"), F.max("rel").alias("high"),
+        F.min(ends).alias("first"), F.max(ends).alias("last"), F.min(F.when(near, ends)).alias("near"), F.sum(near.cast("int")).alias("near_c"), F.min(F.when(F.col("n") >= F.col("cross_n") - 10, ends)).alias("ref"),
     )
-
-
-def execution(rows: DataFrame) -> DataFrame:
-    """Fees and failures of each key: mean, linear p50 and p90, maximum, rates."""
-    return rows.groupBy("key").agg(
-        F.avg("tip").alias("tip_mean"), F.percentile("tip", 0.5).alias("tip_p50"), F.percentile("tip", 0.9).alias("tip_p90"), F.max("tip").alias("tip_max"), F.avg((F.col("tip") > 0).cast("double")).alias("tip_rate"), F.avg(F.col("failed").cast("double")).alias("failed_rate"),
+    t = per.groupBy("key", "cross_n").agg(
+        F.sum("c").alias("ntr"), F.sum("nb").alias("nb"), F.sum("vol").alias("vol_sol"), F.sum("bought").alias("bought"), F.coalesce(F.max("most"), F.lit(0.0)).alias("max_buy_sol"), F.sum("ups").alias("ups"), F.min("low").alias("dd"), F.max("high").alias("max_runup"), F.min("first").alias("first"), F.max("last").alias("last"),
+        F.min("near").alias("near"), F.sum("near_c").alias("near_c"), F.min("ref").alias("ref"), F.count(F.when(F.col("near_c") > 0, 1)).alias("uniq"), F.count(F.when(F.col("nb") > 0, 1)).alias("n_buyers"), F.count(F.when(F.col("c") > F.col("nb"), 1)).alias("n_sellers"), F.max("c").alias("top"),
+    )
+    t = t.withColumns({"age": F.greatest(F.col("last.ts") - F.col("first.ts"), F.lit(1e-3)), "span": F.greatest(F.col("last.ts") - F.col("near.ts"), F.lit(0.1)), "vol": F.greatest("vol_sol", F.lit(1e-9))})
+    tps = F.when(F.col("near_c") >= 2, (F.col("near_c") - 1) / F.col("span")).otherwise(0.0)
+    return t.select(
+        "key", "dd", (F.col("nb") / F.col("ntr")).alias("buy_frac"), "ntr", (F.col("last.mid") / F.col("ref.mid") - 1).alias("recent"), tps.alias("tps"), "uniq", F.col("age").alias("t_to_2x"), F.log("age").alias("log_t_to_2x"), (tps / F.greatest(F.col("ntr") / F.col("age"), F.lit(1e-9))).alias("accel"),
+        F.coalesce("last.gap", F.lit(0.0)).alias("last_gap"), (F.col("last.rsol") / 1e9).alias("mcap_sol"), "vol_sol", (F.col("vol_sol") / F.col("ntr")).alias("sol_per_trade"), "max_buy_sol", (F.col("max_buy_sol") / F.col("vol")).alias("whale_frac"), ((2 * F.col("bought") - F.col("vol_sol")) / F.col("vol")).alias("net_flow"),
+        "n_buyers", "n_sellers", (F.col("n_buyers") / (F.col("n_sellers") + 1)).alias("bs_ratio"), (F.col("top") / F.col("ntr")).alias("signer_conc"), (F.col("ups") / F.col("ntr")).alias("up_frac"), "max_runup",
     )
 
 
 def rolling_flow(rows: DataFrame, size: int = 15) -> DataFrame:
-    """For every row, its key's flow in the last ``size`` rows: shares of buys and of the largest actor, actors,
-    velocity. The frame's rows travel with the row, so an actor's share is a fold over at most ``size`` entries."""
-    w = by_key().rowsBetween(-(size - 1), 0)
-    out = rows.withColumns(
-        {
-            "buy_frac": F.avg(F.col("is_buy").cast("double")).over(w), "actors": F.size(F.collect_set("actor").over(w)), "all": F.collect_list(F.struct("actor", "sol")).over(w), "total": F.sum("sol").over(w),
-            "net": F.sum(F.when(F.col("is_buy"), F.col("sol")).otherwise(-F.col("sol"))).over(w), "span": F.col("ts") - F.min("ts").over(w),
-        }
-    )
-    each = F.transform(F.array_distinct(F.transform("all", lambda x: x["actor"])), lambda a: F.aggregate(F.filter("all", lambda x: x["actor"] == a), F.lit(0.0), lambda s, x: s + x["sol"]))
-    return out.select("key", "n", "buy_frac", "actors", (F.array_max(each) / F.col("total")).alias("top_share"), ratio(F.col("net"), F.col("span")).alias("velocity"))
+    """For every row, its key's flow in the last ``size`` rows: shares of buys and of the largest actor, actors, velocity.
+    A row goes to the ``size`` frames it is part of, which are summed by actor, then whole: sums in code, no lists."""
+    side = F.when(F.col("is_buy"), F.col("sol")).otherwise(-F.col("sol"))
+    each = rows.select("key", "n", "ts", "actor", "sol", F.col("is_buy").cast("int").alias("buy"), side.alias("side"), F.explode(F.sequence("n", F.col("n") + size - 1)).alias("frame"))
+    per = each.groupBy("key", "frame", "actor").agg(F.sum("sol").alias("s"), F.count("*").alias("c"), F.sum("buy").alias("buys"), F.sum("side").alias("net"), F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.max("n").alias("n"))
+    whole = per.groupBy("key", F.col("frame").alias("n")).agg((F.sum("buys") / F.sum("c")).alias("buy_frac"), F.count("*").cast("int").alias("actors"), (F.max("s") / F.sum("s")).alias("top_share"), ratio(F.sum("net"), F.max("t1") - F.min("t0")).alias("velocity"), F.max("n").alias("own"))
+    return whole.filter("own = n").drop("own")
 
 
 def kinematics(rows: DataFrame) -> DataFrame:

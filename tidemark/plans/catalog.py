@@ -55,7 +55,8 @@ SELECT t.key, round(win_ret,6) win_ret, round(dir_eff,6) dir_eff, round(buy_frac
 
 @query("entry_features_k", _entry_sql("k_idx"))
 def entry_features_k(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(features.entry(features.steps(triggers.with_triggers(events_tape(spark, sf))), F.col("k_idx")))
+    # the K trigger needs a key's first rows only: the limit goes below everything else
+    return rounded(features.entry(features.steps(triggers.with_triggers(events_tape(spark, sf).filter("n <= 3"))), F.col("k_idx")))
 
 
 @query("entry_features_v", _entry_sql("v_idx"))
@@ -68,34 +69,45 @@ def joint_decision(spark: SparkSession, sf: str) -> DataFrame:
     return triggers.decisions(events_tape(spark, sf))
 
 
+def _four(value: str, name: str) -> str:
+    return f"round(coalesce(avg({value}),0),6) AS {name}_mean, round(coalesce(quantile_cont({value},0.5),0),6) AS {name}_p50, round(coalesce(quantile_cont({value},0.9),0),6) AS {name}_p90, round(coalesce(max({value}),0),6) AS {name}_max"
+
+
 @query(
     "snapshot_features",
-    f"""WITH {TAPE}, {TRIG}, {STEPS.format(src="trig")}, p AS (SELECT *, CASE WHEN is_buy THEN sol END AS b, CASE WHEN NOT is_buy THEN sol END AS s FROM steps WHERE n <= greatest(k_idx, v_idx))
-SELECT key, count(*) AS rows, round(arg_max(ts,n)-arg_min(ts,n),6) AS age, round(coalesce(sum(b),0),6) AS cum_buy, round(coalesce(sum(s),0),6) AS cum_sell, round(arg_max(sol,n),6) AS last_sol,
- round(avg(gap),6) AS gap_mean, round(quantile_cont(gap,0.5),6) AS gap_p50, round(quantile_cont(gap,0.9),6) AS gap_p90, round(min(gap),6) AS gap_min, round(avg(b),6) AS buy_mean, round(quantile_cont(b,0.9),6) AS buy_p90, round(max(s),6) AS sell_max
-FROM p WHERE k_idx IS NOT NULL AND v_idx IS NOT NULL GROUP BY key""",
+    f"""WITH e AS ({_entry_sql("greatest(k_idx, v_idx)")}), m AS (WITH {TAPE}, {TRIG}, {STEPS.format(src="trig")}, p AS (SELECT *, CASE WHEN is_buy THEN sol END AS b, CASE WHEN NOT is_buy THEN sol END AS s FROM steps WHERE k_idx IS NOT NULL AND v_idx IS NOT NULL AND n <= greatest(k_idx, v_idx))
+SELECT key, count(*) AS n_trades, round(greatest(1e-6,arg_max(ts,n)-arg_min(ts,n)),6) AS age_sec, round(coalesce(sum(b),0),6) AS cum_buy, round(coalesce(sum(s),0),6) AS cum_sell, round(arg_max(sol,n),6) AS last_sol, CAST(arg_max(is_buy,n) AS INTEGER) AS last_is_buy,
+ round(coalesce(avg(gap),0),6) AS gap_mean, round(coalesce(quantile_cont(gap,0.5),0),6) AS gap_p50, round(coalesce(quantile_cont(gap,0.9),0),6) AS gap_p90, round(coalesce(min(gap),0),6) AS gap_min, {_four("b", "buy")}, {_four("s", "sell")} FROM p GROUP BY key)
+SELECT * FROM e JOIN m USING (key)""",
 )
 def snapshot_features(spark: SparkSession, sf: str) -> DataFrame:
     rows = features.steps(triggers.with_triggers(events_tape(spark, sf))).filter("k_idx is not null and v_idx is not null")
     return rounded(features.snapshot(rows, F.greatest("k_idx", "v_idx")))
 
 
-@query(
-    "lastn_features",
-    f"""WITH {TAPE}, b AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC) AS back FROM tape)
-SELECT key, count(*) AS rows, round(arg_max(mid,n)/arg_min(mid,n)-1,6) AS ret, round(avg(CASE WHEN is_buy THEN 1.0 ELSE 0.0 END),6) AS buy_frac, count(DISTINCT actor) AS uniq, round(sum(sol),6) AS tot_sol, round(max(sol),6) AS max_sol, round(arg_max(ts,n)-arg_min(ts,n),6) AS span FROM b WHERE back<=10 GROUP BY key""",
-)
-def lastn_features(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(features.last_n(events_tape(spark, sf), 10))
+def _lastn_sql(n: int) -> str:
+    return f"""WITH {TAPE}, b AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC) AS back FROM tape), p AS (SELECT * FROM b WHERE back<={n}), a AS (SELECT key, max(s) AS top FROM (SELECT key, actor, sum(sol) AS s FROM p GROUP BY 1,2) GROUP BY 1)
+SELECT p.key, count(*) AS rows, round(arg_max(ts,n)-arg_min(ts,n),6) AS span, round(arg_max(mid,n)/arg_min(mid,n)-1,6) AS ret, round(avg(CASE WHEN is_buy THEN 1.0 ELSE 0.0 END),6) AS buy_frac, round(sum(CASE WHEN is_buy THEN sol ELSE -sol END),6)+0 AS net_sol, round(sum(sol),6) AS tot_sol, count(DISTINCT actor) AS uniq,
+ round(max(top)/sum(sol),6) AS top_share, round(count(*)/greatest(1e-6,arg_max(ts,n)-arg_min(ts,n)),6) AS trades_per_sec, round(max(sol),6) AS max_sol, CAST(arg_max(is_buy,n) AS INTEGER) AS last_is_buy FROM p JOIN a ON a.key=p.key GROUP BY p.key"""
+
+
+for _n in (3, 5, 10):
+
+    @query("lastn_features" if _n == 10 else f"last{_n}_features", _lastn_sql(_n))
+    def _lastn(spark: SparkSession, sf: str, n: int = _n) -> DataFrame:
+        return rounded(features.last_n(events_tape(spark, sf), n))
+
+
+#: Stand-ins for the seven fee columns of a trade.
+FEES = {"fee": "tip*1000", "cu": "sol*3", "cu_limit": "sol*5+7", "priority": "CASE WHEN failed THEN 0 ELSE tip*17 END", "tip": "tip", "inner": "sol % 4", "keys": "sol % 9"}
 
 
 @query(
     "exec_features",
-    f"""WITH {LINES} SELECT key, round(avg(tip),6) AS tip_mean, round(quantile_cont(tip,0.5),6) AS tip_p50, round(quantile_cont(tip,0.9),6) AS tip_p90, round(max(tip),6) AS tip_max,
- round(avg(CASE WHEN tip>0 THEN 1.0 ELSE 0.0 END),6) AS tip_rate, round(avg(CASE WHEN failed THEN 1.0 ELSE 0.0 END),6) AS failed_rate FROM tape GROUP BY key""",
+    f"""WITH {LINES} SELECT key, {", ".join(_four(v, k) for k, v in FEES.items())}, round(avg(CASE WHEN tip>0 THEN 1.0 ELSE 0.0 END),6) AS tip_rate, round(sum(tip),6) AS tip_sum, round(avg(CASE WHEN is_buy THEN 1.0 ELSE 0.0 END),6) AS route_rate, round(avg(CASE WHEN failed THEN 1.0 ELSE 0.0 END),6) AS failed_rate FROM tape GROUP BY key""",
 )
 def exec_features(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(features.execution(lineitem_tape(spark, sf)))
+    return rounded(features.execution(lineitem_tape(spark, sf), {k: F.expr(v) for k, v in FEES.items()}, F.col("tip"), F.col("is_buy"), F.col("failed")))
 
 
 @query(
@@ -110,19 +122,15 @@ def rolling_flow(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "rich_cross_features",
-    f"""WITH {TAPE}, {STEPS.format(src="tape")}, x AS (SELECT key, min(n) AS cross_n FROM steps WHERE rel >= 1 GROUP BY key), p AS (SELECT s.*, cross_n FROM steps s JOIN x USING (key) WHERE n<=cross_n)
-SELECT key, cross_n, count(*) AS rows, round(max(rel),6) AS mult, round(ln(greatest(arg_max(ts,n)-arg_min(ts,n),1e-3)),6) AS log_age, count(DISTINCT actor) AS uniq, round(avg(CASE WHEN is_buy THEN 1.0 ELSE 0.0 END),6) AS buy_frac, round(min(rel),6) AS worst, round(coalesce(stddev_pop(change),0),6) AS chop FROM p GROUP BY key, cross_n""",
+    f"""WITH {TAPE}, {STEPS.format(src="tape")}, x AS (SELECT key, min(n) AS cross_n FROM steps WHERE rel >= 1 GROUP BY key), p AS (SELECT s.*, cross_n, n > cross_n - 21 AS near FROM steps s JOIN x USING (key) WHERE n<=cross_n), a AS (SELECT key, max(c) AS top FROM (SELECT key, actor, count(*) AS c FROM p GROUP BY 1,2) GROUP BY 1),
+t AS (SELECT key, count(*) AS ntr, sum(CASE WHEN is_buy THEN 1 ELSE 0 END) AS nb, sum(sol) AS vol_sol, sum(CASE WHEN is_buy THEN sol ELSE 0 END) AS bought, coalesce(max(CASE WHEN is_buy THEN sol END),0) AS max_buy_sol, sum(CASE WHEN change>0 THEN 1 ELSE 0 END) AS ups, min(rel) AS dd, max(rel) AS max_runup, greatest(arg_max(ts,n)-arg_min(ts,n),1e-3) AS age,
+ greatest(arg_max(ts,n)-arg_min(ts, CASE WHEN near THEN n END),0.1) AS span, count(CASE WHEN near THEN 1 END) AS near_c, count(DISTINCT CASE WHEN near THEN actor END) AS uniq, count(DISTINCT CASE WHEN is_buy THEN actor END) AS n_buyers, count(DISTINCT CASE WHEN NOT is_buy THEN actor END) AS n_sellers, arg_max(mid,n)/arg_min(mid, CASE WHEN n>=cross_n-10 THEN n END)-1 AS recent, arg_max(coalesce(gap,0),n) AS last_gap, arg_max(rsol,n)/1e9 AS mcap_sol FROM p GROUP BY key),
+u AS (SELECT *, CASE WHEN near_c>=2 THEN (near_c-1)/span ELSE 0.0 END AS tps, greatest(vol_sol,1e-9) AS vol FROM t JOIN a USING (key))
+SELECT key, round(dd,6) AS dd, round(nb*1.0/ntr,6) AS buy_frac, ntr, round(recent,6) AS recent, round(tps,6) AS tps, uniq, round(age,6) AS t_to_2x, round(ln(age),6) AS log_t_to_2x, round(tps/greatest(ntr/age,1e-9),6) AS accel, round(last_gap,6) AS last_gap, round(mcap_sol,6) AS mcap_sol, round(vol_sol,6) AS vol_sol, round(vol_sol/ntr,6) AS sol_per_trade, round(max_buy_sol,6) AS max_buy_sol,
+ round(max_buy_sol/vol,6) AS whale_frac, round((2*bought-vol_sol)/vol,6)+0 AS net_flow, n_buyers, n_sellers, round(n_buyers*1.0/(n_sellers+1),6) AS bs_ratio, round(top*1.0/ntr,6) AS signer_conc, round(ups*1.0/ntr,6) AS up_frac, round(max_runup,6) AS max_runup FROM u""",
 )
 def rich_cross_features(spark: SparkSession, sf: str) -> DataFrame:
-    rows = features.steps(events_tape(spark, sf))
-    cross = rows.filter("rel >= 1").groupBy("key").agg(F.min("n").alias("cross_n"))
-    part = rows.join(cross, "key").filter("n <= cross_n")
-    age = F.max_by("ts", "n") - F.min_by("ts", "n")
-    return rounded(
-        part.groupBy("key", "cross_n").agg(
-            F.count("*").alias("rows"), F.max("rel").alias("mult"), F.log(F.greatest(age, F.lit(1e-3))).alias("log_age"), F.count_distinct("actor").alias("uniq"), F.avg(F.col("is_buy").cast("double")).alias("buy_frac"), F.min("rel").alias("worst"), F.coalesce(F.stddev_pop("change"), F.lit(0.0)).alias("chop"),
-        )
-    )
+    return rounded(features.cross(features.steps(events_tape(spark, sf))))
 
 
 @query(
@@ -241,6 +249,42 @@ def cooldown_retrigger(spark: SparkSession, sf: str) -> DataFrame:
     return triggers.cooldown(events_tape(spark, sf), 1.5, 10)
 
 
+WINDOWS = {"w1": 43200.0, "w2": 172800.0, "w3": 432000.0}
+
+
+def _intent_sql(p: str, w: float) -> str:
+    c = f"i.ts>=d.ts-{w!r}"
+    n = f"count(CASE WHEN {c} THEN 1 END)"
+    return f"""CAST({n}>0 AS INTEGER) AS {p}_present, {n} AS {p}_n, count(CASE WHEN {c} AND i.is_buy THEN 1 END) AS {p}_buy, count(CASE WHEN {c} AND NOT i.is_buy THEN 1 END) AS {p}_sell, round(coalesce(count(CASE WHEN {c} AND i.is_buy THEN 1 END)*1.0/nullif({n},0),0),6) AS {p}_buy_frac,
+ round(coalesce(sum(CASE WHEN {c} THEN CASE WHEN i.is_buy THEN i.sol ELSE -i.sol END END),0),6)+0 AS {p}_net_sol, count(DISTINCT CASE WHEN {c} THEN i.actor END) AS {p}_uniq, round(coalesce(count(CASE WHEN {c} AND i.tip>0 THEN 1 END)*1.0/nullif({n},0),0),6) AS {p}_tip_rate, round(coalesce(max(CASE WHEN {c} THEN i.tip END),0),6) AS {p}_tip_max,
+ round(coalesce(quantile_cont(CASE WHEN {c} THEN i.sol END,0.9),0),6) AS {p}_priority_p90, round(coalesce(count(CASE WHEN {c} AND i.failed THEN 1 END)*1.0/nullif({n},0),0),6) AS {p}_spoof_rate"""
+
+
+@query(
+    "intent_windows",
+    f"""WITH {TAPE}, d AS (SELECT key, ts, n FROM tape WHERE kind='purchase'), i AS (SELECT * FROM tape WHERE kind<>'purchase')
+SELECT d.key, round(d.ts,6) AS ts, d.n, {", ".join(_intent_sql(p, w) for p, w in WINDOWS.items())} FROM d LEFT JOIN i ON d.key=i.key AND i.ts BETWEEN d.ts-432000.0 AND d.ts GROUP BY 1,2,3""",
+)
+def intent_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Eleven aggregates of the intents before a decision, over three windows at once: one interval join for the widest."""
+    tape = events_tape(spark, sf)
+    right = tape.filter("kind <> 'purchase'").select("key", "ts", "actor", "is_buy", "sol", "tip", "failed")
+    zero, parts = F.lit(0.0), []
+    for p, w in WINDOWS.items():
+        inside = F.col("ts_right") >= F.col("ts") - w
+        n = lambda c, inside=inside: F.count(F.when(inside & c, 1))
+        of = lambda c, inside=inside: F.when(inside, F.col(c))
+        whole, share = n(F.lit(True)), lambda c, n=n: F.coalesce(F.try_divide(n(c), n(F.lit(True))), F.lit(0.0))
+        signed = F.when(inside, F.when(F.col("is_buy"), F.col("sol")).otherwise(-F.col("sol")))
+        columns = {
+            "present": (whole > 0).cast("int"), "n": whole, "buy": n(F.col("is_buy")), "sell": n(~F.col("is_buy")), "buy_frac": share(F.col("is_buy")), "net_sol": F.coalesce(F.sum(signed), zero), "uniq": F.count_distinct(of("actor")), "tip_rate": share(F.col("tip") > 0), "tip_max": F.coalesce(F.max(of("tip")), zero),
+            "priority_p90": F.coalesce(F.percentile(of("sol"), 0.9), zero), "spoof_rate": share(F.col("failed")),
+        }
+        parts += [v.alias(f"{p}_{k}") for k, v in columns.items()]
+    found = joins.trailing_interval(tape.filter("kind = 'purchase'"), right, WINDOWS["w3"], parts, ["n"])
+    return rounded(found.na.fill(0))
+
+
 @query(
     "intent_interval_join",
     f"""WITH {TAPE}, d AS (SELECT key, ts, n FROM tape WHERE kind='purchase'), i AS (SELECT * FROM tape WHERE kind='view')

@@ -261,7 +261,11 @@ def failed_pressure(spark: SparkSession, sf: str) -> DataFrame:
     """Failures before a row: how many, by how many actors, and in the last week."""
     before = by_key().rowsBetween(Window.unboundedPreceding, -1)
     bad = F.when(F.col("failed"), F.col("actor"))
-    return events_tape(spark, sf).select("key", "n", F.count(bad).over(before).alias("fails"), F.size(F.collect_set(bad).over(before)).cast("long").alias("failers"), F.count(bad).over(by_key("ts").rangeBetween(-604800, 0)).alias("recent"))
+    rows = events_tape(spark, sf).select("key", "n", "ts", bad.alias("bad"))
+    # an actor counts at its first failure, so the distinct count is a running sum
+    first = F.when(F.col("bad").isNotNull() & (F.row_number().over(Window.partitionBy("key", "bad").orderBy("n")) == 1), 1)
+    rows = rows.withColumn("first", first)
+    return rows.select("key", "n", F.count("bad").over(before).alias("fails"), F.count("first").over(before).alias("failers"), F.count("bad").over(by_key("ts").rangeBetween(-604800, 0)).alias("recent"))
 
 
 @query(
