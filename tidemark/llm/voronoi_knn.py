@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from . import scratch, tokens
 
-#: Pivots at most, rows of a part, about, queries of a block at most.
-MAX_PIVOTS, PART, BLOCK = 1024, 8192, 256
+#: Pivots at most, rows of a part at least and at most (a sixteenth of the table between), queries of a block at most.
+MAX_PIVOTS, PART, BLOCK = 1024, (512, 8192), 256
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -122,7 +122,7 @@ def _merged(kept: tuple, more: tuple, k: int) -> tuple:
     return q[keep], i[keep], s[keep]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, max_pivots: int = MAX_PIVOTS, part_rows: int = PART) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, max_pivots: int = MAX_PIVOTS, part_rows: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best rows of ``vectors`` for each of ``queries``; both have
     vec_id and x (doubles that hold integers)."""
     spark = vectors.sparkSession
@@ -135,6 +135,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, max_pivots: int =
     n, dim = facts["n"], max(1, facts["dim"])
     if facts["most"] ** 2 * dim >= 2**53:
         raise ValueError("components too large for exact sums in double precision")
+    part_rows = part_rows or min(PART[1], max(PART[0], n // 16))
     count = max(1, min(max_pivots, n // 128))
     sample = vectors.orderBy(F.xxhash64("vec_id", "x")).limit(count).collect()  # max_pivots at most
     pivots = np.zeros((len(sample), dim))
