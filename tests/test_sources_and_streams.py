@@ -5,12 +5,14 @@ import gzip
 import json
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import amm, decode
-from tidemark.operators import policies, triggers
+from tidemark.operators import labels, policies, triggers
 from tidemark.sources import files, sinks
 from tidemark.sources.tape import events_tape
+from tidemark.streaming import harness
 from tidemark.streaming import triggers as live
 
 
@@ -115,8 +117,6 @@ def test_upsert_and_journal(spark, tmp_path):
 
 
 def test_unknown_policy(spark, sf):
-    import pytest
-
     with pytest.raises(KeyError):
         policies.replay(events_tape(spark, sf), "none")
 
@@ -146,3 +146,66 @@ def test_live_volume_equals_batch(spark, sf, tmp_path):
     tape, stream = _stream(spark, sf, tmp_path, 2)
     got = {(r["start"], r["rows"]) for r in _run(live.volume(stream, "1 day"), "live_volume", tmp_path, "complete").collect()}
     assert got == {(r["start"], r["rows"]) for r in live.volume(tape, "1 day").collect()}
+
+
+def test_live_decisions_forget_silent_keys(spark, sf, tmp_path):
+    """With a horizon beyond the tape nothing is forgotten; a short one loses decisions only."""
+    tape, stream = _stream(spark, sf, tmp_path)
+    want = set(map(tuple, triggers.decisions(tape).collect()))
+    assert set(map(tuple, _run(live.decisions(stream, horizon=1e9), "live_long", tmp_path).collect())) == want
+    short = {r["key"] for r in _run(live.decisions(stream, horizon=1.0), "live_short", tmp_path).collect()}
+    assert short <= {r["key"] for r in tape.select("key").distinct().collect()}
+
+
+@pytest.mark.parametrize("plan", [harness.PLAN, harness.Plan(take=90.0, cap=1e12)])
+def test_live_harness_equals_batch(spark, sf, tmp_path, plan):
+    tape, stream = _stream(spark, sf, tmp_path)
+    events = [r.asDict() for r in _run(harness.run(stream, plan), f"live_harness_{int(plan.take)}", tmp_path).collect()]
+    of = lambda kind: {e["key"]: e for e in events if e["kind"] == kind}
+    decided, filled, left = of("decision"), of("fill"), of("exit")
+    assert len(events) == len(decided) + len(filled) + len(left)
+    want = harness.outcomes(tape, plan).collect()
+    assert {r["key"] for r in want} == decided.keys() and not all(r["fired"] for r in want)
+    # what is still open at the end is censored in batch, and has no exit live
+    assert any(r["censored"] for r in want) if plan.take > 1 else any(r["reason"] == "take" for r in want)
+    for r in want:
+        k = r["key"]
+        assert (decided[k]["n"], decided[k]["reason"] == "fire") == (r["decision"], r["fired"]) and abs(decided[k]["score"] - r["score"]) < 1e-9
+        assert (filled[k]["mid"] if k in filled else None) == r["fill_mid"]
+        assert (left[k]["reason"] if k in left else None) == r["reason"] and (k not in left or abs(left[k]["ret"] - r["exit_ret"]) < 1e-9)
+
+
+def test_live_harness_gives_up_late_fills(spark, sf, tmp_path):
+    tape, stream = _stream(spark, sf, tmp_path, 2)
+    plan = harness.Plan(wait=20_000.0)
+    kinds = {(r["key"], r["kind"]) for r in _run(harness.run(stream, plan), "live_wait", tmp_path).collect()}
+    want = harness.outcomes(tape, plan).filter("fired").collect()
+    assert {k for k, kind in kinds if kind == "fill"} == {r["key"] for r in want if r["fill_mid"] is not None}
+    assert any(kind == "give_up" for _, kind in kinds)
+
+
+def test_live_sessions_equal_batch(spark, sf, tmp_path):
+    tape, stream = _stream(spark, sf, tmp_path, 2)
+    got = {tuple(r) for r in _run(live.sessions(stream).select("key", "opened", "closes", "rows"), "live_sessions", tmp_path).collect()}
+    want = {tuple(r) for r in live.sessions(tape).select("key", "opened", "closes", "rows").collect()}
+    assert got and got <= want  # sessions that the watermark has not passed are still open
+
+
+def test_live_crosses_equal_batch(spark, sf, tmp_path):
+    tape, stream = _stream(spark, sf, tmp_path)
+    got = {r["key"]: (r["cross_mid"], r["fill_mid"]) for r in _run(live.crosses(stream, 1.5, 1e9), "live_crosses", tmp_path).collect()}
+    want = {r["key"]: (r["cross_mid"], r["fill_mid"]) for r in labels.crosses(tape, [1.5]).filter("fill_mid is not null").collect()}
+    assert got == want
+
+
+def test_live_first_seen_and_matches(spark, tmp_path):
+    rows = [("a", 10.0), ("b", 11.0), ("a", 12.0), ("c", 5000.0), ("d", 9000.0)]
+    seen = [("a", 15.0), ("b", 60.0), ("c", 5001.0), ("z", 9000.0), ("y", 20000.0)]
+    for name, some in (("sent", rows), ("seen", seen)):
+        for i, r in enumerate(some):
+            spark.createDataFrame([r], "sig string, ts double").coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    stream = lambda name: spark.readStream.schema("sig string, ts double").parquet(str(tmp_path / name))
+    first = sorted(map(tuple, _run(live.first_seen(stream("sent"), ["sig"]), "live_first", tmp_path).select("sig").collect()))
+    assert first == [("a",), ("b",), ("c",), ("d",)]
+    got = {(r["sig"], r["sent"], r["seen"]) for r in _run(live.matched(stream("sent"), stream("seen")), "live_matched", tmp_path).collect()}
+    assert {("a", 10.0, 15.0), ("a", 12.0, 15.0), ("c", 5000.0, 5001.0)} <= got and not any(s == "b" and t is not None for s, _, t in got)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import amm
 from ..operators import joins, policies
 from ..sources.tape import events_tape
-from .catalog import ANCHOR, TAPE, _anchored, query, rounded
+from ..streaming import harness
+from .catalog import ANCHOR, TAPE, TRIG, _anchored, query, rounded
 
 RULES = policies.Rules(derisk_gap=86400.0, runner_gap=259200.0, arm=0.05)
 EVERY, MOST = 2, 80
@@ -217,3 +218,14 @@ def close_repair(spark: SparkSession, sf: str) -> DataFrame:
     bet = F.lit(5e7)
     out = amm.sell_out(F.col("vsol"), F.col("vtok"), amm.buy_out(F.col("vk"), F.col("tk"), bet))
     return rounded(rows.select("key", (F.col("ts") - F.col("t_open")).alias("duration"), (F.col("vsol") / F.col("vtok") / (F.col("vk") / F.col("tk")) - 1).alias("exit_ret"), ((out - bet) / 1e9 - 0.003).alias("net")))
+
+
+@query(
+    "harness_outcomes",
+    f"""WITH {TAPE}, {TRIG}, d AS (SELECT *, greatest(k_idx, v_idx) AS decision, first_value(mid) OVER (PARTITION BY key ORDER BY n) AS fst FROM trig WHERE k_idx IS NOT NULL AND v_idx IS NOT NULL), a AS (SELECT key, decision, max(CASE WHEN n=decision THEN mid/fst-1 END) AS score, max(CASE WHEN n=decision+1 THEN mid END) AS fmid, max(CASE WHEN n=decision+1 THEN ts END) AS fts FROM d GROUP BY 1,2),
+b AS (SELECT key, decision, score, score>=0.0 AS fired, CASE WHEN score>=0.0 THEN fmid END AS fill_mid, fts FROM a), q AS (SELECT d.key, n, mid/fill_mid-1 AS ret, CASE WHEN n>b.decision+1 THEN CASE WHEN mid/fill_mid-1>=0.5 THEN 'take' WHEN ts-fts>=604800 AND fill_mid IS NOT NULL THEN 'cap' END END AS reason FROM d JOIN b USING (key)), e AS (SELECT key, arg_min(ret,n) AS exit_ret, arg_min(reason,n) AS reason FROM q WHERE reason IS NOT NULL GROUP BY key)
+SELECT b.key, decision, round(score,6) AS score, fired, round(fill_mid,6) AS fill_mid, round(exit_ret,6) AS exit_ret, reason, fill_mid IS NOT NULL AND reason IS NULL AS censored FROM b LEFT JOIN e USING (key)""",
+)
+def harness_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Decision, score, fire, fill at the next row, exit: what the live harness does, in batch; open ends are censored."""
+    return rounded(harness.outcomes(events_tape(spark, sf)))

@@ -13,18 +13,21 @@ DECISION = "key long, k_idx int, v_idx int, decision int"
 STATE = "n int, cum_buy double, v_idx int, done boolean"
 
 
-def decisions(tape: DataFrame, k: int = 3, v: float = 150.0) -> DataFrame:
+def decisions(tape: DataFrame, k: int = 3, v: float = 150.0, horizon: float | None = None) -> DataFrame:
     """Live :func:`..operators.triggers.decisions`: one row a key, when both triggers have fired.
 
     The state of a key is four numbers. Rows of a key must arrive in order across batches; within a batch they are
-    put in order of ts and seq.
+    put in order of ts and seq. With ``horizon``, a key that is silent for so many seconds of event time is forgotten.
     """
 
     def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         n, cum, v_idx, done = state.get if state.exists else (0, 0.0, -1, False)
-        out = []
+        out, last = [], 0.0
         for r in pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable").itertuples():
-            n += 1
+            n, last = n + 1, r.ts
             cum += r.sol if r.is_buy else 0.0
             if v_idx < 0 and n >= 3 and cum >= v:
                 v_idx = n
@@ -32,9 +35,14 @@ def decisions(tape: DataFrame, k: int = 3, v: float = 150.0) -> DataFrame:
                 done = True
                 out.append((key[0], k, v_idx, max(k, v_idx)))
         state.update((n, float(cum), v_idx, done))
+        if horizon is not None:
+            state.setTimeoutTimestamp(max(int((last + horizon) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "k_idx", "v_idx", "decision"])
 
-    return tape.select("key", "seq", "ts", "is_buy", "sol").groupBy("key").applyInPandasWithState(step, DECISION, STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = tape.select("key", "seq", "ts", "is_buy", "sol")
+    if horizon is None:
+        return rows.groupBy("key").applyInPandasWithState(step, DECISION, STATE, "append", GroupStateTimeout.NoTimeout)
+    return with_time(rows, "1 hour").groupBy("key").applyInPandasWithState(step, DECISION, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def crosses(tape: DataFrame, multiple: float, horizon: float) -> DataFrame:
