@@ -397,6 +397,71 @@ def test_language(spark, empty):
     assert {r["lang_pred"] for r in language.classify(docs, {}).collect()} == {"und"}
 
 
+def test_language_equals_brute_force(spark):
+    """Ranks, out-of-place distances and scores by their definition; ties of n-grams by their letters."""
+    rng = random.Random(9)
+    alphabet = {"aa": "abcdeé", "bb": "cdefgh", "cc": "xyzabc"}
+    say = lambda lang, n: " ".join("".join(rng.choice(alphabet[lang]) for _ in range(rng.randint(1, 6))) for _ in range(n))
+    rows = [(i, say(lang, 30), lang) for i, lang in enumerate(list(alphabet) * 8)]
+    rows += [(100 + i, say(lang, n) + rng.choice(["", " 12!", "\n"]), None) for i, (lang, n) in enumerate((x, n) for x in alphabet for n in (1, 2, 5, 40))] + [(200, None, None), (201, "12 !", None), (202, "ABCDE", None), (203, "qqq", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+
+    def grams(text):
+        out = {}
+        for word in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+            framed = f" {word} "
+            for n in (1, 2, 3):
+                for k in range(len(framed) - n + 1):
+                    g = framed[k : k + n]
+                    if g.strip() and not (n == 3 and g[1] == " "):
+                        out[g] = out.get(g, 0) + 1
+        return out
+
+    code = lambda g: sum((1 if c == " " else ord(c)) << (21 * (len(g) - 1 - k)) for k, c in enumerate(g))
+    ranked = lambda counts, n: sorted(counts, key=lambda g: (-counts[g], code(g)))[:n]
+    profiles = {}
+    for lang in alphabet:
+        total = {}
+        for _, t, known in rows:
+            for g, n in grams(t).items() if known == lang else ():
+                total[g] = total.get(g, 0) + n
+        profiles[lang] = {code(g): r for r, g in enumerate(ranked(total, language.PROFILE))}
+    learned = language.learn(docs)
+    assert learned == {lang: list(p) for lang, p in profiles.items()}
+    got = {r["doc_id"]: r for r in language.classify(docs, learned, ("doc_id", "lang")).collect()}
+    for i, t, _ in rows:
+        own = [code(g) for g in ranked(grams(t), language.COMPARED)]
+        if not own:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        near = {lang: 1 - sum(min(abs(p[g] - r), language.PROFILE) if g in p else language.PROFILE for r, g in enumerate(own)) / (language.PROFILE * len(own)) for lang, p in profiles.items()}
+        best = max(sorted(near), key=lambda x: near[x])
+        other = max((v for x, v in near.items() if x != best), default=0)
+        assert got[i]["lang_pred"] == best and got[i]["score"] == pytest.approx(near[best] / max(near[best] + other, 1e-9))
+
+
+def test_language_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "word here", "x", 2.0, "t"), (1, "word here", "x", 2.0, "t")], "doc_id long, text string, lang string, score double, _t string")
+    rows = language.classify(docs, language.learn(docs), tuple(docs.columns), "tidemark_").collect()
+    assert [(r["score"], r["_t"], r["tidemark_lang_pred"]) for r in rows] == [(2.0, "t", "x")] * 2
+    with pytest.raises(ValueError):
+        language.classify(docs, {}, tuple(docs.columns))
+
+
+def test_secrets_in_very_long_texts(spark):
+    """Long candidates and texts against the patterns themselves, in code points."""
+    rng = random.Random(3)
+    base64 = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(3000))
+    texts = ["é" * 5000 + " password: " + base64 + " " + "f0" * 500 + " AKIA" + "Z9" * 300, base64, "a" * 100_000, "word " * 50_000 + "api_key=12345678"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(x["s"], secrets.KINDS[x["k"]], x["e"]) for x in r["found"]] for r in secrets.scan(docs).collect()}
+    for i, t in enumerate(texts):
+        want = [(m.start(), "assign", m.end()) for m in re.finditer(secrets.ASSIGN.replace("(?i)", ""), t, re.I) if len(m[2]) >= 8]
+        want += [(m.start(), "access", m.end()) for m in re.finditer(secrets.ACCESS, t) if len(m[0]) >= 16] + [(m.start(), "hex", m.end()) for m in re.finditer(secrets.HEX, t) if len(m[0]) >= 32]
+        assert sorted(x for x in got[i] if not x[1].startswith("entropy")) == sorted(want)
+    assert any(k == "entropy_base64" and e - s > 2900 for s, k, e in got[1]) and not any(k.startswith("entropy") for _, k, _ in got[2])
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(2)
     plain = ["river", "stone", "cloud", "table", "green", "paper", "light", "house"]

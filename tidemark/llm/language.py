@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import scratch, tokens
 
 #: n-grams of a profile; n-grams of a document that are compared; labelled documents per language, about.
 PROFILE, COMPARED, PER_LANGUAGE = 400, 300, 4000
@@ -47,9 +47,11 @@ def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     codes = np.concatenate([[0], codes, [0]])
     codes = codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])]
+    letter = codes > 0
+    codes = np.where(letter, codes, 1)  # a blank is a sign of its own: " a" is not "a"
     two = (codes[:-1] << 21) | codes[1:]
     three = (codes[:-2] << 42) | two[1:]
-    grams = np.sort(np.concatenate([codes[codes > 0], two, three[codes[1:-1] > 0]]))
+    grams = np.sort(np.concatenate([codes[letter], two, three[letter[1:-1]]]))
     new = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
     return grams[new], np.diff(np.concatenate([new, [len(grams)]]))
 
@@ -117,14 +119,17 @@ class Profiles:
         return self.names[best], float(near[best] / max(near[best] + other, 1e-9))
 
 
-def classify(docs: DataFrame, learned: dict[str, list[int]], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` with lang_pred and score, from the text alone."""
-    rows = docs.select(*keep, docs["text"].cast("string").alias("_t"))
-    schema = rows.drop("_t").schema.add("lang_pred", "string").add("score", "double")
+def classify(docs: DataFrame, learned: dict[str, list[int]], keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """The columns ``keep`` with lang_pred and score, from the text alone; their names start with ``prefix``, so that none
+    clashes with a kept column."""
+    if clash := {f"{prefix}lang_pred", f"{prefix}score"} & set(keep):
+        raise ValueError(f"columns {sorted(clash)} are kept and made: give a prefix")
+    rows = docs.select(*(docs[c] for c in keep), docs["text"].cast("string").alias(f"{prefix}tidemark_text"))
+    schema = docs.select(*keep).schema.add(f"{prefix}lang_pred", "string").add(f"{prefix}score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = Profiles(learned)
-        for b in batches:
+        for b in tokens.slices(batches):
             found = [profiles.classify(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], schema.names)
 
