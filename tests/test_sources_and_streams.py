@@ -8,7 +8,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import amm, decode
+from tidemark.functions import amm, decode, intents
 from tidemark.operators import labels, policies, triggers
 from tidemark.sources import files, sinks
 from tidemark.sources.tape import events_tape
@@ -47,6 +47,29 @@ def test_transactions(spark):
     assert [r["i"] for r in rows] == [1, 1] and rows[0]["tx"]["version"] == 0 and rows[0]["tx"]["instructions"][0]["data"] == b"abc" and len(rows[0]["tx"]["keys"]) == 2
 
 
+def test_intents_and_failed_buys(spark):
+    program, budget, system, tipped = (bytes([i]) * 32 for i in (1, 2, 0, 9))
+    keys = [bytes([40 + i]) * 32 for i in range(14)] + [program, budget, system, tipped]  # numbers 14 to 17
+    disc = lambda name: bytes.fromhex(decode.discriminator(name))
+    order = lambda name, tokens, limit, accounts: (14, accounts, disc(name) + struct.pack("<QQ", tokens, limit))
+    ixs = [
+        (15, [], b"\x02" + struct.pack("<I", 20_000)), (15, [], b"\x03" + struct.pack("<Q", 77)), (16, [0, 17], b"\x02\0\0\0" + struct.pack("<Q", 5000)), (16, [0, 3], b"\x02\0\0\0" + struct.pack("<Q", 9)),
+        order("buy", 10, 2**63 + 1, [0, 1, 2, 3, 4, 5, 6]), order("sell_v2", 11, 22, list(range(14))), order("buy", 1, 2, [0, 1, 2]), order("buy", 1, 2, [0, 1, 99, 3, 4, 5, 6]), order("create", 1, 2, list(range(14))), (14, [0] * 7, disc("buy") + b"short"),
+    ]
+    tx = lambda ixs: (b"s" * 64, 0, [1, 0, 4], keys, ixs)
+    txs = spark.createDataFrame([(5, tx(ixs), [b"L" * 32] * 90), (6, tx([]), []), (7, tx([order("buy", 1, 2, [0, 1, 20, 3, 4, 5, 6])]), [b"A" * 32, b"B" * 32, b"C" * 32])], f"slot int, tx {decode.TRANSACTION}, more array<binary>")
+    layout = intents.Layout(program.hex(), budget.hex(), system.hex(), (tipped.hex(),))
+    got = sorted((r.asDict() for r in intents.intents(txs.drop("more"), layout).collect()), key=lambda r: r["type"])
+    assert [(r["slot"], r["type"], r["version"], int(r["token_amount"]), int(r["sol_limit"])) for r in got] == [(5, "buy", 1, 10, 2**63 + 1), (5, "sell", 2, 11, 22)]
+    buy, sell = got
+    assert (buy["mint"], buy["user"], buy["signer"], buy["quote_mint"]) == (keys[2].hex(), keys[6].hex(), keys[0].hex(), None)
+    assert (sell["mint"], sell["user"], sell["quote_mint"]) == (keys[1].hex(), keys[13].hex(), keys[2].hex())
+    assert (int(buy["cu_limit"]), int(buy["unit_price"]), int(buy["tip"]), buy["n_ix"], buy["n_accounts"], buy["n_signers"]) == (20_000, 77, 5000, 10, 18, 1)
+    assert buy["curve_writable"] and buy["probable_spoof"] and set(buy["programs"]) == {program.hex(), budget.hex(), system.hex()}
+    failed = {r["slot"]: (r["mint"], r["signer"]) for r in intents.failed_buys(txs, layout, "more").collect()}
+    assert failed == {5: (keys[2].hex(), keys[6].hex()), 7: ((b"C" * 32).hex(), keys[6].hex())}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"mint": "x", "sol": 5, "t": 1.5}\nnot json\n')
     with gzip.open(tmp_path / "b.jsonl.gz", "wt") as f:
