@@ -226,3 +226,24 @@ def permuted_column(spark: SparkSession, sf: str) -> DataFrame:
     a = evaluation.auc(both.select("score", "y")).select("auc")
     b = evaluation.auc(both.select(F.col("other").alias("score"), "y")).select(F.col("auc").alias("permuted"))
     return rounded(a.crossJoin(F.broadcast(b)).select("auc", (F.col("auc") - F.col("permuted")).alias("importance")))  # one row each
+
+
+_IN_FORCE = [(0.0, "k_combined"), (1704067200.0, "level_tp_50"), (1735689600.0, "b_frontload")]
+
+
+@query(
+    "policy_backfill",
+    "WITH n AS (" + " UNION ALL ".join(f"SELECT '{p}' AS policy, key, net FROM ({EXIT_SQL[p]})" for _, p in _IN_FORCE) + f"""), c AS (WITH {TAPE} SELECT key, max(ts) - 15552000*(key%5) AS t FROM tape GROUP BY key), l AS (SELECT * FROM (VALUES {", ".join(f"({t!r}::DOUBLE,'{p}')" for t, p in _IN_FORCE)}) x(since,policy)), i AS (SELECT key, arg_max(policy, since) AS policy FROM c JOIN l ON since<=t GROUP BY key)
+SELECT i.key, i.policy, n.net FROM i JOIN n ON n.key=i.key AND n.policy=i.policy""",
+)
+def policy_backfill(spark: SparkSession, sf: str) -> DataFrame:
+    """What each closed key would have brought under the policy in force when it closed."""
+    closes = events_tape(spark, sf).groupBy("key").agg((F.max("ts") - 15552000 * (F.first("key") % 5)).alias("t"))
+    name = F.lit(None).cast("string")
+    for since, policy in _IN_FORCE:  # a timeline of a few entries
+        name = F.when(F.col("t") >= since, policy).otherwise(name)
+    found, nets = _paths(spark, sf), None
+    for _, policy in _IN_FORCE:
+        one = rounded(policies.replay(found, policy, RULES)).select("key", F.lit(policy).alias("policy"), "net")
+        nets = one if nets is None else nets.union(one)
+    return closes.select("key", name.alias("policy")).join(nets, ["key", "policy"]).select("key", "policy", "net")
