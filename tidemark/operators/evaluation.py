@@ -71,12 +71,14 @@ def youden(rows: DataFrame) -> DataFrame:
 
 
 def ks(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov distance of the true empirical distributions, and the sizes."""
+    """Two-sample Kolmogorov-Smirnov distance of the true empirical distributions, the sizes, and the asymptotic p-value
+    2 exp(-2 d^2 n m / (n + m)), at most 1."""
     both = a.select(F.col(value).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(b.select(F.col(value).alias("v"), F.lit(0), F.lit(1)))
     per = both.groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     cum = running(per, "v", ["a", "b"])
     totals = per.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    return cum.crossJoin(F.broadcast(totals)).groupBy("na", "nb").agg(F.max(F.abs(F.col("cum_a") / F.col("na") - F.col("cum_b") / F.col("nb"))).alias("d"))
+    found = cum.crossJoin(F.broadcast(totals)).groupBy("na", "nb").agg(F.max(F.abs(F.col("cum_a") / F.col("na") - F.col("cum_b") / F.col("nb"))).alias("d"))
+    return found.withColumn("p", F.least(F.lit(1.0), 2 * F.exp(-2 * F.pow("d", 2) * (F.col("na") * F.col("nb") / (F.col("na") + F.col("nb"))))))
 
 
 def ordered(rows: DataFrame, by: str, *then: str, descending: bool = False) -> DataFrame:

@@ -405,8 +405,8 @@ def score_buckets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "ks_two_sample",
-    f"""WITH {SCORED}, s AS (SELECT score AS v, CASE WHEN y=1 THEN 1 ELSE 0 END AS a, CASE WHEN y=1 THEN 0 ELSE 1 END AS b FROM scored), g AS (SELECT v, sum(a) AS a, sum(b) AS b FROM s GROUP BY v), c AS (SELECT sum(a) OVER (ORDER BY v) AS ca, sum(b) OVER (ORDER BY v) AS cb, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM g)
-SELECT CAST(na AS BIGINT) AS na, CAST(nb AS BIGINT) AS nb, round(max(abs(ca*1.0/na - cb*1.0/nb)),6) AS d FROM c GROUP BY 1,2""",
+    f"""WITH {SCORED}, s AS (SELECT score AS v, CASE WHEN y=1 THEN 1 ELSE 0 END AS a, CASE WHEN y=1 THEN 0 ELSE 1 END AS b FROM scored), g AS (SELECT v, sum(a) AS a, sum(b) AS b FROM s GROUP BY v), c AS (SELECT sum(a) OVER (ORDER BY v) AS ca, sum(b) OVER (ORDER BY v) AS cb, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM g), d AS (SELECT CAST(na AS BIGINT) AS na, CAST(nb AS BIGINT) AS nb, max(abs(ca*1.0::DOUBLE/na - cb*1.0::DOUBLE/nb)) AS d FROM c GROUP BY 1,2)
+SELECT na, nb, round(d,6) AS d, round(least(1.0, 2*exp(-2*d*d*(na*1.0::DOUBLE*nb/(na+nb)))),6) AS p FROM d""",
 )
 def ks_two_sample(spark: SparkSession, sf: str) -> DataFrame:
     s = scored(spark, sf)

@@ -247,3 +247,33 @@ def policy_backfill(spark: SparkSession, sf: str) -> DataFrame:
         one = rounded(policies.replay(found, policy, RULES)).select("key", F.lit(policy).alias("policy"), "net")
         nets = one if nets is None else nets.union(one)
     return closes.select("key", name.alias("policy")).join(nets, ["key", "policy"]).select("key", "policy", "net")
+
+
+@query(
+    "bootstrap_auc",
+    f"""WITH {SCORED}, b AS (SELECT i, score, y, CAST(('0x' || md5(CAST(key AS VARCHAR) || '-' || CAST(i AS VARCHAR))[1:8]) AS UBIGINT)/4294967296.0::DOUBLE AS u FROM scored, (SELECT unnest(range(0,20)) AS i)), w AS (SELECT i, score, y, CASE WHEN u<0.36787944 THEN 0 WHEN u<0.73575888 THEN 1 WHEN u<0.9196986 THEN 2 WHEN u<0.98101184 THEN 3 WHEN u<0.99634015 THEN 4 ELSE 5 END AS k FROM b),
+g AS (SELECT i, score, sum(k*y) AS p, sum(k*(1-y)) AS q FROM w GROUP BY 1,2), c AS (SELECT *, sum(q) OVER (PARTITION BY i ORDER BY score) - q AS below FROM g), a AS (SELECT i, sum(p*(below+q/2.0::DOUBLE))/(sum(p)*sum(q)) AS auc FROM c GROUP BY i)
+SELECT count(*) AS runs, round(avg(auc),6) AS mean, round(quantile_cont(auc,0.05),6) AS low, round(quantile_cont(auc,0.95),6) AS high FROM a""",
+)
+def bootstrap_auc(spark: SparkSession, sf: str) -> DataFrame:
+    """Poisson bootstrap of the area under the ROC curve: runs share the counts per distinct score."""
+    rows = scored(spark, sf).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    u = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("key").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    k = F.when(u < 0.36787944, 0).when(u < 0.73575888, 1).when(u < 0.9196986, 2).when(u < 0.98101184, 3).when(u < 0.99634015, 4).otherwise(5)
+    g = rows.withColumn("k", k).groupBy("i", "score").agg(F.sum(F.col("k") * F.col("y")).alias("p"), F.sum(F.col("k") * (1 - F.col("y"))).alias("q"))
+    c = g.withColumn("below", F.sum("q").over(Window.partitionBy("i").orderBy("score")) - F.col("q"))
+    a = c.groupBy("i").agg((F.sum(F.col("p") * (F.col("below") + F.col("q") / 2.0)) / (F.sum("p") * F.sum("q"))).alias("auc"))
+    return rounded(a.agg(F.count("*").alias("runs"), F.avg("auc").alias("mean"), F.percentile("auc", 0.05).alias("low"), F.percentile("auc", 0.95).alias("high")))
+
+
+@query(
+    "creator_reputation",
+    f"""WITH {SCORED} SELECT key, count(*) OVER w AS launches, coalesce(sum(CASE WHEN net>-2 THEN 1 ELSE 0 END) OVER w,0) AS resolved, round(coalesce(coalesce(sum(CASE WHEN net>-2 THEN y ELSE 0 END) OVER w,0)*1.0/nullif(coalesce(sum(CASE WHEN net>-2 THEN 1 ELSE 0 END) OVER w,0),0),0.5),6) AS winrate FROM scored WINDOW w AS (PARTITION BY grp ORDER BY ts, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+)
+def creator_reputation(spark: SparkSession, sf: str) -> DataFrame:
+    """Launches of a creator before each of its launches, how many of them have resolved, and their win rate (0.5: unknown)."""
+    w = Window.partitionBy("grp").orderBy("ts", "key").rowsBetween(Window.unboundedPreceding, -1)
+    done = F.col("net") > -2
+    zero = F.lit(0).cast("long")
+    resolved, won = F.coalesce(F.sum(done.cast("int")).over(w), zero), F.coalesce(F.sum(F.when(done, F.col("y")).otherwise(0)).over(w), zero)
+    return rounded(scored(spark, sf).select("key", F.count("*").over(w).alias("launches"), resolved.alias("resolved"), F.coalesce(F.try_divide(won, resolved), F.lit(0.5)).alias("winrate")))
