@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import amm
 from ..operators import joins, policies
-from ..sources.tape import events_tape
+from ..sources.tape import by_key, events_tape
 from ..streaming import harness
 from .catalog import ANCHOR, TAPE, TRIG, _anchored, query, rounded
 
@@ -229,3 +229,40 @@ SELECT b.key, decision, round(score,6) AS score, fired, round(fill_mid,6) AS fil
 def harness_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """Decision, score, fire, fill at the next row, exit: what the live harness does, in batch; open ends are censored."""
     return rounded(harness.outcomes(events_tape(spark, sf)))
+
+
+MODES = ("mirror", "at_grad", "rolling", "rolling_aged")
+_GRAD = {"multiple": 1.5, "window": 432000, "age": 864000.0, "lag": 3600.0, "lead": 7200.0, "tp": 0.3, "stop": -0.3, "horizon": 1209600.0}
+
+
+@query(
+    "graduation_modes",
+    f"""WITH {TAPE}, g AS (SELECT key, min(CASE WHEN kind='purchase' THEN ts END) AS grad_t FROM tape GROUP BY key), w AS (SELECT tape.*, grad_t, first_value(mid) OVER (PARTITION BY key ORDER BY n) AS m0, first_value(ts) OVER (PARTITION BY key ORDER BY n) AS t0, min(mid) OVER (PARTITION BY key ORDER BY ts RANGE BETWEEN {_GRAD["window"]} PRECEDING AND CURRENT ROW) AS low FROM tape JOIN g USING (key)),
+e AS (SELECT *, unnest(['mirror','at_grad','rolling','rolling_aged']) AS mode FROM w), x AS (SELECT key, mode, min(n) AS cross_n, arg_min(ts,n) AS cross_t, arg_min(t0,n) AS t0 FROM e WHERE CASE mode WHEN 'mirror' THEN mid>=m0*1.5 WHEN 'at_grad' THEN ts>=grad_t AND mid>=m0*1.5 WHEN 'rolling' THEN mid>=low*1.5 ELSE ts-t0>={_GRAD["age"]} AND mid>=low*1.5 END GROUP BY 1,2),
+l AS (SELECT x.*, (SELECT count(*) FROM tape t WHERE t.key=x.key AND t.n<=x.cross_n AND t.ts<=x.cross_t-{_GRAD["lead"]}) AS before FROM x), f AS (SELECT l.key, l.mode, cross_n, before, min(t.n) AS fill_n, arg_min(t.mid,t.n) AS fill_mid, arg_min(t.ts,t.n) AS fill_t FROM l JOIN tape t ON t.key=l.key AND t.n>cross_n AND t.ts>=cross_t+{_GRAD["lag"]} WHERE before>=2 GROUP BY 1,2,3,4),
+r AS (SELECT f.*, t.n, t.ts-fill_t AS dt, t.mid/fill_mid-1 AS ret FROM f JOIN tape t ON t.key=f.key AND t.n>fill_n AND t.ts-fill_t<={_GRAD["horizon"]})
+SELECT key, mode, cross_n, before, fill_n, CASE WHEN min(CASE WHEN ret>=0.3 THEN dt END)<=coalesce(min(CASE WHEN ret<=-0.3 THEN dt END),1e18) THEN 1 ELSE 0 END AS y, round(coalesce(arg_min(ret, CASE WHEN ret>=0.3 OR ret<=-0.3 THEN n END), arg_max(ret,n)),6) AS ret, min(CASE WHEN ret>=0.3 OR ret<=-0.3 THEN dt END) IS NULL AS censored FROM r GROUP BY 1,2,3,4,5""",
+)
+def graduation_modes(spark: SparkSession, sf: str) -> DataFrame:
+    """Crosses of a key under four rules at once - against its first price, the same after graduation, against the low of a
+    trailing window, the same once the key has aged - with the rows known a lead before the cross, a lagged entry, and the
+    barrier that is touched first within a horizon."""
+    g = _GRAD
+    tape = events_tape(spark, sf).select("key", "n", "ts", "mid", "kind")
+    w, whole = by_key(), Window.partitionBy("key")
+    first = lambda c: F.first(c).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = tape.withColumns({"grad_t": F.min(F.when(F.col("kind") == "purchase", F.col("ts"))).over(whole), "m0": first("mid"), "t0": first("ts"), "low": F.min("mid").over(by_key("ts").rangeBetween(-g["window"], 0))})
+    high, up = F.col("mid") >= F.col("m0") * g["multiple"], F.col("mid") >= F.col("low") * g["multiple"]
+    rules = (high, high & (F.col("ts") >= F.col("grad_t")), up, up & (F.col("ts") - F.col("t0") >= g["age"]))
+    hit = rows.withColumn("mode", F.explode(F.array(*(F.when(c, m) for c, m in zip(rules, MODES, strict=True))))).filter("mode is not null")
+    cross = hit.groupBy("key", "mode").agg(F.min("n").alias("cross_n"), F.min_by("ts", "n").alias("cross_t"))
+    each = cross.join(tape.select("key", "n", "ts", "mid"), "key")
+    known = F.count(F.when((F.col("n") <= F.col("cross_n")) & (F.col("ts") <= F.col("cross_t") - g["lead"]), 1))
+    entry = F.when((F.col("n") > F.col("cross_n")) & (F.col("ts") >= F.col("cross_t") + g["lag"]), F.col("n"))
+    fill = each.groupBy("key", "mode", "cross_n").agg(known.alias("before"), F.min(entry).alias("fill_n"), F.min_by("mid", entry).alias("fill_mid"), F.min_by("ts", entry).alias("fill_t")).filter("before >= 2 and fill_n is not null")
+    after = fill.join(tape.select("key", "n", "ts", "mid"), "key").withColumns({"dt": F.col("ts") - F.col("fill_t"), "ret": F.col("mid") / F.col("fill_mid") - 1}).filter((F.col("n") > F.col("fill_n")) & (F.col("dt") <= g["horizon"]))
+    take, stop = F.col("ret") >= g["tp"], F.col("ret") <= g["stop"]
+    at = lambda c, what: F.min(F.when(c, F.col(what)))
+    out = after.groupBy("key", "mode", "cross_n", "before", "fill_n").agg(at(take, "dt").alias("t_tp"), at(stop, "dt").alias("t_stop"), F.min_by("ret", F.when(take | stop, F.col("n"))).alias("touched"), F.max_by("ret", "n").alias("last"))
+    y = F.when(F.col("t_tp") <= F.coalesce("t_stop", F.lit(1e18)), 1).otherwise(0)
+    return rounded(out.select("key", "mode", "cross_n", "before", "fill_n", y.alias("y"), F.coalesce("touched", "last").alias("ret"), (F.col("t_tp").isNull() & F.col("t_stop").isNull()).alias("censored")))
