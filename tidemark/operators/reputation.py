@@ -17,7 +17,7 @@ BIN = 30 * 86400.0
 
 def _credited(rows: DataFrame, at: str, inside) -> DataFrame:
     """``rows`` (actor, ``at``, y: null where nothing is told) with seen and won: what was told before, by bins."""
-    rows = rows.withColumn("bin", F.floor(F.col(at) / BIN))
+    rows = rows.withColumn("bin", F.floor(F.col(at) / BIN)).repartition("actor", "bin")  # one exchange for windows and totals
     w = inside(Window.partitionBy("actor", "bin"))
     totals = rows.groupBy("actor", "bin").agg(F.count("y").alias("c"), F.coalesce(F.sum("y"), F.lit(0)).alias("s"))
     earlier = Window.partitionBy("actor").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)

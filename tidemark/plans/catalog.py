@@ -18,7 +18,7 @@ TAPE = """tape AS (SELECT user_id AS key, event_id AS seq, row_number() OVER (PA
  epoch_us(ts)/1e6 AS ts, CAST(floor(epoch_us(ts)/1e6/3600) AS BIGINT) AS slot, event_type IN ('purchase','signup','click') AS is_buy, event_type AS kind,
  value AS sol, value AS mid, event_type || '-' || CAST(event_id % 7 AS VARCHAR) AS actor, sqrt(1.8e19*value) AS vsol, sqrt(1.8e19/value) AS vtok,
  CASE WHEN user_id % 5 = 0 THEN sqrt(1.8e19*value) ELSE sqrt(1.8e19*value) - 3e10 END AS rsol, event_type = 'error' AS failed,
- CAST(json_extract_string(props,'$.k') AS DOUBLE) AS tip FROM events)"""
+ CAST(json_extract_string(props,'$.k') AS DOUBLE) AS tip FROM events WHERE value > 0)"""
 LINES = """tape AS (SELECT l_partkey AS key, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey) AS n,
  date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))*86400.0::DOUBLE AS ts, l_returnflag <> 'R' AS is_buy, l_quantity AS sol, l_extendedprice/l_quantity AS mid,
  CAST(l_suppkey AS VARCHAR) AS actor, l_linestatus = 'F' AS failed, l_tax AS tip FROM lineitem)"""
@@ -573,8 +573,9 @@ def session_close(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("tumbling_volume", "SELECT epoch_us(time_bucket(INTERVAL '1 day', ts))/1e6 AS day, event_type AS kind, count(*) AS rows, round(sum(value),6) AS volume FROM events GROUP BY 1,2")
 def tumbling_volume(spark: SparkSession, sf: str) -> DataFrame:
-    rows = events_tape(spark, sf).withColumn("at", F.timestamp_micros((F.col("ts") * 1e6).cast("long")))
-    return rounded(rows.groupBy(F.window("at", "1 day").alias("w"), "kind").agg(F.count("*").alias("rows"), F.sum("sol").alias("volume")).select((F.unix_micros("w.start") / 1e6).alias("day"), "kind", "rows", "volume"))
+    e = read(spark, sf, "events")
+    rows = e.groupBy(F.window(e["ts"].cast("timestamp"), "1 day").alias("w"), F.col("event_type").alias("kind")).agg(F.count("*").alias("rows"), F.sum("value").alias("volume"))
+    return rounded(rows.select((F.unix_micros("w.start") / 1e6).alias("day"), "kind", "rows", "volume"))
 
 
 @query(

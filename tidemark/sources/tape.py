@@ -35,8 +35,9 @@ def _finished(rows: DataFrame, *order: str) -> DataFrame:
 
 
 def events_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` by user: the value stands for price and size."""
-    e = read(spark, sf_dir, "events")
+    """``events`` by user: the value stands for price and size. Rows without a price have no valid reserves, and are left
+    out, as everywhere in this library."""
+    e = read(spark, sf_dir, "events").filter("value > 0")
     ts = seconds(e["ts"])
     rows = e.select(
         e["user_id"].alias("key"), e["event_id"].alias("seq"), ts.alias("ts"), F.floor(ts / 3600).alias("slot"), e["event_type"].isin("purchase", "signup", "click").alias("is_buy"), e["event_type"].alias("kind"), e["value"].alias("sol"), e["value"].alias("mid"),
