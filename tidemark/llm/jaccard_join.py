@@ -10,8 +10,9 @@ cells that occur once are never sent. Bands of set sizes share a number of cells
 in the next band stands in both.
 
 Groups of equal sets are one node from the start. Documents that share a cell are then linked in steps that never
-form all pairs: each to the first of its cell (a verified star), components of those links, and last the few cells
-that still join different components, pair by pair within chunks, where one-bit parity sketches (their Hamming
+form all pairs: each to the first of its cell (a verified star), components of those links, stars around the first
+document outside of a cell's largest component, and last the few cells that still join different components, pair by
+pair within chunks, where one-bit parity sketches (their Hamming
 distance bounds the difference from below) leave little to verify. Every link counts, so components are exact.
 
 Cases: null and wordless texts have an empty set, and are linked with nothing; fewer words than a shingle make one
@@ -42,8 +43,11 @@ LOAD, SMALL, SMALL_CELLS, STEP = 1.8, 100, 1 << 20, 4
 #: Seeds of the deal of tokens to cells. A deal under which some set fills too few cells for the pigeonhole is made
 #: again; at this load, that is 12 standard deviations from what a set fills.
 SEEDS = 8
-#: Documents of a chunk in the last step.
-CHUNK = 512
+#: Documents of a chunk in the last step; rounds of stars before it.
+CHUNK, STARS = 512, 2
+NONE = np.iinfo(np.int64).max
+#: What a cell with several components tells its members.
+MIXED = {"keys": "<u8", "largest": "<i8", "centre": "<i8", "whose": "<i8", "chunks": "<i4"}
 #: Documents whose tokens are sorted at once: with the number of the document before it, a hash has 56 bits.
 SORTED, TOKEN = 256, U((1 << 56) - 1)
 
@@ -285,8 +289,6 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
 
     # 2. cells that hold documents of several components beside their first
     entries = entries.select("block", "keys", "docs")
-    mine = labels.select(F.shiftright("node", 20).alias("block"), F.col("node").bitwiseAND((1 << 20) - 1).cast("int").alias("at"), "label")
-    labelled = entries.join(mine.groupBy("block").agg(F.collect_list(F.struct("at", "label")).alias("labels")), "block", "left")
 
     def label(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h, d = np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["docs"], "<i4")
@@ -300,55 +302,81 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
         return h, g, g
 
     def holdings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The components in each cell, and how many documents of the block each has there."""
+        """The components in each cell, how many documents of the block each has there, and the first of them."""
         for b in batches:
             for r in b.to_pylist():
-                h, _, to = label(r)
+                h, g, to = label(r)
                 if not len(h):
                     continue
-                order = np.lexsort((to, h))
-                h, to = h[order], to[order]
+                order = np.lexsort((g, to, h))
+                h, g, to = h[order], g[order], to[order]
                 new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (to[1:] != to[:-1])))
-                h, to, n = h[new], to[new], np.diff(np.append(new, len(h)))
+                n = np.diff(np.append(new, len(h)))
+                h, g, to = h[new], g[new], to[new]
                 s = shard(h)
                 order = np.argsort(s, kind="stable")
                 for at in np.split(order, _starts(s[order])[1:]):
-                    yield _rows(["shard", "block", "keys", "labels", "counts"], [pa.int32(), pa.int64(), *[pa.binary()] * 3], [(int(s[at[0]]), r["block"], h[at].tobytes(), to[at].tobytes(), n[at].astype("<i4").tobytes())])
+                    yield _rows(["shard", "block", "keys", "labels", "counts", "firsts"], [pa.int32(), pa.int64(), *[pa.binary()] * 4], [(int(s[at[0]]), r["block"], h[at].tobytes(), to[at].tobytes(), n[at].astype("<i4").tobytes(), g[at].tobytes())])
 
     def differing(part: pa.Table) -> pa.Table:
-        """For each block, its cells that hold several components: the largest, and the chunks of the cell."""
+        """For each block, its cells that hold several components: the largest, the first document that is not in it, the
+        component of that one, and the chunks of the cell."""
         got = part.to_pylist()
-        h, to, n = (np.concatenate([np.frombuffer(r[c], t) for r in got]) for c, t in (("keys", "<u8"), ("labels", "<i8"), ("counts", "<i4")))
-        order = np.lexsort((to, h))
-        h, to, n = h[order], to[order], n[order].astype(np.int64)
+        h, to, n, g = (np.concatenate([np.frombuffer(r[c], t) for r in got]) for c, t in (("keys", "<u8"), ("labels", "<i8"), ("counts", "<i4"), ("firsts", "<i8")))
+        order = np.lexsort((g, to, h))
+        h, to, n, g = h[order], to[order], n[order].astype(np.int64), g[order]
         new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (to[1:] != to[:-1])))
-        h, to, n = h[new], to[new], np.add.reduceat(n, new)
+        h, to, g, n = h[new], to[new], g[new], np.add.reduceat(n, new)
         first = _starts(h)
-        many = np.diff(np.append(first, len(h))) > 1
+        length = np.diff(np.append(first, len(h)))
         order = np.lexsort((to, n, h))  # of each cell, the largest comes last
-        last = order[np.append(first[1:], len(h)) - 1]
-        keys, largest, chunks = h[first][many], to[last][many], -(-np.add.reduceat(n, first)[many] // CHUNK)
+        last = order[first + length - 1]
+        outside = np.where(to == np.repeat(to[last], length), NONE, g)
+        centre = np.minimum.reduceat(outside, first)
+        whose = np.maximum.reduceat(np.where(outside == np.repeat(centre, length), to, -1), first)
+        many = length > 1
+        found = [x[many] for x in (h[first], to[last], centre, whose, -(-np.add.reduceat(n, first) // CHUNK))]
         out = []
         for r in got:
-            at = np.flatnonzero(np.isin(keys, np.frombuffer(r["keys"], "<u8")))
-            out.append((keys[at].tobytes(), largest[at].astype("<i8").tobytes(), chunks[at].astype("<i4").tobytes()))
-        return pa.table([part["block"], *(pa.array([o[i] for o in out], pa.binary()) for i in range(3))], ["block", "keys", "largest", "chunks"])
-
-    mixed = labelled.mapInArrow(holdings, "shard int, block long, keys binary, labels binary, counts binary").groupBy("shard").applyInArrow(differing, "block long, keys binary, largest binary, chunks binary")
-    again = labelled.join(mixed.groupBy("block").agg(F.collect_list(F.struct("keys", "largest", "chunks")).alias("mixed")), "block")
+            at = np.flatnonzero(np.isin(found[0], np.frombuffer(r["keys"], "<u8")))
+            out.append([x[at].astype(t).tobytes() for x, t in zip(found, MIXED.values(), strict=True)])
+        return pa.table([part["block"], *(pa.array([o[i] for o in out], pa.binary()) for i in range(len(MIXED)))], ["block", *MIXED])
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                keys, largest, chunks = (np.frombuffer(b"".join(m[c] for m in r["mixed"]), t) for c, t in (("keys", "<u8"), ("largest", "<i8"), ("chunks", "<i4")))
+                facts = {c: np.frombuffer(b"".join(m[c] for m in r["mixed"]), t) for c, t in MIXED.items()}
+                keys = facts.pop("keys")
                 order = np.argsort(keys)
                 h, g, to = label(r)
                 at = order[np.minimum(np.searchsorted(keys[order], h), len(order) - 1)] if len(order) else np.zeros(len(h), np.int64)
                 keep = keys[at] == h if len(order) else np.zeros(len(h), bool)
                 at = at[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(g[keep]), pa.array(to[keep]), pa.array(largest[at]), pa.array(chunks[at])], ["key", "gid", "label", "largest", "chunks"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(g[keep]), pa.array(to[keep]), *(pa.array(x[at]) for x in facts.values())], ["key", "gid", "label", *facts])
+
+    def mixed_cells(labels: DataFrame) -> DataFrame:
+        """The members of cells that hold several components: key, gid, label, largest, centre, whose, chunks."""
+        mine = labels.select(F.shiftright("node", 20).alias("block"), F.col("node").bitwiseAND((1 << 20) - 1).cast("int").alias("at"), "label")
+        labelled = entries.join(mine.groupBy("block").agg(F.collect_list(F.struct("at", "label")).alias("labels")), "block", "left")
+        facts = ", ".join(f"{c} binary" for c in MIXED)
+        mixed = labelled.mapInArrow(holdings, "shard int, block long, keys binary, labels binary, counts binary, firsts binary").groupBy("shard").applyInArrow(differing, f"block long, {facts}")
+        again = labelled.join(mixed.groupBy("block").agg(F.collect_list(F.struct(*MIXED)).alias("mixed")), "block")
+        return scratch.table(again.mapInArrow(members, "key long, gid long, label long, largest long, centre long, whose long, chunks int"), "mixed")
+
+    # 3. stars again, around the first document outside of a cell's largest component: near copies that the first document
+    # of their cells is too far from come together by them, with a pair for each document at most, not for each two
+    for _ in range(STARS):
+        rest = mixed_cells(labels)
+        if not rest.limit(1).count():
+            break
+        new = verify(rest.filter("label <> whose").select(F.least("gid", "centre").alias("a"), F.greatest("gid", "centre").alias("b")))
+        links = links.union(new)
+        labels = components(links)
+        if not new.limit(1).count():
+            break
 
-    rest = scratch.table(again.mapInArrow(members, "key long, gid long, label long, largest long, chunks int"), "mixed")
+    # 4. what is left, pair by pair
+    rest = mixed_cells(labels)
     more = verify(_across(rest, known, percent))
     labels = components(links.union(more))
 
