@@ -10,9 +10,8 @@ cells that occur once are never sent. Bands of set sizes share a number of cells
 in the next band stands in both.
 
 Groups of equal sets are one node from the start. Documents that share a cell are then linked in steps that never
-form all pairs: each to the first of its cell (a verified star), components of those links, stars around the first
-document outside of a cell's largest component, and last the few cells that still join different components, pair by
-pair within chunks, where one-bit parity sketches (their Hamming
+form all pairs: each to the first of its cell (a verified star), components of those links, each to the nearest outside of
+its component, and last the few cells that still join different components, pair by pair within chunks, where one-bit parity sketches (their Hamming
 distance bounds the difference from below) leave little to verify. Every link counts, so components are exact.
 
 Cases: null and wordless texts have an empty set, and are linked with nothing; fewer words than a shingle make one
@@ -43,11 +42,10 @@ LOAD, SMALL, SMALL_CELLS, STEP = 1.8, 100, 1 << 20, 4
 #: Seeds of the deal of tokens to cells. A deal under which some set fills too few cells for the pigeonhole is made
 #: again; at this load, that is 12 standard deviations from what a set fills.
 SEEDS = 8
-#: Documents of a chunk in the last step; rounds of stars before it.
-CHUNK, STARS = 512, 2
-NONE = np.iinfo(np.int64).max
+#: Documents of a chunk in the last steps; rounds of nearest documents before all that are near.
+CHUNK, ROUNDS = 512, 2
 #: What a cell with several components tells its members.
-MIXED = {"keys": "<u8", "largest": "<i8", "centre": "<i8", "whose": "<i8", "chunks": "<i4"}
+MIXED = {"keys": "<u8", "largest": "<i8", "chunks": "<i4"}
 #: Documents whose tokens are sorted at once: with the number of the document before it, a hash has 56 bits.
 SORTED, TOKEN = 256, U((1 << 56) - 1)
 
@@ -283,7 +281,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
             for r in b.to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r[c], "<i8")) for c in "ab"], ["a", "b"])
 
-    verify = lambda p: _verified(p, known, blocks, n, size, percent)
+    verify = lambda p, near=False: _verified(p, known, blocks, n, size, percent, near)
     links = verify(entries.select("a", "b").mapInArrow(pairs, "a long, b long"))
     labels = components(links)
 
@@ -302,40 +300,36 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
         return h, g, g
 
     def holdings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The components in each cell, how many documents of the block each has there, and the first of them."""
+        """The components in each cell, and how many documents of the block each has there."""
         for b in batches:
             for r in b.to_pylist():
-                h, g, to = label(r)
+                h, _, to = label(r)
                 if not len(h):
                     continue
-                order = np.lexsort((g, to, h))
-                h, g, to = h[order], g[order], to[order]
+                order = np.lexsort((to, h))
+                h, to = h[order], to[order]
                 new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (to[1:] != to[:-1])))
                 n = np.diff(np.append(new, len(h)))
-                h, g, to = h[new], g[new], to[new]
+                h, to = h[new], to[new]
                 s = shard(h)
                 order = np.argsort(s, kind="stable")
                 for at in np.split(order, _starts(s[order])[1:]):
-                    yield _rows(["shard", "block", "keys", "labels", "counts", "firsts"], [pa.int32(), pa.int64(), *[pa.binary()] * 4], [(int(s[at[0]]), r["block"], h[at].tobytes(), to[at].tobytes(), n[at].astype("<i4").tobytes(), g[at].tobytes())])
+                    yield _rows(["shard", "block", "keys", "labels", "counts"], [pa.int32(), pa.int64(), *[pa.binary()] * 3], [(int(s[at[0]]), r["block"], h[at].tobytes(), to[at].tobytes(), n[at].astype("<i4").tobytes())])
 
     def differing(part: pa.Table) -> pa.Table:
-        """For each block, its cells that hold several components: the largest, the first document that is not in it, the
-        component of that one, and the chunks of the cell."""
+        """For each block, its cells that hold several components: the largest, and the chunks of the cell."""
         got = part.to_pylist()
-        h, to, n, g = (np.concatenate([np.frombuffer(r[c], t) for r in got]) for c, t in (("keys", "<u8"), ("labels", "<i8"), ("counts", "<i4"), ("firsts", "<i8")))
-        order = np.lexsort((g, to, h))
-        h, to, n, g = h[order], to[order], n[order].astype(np.int64), g[order]
+        h, to, n = (np.concatenate([np.frombuffer(r[c], t) for r in got]) for c, t in (("keys", "<u8"), ("labels", "<i8"), ("counts", "<i4")))
+        order = np.lexsort((to, h))
+        h, to, n = h[order], to[order], n[order].astype(np.int64)
         new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (to[1:] != to[:-1])))
-        h, to, g, n = h[new], to[new], g[new], np.add.reduceat(n, new)
+        h, to, n = h[new], to[new], np.add.reduceat(n, new)
         first = _starts(h)
         length = np.diff(np.append(first, len(h)))
         order = np.lexsort((to, n, h))  # of each cell, the largest comes last
         last = order[first + length - 1]
-        outside = np.where(to == np.repeat(to[last], length), NONE, g)
-        centre = np.minimum.reduceat(outside, first)
-        whose = np.maximum.reduceat(np.where(outside == np.repeat(centre, length), to, -1), first)
         many = length > 1
-        found = [x[many] for x in (h[first], to[last], centre, whose, -(-np.add.reduceat(n, first) // CHUNK))]
+        found = [x[many] for x in (h[first], to[last], -(-np.add.reduceat(n, first) // CHUNK))]
         out = []
         for r in got:
             at = np.flatnonzero(np.isin(found[0], np.frombuffer(r["keys"], "<u8")))
@@ -355,21 +349,21 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(g[keep]), pa.array(to[keep]), *(pa.array(x[at]) for x in facts.values())], ["key", "gid", "label", *facts])
 
     def mixed_cells(labels: DataFrame) -> DataFrame:
-        """The members of cells that hold several components: key, gid, label, largest, centre, whose, chunks."""
+        """The members of cells that hold several components: key, gid, label, largest, chunks."""
         mine = labels.select(F.shiftright("node", 20).alias("block"), F.col("node").bitwiseAND((1 << 20) - 1).cast("int").alias("at"), "label")
         labelled = entries.join(mine.groupBy("block").agg(F.collect_list(F.struct("at", "label")).alias("labels")), "block", "left")
         facts = ", ".join(f"{c} binary" for c in MIXED)
-        mixed = labelled.mapInArrow(holdings, "shard int, block long, keys binary, labels binary, counts binary, firsts binary").groupBy("shard").applyInArrow(differing, f"block long, {facts}")
+        mixed = labelled.mapInArrow(holdings, "shard int, block long, keys binary, labels binary, counts binary").groupBy("shard").applyInArrow(differing, f"block long, {facts}")
         again = labelled.join(mixed.groupBy("block").agg(F.collect_list(F.struct(*MIXED)).alias("mixed")), "block")
-        return scratch.table(again.mapInArrow(members, "key long, gid long, label long, largest long, centre long, whose long, chunks int"), "mixed")
+        return scratch.table(again.mapInArrow(members, "key long, gid long, label long, largest long, chunks int"), "mixed")
 
-    # 3. stars again, around the first document outside of a cell's largest component: near copies that the first document
-    # of their cells is too far from come together by them, with a pair for each document at most, not for each two
-    for _ in range(STARS):
+    # 3. each document outside of a cell's largest component with the one nearest to it in parity, of another component:
+    # the pieces of a group of near copies come together by a pair for each document, not for each two
+    for _ in range(ROUNDS):
         rest = mixed_cells(labels)
         if not rest.limit(1).count():
             break
-        new = verify(rest.filter("label <> whose").select(F.least("gid", "centre").alias("a"), F.greatest("gid", "centre").alias("b")))
+        new = verify(_across(rest, known, percent, nearest=True), True)
         links = links.union(new)
         labels = components(links)
         if not new.limit(1).count():
@@ -377,7 +371,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
 
     # 4. what is left, pair by pair
     rest = mixed_cells(labels)
-    more = verify(_across(rest, known, percent))
+    more = verify(_across(rest, known, percent), True)
     labels = components(links.union(more))
 
     # all rows again
@@ -401,12 +395,11 @@ def dedup(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     return docs.join(stays, docs["doc_id"].eqNullSafe(stays["tidemark_id"]) & (F.col("tidemark_md5") == F.col("tidemark_text")), "left_semi").drop("tidemark_md5")
 
 
-def _verified(pairs: DataFrame, known: DataFrame, blocks: DataFrame, n: int, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked: first by sizes and parity bits, then by the sets themselves."""
-    one, two = (known.select(F.col("gid").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}")) for x in "ab")
-    # a document with many partners is a skewed key of these joins, which adaptive execution splits
-    near = pairs.distinct().join(one, "a").join(two, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+def _verified(pairs: DataFrame, known: DataFrame, blocks: DataFrame, n: int, size: int, percent: int, are_near: bool) -> DataFrame:
+    """The pairs (a, b) that are linked: first by sizes and parity bits, unless they ``are_near`` in these, then by the sets
+    themselves."""
     t = percent / 100
+    one, two = (known.select(F.col("gid").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}")) for x in "ab")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -419,7 +412,12 @@ def _verified(pairs: DataFrame, known: DataFrame, blocks: DataFrame, n: int, siz
             k = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(i).filter(k) for i in range(2)], ["a", "b"])
 
-    near = scratch.table(near.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(close, "a long, b long"), "near")
+    near = pairs.distinct()
+    if not are_near:
+        # a document with many partners is a skewed key of these joins, which adaptive execution splits
+        near = near.join(one, "a").join(two, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        near = near.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(close, "a long, b long")
+    near = scratch.table(near, "near")
     needed = near.select(F.col("a").alias("gid")).union(near.select("b")).distinct()
     asked = needed.select(F.shiftright("gid", 20).alias("block"), F.col("gid").bitwiseAND((1 << 20) - 1).cast("int").alias("at"))
     wanted = B.per_block(asked, blocks.select("block", "ids", "lengths", "data"), n, "asked")
@@ -457,10 +455,11 @@ def _fold_low(bits: np.ndarray, to: int) -> np.ndarray:
     return bits.reshape(-1, to).sum(0, dtype=np.int64) & 1 if len(bits) > to else bits
 
 
-def _across(rest: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+def _across(rest: DataFrame, known: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
     """Pairs of documents in one cell but different components that may be linked. A cell's documents stand in chunks
     (``base``); all but those of its largest component also visit every chunk (``probe``), chunk by chunk, and so meet
-    each other and that component once, CHUNK by CHUNK of them in a group. Pairs are formed and dropped inside a task; only those near in parity leave it."""
+    each other and that component once, CHUNK by CHUNK of them in a group. Pairs are formed and dropped inside a task; only those near in parity leave it, or with
+    ``nearest`` of each probe only the nearest."""
     t = percent / 100
     rows = rest.join(known, "gid")
     own = F.pmod(F.xxhash64("gid"), F.col("chunks")).cast("int")
@@ -480,7 +479,8 @@ def _across(rest: DataFrame, known: DataFrame, percent: int) -> DataFrame:
             for i in range(len(gx)):
                 far = np.bitwise_count(x[i] ^ y).sum(1)
                 ok = (lx[i] != ly) & (far <= (nx[i] + ny) * (1 - t) / (1 + t) + 1e-9) & (100 * np.minimum(nx[i], ny) >= percent * np.maximum(nx[i], ny))
-                out += [(min(int(gx[i]), g), max(int(gx[i]), g)) for g in gy[ok].tolist()]
+                found = gy[ok] if not nearest or not ok.any() else gy[[np.flatnonzero(ok)[far[ok].argmin()]]]
+                out += [(min(int(gx[i]), g), max(int(gx[i]), g)) for g in found.tolist()]
         return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
     return base.union(probe).groupBy("key", "chunk", "other").applyInArrow(meet, "a long, b long")
