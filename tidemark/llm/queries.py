@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_tokens, decontamination, jaccard_join, language, main_text, packing, scratch, secrets, substring_dedup, toxicity, voronoi_knn
+from . import binary_tokens, decontamination, jaccard_join, language, lexical_search, main_text, packing, scratch, secrets, substring_dedup, toxicity, voronoi_knn
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,10 +98,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
     "op10_language": op10_language,
+    "op11_lexical_search": op11_lexical_search,
     "pipeline": pipeline,
 }
 #: White space parts words; md5 stands for a run of words.
 _WORDS = r"""d AS (SELECT doc_id, list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents)"""
+_TERMS = r"unnest(regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: The same results as SQL. Tokens, edit distances, markup, labels' neighbours and entropy windows are beyond it: tests
 #: hold those operators against brute force.
@@ -114,4 +120,10 @@ c AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1), p AS (SELECT a.doc_id AS
 l AS (SELECT a, b FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT a AS doc_id, b AS other FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a)
 SELECT d.doc_id, coalesce(max(c.n), 0) AS n_shingles, least(d.doc_id, coalesce(min(r.other), d.doc_id)) AS component_id FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op11_lexical_search": f"""WITH f AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {_TERMS.format(lower=_LOWER)} FROM documents) GROUP BY 1, 2), n AS (SELECT doc_id, sum(tf) AS n FROM f GROUP BY 1),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM n), m AS (SELECT doc_id, 75 + (25 * CAST(n AS BIGINT) * docs) // total AS m FROM n, s),
+q AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, {_TERMS.format(lower=_LOWER)} FROM benchmark) GROUP BY 1, 2),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0 * max(docs) + 2) / (2.0 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY 1),
+r AS (SELECT item_id, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (doc_id) GROUP BY 1, 2),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r WHERE score > 0) SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20""",
 }

@@ -77,8 +77,9 @@ class Words:
         return np.searchsorted(self.first, at, side="right") - 1
 
 
-def split(data: bytes | memoryview, lengths: np.ndarray, lower: bool = False) -> Words:
-    """The words of concatenated documents of ``lengths`` bytes each; ``lower``: A-Z as a-z."""
+def split(data: bytes | memoryview, lengths: np.ndarray, lower: bool = False, apart: np.ndarray = SPACE) -> Words:
+    """The words of concatenated documents of ``lengths`` bytes each; ``lower``: A-Z as a-z; ``apart``: the bytes between
+    words."""
     raw = np.frombuffer(data, np.uint8)
     if lower:
         raw = LOWER[raw]
@@ -86,7 +87,7 @@ def split(data: bytes | memoryview, lengths: np.ndarray, lower: bool = False) ->
     if not n:
         z = np.zeros(0, np.int64)
         return Words(np.zeros(0, U), z, z, np.zeros(len(lengths) + 1, np.int64))
-    space = SPACE[raw]
+    space = apart[raw]
     opens = np.cumsum(lengths)[:-1]
     begins = ~space
     after = np.concatenate([[True], space[:-1]])
