@@ -5,8 +5,10 @@ Documents are dealt to shards where they are read, so no text is shuffled. A sha
 few whole bytes as the block needs, with the largest impact any of its postings has. An item is a bag of weighted terms.
 In a shard, the ends of its terms' blocks cut the documents into intervals inside of which no list moves to another block.
 Shallow moves find the block of every list in every interval from the block table alone; the sum of their largest impacts
-bounds every document of the interval. Intervals are opened from the highest bound down, and only they are decompressed;
-the rest is skipped once the bound is below the k-th score found so far, which goes on from shard to shard of a task.
+bounds every document of the interval. Intervals are opened from the highest bound down; the rest is skipped once the
+bound is below the k-th score found so far, which goes on from shard to shard of a task. Inside of opened intervals the
+pivot rule of WAND decides what is decompressed: lists whose bounds together stay below that score bring no candidates,
+so their blocks (those of frequent terms, the longest) are read only around documents that the other lists leave.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ POSTINGS = 64
 ITEMS = 32 << 20
 #: Parts in which the rows of an item meet before they meet in one.
 PARTS = 64
-#: Intervals opened first; each next step opens twice as many.
-OPENED = 4
+#: Intervals opened first; each next step opens four times as many.
+OPENED = 16
 U = np.uint64
 NONE = np.iinfo(np.int64).max
 #: Fixed by the definition of a term: ASCII letters and digits, and all bytes of other characters.
@@ -149,43 +151,57 @@ class Shard:
             self.open[k] = doc, impacts(often, self.norms[doc])
         return self.open[k]
 
+    def scores(self, blocks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Documents and impacts of the blocks of one list; ``blocks`` ascend, -1 stands for none."""
+        blocks = blocks[blocks >= 0]
+        for k in blocks[np.append(True, blocks[1:] != blocks[:-1])].tolist() if len(blocks) else ():
+            yield self.block(k)
+
     def search(self, found: np.ndarray, weight: np.ndarray, best: Best) -> None:
         """Offer to ``best`` what documents of this shard score for the terms at ``found`` of its dictionary."""
         low, high = self.first[found], self.first[found + 1]
         lists = [(a, self.last[a:b]) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
         ends = np.unique(np.concatenate([x for _, x in lists]))
         where = np.empty((len(lists), len(ends)), np.int64)
-        bound = np.zeros(len(ends), np.int64)
         for t, (a, last) in enumerate(lists):
             k = a + np.searchsorted(last, ends)  # shallow: only the table of blocks is read
             over = k >= a + len(last)
             k[over] = a
             k[over | (self.base[k] > ends)] = -1  # the list has ended, or has no document up to here
             where[t] = k
-            bound += np.where(k >= 0, weight[t] * self.most[k], 0)
-        exact = int(bound.max(initial=0)) < 1 << 53
-        order, at, step = np.argsort(-bound, kind="stable"), 0, OPENED
+        value = np.where(where >= 0, weight[:, None] * self.most[where], 0)
+        bound = value.sum(0)
         of = np.searchsorted(ends, np.arange(len(self.ids)))  # the interval of each document
+        order, at, step = np.argsort(-bound, kind="stable"), 0, OPENED
         while at < len(order) and bound[order[at]] >= best.least():
             now = order[at : at + step]
-            now = now[bound[now] >= best.least()]
-            at, step = at + step, step * 2
-            docs, scores = [], []
-            for t in range(len(lists)):
-                for k in np.unique(where[t, now]).tolist():
-                    if k >= 0:
-                        d, s = self.block(k)
-                        docs.append(d)
-                        scores.append(s * weight[t])
-            if exact:
-                total = np.bincount(np.concatenate(docs), np.concatenate(scores), len(self.ids)).astype(np.int64)
-            else:
-                total = np.zeros(len(self.ids), np.int64)
-                np.add.at(total, np.concatenate(docs), np.concatenate(scores))
-            opened = np.zeros(len(ends) + 1, bool)
-            opened[now] = True
-            hit = np.flatnonzero((total >= best.least()) & opened[of])
-            best.add(total[hit], self.ids[hit])
+            at, step = at + step, step * 4
+            self._open(np.sort(now[bound[now] >= best.least()]), of, where, value, weight, best)
+
+    def _open(self, now: np.ndarray, of: np.ndarray, where: np.ndarray, value: np.ndarray, weight: np.ndarray, best: Best) -> None:
+        """Score the documents of the intervals ``now``. Lists whose bounds together stay below the k-th score make no
+        candidates: their blocks are decompressed only where the other lists have left a document that may pass it."""
+        least = best.least()
+        peak = value[:, now].max(1)
+        by = np.argsort(peak, kind="stable")
+        few = int(np.searchsorted(np.cumsum(peak[by]), least))
+        total = np.zeros(len(self.ids), np.int64)
+        for t in by[few:].tolist():
+            for doc, score in self.scores(where[t, now]):
+                total[doc] += score * weight[t]
+        opened = np.zeros(value.shape[1] + 1, bool)
+        opened[now] = True
+        room = np.append(value[by[:few]].sum(0), 0)
+        hit = np.flatnonzero(opened[of] & (total + room[of] >= least))
+        for t in by[:few][::-1].tolist():
+            if not len(hit):
+                return
+            place = of[hit]
+            room[:-1] -= value[t]
+            for doc, score in self.scores(where[t, np.unique(place)]):
+                total[doc] += score * weight[t]
+            hit = hit[total[hit] + room[place] >= least]
+        best.add(total[hit], self.ids[hit])
 
 
 class Best:
