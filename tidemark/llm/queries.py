@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_tokens, decontamination, jaccard_join, language, lexical_search, main_text, mixing, packing, scratch, secrets, substring_dedup, toxicity, voronoi_knn
+from . import alignment, binary_tokens, decontamination, jaccard_join, language, lexical_search, main_text, mixing, packing, scratch, secrets, substring_dedup, toxicity, voronoi_knn
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,12 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.digest(table(spark, sf_dir, "documents"), tokenizer_file(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_language": op10_language,
     "op11_lexical_search": op11_lexical_search,
+    "op12_alignment": op12_alignment,
     "op13_mixing": op13_mixing,
     "pipeline": pipeline,
 }
