@@ -5,11 +5,13 @@ there, and no piece of the other vocabulary has a space after another sign (:fun
 one segment). So a text's tokens are those of its segments, one segment after the other, every segment's end is a cut, and
 groups and links lie within segments. Distinct segments are aligned once, for the whole corpus:
 
-tokens are exploded with their positions, windowed sums of lengths give their ends, a full equi-join on segment and end
-puts the ends of both sides in one row, rows with both are cuts, and the running count of cuts numbers the groups. Links
-need no join: at each distinct end exactly one pair of tokens stops to overlap, the next token of either side at or after it.
+tokens are exploded with their positions, windowed sums of lengths give their ends, both sides meet on segment and end (an
+equi-join in the form of a grouping: both lie in one partition, and an outer join would shuffle its result), rows with both
+are cuts, and the running count of cuts numbers the groups. Links need no join: at each distinct end exactly one pair of
+tokens stops to overlap, the next token of either side at or after it. So m tokens of a group cost m rows, not m * m.
 
-Documents stay in blocks that know their segments by number; what is known of segments comes to blocks by joins.
+Segments are partitioned by their key once, and all of this happens where they are. Documents stay in blocks that know
+their segments by number; what is known of segments, a few bytes for each link, comes to blocks by one join.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -28,10 +31,12 @@ from pyspark.sql import functions as F
 from . import scratch, tokens
 
 #: Bytes of text of a block, about, and its documents at most.
-BLOCK, DOCUMENTS = 4 << 20, 1 << 16
+BLOCK, DOCUMENTS = 8 << 20, 1 << 16
 #: Segments up to so many bytes stand for themselves as keys; longer ones have a digest.
 SHORT = 32
 NONE = np.iinfo(np.int64).max
+#: Bits of an id in a packed link, which has both ids and whether a token of either side ends with it; bytes of a link.
+ID, LINK = 18, 5
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
@@ -46,8 +51,10 @@ class Pair:
         self.a.encode_special_tokens = True  # special strings in texts are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_file=second)
         back = {c: b for b, c in tokens._TO_ALPHABET.items() if b != 255}  # byte 255 is in no text
-        special = {i for i, t in self.a.get_added_tokens_decoder().items()}
+        special = set(self.a.get_added_tokens_decoder())
         size = self.a.get_vocab_size()
+        if max(size, self.b.get_piece_size()) > 1 << ID:
+            raise ValueError(f"ids have up to {ID} bits")
         plain = lambda s: bytes(back[ord(c)] for c in s) if all(ord(c) in back for c in s) else s.encode()
         self.bytes_a = [(t.encode() if i in special else plain(t)) if (t := self.a.id_to_token(i)) is not None else b"" for i in range(size)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
@@ -120,164 +127,200 @@ def _blocks(docs: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def _encoded(segments: DataFrame, first: str, second: str) -> DataFrame:
-    """sid (a number), key, ok, and the ids and byte lengths of both tokenizers for each row of segments (key, long)."""
+    """key, ok, and the ids and byte lengths of both tokenizers, one after the other, for each row of segments (key, long);
+    n_a says how many are of the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair(first, second)
-        number = TaskContext.get().partitionId() << 33
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
                 part = b.slice(lo, 4096)
                 keys, long = part.column(0), part.column(1).to_pylist()
                 got = list(both.encode([x.decode() if s is None else s for x, s in zip(keys.to_pylist(), long, strict=True)]))
-                ends = np.arange(number, number + len(got))
-                number += len(got)
-                cols = [pa.array(ends), keys, pa.array([g is not None for g in got])]
-                for side, size in ((0, both.size_a), (1, both.size_b)):
-                    n = np.array([len(g[side]) if g else 0 for g in got], np.int64)
-                    flat = np.array([i for g in got if g for i in g[side]], np.int32)
-                    offsets = pa.array(np.append(0, np.cumsum(n)), pa.int32())
-                    cols += [pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.ListArray.from_arrays(offsets, pa.array(size[flat].astype(np.int32)))]
-                yield pa.RecordBatch.from_arrays(cols, ["sid", "key", "ok", "a", "a_size", "b", "b_size"])
+                n = np.array([len(g[side]) if g else 0 for g in got for side in (0, 1)], np.int64)
+                flat = np.array([i for g in got if g for i in (*g[0], *g[1])], np.int32)
+                second_side = np.repeat(np.arange(len(n)) % 2 == 1, n)
+                size = np.empty(len(flat), np.int32)
+                size[~second_side], size[second_side] = both.size_a[flat[~second_side]], both.size_b[flat[second_side]]
+                offsets = pa.array(np.append(0, np.cumsum(n)[1::2]), pa.int32())
+                cols = [keys, pa.array([g is not None for g in got]), pa.array(n[::2].astype(np.int32)), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (flat, size))]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "ok", "n_a", "ids", "sizes"])
 
-    return segments.mapInArrow(run, "sid long, key binary, ok boolean, a array<int>, a_size array<int>, b array<int>, b_size array<int>")
+    return segments.mapInArrow(run, "key binary, ok boolean, n_a int, ids array<int>, sizes array<int>")
 
 
 def align(encoded: DataFrame) -> DataFrame:
-    """sid, n_a, n_b, n_groups, said (the groups as text) and links (array of first id, second id) of each segment of
-    ``encoded`` (sid, a, a_size, b, b_size) whose bytes are the same on both sides."""
-
-    def side(ids: str, sizes: str) -> DataFrame:
-        each = encoded.filter("ok").select("sid", F.posexplode(F.arrays_zip(ids, sizes)).alias("pos", "t"))
-        to_here = Window.partitionBy("sid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-        return each.select("sid", F.sum(F.col(f"t.{sizes}")).over(to_here).cast("int").alias("end"), F.col(f"t.{ids}").alias(ids))
-
-    ends = side("a", "a_size").join(side("b", "b_size"), ["sid", "end"], "full_outer")
-    from_end = Window.partitionBy("sid").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
+    """The distinct ends of the tokens of each segment of ``encoded`` (key, ok, n_a, ids, sizes): key, end, a and b (the
+    tokens that end there, null if none), g (the group, counted from the segment's end) and next_a, next_b: the link."""
+    each = encoded.filter("ok").select("key", "n_a", F.posexplode(F.arrays_zip("ids", "sizes")).alias("pos", "t"))
+    each = each.select("key", (F.col("pos") < F.col("n_a")).alias("is_a"), "pos", F.col("t.ids").alias("id"), F.col("t.sizes").alias("size"))
+    to_here = Window.partitionBy("key", "is_a").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    ends = each.select("key", "is_a", "id", F.sum("size").over(to_here).alias("end"))
+    ends = ends.groupBy("key", "end").agg(F.max(F.when(F.col("is_a"), F.col("id"))).alias("a"), F.max(F.when(~F.col("is_a"), F.col("id"))).alias("b"))
+    from_end = Window.partitionBy("key").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
-    rows = ends.select("sid", "end", "a", "b", F.sum(cut).over(from_end).alias("g"), *(F.last(c, ignorenulls=True).over(from_end).alias(f"next_{c}") for c in ("a", "b")))
-    tokens_of = lambda c: F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", c))))
-    said = lambda c: F.array_join(F.transform(c, lambda x: x[c].cast("string")), ",")
-    groups = rows.groupBy("sid", "g").agg(tokens_of("a").alias("a"), tokens_of("b").alias("b"), F.collect_list(F.struct(F.col("next_a").alias("a"), F.col("next_b").alias("b"))).alias("links"))
-    groups = groups.select("sid", F.struct((-F.col("g")).alias("g"), F.concat(said("a"), F.lit("|"), said("b")).alias("said")).alias("x"), F.size("a").alias("n_a"), F.size("b").alias("n_b"), "links")
-    whole = groups.groupBy("sid").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.sort_array(F.collect_list("x")).alias("x"), F.flatten(F.collect_list("links")).alias("links"))
-    return whole.select("sid", "n_a", "n_b", F.size("x").cast("long").alias("n_groups"), F.array_join(F.transform("x", lambda x: x["said"]), ";").alias("said"), "links")
-
-
-def _to_blocks(rows: DataFrame, blocks: DataFrame, n: int) -> DataFrame:
-    """``blocks`` with the rest of rows (block, at, ...) as lists."""
-    lists = rows.repartition(n, "block").groupBy("block").agg(F.collect_list(F.struct(*(c for c in rows.columns if c != "block"))).alias("known"))
-    return blocks.join(lists.hint("shuffle_hash"), "block", "left")
-
-
-def _opened(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.StructArray | None]:
-    """Ids of documents, how many segments each has, all their numbers; what is known of segments."""
-    ids, counts, at = (np.frombuffer(b.column(c)[k].as_py(), kind) for c, kind in (("ids", "<i8"), ("counts", "<i8"), ("at", "<u4")))
-    return ids, counts, at.astype(np.int64), b.column("known")[k].values
+    return ends.select("key", "end", "a", "b", F.sum(cut).over(from_end).alias("g"), *(F.last(c, ignorenulls=True).over(from_end).alias(f"next_{c}") for c in ("a", "b")))
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """key, n_groups, and links: :data:`LINK` bytes for each row of :func:`align`, in order."""
+    bit = lambda c, k: F.shiftleft(F.col(c).isNotNull().cast("long"), k)
+    code = F.shiftleft(F.col("next_a").cast("long"), ID + 2).bitwiseOR(F.shiftleft(F.col("next_b").cast("long"), 2)).bitwiseOR(bit("a", 1)).bitwiseOR(bit("b", 0))
+    per = rows.groupBy("key").agg(F.max("g").alias("n_groups"), F.sort_array(F.collect_list(F.struct("end", code.alias("code")))).alias("x"))
+    return per.select("key", "n_groups", F.unhex(F.array_join(F.transform("x", lambda x: F.lpad(F.hex(x["code"]), 2 * LINK, "0")), "")).alias("links"))
+
+
+@dataclass
+class Block:
+    """An opened row: documents, and what is known of the segments of its block, by their numbers."""
+
+    ids: np.ndarray
+    counts: np.ndarray
+    at: np.ndarray  # segments of all documents
+    doc: np.ndarray  # the document of each
+    fine: np.ndarray  # documents whose bytes are the same on both sides
+    groups: np.ndarray
+    a: np.ndarray  # links of all segments
+    b: np.ndarray
+    ends_a: np.ndarray
+    ends_b: np.ndarray
+    first: np.ndarray  # of each segment: its first link, and one beyond the last
+
+    @classmethod
+    def of(cls, b: pa.RecordBatch, k: int) -> Block:
+        ids, counts, at = (np.frombuffer(b.column(c)[k].as_py(), kind) for c, kind in (("ids", "<i8"), ("counts", "<i8"), ("at", "<u4")))
+        at, doc, known = at.astype(np.int64), np.repeat(np.arange(len(counts)), counts), b.column("known")[k].values
+        n = int(at.max()) + 1 if len(at) else 0
+        ok, groups, size = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        raw = np.zeros(0, np.uint8)
+        if n:
+            number = known.field("at").to_numpy()
+            order = np.argsort(number)
+            links = known.field("links").take(pa.array(order))
+            ok[number] = known.field("ok").to_numpy(zero_copy_only=False)
+            groups[number] = known.field("n_groups").fill_null(0).to_numpy(zero_copy_only=False)
+            offsets = np.frombuffer(links.buffers()[1], np.int32)[links.offset : links.offset + len(links) + 1].astype(np.int64)
+            size[number[order]] = np.diff(offsets) // LINK
+            raw = np.frombuffer(links.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if links.buffers()[2] else raw
+        each = raw.reshape(-1, LINK).astype(np.int64)
+        code = sum((each[:, c] << (8 * (LINK - 1 - c)) for c in range(LINK)), np.zeros(len(each), np.int64))
+        mask = (1 << ID) - 1
+        bad = np.bincount(doc[~ok[at]], minlength=len(counts)) > 0 if n else np.zeros(len(counts), bool)
+        return cls(ids, counts, at, doc, ~bad, groups, code >> (ID + 2), (code >> 2) & mask, (code & 2) > 0, (code & 1) > 0, np.append(0, np.cumsum(size)))
+
+    def pairs(self) -> np.ndarray:
+        return self.a << 32 | self.b
+
+    def sums(self, of_links: np.ndarray) -> np.ndarray:
+        """Sums over the links of each segment."""
+        total = np.append(0, np.cumsum(of_links, dtype=np.int64))
+        return total[self.first[1:]] - total[self.first[:-1]]
+
+    def said(self) -> list[str]:
+        """The groups of each segment as text."""
+        out, a, b = [], [], []
+        first, last = self.first.tolist(), iter(zip(self.a.tolist(), self.b.tolist(), self.ends_a.tolist(), self.ends_b.tolist(), strict=True))
+        for n in np.diff(first).tolist():
+            groups = []
+            for _ in range(n):
+                x, y, end_a, end_b = next(last)
+                if end_a:
+                    a.append(str(x))
+                if end_b:
+                    b.append(str(y))
+                    if end_a:
+                        groups.append(f"{','.join(a)}|{','.join(b)}")
+                        a, b = [], []
+            out.append(";".join(groups))
+        return out
 
 
 def _pair_counts(blocks: DataFrame) -> DataFrame:
-    """a, b, docs: how many documents hold a pair linked, summed up block by block. Known: at, ok, links."""
+    """block, pair, docs: how many documents of a block hold a pair linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                _, counts, at, known = _opened(b, k)
-                if known is None or not len(at):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x = Block.of(batch, k)
+                n = len(x.first) - 1
+                code = np.unique(x.doc[x.fine[x.doc]] * n + x.at[x.fine[x.doc]])
+                if not len(code):
                     continue
-                n = int(at.max()) + 1
-                doc = np.repeat(np.arange(len(counts)), counts)
-                number, ok = known.field("at").to_numpy(), known.field("ok").to_numpy(zero_copy_only=False)
-                fine = np.zeros(n, bool)
-                fine[number[ok]] = True
-                bad = np.bincount(doc, ~fine[at], len(counts)) > 0
-                code = np.unique(doc * n + at)
-                doc, at = np.divmod(code[~bad[code // n]], n)
-                links = known.field("links")
-                size = np.zeros(n, np.int64)
-                start = np.zeros(n, np.int64)
-                lengths = np.diff(links.offsets.to_numpy())
-                size[number], start[number] = lengths, links.offsets.to_numpy()[:-1]
-                each = size[at]
-                place = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + np.repeat(start[at], each)
-                values = links.values.to_numpy()
-                pairs, where = np.unique(values, return_inverse=True)
-                held = np.unique(where[place] * len(counts) + np.repeat(doc, each)) // len(counts)
+                doc, at = np.divmod(code, n)
+                each = np.diff(x.first)[at]
+                place = np.arange(int(each.sum())) + np.repeat(x.first[at] - np.cumsum(each) + each, each)
+                pairs, where = np.unique(x.pairs(), return_inverse=True)
+                held = np.unique(where[place] * len(x.counts) + np.repeat(doc, each)) // len(x.counts)
                 often = np.bincount(held, minlength=len(pairs))
-                pairs, often = pairs[often > 0], often[often > 0]
-                yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(often)], ["pair", "docs"])
+                on = often > 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(on.sum()), batch.column("block")[k].as_py())), pa.array(pairs[on]), pa.array(often[on])], ["block", "pair", "docs"])
 
-    found = blocks.select("ids", "counts", "at", "known").mapInArrow(run, "pair long, docs long")
-    return found.groupBy("pair").agg(F.sum("docs").alias("docs"))
+    return blocks.mapInArrow(run, "block long, pair long, docs long")
 
 
 def _digests(blocks: DataFrame) -> DataFrame:
-    """The result, a row for each document. Known: at, ok, nums (n_a, n_b, n_groups, n_links, n_best, count_sum), said."""
+    """The result, a row for each document, of blocks with the list ``pairs`` (pair, docs, best)."""
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                ids, counts, at, known = _opened(b, k)
-                n = int(at.max()) + 1 if len(at) else 0
-                doc = np.repeat(np.arange(len(counts)), counts)
-                fine, said, sums = np.zeros(n, bool), [""] * n, np.zeros((len(counts), len(names)), np.int64)
-                if n:
-                    number = known.field("at").to_numpy()
-                    fine[number] = known.field("ok").to_numpy(zero_copy_only=False)
-                    for i, s in zip(number.tolist(), known.field("said").to_pylist(), strict=True):
-                        said[i] = s or ""
-                bad = np.bincount(doc, ~fine[at], len(counts)) > 0 if n else np.zeros(len(counts), bool)
-                if n:
-                    of = np.zeros((n, len(names)), np.int64)
-                    for c, name in enumerate(names):
-                        of[number, c] = known.field(name).fill_null(0).to_numpy(zero_copy_only=False)
-                        np.add.at(sums[:, c], doc, of[at, c])
-                sums[bad] = 0
-                ends, text = np.cumsum(counts).tolist(), []
-                places = at.tolist()
-                for d, (end, size) in enumerate(zip(ends, counts.tolist(), strict=True)):
-                    text.append("" if bad[d] or not size else hashlib.sha256(";".join([said[i] for i in places[end - size : end]]).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NONE), *(pa.array(sums[:, c]) for c in range(len(names))), pa.array(text)], ["doc_id", *names, "groups_sha256"])
-
-    return blocks.select("ids", "counts", "at", "known").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in names) + ", groups_sha256 string")
-
-
-def relate(docs: DataFrame, first: str, second: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(blocks of documents, segments, pairs): what :func:`digest` is made of.
-
-    Blocks: see above. Segments: sid, key, ok, n_a, n_b, n_groups, said, links - of each distinct segment the groups and
-    links themselves; key is the segment, or a digest. Pairs: a, b, docs, best - in how many documents a pair of ids is
-    linked, and whether none of its first id is in more.
-    """
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, pairs = Block.of(batch, k), batch.column("pairs")[k].values
+                docs = best = np.zeros(len(x.a), np.int64)
+                if pairs is not None and len(pairs):
+                    key = pairs.field("pair").to_numpy()
+                    order = np.argsort(key)
+                    where = order[np.minimum(np.searchsorted(key[order], x.pairs()), len(key) - 1)]
+                    docs, best = pairs.field("docs").to_numpy()[where], pairs.field("best").to_numpy()[where]
+                values = [x.sums(x.ends_a), x.sums(x.ends_b), x.groups, x.sums(np.ones(len(x.a), np.int64)), x.sums(best), x.sums(docs)]
+                sums = np.zeros((len(x.counts), len(names)), np.int64)
+                for c, v in enumerate(values):
+                    np.add.at(sums[:, c], x.doc, v[x.at])
+                sums[~x.fine] = 0
+                said, places, end, text = x.said(), x.at.tolist(), 0, []
+                for fine, size in zip(x.fine.tolist(), x.counts.tolist(), strict=True):
+                    text.append(hashlib.sha256(";".join([said[i] for i in places[end : end + size]]).encode()).hexdigest() if fine and size else "")
+                    end += size
+                yield pa.RecordBatch.from_arrays([pa.array(x.ids, mask=x.ids == NONE), *(pa.array(sums[:, c]) for c in range(len(names))), pa.array(text)], ["doc_id", *names, "groups_sha256"])
+
+    return blocks.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in names) + ", groups_sha256 string")
+
+
+def segments(docs: DataFrame, first: str, second: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(blocks of documents; where segments are: key, long, block, at; segments: key, ok, n_a, ids, sizes), all written.
+    A key is the segment's bytes, or a zero and a digest of a long one, whose text is in ``long``."""
     spark = docs.sparkSession
     scratch.importable(spark)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = scratch.bucketed(_blocks(docs, first, second), "blocks", "block", n)
     placed = blocks.select("block", F.posexplode(F.arrays_zip("keys", "long")).alias("at", "x")).select("block", "at", F.col("x.keys").alias("key"), F.col("x.long").alias("long"))
-    encoded = scratch.bucketed(_encoded(placed.select("key", "long").distinct(), first, second), "tokens", "sid", n)
-    links = F.transform("links", lambda x: F.shiftleft(x["a"].cast("long"), 32).bitwiseOR(x["b"].cast("long")))
-    aligned = align(encoded).withColumn("links", links)
-    segments = scratch.bucketed(encoded.select("sid", "key", "ok").join(aligned, "sid", "left").repartition(n, "key"), "segments", "key", n)
-    keyed = scratch.bucketed(placed.drop("long").repartition(n, "key"), "keyed", "key", n)
-    known = keyed.join(segments.select("key", "ok", F.coalesce("links", F.array().cast("array<bigint>")).alias("links")), "key").select("block", "at", "ok", "links")
-    counts = _pair_counts(_to_blocks(known, blocks.drop("keys", "long"), n))
-    counts = scratch.table(counts.withColumn("a", F.shiftright("pair", 32)), "pairs")
-    most = counts.groupBy("a").agg(F.max("docs").alias("most"))
-    pairs = scratch.table(counts.join(most, "a").select("pair", "docs", (F.col("docs") == F.col("most")).cast("int").alias("best")), "best")
-    each = segments.select("key", F.explode("links").alias("pair")).join(pairs, "pair").groupBy("key").agg(F.sum("docs").alias("count_sum"), F.sum("best").cast("long").alias("n_best"))
-    values = segments.select("key", "ok", "n_a", "n_b", "n_groups", F.coalesce(F.size("links"), F.lit(0)).cast("long").alias("n_links"), "said").join(each, "key", "left")
-    known = keyed.join(values, "key").drop("key")
-    return _to_blocks(known, blocks.drop("keys", "long"), n), segments, pairs
+    keyed = scratch.bucketed(placed.repartition(n, "key"), "keyed", "key", n)
+    return blocks, keyed, scratch.bucketed(_encoded(keyed.select("key", "long").dropDuplicates(["key"]), first, second), "tokens", "key", n)
 
 
 def digest(docs: DataFrame, first: str, second: str) -> DataFrame:
     """The alignment of space+text by ``first`` (a byte-level file of tokenizers) with text by ``second`` (a model of
     sentencepiece, which adds the space) for each row of ``docs`` (doc_id, text): doc_id, n_a, n_b, n_groups, n_links,
-    n_best, count_sum, groups_sha256.
+    n_best, count_sum, groups_sha256. The groups and links themselves are rows of :func:`align` over :func:`segments`.
 
     Null and empty texts, and those whose joined bytes on either side are not space+text, have no tokens: zeros and ''.
     Repeated rows and null ids count as documents of their own. Texts may be of any length; a text without spaces is one
     segment. Special tokens' strings are plain text. Only the columns named are read; an empty table has no rows.
     """
-    return _digests(relate(docs, first, second)[0])
+    spark = docs.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    begun = set(scratch.written(spark))
+    blocks, keyed, encoded = segments(docs, first, second)
+    known = encoded.select("key", "ok").join(packed(align(encoded)), "key", "left")
+    known = keyed.select("key", "block", "at").join(known, "key").select("block", F.struct("at", "ok", "n_groups", F.coalesce("links", F.lit(b"")).alias("links")).alias("x"))
+    lists = known.repartition(n, "block").groupBy("block").agg(F.collect_list("x").alias("known"))
+    joined = blocks.select("block", "ids", "counts", "at").join(lists.hint("shuffle_hash"), "block", "left")
+    used = [p for p in scratch.written(spark) if p not in begun]
+    linked = scratch.bucketed(joined, "linked", "block", n)
+    scratch.clear(spark, used)  # the blocks know all of their segments now
+    counts = scratch.bucketed(_pair_counts(linked).repartition(n, "pair"), "pairs", "pair", n)
+    total = counts.groupBy("pair").agg(F.sum("docs").alias("docs")).withColumn("a", F.shiftright("pair", 32))
+    most = total.groupBy("a").agg(F.max("docs").alias("most"))
+    stats = total.join(F.broadcast(most), "a").select("pair", "docs", (F.col("docs") == F.col("most")).cast("long").alias("best"))  # a row for each id
+    sent = counts.select("pair", "block").join(stats, "pair").repartition(n, "block").groupBy("block").agg(F.collect_list(F.struct("pair", "docs", "best")).alias("pairs"))
+    return _digests(linked.join(sent.hint("shuffle_hash"), "block", "left"))
