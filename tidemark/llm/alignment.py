@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 from . import scratch, tokens
 
 #: Bytes of text of a block, about, and its documents at most.
-BLOCK, DOCUMENTS = 8 << 20, 1 << 16
+BLOCK, DOCUMENTS = 4 << 20, 1 << 16
 #: Segments up to so many bytes stand for themselves as keys; longer ones have a digest.
 SHORT = 32
 NONE = np.iinfo(np.int64).max
+#: Links of documents that are counted at once, about.
+STEP = 1 << 20
 #: Bits of an id in a packed link, which has both ids and whether a token of either side ends with it; bytes of a link.
 ID, LINK = 18, 5
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -202,14 +204,15 @@ class Block:
             offsets = np.frombuffer(links.buffers()[1], np.int32)[links.offset : links.offset + len(links) + 1].astype(np.int64)
             size[number[order]] = np.diff(offsets) // LINK
             raw = np.frombuffer(links.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if links.buffers()[2] else raw
-        each = raw.reshape(-1, LINK).astype(np.int64)
-        code = sum((each[:, c] << (8 * (LINK - 1 - c)) for c in range(LINK)), np.zeros(len(each), np.int64))
+        code = np.zeros(len(raw) // LINK, np.int64)
+        for c in range(LINK):
+            code = code << 8 | raw[c::LINK]
         mask = (1 << ID) - 1
         bad = np.bincount(doc[~ok[at]], minlength=len(counts)) > 0 if n else np.zeros(len(counts), bool)
-        return cls(ids, counts, at, doc, ~bad, groups, code >> (ID + 2), (code >> 2) & mask, (code & 2) > 0, (code & 1) > 0, np.append(0, np.cumsum(size)))
+        return cls(ids, counts, at, doc, ~bad, groups, (code >> (ID + 2)).astype(np.int32), ((code >> 2) & mask).astype(np.int32), (code & 2) > 0, (code & 1) > 0, np.append(0, np.cumsum(size)))
 
     def pairs(self) -> np.ndarray:
-        return self.a << 32 | self.b
+        return self.a.astype(np.int64) << 32 | self.b
 
     def sums(self, of_links: np.ndarray) -> np.ndarray:
         """Sums over the links of each segment."""
@@ -247,11 +250,18 @@ def _pair_counts(blocks: DataFrame) -> DataFrame:
                 if not len(code):
                     continue
                 doc, at = np.divmod(code, n)
-                each = np.diff(x.first)[at]
-                place = np.arange(int(each.sum())) + np.repeat(x.first[at] - np.cumsum(each) + each, each)
                 pairs, where = np.unique(x.pairs(), return_inverse=True)
-                held = np.unique(where[place] * len(x.counts) + np.repeat(doc, each)) // len(x.counts)
-                often = np.bincount(held, minlength=len(pairs))
+                often = np.zeros(len(pairs), np.int64)
+                each = np.diff(x.first)[at]
+                links, lo = np.cumsum(each), 0
+                while lo < len(doc):  # whole documents, some STEP links of them
+                    hi = int(np.searchsorted(links, links[lo] + STEP))
+                    hi = len(doc) if hi >= len(doc) else max(int(np.searchsorted(doc, doc[hi])), int(np.searchsorted(doc, doc[lo], side="right")))
+                    size = each[lo:hi]
+                    place = np.arange(int(size.sum())) + np.repeat(x.first[at[lo:hi]] - np.cumsum(size) + size, size)
+                    held = np.unique(where[place] * len(x.counts) + np.repeat(doc[lo:hi], size)) // len(x.counts)
+                    often += np.bincount(held, minlength=len(pairs))
+                    lo = hi
                 on = often > 0
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(int(on.sum()), batch.column("block")[k].as_py())), pa.array(pairs[on]), pa.array(often[on])], ["block", "pair", "docs"])
 
