@@ -615,11 +615,11 @@ def feature_parity_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "amm_round_trip",
-    f"""WITH {TAPE}, b AS (SELECT key, n, vsol, vtok, sol*1e7 AS pay FROM tape WHERE n<=5), g AS (SELECT *, vtok - vsol*vtok/(vsol+pay) AS got FROM b)
+    f"""WITH {TAPE}, b AS (SELECT key, n, vsol, vtok, sol*1e7 AS pay FROM tape), g AS (SELECT *, vtok - vsol*vtok/(vsol+pay) AS got FROM b)
 SELECT key, n, round(got/1e6,4) AS got, round(((vsol+pay) - (vsol+pay)*(vtok-got)/(vtok-got+got))/pay - 1 - 0.025,6) AS net, round(greatest(0.0,least(1.0,(vsol/1e9-30)/85)),6) AS fill FROM g""",
 )
 def amm_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    b = events_tape(spark, sf).filter("n <= 5").withColumn("pay", F.col("sol") * F.lit(1e7))
+    b = events_tape(spark, sf).withColumn("pay", F.col("sol") * F.lit(1e7))
     g = b.withColumn("got", amm.buy_out(F.col("vsol"), F.col("vtok"), F.col("pay")))
     back = amm.sell_out(F.col("vsol") + F.col("pay"), F.col("vtok") - F.col("got"), F.col("got"))
     out = g.select("key", "n", F.round(F.col("got") / 1e6, 4).alias("got"), F.round(amm.net_return(back, F.col("pay"), 250.0, F.lit(0.0)), 6).alias("net"), F.round(amm.fill_share(F.col("vsol")), 6).alias("fill"))

@@ -144,14 +144,14 @@ def policy_timeline(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "merged_timeline",
-    f"""WITH {TAPE}, u AS (SELECT key, ts, 'fire' AS what, mid AS x FROM tape WHERE kind='signup' UNION ALL SELECT key, ts, 'close', mid FROM tape WHERE kind='error' UNION ALL SELECT o_custkey, epoch_us(o_orderdate)/1e6, 'order', o_totalprice FROM orders WHERE o_custkey <= 40)
+    f"""WITH {TAPE}, u AS (SELECT key, ts, 'fire' AS what, mid AS x FROM tape WHERE kind='signup' UNION ALL SELECT key, ts, 'close', mid FROM tape WHERE kind='error' UNION ALL SELECT o_custkey, epoch_us(o_orderdate)/1e6, 'order', o_totalprice FROM orders)
 SELECT key, row_number() OVER (PARTITION BY key ORDER BY ts, what, x) AS i, what, round(x,6) AS x FROM u""",
 )
 def merged_timeline(spark: SparkSession, sf: str) -> DataFrame:
     """Union of unlike events of a key in time order."""
     tape = events_tape(spark, sf)
     part = lambda k, name: tape.filter(F.col("kind") == k).select("key", "ts", F.lit(name).alias("what"), F.col("mid").alias("x"))
-    orders = read(spark, sf, "orders").filter("o_custkey <= 40").select(F.col("o_custkey").alias("key"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1e6).alias("ts"), F.lit("order").alias("what"), F.col("o_totalprice").alias("x"))
+    orders = read(spark, sf, "orders").select(F.col("o_custkey").alias("key"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1e6).alias("ts"), F.lit("order").alias("what"), F.col("o_totalprice").alias("x"))
     u = part("signup", "fire").unionByName(part("error", "close")).unionByName(orders)
     return rounded(u.select("key", F.row_number().over(Window.partitionBy("key").orderBy("ts", "what", "x")).alias("i"), "what", "x"))
 
