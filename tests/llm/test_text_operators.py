@@ -674,3 +674,14 @@ def test_sketch_never_counts_too_low(spark, docs):
             seen[key] = seen.get(key, 0) + min(n_, 256)
             assert level.setdefault(key, l) == l
     assert all(2 ** (level[k] + 1) > min(c, 1 << 15) for k, c in seen.items())
+
+
+def test_secrets_with_many_matches_in_one_text(spark):
+    """Positions and redaction of thousands of spans, across parts of a text, with signs beyond 16 bits between."""
+    rng = random.Random(21)
+    text = "".join(hashlib.md5(str(i).encode()).hexdigest() + rng.choice([" ", " é🙂 ", "\n\n", " token=abcdefgh123 "]) for i in range(3000)) + "x y " * 2000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    want = [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]{32,}", text)] + [(m.start(), "assign", m.end()) for m in re.finditer("token=abcdefgh123", text)]
+    (row,) = secrets.scan(df, ("doc_id", "text"), "f").select("f", secrets.redact(F.col("text"), F.col("f")).alias("t")).collect()
+    assert sorted((x["s"], secrets.KINDS[x["k"]], x["e"]) for x in row["f"] if x["k"] < 3) == sorted(want)
+    assert row["t"] == re.sub("[0-9a-f]{32,}|token=abcdefgh123", "[SECRET]", text)
