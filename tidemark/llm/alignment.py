@@ -36,10 +36,10 @@ BLOCK, DOCUMENTS = 4 << 20, 1 << 16
 SHORT = 32
 NONE = np.iinfo(np.int64).max
 #: Links of documents that are counted at once, about.
-STEP = 1 << 20
+STEP = 1 << 18
 #: Bits of an id in a packed link, which has both ids and whether a token of either side ends with it; bytes of a link.
 ID, LINK = 18, 5
-_CUT = re.compile(r"(?<=\S)(?= )")
+_CUT, _BLANKS = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
 
 
 class Pair:
@@ -49,6 +49,7 @@ class Pair:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        self.quick = tokens.Encoder(first)  # for segments without odd characters, some thousand at once
         self.a = Tokenizer.from_file(first)
         self.a.encode_special_tokens = True  # special strings in texts are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_file=second)
@@ -71,18 +72,34 @@ class Pair:
         body = whole.rstrip(" ")
         if not body or not self.local:
             return [whole]
-        found = _CUT.split(body)
+        if _BLANKS.search(body):
+            found = _CUT.split(body)
+        else:  # no white space before any space: all of them cut
+            found = [f" {w}" for w in body[1:].split(" ")]
         found[-1] += whole[len(body) :]  # spaces at the end begin no segment
         return found
 
-    def encode(self, segments: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
-        """Ids of both for each segment; None where the bytes of either are not the segment's."""
-        one = [x.ids for x in self.a.encode_batch_fast(segments, add_special_tokens=False)]
+    def encode(self, segments: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Which segments have the same bytes on both sides; for each side all ids, and how many each segment has."""
+        raw = [s.encode() for s in segments]
+        odd = [k for k, s in enumerate(segments) if not self.quick.known_make or not s.isascii() and self.quick.odd.search(s)]
+        rest = np.setdiff1d(np.arange(len(segments)), odd)
+        one, n = self.quick.plain([raw[k] for k in rest.tolist()])
+        if odd:
+            more = [np.array(x.ids, np.int64) for x in self.a.encode_batch_fast([segments[k] for k in odd], add_special_tokens=False)]
+            of, one = np.append(np.repeat(rest, n), np.repeat(odd, [len(x) for x in more])), np.concatenate([one, *more])
+            order = np.argsort(of, kind="stable")
+            one, n = one[order], np.bincount(of, minlength=len(segments))
         two = self.b.encode([s[1:] for s in segments], num_threads=1)
-        for s, a, b in zip(segments, one, two, strict=True):
-            raw = s.encode()
-            same = b"".join([self.bytes_a[i] for i in a]) == raw and b"".join([self.bytes_b[i] for i in b]) == raw
-            yield (a, b) if same else None
+        ids, counts = [one.astype(np.int64), np.array([i for x in two for i in x], np.int64)], [n, np.array([len(x) for x in two], np.int64)]
+        ok = np.ones(len(segments), bool)
+        for table, sizes, i, c in ((self.bytes_a, self.size_a, ids[0], counts[0]), (self.bytes_b, self.size_b, ids[1], counts[1])):
+            pieces = [table[k] for k in i.tolist()]
+            length = np.bincount(np.repeat(np.arange(len(c)), c), sizes[i], len(c))
+            if b"".join(pieces) != b"".join(raw) or (length != [len(r) for r in raw]).any():
+                ends = np.cumsum(c).tolist()
+                ok &= [b"".join(pieces[e - k : e]) == r for e, k, r in zip(ends, c.tolist(), raw, strict=True)]
+        return ok, ids, counts
 
 
 @lru_cache(maxsize=1)
@@ -138,14 +155,15 @@ def _encoded(segments: DataFrame, first: str, second: str) -> DataFrame:
             for lo in range(0, b.num_rows, 4096):
                 part = b.slice(lo, 4096)
                 keys, long = part.column(0), part.column(1).to_pylist()
-                got = list(both.encode([x.decode() if s is None else s for x, s in zip(keys.to_pylist(), long, strict=True)]))
-                n = np.array([len(g[side]) if g else 0 for g in got for side in (0, 1)], np.int64)
-                flat = np.array([i for g in got if g for i in (*g[0], *g[1])], np.int32)
-                second_side = np.repeat(np.arange(len(n)) % 2 == 1, n)
-                size = np.empty(len(flat), np.int32)
-                size[~second_side], size[second_side] = both.size_a[flat[~second_side]], both.size_b[flat[second_side]]
+                ok, ids, counts = both.encode([x.decode() if s is None else s for x, s in zip(keys.to_pylist(), long, strict=True)])
+                n = np.column_stack([np.where(ok, c, 0) for c in counts]).ravel()
+                # both sides of a segment, one after the other
+                of = np.concatenate([2 * np.repeat(np.arange(len(ok)), c) + side for side, c in enumerate(counts)])
+                flat, size = np.concatenate(ids), np.concatenate([both.size_a[ids[0]], both.size_b[ids[1]]])
+                order = np.argsort(of, kind="stable")
+                order = order[ok[of[order] // 2]]
                 offsets = pa.array(np.append(0, np.cumsum(n)[1::2]), pa.int32())
-                cols = [keys, pa.array([g is not None for g in got]), pa.array(n[::2].astype(np.int32)), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (flat, size))]
+                cols = [keys, pa.array(ok), pa.array(n[::2].astype(np.int32)), *(pa.ListArray.from_arrays(offsets, pa.array(x[order].astype(np.int32))) for x in (flat, size))]
                 yield pa.RecordBatch.from_arrays(cols, ["key", "ok", "n_a", "ids", "sizes"])
 
     return segments.mapInArrow(run, "key binary, ok boolean, n_a int, ids array<int>, sizes array<int>")
