@@ -4,8 +4,8 @@ import duckdb
 import numpy as np
 import pytest
 
-from tidemark.operators import policies
-from tidemark.plans import catalog, more, rest  # noqa: F401
+from tidemark.operators import boosting, gates, policies
+from tidemark.plans import catalog, learned, more, rest  # noqa: F401
 
 
 def test_value_iteration_is_the_fixed_point(spark, sf):
@@ -21,11 +21,102 @@ def test_value_iteration_is_the_fixed_point(spark, sf):
     assert [got[i]["hold"] for i in range(5)] == (hold > 0).tolist()
 
 
-def test_boosted_trees_beat_chance(spark, sf):
-    rows = catalog.QUERIES["gbt_holdout"](spark, sf).collect()
-    assert rows and all(x is not None for r in rows for x in r)
-    auc = next((r[c] for r in rows for c in r.asDict() if "auc" in c), None)
-    assert auc is None or 0 <= auc <= 1
+def test_boosted_trees_hold_out(spark, sf):
+    (row,) = catalog.QUERIES["gbt_holdout"](spark, sf).collect()
+    assert 0 < row["positives"] < row["rows"] and 0 <= row["auc"] <= 1
+
+
+def made(n=700, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 3)).round(1)
+    y = (x[:, 0] + (x[:, 1] > 0.3) + 0.3 * rng.normal(size=n) > 0.5).astype(float)
+    x[rng.random(n) < 0.2, 0] = np.nan
+    x[(y == 1) & (rng.random(n) < 0.4), 2] = np.nan  # missing says something here
+    return x, y
+
+
+def boosted(x, y, cuts, logistic, trees, depth, rate, l2, least):
+    """Boosting row by row and cut by cut."""
+    base = np.log(y.mean() / (1 - y.mean())) if logistic else y.mean()
+    raw, out = np.full(len(y), base), []
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-raw)) if logistic else raw
+        g, h = p - y, p * (1 - p) if logistic else np.ones(len(y))
+
+        def grow(rows, d, g=g, h=h):
+            best, total = (1e-12, None), g[rows].sum() ** 2 / (h[rows].sum() + l2)
+            for f in range(x.shape[1]) if d < depth else ():
+                v, missing = x[rows, f], np.isnan(x[rows, f])
+                for c in cuts[f]:
+                    for side in (True, False) if missing.any() else (None,):
+                        left = (v <= c) | (missing & bool(side))
+                        if min(left.sum(), (~left).sum()) < least:
+                            continue
+                        a, b = rows[left], rows[~left]
+                        gain = g[a].sum() ** 2 / (h[a].sum() + l2) + g[b].sum() ** 2 / (h[b].sum() + l2) - total
+                        if gain > best[0] + 1e-9:
+                            best = (gain, (f, c, bool(left.sum() > (~left).sum()) if side is None else side, a, b))
+            if best[1] is None:
+                value = -rate * g[rows].sum() / (h[rows].sum() + l2)
+                raw[rows] += value
+                return value
+            f, c, side, a, b = best[1]
+            return f, c, side, grow(a, d + 1), grow(b, d + 1)
+
+        out.append(grow(np.arange(len(y)), 0))
+    return base, out
+
+
+def walked(tree, row):
+    while isinstance(tree, tuple):
+        f, c, side, a, b = tree
+        tree = a if (side if np.isnan(row[f]) else row[f] <= c) else b
+    return tree
+
+
+@pytest.mark.parametrize("logistic", [True, False])
+def test_boosting_equals_brute_force(spark, logistic):
+    x, y = made()
+    y = y if logistic else y * 2 + np.nan_to_num(x[:, 0])
+    cuts = [[-1.0, -0.35, 0.05, 0.55, 1.2]] * 3
+    rows = spark.createDataFrame([(*(None if np.isnan(v) else float(v) for v in r), float(t), "kept") for r, t in zip(x, y, strict=True)], "a double, b double, c double, y double, score string").repartition(5)
+    forest = boosting.fit(rows, ["a", "b", "c"], logistic=logistic, trees=11, depth=3, rate=0.3, l2=2.0, least=15, cuts=cuts)
+    base, trees = boosted(x, y, cuts, logistic, 11, 3, 0.3, 2.0, 15)
+    raw = np.array([base + sum(walked(t, r) for t in trees) for r in x])
+    assert forest.base + forest.walk(x) == pytest.approx(raw, abs=1e-6)
+    got = boosting.score(forest, rows.withColumnRenamed("score", "other"), "score").collect()
+    assert len(got) == len(y) and all(r["other"] == "kept" for r in got)
+    assert sorted(r["score"] for r in got) == pytest.approx(sorted(1 / (1 + np.exp(-raw)) if logistic else raw), abs=1e-6)
+    if logistic:
+        assert np.mean((raw > 0) == (y == 1)) > 0.85
+
+
+def test_boosting_without_classes_or_rows(spark):
+    rows = spark.createDataFrame([(1.0, 1), (None, 1), (float("nan"), None)], "a double, y int")
+    assert boosting.fit(rows, ["a"]).walk(np.array([[np.nan]])).tolist() == [0.0]
+    assert boosting.fit(rows.limit(0), ["a"], logistic=False).base == 0.0
+
+
+def ordered_fold(signals, rules):
+    state, lost, out = gates.State(), 0.0, {}
+    for k, (t, seq, close, gain, failed) in enumerate(sorted(signals)):
+        verdict, lost, _ = gates.step(state, lost, t, close, gain, failed, k, rules)
+        out[seq] = gates.VERDICTS[verdict]
+    return out
+
+
+def test_gates_by_ranges_equal_the_ordered_fold(spark):
+    rng = np.random.default_rng(8)
+    met = set()
+    for rules in (gates.Rules(3, 4, 30.0, -2.0, 5, 8, 0.6, 50.0), gates.Rules(50, 100, 1.0, -4.0, 3, 500, 0.99, 20.0), gates.Rules(2, 2, 200.0, -99.0, 5, 4, 0.4, 500.0)):
+        t = np.sort(rng.integers(0, 3000, 900)).astype(float)
+        signals = [(float(x), int(k), float(x) + float(rng.integers(1, 90)), float(rng.normal(0.4 * np.sin(x / 150 + 2), 0.5)), bool(rng.random() < 0.5)) for k, x in enumerate(t)]
+        rows = spark.createDataFrame(signals, "t double, seq long, close double, gain double, failed boolean").repartition(6)
+        got = {r["seq"]: r["verdict"] for r in gates.decide(rows, rules).collect()}
+        assert got == ordered_fold(signals, rules)
+        met |= set(got.values())
+    assert met == set(gates.VERDICTS)
+    assert gates.decide(rows.limit(0), rules).count() == 0
 
 
 def _path(spark, mids, dts):

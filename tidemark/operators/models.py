@@ -1,31 +1,25 @@
-"""Model fits with Spark's own learners, and the gates around them."""
+"""Fits of the library's own boosted trees, and the gates around them."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from . import evaluation
+from . import boosting, evaluation
 
 
-def fit(rows: DataFrame, features: list[str], label: str = "y", trees: int = 10, depth: int = 3, seed: int = 7) -> PipelineModel:
-    """Boosted trees on ``features``. Missing values must have been filled: these trees do not route them."""
-    learner = GBTClassifier(featuresCol="x", labelCol=label, maxIter=trees, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x", handleInvalid="keep"), learner]).fit(rows)
+def fit(rows: DataFrame, features: list[str], label: str = "y", trees: int = 20, depth: int = 3) -> boosting.Forest:
+    """Boosted trees on ``features``; missing values are routed as the splits have learned."""
+    return boosting.fit(rows, features, label, trees=trees, depth=depth)
 
 
-def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    return model.transform(rows).withColumn("score", F.round(vector_to_array("probability")[1], 6)).drop("x", "rawPrediction", "probability", "prediction")
+def score(model: boosting.Forest, rows: DataFrame) -> DataFrame:
+    return boosting.score(model, rows)
 
 
 def holdout(rows: DataFrame, features: list[str], train: str, label: str = "y") -> DataFrame:
     """AUC on the rows that ``train`` (an SQL condition) leaves out."""
-    model = fit(rows.filter(train), features, label)
-    return evaluation.auc(score(model, rows.filter(f"not ({train})")).withColumnRenamed(label, "y") if label != "y" else score(model, rows.filter(f"not ({train})")))
+    scored = score(fit(rows.filter(train), features, label), rows.filter(f"not ({train})"))
+    return evaluation.auc(scored if label == "y" else scored.withColumnRenamed(label, "y"))
 
 
 def ablation(rows: DataFrame, families: dict[str, list[str]], train: str) -> dict[str, float]:

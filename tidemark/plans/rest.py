@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import decode
-from ..operators import features, labels
+from ..operators import boosting, features, labels
 from ..sources.tape import by_key, events_tape, lineitem_tape, read
 from .catalog import ANCHOR, LINES, MEMBERS, SCORED, STEPS, TAPE, _anchored, _members, query, rounded, scored
 
@@ -199,9 +201,11 @@ def block_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {TAPE}, {STEPS.format(src="tape")} SELECT key, n, CASE WHEN gap IS NULL THEN 0.3 WHEN gap<43200 THEN CASE WHEN rel<0 THEN 0.2 ELSE 0.6 END ELSE CASE WHEN is_buy THEN 0.7 ELSE 0.4 END END::DOUBLE AS score FROM steps""",
 )
 def tree_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """A small tree as an expression, with a direction for missing values."""
-    tree = F.when(F.col("gap").isNull(), 0.3).when(F.col("gap") < 43200, F.when(F.col("rel") < 0, 0.2).otherwise(0.6)).otherwise(F.when(F.col("is_buy"), 0.7).otherwise(0.4))
-    return features.steps(events_tape(spark, sf)).select("key", "n", tree.alias("score"))
+    """A small tree as a table of nodes, with a direction for missing values: first rows have no gap."""
+    below = lambda x: math.nextafter(x, -math.inf)
+    nodes = [("gap", math.inf, False, 1, 2), ("gap", below(43200.0), False, 3, 4), (0.3,), ("rel", below(0.0), False, 5, 6), ("is_buy", 0.5, False, 7, 8), (0.2,), (0.6,), (0.4,), (0.7,)]
+    rows = features.steps(events_tape(spark, sf)).select("key", "n", "gap", "rel", F.col("is_buy").cast("double").alias("is_buy"))
+    return boosting.score(boosting.Forest.of(["gap", "rel", "is_buy"], [nodes]), rows).select("key", "n", "score")
 
 
 @query(
