@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tidemark.operators import boosting, gates, policies
+from tidemark.operators import boosting, evaluation, gates, policies
 from tidemark.plans import catalog, learned, more, rest  # noqa: F401
 
 
@@ -167,3 +167,17 @@ def test_paper_book_by_hand(spark):
     at = sorted({round(k * 11 / 7) for k in range(8)})
     gross = [sum(rider[2 + i] for i in at) / len(at) - 1, -0.2, -0.05, 0.0]
     assert [got[k]["net"] + COSTS + 0.0015 * (1 + max(1, got[k]["slices"])) for k in (1, 2, 3, 4)] == pytest.approx(gross, abs=1e-5)
+
+
+def test_quantiles_by_group(spark):
+    """One group of most rows, ties, nulls as values and as a group."""
+    rng = np.random.default_rng(6)
+    rows = [("big" if rng.random() < 0.9 else None if rng.random() < 0.4 else "small", None if rng.random() < 0.1 else float(rng.integers(-20, 20) / 4)) for _ in range(3000)] + [("one", 2.5), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    got = {r["g"]: r for r in evaluation.spread_by(df, "g", "x", {"a": 0.0, "b": 0.25, "c": 0.9}, 0.1).collect()}
+    assert set(got) == {"big", "small", None, "one"}
+    for g, r in got.items():
+        x = np.sort([v for k, v in rows if k == g and v is not None])
+        assert [r["a"], r["b"], r["c"]] == pytest.approx(np.quantile(x, [0.0, 0.25, 0.9]).tolist())
+        assert r["tail"] == pytest.approx(x[: int(np.ceil(0.1 * len(x)))].mean())
+    assert evaluation.spread_by(df.limit(0), "g", "x", {"a": 0.5}).count() == 0

@@ -51,6 +51,32 @@ def quantiles(rows: DataFrame, value: str, shares: list[float]) -> DataFrame:
     return cum.agg(*out)
 
 
+def spread_by(rows: DataFrame, group: str, value: str, shares: dict[str, float], tail: float | None = None, name: str = "tail") -> DataFrame:
+    """For each ``group`` (null is a group too): the exact quantiles of ``value`` (nulls apart), linearly interpolated, under
+    the names of ``shares``; with ``tail`` also the mean of its lowest share, rounded up to whole rows.
+
+    Two levels: counts of distinct values, running sums of them inside (group, range of values), and the totals of the
+    ranges before. So a group that holds most rows is dealt to as many tasks as there are ranges.
+    """
+    per = rows.filter(F.col(value).isNotNull()).groupBy(F.struct(F.col(group).alias("group")).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("m"))
+    per = _in_ranges(per, "v", False)
+    inside = Window.partitionBy("g", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per.groupBy("g", "part").agg(F.sum("m").alias("c")).select("g", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"), F.sum("c").over(Window.partitionBy("g")).alias("n"))  # a row for each range
+    cum = per.withColumn("cum", F.sum("m").over(inside)).join(carry, ["g", "part"]).withColumn("cum", F.col("cum") + F.col("before"))
+    out = []
+    for label, q in shares.items():
+        at = (F.col("n") - 1) * q
+        held = lambda k: F.max(F.when((F.col("cum") - F.col("m") <= k) & (k < F.col("cum")), F.col("v")))
+        low, high = held(F.floor(at)), held(F.ceil(at))
+        out.append((low + (high - low) * F.max(at - F.floor(at))).alias(label))
+    if tail is not None:
+        k = F.ceil(F.col("n") * tail)
+        taken = F.greatest(F.lit(0), F.least(F.col("m"), k - (F.col("cum") - F.col("m"))))
+        out.append((F.sum(F.when(taken > 0, F.col("v") * taken)) / F.max(k)).alias(name))
+    return cum.groupBy("g").agg(*out).select(F.col("g.group").alias(group), *shares, *([name] if tail is not None else []))
+
+
 def auc(rows: DataFrame) -> DataFrame:
     """Area under the ROC curve by rank sums, ties at their mean rank."""
     per = rows.groupBy("score").agg(F.count("*").alias("m"), F.sum("y").alias("pos"))
@@ -97,7 +123,6 @@ def selection(rows: DataFrame, cut: Column, name: Column) -> DataFrame:
     """For each ``name``: of rows with ``cut``, how many, their rate, precision, mean, median, p25 and win rate of net,
     and the mean of the worst tenth."""
     picked = rows.withColumn("name", name).filter(cut)
-    worst = picked.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy("net", "key"))).withColumn("m", F.count("*").over(Window.partitionBy("name")))
-    tail = worst.filter(F.col("r") <= F.ceil(F.col("m") * 0.1)).groupBy("name").agg(F.avg("net").alias("es10"))
-    stats = picked.groupBy("name").agg(F.count("*").alias("n"), F.avg(F.col("y").cast("double")).alias("precision"), F.avg("net").alias("net_mean"), F.percentile("net", 0.5).alias("net_p50"), F.percentile("net", 0.25).alias("net_p25"), F.avg((F.col("net") > 0).cast("double")).alias("win_rate"))
-    return stats.join(tail, "name")
+    spread = spread_by(picked, "name", "net", {"net_p50": 0.5, "net_p25": 0.25}, 0.1, "es10")
+    stats = picked.groupBy("name").agg(F.count("*").alias("n"), F.avg(F.col("y").cast("double")).alias("precision"), F.avg("net").alias("net_mean"), F.avg((F.col("net") > 0).cast("double")).alias("win_rate"))
+    return stats.join(spread, "name").select("name", "n", "precision", "net_mean", "net_p50", "net_p25", "win_rate", "es10")

@@ -557,7 +557,9 @@ def conditional_ladder(spark: SparkSession, sf: str) -> DataFrame:
     x = _anchored(spark, sf).groupBy("key").agg(labels.first(F.col("ret") >= 0.5, "dt").alias("t50"), labels.first(F.col("ret") >= 1.0, "dt").alias("t100")).filter("t50 is not null")
     b = F.when(F.col("t50") < 86400, "day").when(F.col("t50") < 604800, "week").otherwise("later")
     hit = F.col("t100").isNotNull()
-    return rounded(x.groupBy(b.alias("bucket")).agg(F.count("*").alias("reached"), F.sum(hit.cast("long")).alias("next"), F.avg(hit.cast("double")).alias("p_next"), F.percentile(F.col("t100") - F.col("t50"), 0.5).alias("wait_p50")))
+    x = x.select(b.alias("bucket"), hit.alias("hit"), (F.col("t100") - F.col("t50")).alias("wait"))
+    reached = x.groupBy("bucket").agg(F.count("*").alias("reached"), F.sum(F.col("hit").cast("long")).alias("next"), F.avg(F.col("hit").cast("double")).alias("p_next"))
+    return rounded(reached.join(evaluation.spread_by(x, "bucket", "wait", {"wait_p50": 0.5}), "bucket", "left"))
 
 
 @query(
@@ -610,7 +612,9 @@ def feature_parity_diff(spark: SparkSession, sf: str) -> DataFrame:
     agg = lambda t, p: t.groupBy("key").agg(F.avg("sol").alias(f"mean{p}"), F.max("sol").alias(f"max{p}"), F.count("*").cast("double").alias(f"rows{p}"))
     both = agg(tape, "").join(agg(tape.filter("not failed"), "_b"), "key")
     d = both.select("key", *((F.col(c) - F.col(f"{c}_b")).alias(c) for c in ("mean", "max", "rows"))).unpivot("key", ["mean", "max", "rows"], "feature", "d")
-    return rounded(d.groupBy("feature").agg(F.count("*").alias("keys"), F.avg("d").alias("mean"), F.percentile("d", 0.5).alias("median"), F.percentile(F.abs("d"), 0.99).alias("p99"), F.avg((F.abs("d") > 1e-6).cast("double")).alias("differing")))
+    stats = d.groupBy("feature").agg(F.count("*").alias("keys"), F.avg("d").alias("mean"), F.avg((F.abs("d") > 1e-6).cast("double")).alias("differing"))
+    middle = evaluation.spread_by(d, "feature", "d", {"median": 0.5})
+    return rounded(stats.join(middle, "feature").join(evaluation.spread_by(d.withColumn("d", F.abs("d")), "feature", "d", {"p99": 0.99}), "feature"))
 
 
 @query(

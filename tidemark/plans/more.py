@@ -68,7 +68,9 @@ def terminal_labels(spark: SparkSession, sf: str) -> DataFrame:
 )
 def policy_statistics(spark: SparkSession, sf: str) -> DataFrame:
     net = _anchored(spark, sf).groupBy("key").agg(F.max_by("ret", "fwd").alias("net"))
-    return rounded(net.agg(F.count("*").alias("n"), F.avg("net").alias("mean"), *(F.percentile("net", q / 100).alias(f"p{q}") for q in (10, 25, 50, 75, 90, 99)), F.avg((F.col("net") > 0).cast("double")).alias("win"), F.min("net").alias("worst"), F.max("net").alias("best")))
+    net = net.withColumn("all", F.lit(1))
+    whole = net.groupBy("all").agg(F.count("*").alias("n"), F.avg("net").alias("mean"), F.avg((F.col("net") > 0).cast("double")).alias("win"), F.min("net").alias("worst"), F.max("net").alias("best"))
+    return rounded(whole.join(evaluation.spread_by(net, "all", "net", {f"p{q}": q / 100 for q in (10, 25, 50, 75, 90, 99)}), "all").drop("all"))
 
 
 @query(
@@ -177,7 +179,8 @@ def tip_buckets(spark: SparkSession, sf: str) -> DataFrame:
     c = events_tape(spark, sf).withColumn("others", F.count("*").over(by_key("ts").rangeBetween(-604800, 0)) - 1)
     tip = F.when(F.col("tip") > 0, F.col("tip"))
     b = F.when(F.col("others") == 0, "alone").when(F.col("others") < 3, "few").otherwise("many")
-    return rounded(c.groupBy(b.alias("bucket")).agg(F.count("*").alias("rows"), F.percentile(tip, 0.5).alias("tip_p50"), F.percentile(tip, 0.9).alias("tip_p90")))
+    c = c.select(b.alias("bucket"), tip.alias("tip"))
+    return rounded(c.groupBy("bucket").agg(F.count("*").alias("rows")).join(evaluation.spread_by(c, "bucket", "tip", {"tip_p50": 0.5, "tip_p90": 0.9}), "bucket", "left"))
 
 
 @query(
