@@ -685,3 +685,17 @@ def test_secrets_with_many_matches_in_one_text(spark):
     (row,) = secrets.scan(df, ("doc_id", "text"), "f").select("f", secrets.redact(F.col("text"), F.col("f")).alias("t")).collect()
     assert sorted((x["s"], secrets.KINDS[x["k"]], x["e"]) for x in row["f"] if x["k"] < 3) == sorted(want)
     assert row["t"] == re.sub("[0-9a-f]{32,}|token=abcdefgh123", "[SECRET]", text)
+
+
+@pytest.mark.parametrize(
+    "before",
+    ['<a name="top">', '<a name="top"><a id=x>', '<p><a href="/x">Open</p>', '<div><a href=/x>Open<a href=/y>Twice</div>', '<script src=/a/>var leaked = 1;</script>', '<script src="/a.js"/>'],
+)
+def test_anchors_and_tags_left_open(before):
+    """What stands open before an article makes no link of it, and nothing of a script comes through."""
+    body = "".join(f"<p>Sentence {k} of an article that says what it has to say at some length, in words.</p>" for k in range(9))
+    for page in (f"<html><body>{before}<article><h1>Title</h1>{body}</article></body></html>", f"<html><body>{before}{body}</body></html>"):
+        found = main_text.main_text(page)
+        assert all(f"Sentence {k} of an article" in found for k in range(9)) and "leaked" not in found
+    kept = main_text.lines('<p>See <a href="/x">the link</a> here</p><p><a href="/y">all link</a></p>')
+    assert [(t, n) for t, n, _ in kept] == [("See the link here", 9), ("all link", 0)]

@@ -93,11 +93,17 @@ class Tags:
         return len(page), len(page), "", False, ""
 
 
+_ADDRESS = re.compile(r"(?i)(?:^|[\s\"'])href\s*=")
+#: A slash that closes its own tag, and is no end of an address without quotes.
+_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
+
+
 def lines(page: str) -> list[tuple[str, int, bool]]:
     """The lines of a page: text, characters that count, whether in an article. Empty ones part what must not meet."""
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
-    linked = article = links = heading = 0
+    linked = article = heading = 0
+    links = False
     skipped: list[str] = []  # open elements since the outermost that is left out
     held: Counter[str] = Counter()  # their names
     tags = Tags(page)
@@ -131,7 +137,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 parts.append(html.escape(more, quote=False))
             continue
         if name in RAW:
-            if not closing and not more.endswith("/"):
+            if not closing and not _CLOSED.search(more):
                 found = _ENDS[name].search(page, at)
                 tail = page.find(">", found.end()) if found else -1
                 at = tail + 1 if tail >= 0 else end
@@ -161,13 +167,14 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         if name in BLOCKS:
             close()
+            links = links and not closing  # an anchor left open ends with its block
         elif name == "br":
             parts.append(" ")
         if closing:
             if name in ARTICLE and article:
                 article -= 1
                 gap()
-            links -= name == "a" and links > 0
+            links = links and name != "a"
             heading -= name in HEADINGS and heading > 0
             continue
         hinted = name not in {"html", "body", "main"} and more and not (name == "article" and not article) and any(MARKED.search(next(filter(None, h.groups()), "")) for h in _HINT.finditer(more))
@@ -182,7 +189,8 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if name in ARTICLE:
             article += 1
             gap()
-        links += name == "a"
+        if name == "a":  # one ends the one before; without an address it is no link
+            links = bool(_ADDRESS.search(more))
         heading += name in HEADINGS
     close()
     return out
