@@ -232,3 +232,11 @@ def test_live_first_seen_and_matches(spark, tmp_path):
     assert first == [("a",), ("b",), ("c",), ("d",)]
     got = {(r["sig"], r["sent"], r["seen"]) for r in _run(live.matched(stream("sent"), stream("seen")), "live_matched", tmp_path).collect()}
     assert {("a", 10.0, 15.0), ("a", 12.0, 15.0), ("c", 5000.0, 5001.0)} <= got and not any(s == "b" and t is not None for s, _, t in got)
+
+
+def test_markdown_says_what_it_leaves_out(spark):
+    from tidemark.sources import sinks
+
+    rows = spark.range(5).withColumnRenamed("id", "k")
+    assert sinks.markdown(rows).splitlines() == ["| k |", "|---|", *(f"| {k} |" for k in range(5))]
+    assert sinks.markdown(rows, 3).endswith("First 3 rows; there are more.")

@@ -47,6 +47,8 @@ def upsert(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def markdown(rows: DataFrame, most: int = 200) -> str:
-    """A small result as a table for a report."""
+    """A small result as a table for a report. Of more than ``most`` rows the first are shown, and a last line says so."""
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
-    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.limit(most).collect()])
+    found = rows.limit(most + 1).collect()
+    lines += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in found[:most]]
+    return "\n".join(lines + [f"\nFirst {most} rows; there are more."] * (len(found) > most))
