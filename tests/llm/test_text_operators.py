@@ -575,9 +575,12 @@ def test_surge_and_dive_decide():
     kept = [(text * 2 + str(k)).strip() for k in range(3)]
     # the window that surges may begin two lines early
     assert main_text.main_text(page).split("\n") == ["Home", "x", *kept, "short end"]
-    # inside an article too: links alone are no text, and what follows them is too short to begin one anew
+    # inside an article links are text, also where lines are made of nothing else
     page = "<article><h1>Title of it</h1>" + f"<p>{text}</p>" + "<p><a href=x>more</a></p>" * 4 + "<p>1</p><p>2</p></article><p>" + text + "</p>"
-    assert main_text.main_text(page).split("\n") == ["Title of it", text.strip()]
+    assert main_text.main_text(page).split("\n") == ["Title of it", text.strip(), *["more"] * 4, "1", "2"]
+    # unless its markup says that they are a menu
+    page = f"<article><p>{text}</p><ul class='related'><li><a href=x>more</a></li></ul><p><a href=y>source</a></p></article>"
+    assert main_text.main_text(page).split("\n") == [text.strip(), "source"]
     # a long text beside the article counts
     assert "far longer" in main_text.main_text(f"<article><p>{text}</p></article><p>{'far longer ' * 300}</p>")
     assert "far longer" not in main_text.main_text(f"<article><p>{text}</p></article><p>{'far longer ' * 30}</p>")

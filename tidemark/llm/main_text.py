@@ -3,9 +3,9 @@
 Markup is stripped to lines, one for each block. Elements that never hold the article (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, reader comments) leave no line of text; outside of an ``article``
 or ``main`` element they, and the bounds of these elements, leave ``LINES`` empty lines. Each line counts the characters
-of its text outside of links (in headings, links too), ``WEIGHT`` times as many inside an ``article`` or ``main``
-element and a ``WEIGHT``-th on the rest of a page that has one: the page says where to expect the text, the distribution
-decides. The lengths of ``LINES`` lines from each line on are summed. Where the sums surge to ``SURGE`` (or to the
+of its text outside of links (in headings and inside an ``article`` or ``main`` element, links too: what stands there is
+text, unless its markup says otherwise), ``WEIGHT`` times as many inside such an element and a ``WEIGHT``-th on the rest
+of a page that has one: the page says where to expect the text, the distribution decides. The lengths of ``LINES`` lines from each line on are summed. Where the sums surge to ``SURGE`` (or to the
 page's largest sum, if that is less) a text begins; where they dive to nothing it ends, and all lines between are kept,
 short ones too. A text may surge and dive again: an advert may stand in its middle.
 
@@ -112,7 +112,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         nonlocal linked
         text = decoded("".join(parts))
         if text:
-            out.append((text, max(0, len(text) - linked), article > 0))
+            out.append((text, len(text) if article else max(0, len(text) - linked), article > 0))
         parts.clear()
         linked = 0
 
