@@ -3,6 +3,7 @@
 import base64
 import gzip
 import json
+import os
 import struct
 
 import pytest
@@ -207,6 +208,47 @@ def test_live_harness_gives_up_late_fills(spark, sf, tmp_path):
     assert any(kind == "give_up" for _, kind in kinds)
 
 
+def test_recent_files_only(spark, tmp_path):
+    for name, t, mint in (("a", 1_000_000_000, "old"), ("b", 1_700_000_000, "new")):
+        (tmp_path / f"{name}.jsonl").write_text(json.dumps({"t": 1.0, "mint": mint}) + "\n")
+        os.utime(tmp_path / f"{name}.jsonl", (t, t))
+    assert [r["mint"] for r in files.recent(spark, str(tmp_path), "2020-01-01T00:00:00").collect()] == ["new"]
+    assert files.recent(spark, str(tmp_path), "2000-01-01T00:00:00").count() == 2
+
+
+def test_live_harness_gives_up_without_a_later_row(spark, tmp_path):
+    """Key 1 never trades again after it has fired: a timer gives the entry up; key 2 only moves the clock."""
+    rows = [(1, i, 1000.0 + 100.0 * i, 100.0, 60.0, True) for i in range(3)] + [(2, 9, 50_000.0, 10.0, 1.0, True), (2, 10, 900_000.0, 10.0, 1.0, True)]
+    for k, r in enumerate((rows[:4], rows[4:])):
+        spark.createDataFrame(r, "key long, seq long, ts double, mid double, sol double, is_buy boolean").coalesce(1).write.parquet(str(tmp_path / f"t/{k}"))
+        for at in (tmp_path / f"t/{k}").glob("*.parquet"):
+            os.utime(at, (1_000 + k, 1_000 + k))  # the order in which the files are read
+    stream = spark.readStream.schema("key long, seq long, ts double, mid double, sol double, is_buy boolean").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "t"))
+    plan = harness.Plan(wait=20_000.0)
+    got = [(r["key"], r["kind"], r["ts"]) for r in _run(harness.run(stream, plan, late="1 hour"), "live_timer", tmp_path).collect()]
+    assert got == [(1, "decision", 1200.0), (1, "give_up", 21_200.0)]
+    # without timers the entry waits for a row that never comes
+    assert [r["kind"] for r in _run(harness.run(stream, plan), "live_no_timer", tmp_path).collect()] == ["decision"]
+
+
+@pytest.mark.parametrize("share", [0.0005, 0.02, 0.1, 0.3])
+@pytest.mark.parametrize("plan", [harness.PLAN, harness.Plan(take=90.0, cap=1e12, wait=20_000.0)])
+def test_batch_hands_its_state_to_the_stream(spark, sf, tmp_path, share, plan):
+    """Cut anywhere, the events of the stream after the cut are those that a stream of all has after it."""
+    tape, stream = _stream(spark, sf, tmp_path, 2)
+    cut = tape.selectExpr(f"percentile(ts, {share})").first()[0]
+    before, after = tape.filter(F.col("ts") <= cut), tape.filter(F.col("ts") > cut)
+    state = harness.state_of(before, plan)
+    state.write.parquet(str(tmp_path / "state"))
+    after.coalesce(1).write.parquet(str(tmp_path / "after"))
+    rest = spark.readStream.schema(tape.schema).parquet(str(tmp_path / "after"))
+    initial = spark.readStream.schema(state.schema).parquet(str(tmp_path / "state"))
+    tag = f"{int(share * 1e4)}_{int(plan.take)}"
+    whole = _run(harness.run(stream, plan), f"hand_whole_{tag}", tmp_path).filter(F.col("ts") > cut)
+    parts = _run(harness.run(rest, plan, initial=initial), f"hand_over_{tag}", tmp_path)
+    assert sorted(map(str, parts.collect())) == sorted(map(str, whole.collect())) and parts.count()
+
+
 def test_live_sessions_equal_batch(spark, sf, tmp_path):
     tape, stream = _stream(spark, sf, tmp_path, 2)
     got = {tuple(r) for r in _run(live.sessions(stream).select("key", "opened", "closes", "rows"), "live_sessions", tmp_path).collect()}

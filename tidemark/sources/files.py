@@ -14,13 +14,19 @@ from pyspark.sql.types import StructType
 TRADES = "t double, slot long, sig string, event string, ev_ts long, mint string, user string, is_buy boolean, sol long, tok long, vsol long, vtok long, rsol long, rtok long, failed boolean, fee_lam long, cu long, cu_limit long, priority_fee_micro long, jito_tip_lam long, route string"
 
 
-def json_lines(spark: SparkSession, path: str | list[str], schema: str | StructType = TRADES) -> DataFrame:
+def json_lines(spark: SparkSession, path: str | list[str], schema: str | StructType = TRADES, **options: str) -> DataFrame:
     """Rows of JSON lines with their file; lines that do not parse come with ``_corrupt_record`` and nulls."""
     kind = schema if isinstance(schema, StructType) else spark.createDataFrame([], schema).schema
-    rows = spark.read.schema(StructType([*kind.fields]).add("_corrupt_record", "string")).option("mode", "PERMISSIVE").json(path)
+    rows = spark.read.schema(StructType([*kind.fields]).add("_corrupt_record", "string")).options(mode="PERMISSIVE", **options).json(path)
     return rows.withColumn("file", F.col("_metadata.file_name"))
 
 
+def recent(spark: SparkSession, path: str | list[str], after: str, schema: str | StructType = TRADES) -> DataFrame:
+    """Rows of JSON lines of files changed after a time ("2024-05-01T00:00:00", in the session's time zone): a window to start a
+    stream from. Other files are dropped when listed, and never opened."""
+    return json_lines(spark, path, schema, modifiedAfter=after)
+
+
 def good(rows: DataFrame) -> DataFrame:
     return rows.filter("_corrupt_record is null").drop("_corrupt_record")
 
