@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tidemark.operators import boosting, evaluation, gates, policies
+from tidemark.operators import boosting, evaluation, gates, planning, policies
 from tidemark.plans import catalog, learned, more, rest  # noqa: F401
 
 
@@ -21,6 +21,38 @@ def test_value_iteration_is_the_fixed_point(spark, sf):
     assert [got[i]["hold"] for i in range(5)] == (hold > 0).tolist()
 
 
+@pytest.mark.parametrize("discount", [0.0, 0.95])
+def test_stopping_values_are_the_fixed_point(spark, discount):
+    """Random moves, states that stay, that only end, that have no moves, and one that all others lead to."""
+    rng = np.random.default_rng(5)
+    n, end = 40, 40  # the last column is the end
+    count = rng.integers(0, 4, (n, n + 1)) * (rng.random((n, n + 1)) < 0.1)
+    count[:, 0] += 50
+    count[3] = count[4] = 0
+    count[3, 3], count[5, :n] = 900, 0
+    reward, stop = rng.normal(size=(n, n + 1)).round(3), rng.normal(size=n).round(3)
+    moves = [(i, j if j < end else None, int(count[i, j]), float(reward[i, j])) for i, j in zip(*np.nonzero(count), strict=True)]
+    table = planning.solve(spark.createDataFrame(list(zip(range(n), stop.tolist(), strict=True)), "state int, stop double"), spark.createDataFrame([tuple(int(x) if isinstance(x, np.integer) else x for x in m) for m in moves], "state int, nxt int, n long, reward double"), discount, 1e-7)
+    p = count / np.maximum(1, count.sum(1, keepdims=True))
+    v = stop.copy()
+    for _ in range(3000):
+        hold = (p * reward).sum(1) + discount * p[:, :n] @ v
+        v = np.maximum(stop, hold)
+    got = {r["state"]: r for r in table.collect()}
+    assert len(got) == n and [got[i]["hold"] for i in range(n)] == pytest.approx(hold.tolist(), abs=1e-6)
+    assert all(got[i]["sell"] == (stop[i] >= hold[i]) for i in range(n) if abs(stop[i] - hold[i]) > 1e-6)
+
+
+def test_stopping_by_a_table(spark):
+    rows = spark.createDataFrame([(1, 0, 7, 0.1), (1, 1, 8, 0.3), (1, 2, 7, 0.2), (2, 0, 7, -0.1), (2, 1, 9, -0.2), (3, 0, 8, 0.5)], "key int, i int, state int, gain double")
+    table = spark.createDataFrame([(7, False), (8, True)], "state int, sell boolean")
+    assert sorted(map(tuple, planning.first_stop(rows, table, "i").collect())) == [(1, 1, 0.3, False), (2, 1, -0.2, True), (3, 0, 0.5, False)]
+    states, moves = planning.tables(rows, "i")
+    assert {tuple(r)[:1] + tuple(r)[2:] for r in states.collect()} == {(7, 3), (8, 2), (9, 1)}
+    assert sorted((r["state"], r["nxt"] or 0, r["n"], r["reward"]) for r in moves.collect()) == [(7, 0, 1, 0.2), (7, 8, 1, 0.0), (7, 9, 1, 0.0), (8, 0, 1, 0.5), (8, 7, 1, 0.0), (9, 0, 1, -0.2)]
+    assert planning.first_stop(rows.limit(0), table, "i").count() == 0 and planning.solve(states.limit(0), moves.limit(0), 0.9).count() == 0
+
+
 def test_boosted_trees_hold_out(spark, sf):
     (row,) = catalog.QUERIES["gbt_holdout"](spark, sf).collect()
     assert 0 < row["positives"] < row["rows"] and 0 <= row["auc"] <= 1

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import amm
-from ..operators import joins, policies
+from ..operators import joins, planning, policies
 from ..sources.tape import by_key, events_tape
 from ..streaming import harness
 from .catalog import ANCHOR, TAPE, TRIG, _anchored, query, rounded
@@ -117,6 +117,40 @@ def policy_rl_layered(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(policies.replay(found, "rl_layered", RULES))
 
 
+#: Discount of a snapshot; sweeps after which SQL's plain iteration is as near to the fixed point.
+DISCOUNT, PLAIN = 0.9, 220
+_VALUES = f"""{POOL}, c AS (SELECT key, i, ret AS gain, {_CODE} AS state FROM pool), mv AS (SELECT *, lead(state) OVER (PARTITION BY key ORDER BY i) AS nxt FROM c), stt AS (SELECT state, avg(gain) AS stop, count(*) AS rows FROM c GROUP BY 1),
+m AS (SELECT state, nxt, count(*)/sum(count(*)) OVER (PARTITION BY state) AS p, avg(CASE WHEN nxt IS NULL THEN gain ELSE 0.0 END) AS reward FROM mv GROUP BY 1, 2),
+it AS (SELECT 0 AS k, state, stop AS v FROM stt UNION ALL SELECT k, state, greatest(stop, hold) FROM (SELECT it0.k+1 AS k, m.state, sum(m.p*(m.reward+CASE WHEN it0.state=m.nxt THEN {DISCOUNT}*it0.v ELSE 0.0 END)) AS hold FROM it it0 JOIN m ON it0.state=coalesce(m.nxt, m.state) WHERE it0.k<{PLAIN} GROUP BY 1, 2) h JOIN stt USING (state)),
+tab AS (SELECT m.state, any_value(stt.stop) AS stop, any_value(stt.rows) AS rows, sum(m.p*(m.reward+coalesce({DISCOUNT}*it.v,0.0))) AS hold FROM m JOIN stt USING (state) LEFT JOIN it ON it.k={PLAIN} AND it.state=m.nxt GROUP BY 1)"""
+
+
+def _stops(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = pool_rows(spark, sf)
+    code = policies.state_code(F.col("ret"), F.col("peak"), policies.recovery({"ret": F.col("ret"), "peak": F.col("peak")}), F.col("dt") - F.col("dt0"))
+    rows = rows.select("key", "i", code.alias("state"), F.col("ret").alias("gain"))
+    states, moves = planning.tables(rows, "i")
+    return rows, states, planning.solve(states, moves, DISCOUNT, 1e-9)
+
+
+@query("stopping_values", f"WITH RECURSIVE {_VALUES} SELECT state, rows, round(stop,6) AS stop, round(hold,6) AS hold, stop>=hold AS sell FROM tab")
+def stopping_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Value iteration over every state that occurs: what stopping and going on are worth, and which is better."""
+    _, states, table = _stops(spark, sf)
+    return rounded(table.join(states.select("state", "rows"), "state"))
+
+
+@query(
+    "policy_stopping_table",
+    f"""WITH RECURSIVE {_VALUES}, x AS (SELECT key, i, gain, stop>=hold AS sell FROM c JOIN tab USING (state))
+SELECT key, coalesce(min(i) FILTER (WHERE sell), max(i)) AS at, round(coalesce(arg_min(gain,i) FILTER (WHERE sell), arg_max(gain,i)),6) AS gain, count(*) FILTER (WHERE sell)=0 AS forced FROM x GROUP BY 1""",
+)
+def policy_stopping_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Each key stopped by the table of :func:`stopping_values`."""
+    rows, _, table = _stops(spark, sf)
+    return rounded(planning.first_stop(rows, table, "i"))
+
+
 _SHAPE = f"{_bins_sql('ret', _E['ret'])}*10+{_bins_sql('peak', _E['peak'])}"
 
 

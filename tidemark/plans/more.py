@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, exits, labels
+from ..operators import evaluation, exits, labels, planning
 from ..sources.tape import by_key, events_tape, lineitem_tape, read
-from .catalog import ANCHOR, LINES, SCORED, TAPE, _anchored, query, rounded, scored
+from .catalog import ORACLE, ANCHOR, LINES, SCORED, TAPE, _anchored, query, rounded, scored
 
 ONE = "1.0::DOUBLE"
 
@@ -328,21 +328,16 @@ def risk_gates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "value_iteration",
-    None,
+    f"""WITH RECURSIVE t AS ({ORACLE["mdp_tables"]}), m AS (SELECT state, nxt, moves/sum(moves) OVER (PARTITION BY state) AS p, reward FROM t), s5 AS (SELECT CAST(range AS INTEGER) AS state FROM range(5)),
+it AS (SELECT 0 AS k, state, 0.0::DOUBLE AS v FROM s5 UNION ALL SELECT k, s5.state, greatest(0.0, coalesce(hold, 0.0)) FROM (SELECT it0.k+1 AS k, m.state, sum(m.p*(m.reward+0.99*it0.v)) AS hold FROM it it0 JOIN m ON it0.state=m.nxt WHERE it0.k<2600 GROUP BY 1, 2) h JOIN s5 USING (state)),
+f AS (SELECT m.state, sum(m.p*(m.reward+coalesce(0.99*it.v, 0.0))) AS hold FROM m LEFT JOIN it ON it.k=2600 AND it.state=m.nxt GROUP BY 1)
+SELECT s5.state, round(coalesce(hold, 0.0), 6) AS hold_value, coalesce(hold > 0, FALSE) AS hold FROM s5 LEFT JOIN f USING (state)""",
 )
 def value_iteration(spark: SparkSession, sf: str) -> DataFrame:
-    """Optimal stopping over five return states: a bounded table of moves reaches the driver, the tape does not."""
-    import numpy as np
-
+    """Optimal stopping over five return states, where every move brings its change of return."""
     from .catalog import mdp_tables
 
-    moves = mdp_tables(spark, sf).collect()  # at most 25 rows
-    p, r = np.zeros((5, 5)), np.zeros((5, 5))
-    for m in moves:
-        p[m["state"], m["nxt"]], r[m["state"], m["nxt"]] = m["moves"], m["reward"]
-    p /= np.maximum(1, p.sum(1, keepdims=True))
-    v = np.zeros(5)
-    for _ in range(500):
-        v = np.maximum(0.0, (p * (r + 0.99 * v)).sum(1))
-    hold = (p * (r + 0.99 * v)).sum(1)
-    return spark.createDataFrame([(i, float(round(hold[i], 6)), bool(hold[i] > 0)) for i in range(5)], "state int, hold_value double, hold boolean")
+    moves = mdp_tables(spark, sf).withColumnRenamed("moves", "n")
+    states = spark.range(5).select(F.col("id").cast("int").alias("state"), F.lit(0.0).alias("stop"))
+    table = planning.solve(states, moves, 0.99, 1e-8)
+    return rounded(table.select("state", F.col("hold").alias("hold_value"), (F.col("hold") > 0).alias("hold")))
