@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tidemark.plans import catalog, exits, learned, more, rest, stats  # noqa: F401
+from tidemark.plans import catalog, exits, learned, more, rest, stats, stopping  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 

@@ -1,9 +1,10 @@
 """What SQL does not say: fitted trees, optimal stopping, hand-computed policies."""
 
+import math
+
 import duckdb
 import numpy as np
 import pytest
-
 from tidemark.operators import boosting, evaluation, gates, planning, policies
 from tidemark.plans import catalog, learned, more, rest  # noqa: F401
 
@@ -160,6 +161,7 @@ def _path(spark, mids, dts):
 
 
 COSTS = 0.025
+ALMGREN = math.sinh(3 * 7 / 8) / math.sinh(3)
 
 
 def _net(spark, policy, mids, dts):
@@ -177,6 +179,7 @@ def _net(spark, policy, mids, dts):
         ("b_frontload", [1, 1.1, 0.9, 1.2, 1.3], [0, 1, 2, 3, 4], (1.1 + 1.2 + 1.3) / 8 + 5 / 8 * 1.3 - 1, 4),
         ("c_hybrid_t30", [1, 1.1, 1.2, 1.3, 1.4, 2.0, 1.39, 9], [0, 5, 10, 15, 20, 25, 30, 35], (1.1 + 1.2 + 1.3 + 1.4) / 8 + 0.5 * 1.39 - 1, 5),
         ("f_hybrid_t50", [1, 1.1, 1.2, 1.3, 1.4, 2.0, 1.39, 9], [0, 5, 10, 15, 20, 25, 30, 35], (1.1 + 1.2 + 1.3 + 1.4) / 8 + 0.5 * 9 - 1, 5),
+        ("almgren_chriss", [1, 1, 2, 3], [0, 10, 18, 80], (1 - ALMGREN) * 2 + ALMGREN * 3 - 1, 8),  # one slice after 8 of 60 s, the other seven at once
         ("level_tp_50", [1, 1.49, 1.5, 9], [0, 1, 2, 3], 0.5, 1),
         ("level_tp_100_t120", [1, 1.2, 1.3, 1.4], [0, 5, 124, 125], 0.4, 1),
         ("level_tp_100_s30_t120", [1, 1.2, 0.7, 3], [0, 5, 10, 15], -0.3, 1),

@@ -31,6 +31,8 @@ class Rules:
     cost_bps: float = 250.0
     fee: float = 0.0015e9  # of each transaction
     entry: int = 1  # snapshots until the entry; 0: at the decision itself
+    horizon: float = 60.0  # seconds a schedule takes
+    kappa: float = 0.05  # its curvature a second; 0: even slices
 
 
 RULES = Rules()
@@ -94,6 +96,29 @@ def b_frontload(s: Column, r: Column, rules: Rules) -> tuple[Column, Column]:
     return F.when((s["ret"] > 0) & (s["sold"] < rules.slices), _slice(s, rules)).otherwise(F.lit(0.0)), F.lit(1)
 
 
+def holding(legs: Column, rules: Rules) -> Column:
+    """The part of a position that a schedule still holds after ``legs`` of its slices: sinh(kappa (T - t)) / sinh(kappa T)
+    at t = T legs / slices, as exponentials that do not overflow; 0 from the last slice on."""
+    done = F.least(legs.cast("double"), F.lit(float(rules.slices))) / rules.slices
+    way = rules.kappa * rules.horizon
+    if way < 1e-9:
+        return 1 - done
+    return F.exp(-way * done) * (1 - F.exp(-2 * way * (1 - done))) / (1 - F.exp(F.lit(-2 * way)))
+
+
+def due_legs(r: Column, dt0: Column, rules: Rules) -> Column:
+    """How many slices of the schedule are due at a snapshot, counted from the first snapshot on."""
+    return F.least(F.lit(rules.slices), F.floor((r["dt"] - dt0) * rules.slices / rules.horizon).cast("int"))
+
+
+@register("almgren_chriss")
+def almgren_chriss(s: Column, r: Column, rules: Rules) -> tuple[Column, Column]:
+    """Holdings brought down to the schedule's; slices that fall due between two snapshots are sold at the later one."""
+    due = due_legs(r, s["dt0"], rules)
+    part = F.when(due >= rules.slices, F.lit(1.0)).otherwise(1 - holding(due, rules) / holding(s["sold"], rules))
+    return F.when(due > s["sold"], part).otherwise(F.lit(0.0)), F.greatest(due - s["sold"], F.lit(0))
+
+
 def level_tp(level: float, cap: float | None = None, stop: float | None = None) -> Policy:
     def decide(s: Column, r: Column, rules: Rules) -> tuple[Column, Column]:
         """All at a return of ``level``, at one of -``stop``, or ``cap`` seconds after the first snapshot."""
@@ -248,8 +273,3 @@ def paper_book(found: DataFrame, rules: Rules = RULES) -> DataFrame:
 
     got = F.when(F.size("at") > 0, F.aggregate("at", F.struct(F.lit(0.0).alias("got"), F.lit(0.0).alias("gave")), step)["got"]).otherwise(amm.sell_out(F.col("vc"), F.col("tc"), F.col("tokens")))
     return rows.select("key", "kind", F.size("at").alias("slices"), net_of(got, 1 + F.greatest(F.size("at"), F.lit(1)), rules).alias("net"))
-
-
-def almgren_chriss(legs: int, kappa: float) -> Column:
-    """Holdings after each of ``legs`` steps: sinh(kappa (T - t)) / sinh(kappa T)."""
-    return F.transform(F.sequence(F.lit(0), F.lit(legs)), lambda t: F.sinh(F.lit(kappa) * (F.lit(float(legs)) - t)) / F.sinh(F.lit(kappa * legs)))

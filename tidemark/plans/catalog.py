@@ -530,11 +530,6 @@ def slip_cap_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(each.groupBy("cap").agg(F.count("*").alias("orders"), F.sum(ok.cast("long")).alias("filled"), F.avg(net).alias("net_mean")))
 
 
-@query("almgren_chriss", "SELECT CAST(t AS INTEGER) AS step, round((exp(0.3*(8.0-t))-exp(-0.3*(8.0-t)))/(exp(0.3*8)-exp(-0.3*8)),6) AS holding FROM (SELECT unnest(range(0,9)) AS t)")
-def almgren_chriss(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(spark.range(1).select(F.posexplode(policies.almgren_chriss(8, 0.3)).alias("step", "holding")))
-
-
 @query(
     "mdp_tables",
     f"""WITH {TAPE}, {ANCHOR}, s AS (SELECT key, fwd, CASE WHEN ret<-0.5 THEN 0 WHEN ret<0 THEN 1 WHEN ret<0.5 THEN 2 WHEN ret<1 THEN 3 ELSE 4 END AS state, ret FROM fw), t AS (SELECT *, lead(state) OVER w AS nxt, lead(ret) OVER w - ret AS reward FROM s WINDOW w AS (PARTITION BY key ORDER BY fwd))

@@ -14,12 +14,19 @@ from ..sources.tape import by_key, events_tape
 from ..streaming import harness
 from .catalog import ANCHOR, TAPE, TRIG, _anchored, query, rounded
 
-RULES = policies.Rules(derisk_gap=86400.0, runner_gap=259200.0, arm=0.05)
+RULES = policies.Rules(derisk_gap=86400.0, runner_gap=259200.0, arm=0.05, horizon=16 * 86400.0, kappa=3.0 / (16 * 86400.0))
 EVERY, MOST = 2, 80
 
 #: Snapshots, the entry one snapshot after the decision, and the pool of those after it.
-POOL = f"""{TAPE}, {ANCHOR}, snap AS (SELECT key, (fwd-1)//{EVERY} AS i, vsol AS vs, vtok AS vt, dt FROM fw WHERE (fwd-1)%{EVERY}=0 AND (fwd-1)//{EVERY}<{MOST}), fin AS (SELECT key, arg_max(vsol,fwd) AS vc, arg_max(vtok,fwd) AS tc FROM fw GROUP BY key),
+_POOL = """{TAPE}, {ANCHOR}, snap AS (SELECT key, (fwd-1)//{EVERY} AS i, vsol AS vs, vtok AS vt, dt FROM fw WHERE (fwd-1)%{EVERY}=0 AND (fwd-1)//{EVERY}<{MOST}), fin AS (SELECT key, arg_max(vsol,fwd) AS vc, arg_max(vtok,fwd) AS tc FROM fw GROUP BY key),
 ent AS (SELECT key, vs/vt AS price, vt-vs*vt/(vs+1e9) AS tokens, vc, tc FROM snap JOIN fin USING (key) WHERE i=0), pool AS (SELECT key, i-1 AS i, vs, vt, dt, vs/vt/price-1 AS ret, first_value(dt) OVER (PARTITION BY key ORDER BY i) AS dt0, greatest(0.0, max(vs/vt/price-1) OVER (PARTITION BY key ORDER BY i)) AS peak FROM snap JOIN ent USING (key) WHERE i>0)"""
+
+
+def pool_sql(every: int = EVERY) -> str:
+    return _POOL.format(TAPE=TAPE, ANCHOR=ANCHOR, EVERY=every, MOST=MOST)
+
+
+POOL = pool_sql()
 #: The chance of recovery, and a sale into reserves that earlier sales have moved.
 P_REC = "greatest(0.0, least(1.0, 1-greatest(0.0,-ret)/(1+peak)))"
 
@@ -28,9 +35,9 @@ def _sale(vs: str, vt: str, amount: str) -> str:
     return f"({vs}-{vs}*{vt}/({vt}+{amount}))"
 
 
-def _replay_sql(part: str, slices: str = "1", before: str = "", join: str = "", pool: str = "pool") -> str:
+def _replay_sql(part: str, slices: str = "1", before: str = "", join: str = "", pool: str = "pool", every: int = EVERY) -> str:
     """A policy as a recursion over the pool: ``part`` of the rest, in terms of ret, peak, dt, dt0, sold, last."""
-    return f"""WITH RECURSIVE {POOL}{before}, r AS (SELECT key, -1 AS i, 1.0::DOUBLE AS lft, 0.0::DOUBLE AS got, 0.0::DOUBLE AS gave, -1e9::DOUBLE AS last, CAST(0 AS BIGINT) AS sold FROM ent UNION ALL
+    return f"""WITH RECURSIVE {pool_sql(every)}{before}, r AS (SELECT key, -1 AS i, 1.0::DOUBLE AS lft, 0.0::DOUBLE AS got, 0.0::DOUBLE AS gave, -1e9::DOUBLE AS last, CAST(0 AS BIGINT) AS sold FROM ent UNION ALL
  SELECT key, i, CASE WHEN f>0 AND lft>0 THEN lft*(1-f) ELSE lft END, got+{_sale("vse", "vte", "amount")}, gave+amount, CASE WHEN f>0 AND lft>0 THEN dt ELSE last END, sold+CASE WHEN f>0 AND lft>0 THEN m ELSE 0 END FROM
  (SELECT *, CASE WHEN f>0 AND lft>0 THEN f*lft*tokens ELSE 0.0 END AS amount, greatest(vs-got,1.0) AS vse, vt+gave AS vte FROM (SELECT *, CAST({part} AS DOUBLE) AS f, CAST({slices} AS BIGINT) AS m FROM (SELECT p.*, r.lft, r.got, r.gave, r.last, r.sold, e.tokens FROM r JOIN {pool} p ON p.key=r.key AND p.i=r.i+1 JOIN ent e ON e.key=r.key) {join}))),
 z AS (SELECT key, arg_max(lft,i) AS lft, arg_max(got,i) AS got, arg_max(gave,i) AS gave, arg_max(sold,i) AS sold FROM r GROUP BY key), n AS (SELECT key, lft, sold+CASE WHEN lft>0 THEN 1 ELSE 0 END AS sells, got+CASE WHEN lft>0 THEN {_sale("greatest(vc-got,1.0)", "(tc+gave)", "lft*tokens")} ELSE 0.0 END AS out FROM z JOIN ent USING (key))
@@ -42,6 +49,9 @@ _DERISK = f"CASE WHEN ret>0 AND dt-last>={RULES.derisk_gap} THEN {_SLICE} ELSE 0
 _RUNNER = f"CASE WHEN sold<8 AND dt-last>={RULES.runner_gap} THEN {_SLICE} ELSE 0 END"
 _COMBINED = f"CASE WHEN sold<4 THEN {_DERISK} ELSE {_RUNNER} END"
 _DUE = f"(least(8, CAST(floor((dt-dt0)/{RULES.runner_gap}) AS BIGINT))-sold)"
+_WAY = RULES.kappa * RULES.horizon
+_LEGS = f"least(8, CAST(floor((dt-dt0)*8/{RULES.horizon}) AS BIGINT))"
+_hold = lambda legs: f"((exp({_WAY}*(1-{legs}/8.0))-exp(-{_WAY}*(1-{legs}/8.0)))/(exp({_WAY})-exp(-{_WAY})))"
 _trail = lambda retrace: f"CASE WHEN sold<4 THEN {_DERISK} WHEN peak>={RULES.arm} AND (peak-ret)/(1+peak)>={retrace} THEN 1 ELSE 0 END"
 _CUT = f"CASE WHEN ret<0 AND {P_REC}<0.5 THEN 1-2*{P_REC} ELSE 0 END"
 SQL = {
@@ -52,6 +62,7 @@ SQL = {
     "c_hybrid_t30": _replay_sql(_trail(0.30)),
     "f_hybrid_t50": _replay_sql(_trail(0.50)),
     "b_frontload": _replay_sql(f"CASE WHEN ret>0 AND sold<8 THEN {_SLICE} ELSE 0 END"),
+    "almgren_chriss": _replay_sql(f"CASE WHEN {_LEGS}<=sold THEN 0 WHEN {_LEGS}>=8 THEN 1 ELSE 1-{_hold(_LEGS)}/{_hold('sold')} END", f"greatest({_LEGS}-sold,0)"),
     "level_tp_50": _replay_sql("CASE WHEN ret>=0.5 THEN 1 ELSE 0 END"),
     "level_tp_100": _replay_sql("CASE WHEN ret>=1.0 THEN 1 ELSE 0 END"),
     "level_tp_200": _replay_sql("CASE WHEN ret>=2.0 THEN 1 ELSE 0 END"),
@@ -81,6 +92,14 @@ def pool_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumns({"peak": F.greatest(F.lit(0.0), F.max("ret").over(w)), "dt0": F.first("dt").over(w), "final": F.max_by("ret", "i").over(whole)})
 
 
+@query("almgren_chriss", f"WITH {POOL} SELECT key, i, CAST({_LEGS} AS INTEGER) AS legs, round({_hold(_LEGS)},6) AS holding, round(ret,6) AS ret FROM pool")
+def almgren_chriss(spark: SparkSession, sf: str) -> DataFrame:
+    """What the schedule still holds at each snapshot of each position."""
+    rows = pool_rows(spark, sf)
+    legs = policies.due_legs({"dt": F.col("dt")}, F.col("dt0"), RULES)
+    return rounded(rows.select("key", "i", legs.alias("legs"), policies.holding(legs, RULES).alias("holding"), "ret"))
+
+
 def _bins_sql(value: str, edges: list[float]) -> str:
     return f"greatest(0, least({len(edges) - 2}, " + "+".join(f"CASE WHEN {value}>={e!r} THEN 1 ELSE 0 END" for e in edges) + "-1))"
 
@@ -151,6 +170,14 @@ def policy_stopping_table(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(planning.first_stop(rows, table, "i"))
 
 
+def with_values(found: DataFrame, values: DataFrame) -> DataFrame:
+    """Paths whose snapshots after the entry carry ``f`` (``values``: key, i from 0 after the entry, f); unknown ones hold."""
+    each = values.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("f", F.lit(1e9)).alias("f")))).alias("fs"))
+    first = lambda i: F.when(i == 0, 0.0).otherwise(F.get("fs", i - 1)["f"])
+    path = F.transform("path", lambda r, i: F.struct(r["i"].alias("i"), r["vs"].alias("vs"), r["vt"].alias("vt"), r["dt"].alias("dt"), first(i).alias("f")))
+    return found.join(each, "key", "left").withColumn("path", path).drop("fs")
+
+
 _SHAPE = f"{_bins_sql('ret', _E['ret'])}*10+{_bins_sql('peak', _E['peak'])}"
 
 
@@ -168,11 +195,8 @@ def policy_lsm_continuation(spark: SparkSession, sf: str) -> DataFrame:
     shape = policies.binned(F.col("ret"), policies.EDGES["ret"]) * 10 + policies.binned(F.col("peak"), policies.EDGES["peak"])
     rows = rows.withColumn("shape", shape)
     fitted = rows.filter("key % 2 = 0").groupBy("shape").agg((F.avg("final") + 0.01).alias("f"))  # a row for each state
-    each = rows.join(F.broadcast(fitted), "shape", "left").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("f", F.lit(1e9)).alias("f")))).alias("fs"))
-    found = _paths(spark, sf).join(each, "key", "left")
-    first = lambda i: F.when(i == 0, 0.0).otherwise(F.get("fs", i - 1)["f"])
-    found = found.withColumn("path", F.transform("path", lambda r, i: F.struct(r["i"].alias("i"), r["vs"].alias("vs"), r["vt"].alias("vt"), r["dt"].alias("dt"), first(i).alias("f"))))
-    return rounded(policies.replay(found.drop("fs"), "lsm_continuation", RULES))
+    found = with_values(_paths(spark, sf), rows.join(F.broadcast(fitted), "shape", "left"))
+    return rounded(policies.replay(found, "lsm_continuation", RULES))
 
 
 _BOOK = f"""b AS (SELECT key, count(*) AS len, min(CASE WHEN ret>0 THEN i END) AS gain, min(CASE WHEN ret<0 AND p<0.9 THEN i END) AS death FROM (SELECT *, greatest(0.0,1-greatest(0.0,-ret)*2) AS p FROM pool) GROUP BY key),

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df``, written by ``checkpoint()`` to the folder of ``spark.checkpoint.dir``: later jobs start there, also after
-    a lost executor. A folder of our own stands in only where none is set and all is local (tests)."""
+def shared(df: DataFrame) -> str:
+    """The folder of this session below ``spark.checkpoint.dir``; a folder of our own stands in only where none is set and
+    all is local (tests)."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         folder = sc.getConf().get("spark.checkpoint.dir")
@@ -18,4 +19,17 @@ def kept(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="tidemark-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df``, written by ``checkpoint()``: later jobs start there, also after a lost executor."""
+    shared(df)
     return df.checkpoint()
+
+
+def kept_by(df: DataFrame, column: str) -> DataFrame:
+    """``df``, written as a table whose folders are the values of ``column``: a filter on it reads those rows only."""
+    folder = f"{shared(df)}/kept-{uuid.uuid4().hex}"
+    df.write.partitionBy(column).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
