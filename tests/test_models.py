@@ -5,6 +5,7 @@ import math
 import duckdb
 import numpy as np
 import pytest
+
 from tidemark.operators import boosting, evaluation, gates, planning, policies
 from tidemark.plans import catalog, learned, more, rest  # noqa: F401
 
