@@ -39,6 +39,8 @@ NONE = np.iinfo(np.int64).max
 STEP = 1 << 18
 #: Bits of an id in a packed link, which has both ids and whether a token of either side ends with it; bytes of a link.
 ID, LINK = 18, 5
+#: Bytes of a segment's number in its block, which come before its links.
+NUMBER = 4
 _CUT, _BLANKS = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
 
 
@@ -190,6 +192,21 @@ def packed(rows: DataFrame) -> DataFrame:
     return per.select("key", "n_groups", F.unhex(F.array_join(F.transform("x", lambda x: F.lpad(F.hex(x["code"]), 2 * LINK, "0")), "")).alias("links"))
 
 
+def _bytes(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where the values of binaries start, and their bytes."""
+    offsets = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1].astype(np.int64)
+    return offsets - offsets[0], np.frombuffer(x.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+
+
+def _numbers(known: pa.Array) -> np.ndarray:
+    """The number that each value begins with, highest byte first."""
+    offsets, raw = _bytes(known)
+    number = np.zeros(len(known), np.int64)
+    for c in range(NUMBER):
+        number = number << 8 | raw[offsets[:-1] + c]
+    return number
+
+
 @dataclass
 class Block:
     """An opened row: documents, and what is known of the segments of its block, by their numbers."""
@@ -211,23 +228,24 @@ class Block:
         ids, counts, at = (np.frombuffer(b.column(c)[k].as_py(), kind) for c, kind in (("ids", "<i8"), ("counts", "<i8"), ("at", "<u4")))
         at, doc, known = at.astype(np.int64), np.repeat(np.arange(len(counts)), counts), b.column("known")[k].values
         n = int(at.max()) + 1 if len(at) else 0
-        ok, groups, size = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        raw = np.zeros(0, np.uint8)
+        size, raw = np.zeros(n, np.int64), np.zeros(0, np.uint8)
         if n:
-            number = known.field("at").to_numpy()
+            number = _numbers(known)
             order = np.argsort(number)
-            links = known.field("links").take(pa.array(order))
-            ok[number] = known.field("ok").to_numpy(zero_copy_only=False)
-            groups[number] = known.field("n_groups").fill_null(0).to_numpy(zero_copy_only=False)
-            offsets = np.frombuffer(links.buffers()[1], np.int32)[links.offset : links.offset + len(links) + 1].astype(np.int64)
-            size[number[order]] = np.diff(offsets) // LINK
-            raw = np.frombuffer(links.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if links.buffers()[2] else raw
+            offsets, raw = _bytes(known.take(pa.array(order)))
+            size[number[order]] = (np.diff(offsets) - NUMBER) // LINK
+            links = np.ones(len(raw), bool)
+            links[(offsets[:-1, None] + np.arange(NUMBER)).ravel()] = False
+            raw = raw[links]
         code = np.zeros(len(raw) // LINK, np.int64)
         for c in range(LINK):
             code = code << 8 | raw[c::LINK]
         mask = (1 << ID) - 1
+        first, ok = np.append(0, np.cumsum(size)), size > 0  # a segment with tokens has a link
+        cuts = np.append(0, np.cumsum((code & 3) == 3))
+        groups = cuts[first[1:]] - cuts[first[:-1]]
         bad = np.bincount(doc[~ok[at]], minlength=len(counts)) > 0 if n else np.zeros(len(counts), bool)
-        return cls(ids, counts, at, doc, ~bad, groups, (code >> (ID + 2)).astype(np.int32), ((code >> 2) & mask).astype(np.int32), (code & 2) > 0, (code & 1) > 0, np.append(0, np.cumsum(size)))
+        return cls(ids, counts, at, doc, ~bad, groups, (code >> (ID + 2)).astype(np.int32), ((code >> 2) & mask).astype(np.int32), (code & 2) > 0, (code & 1) > 0, first)
 
     def pairs(self) -> np.ndarray:
         return self.a.astype(np.int64) << 32 | self.b
@@ -339,8 +357,10 @@ def digest(docs: DataFrame, first: str, second: str) -> DataFrame:
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     begun = set(scratch.written(spark))
     blocks, keyed, encoded = segments(docs, first, second)
-    known = encoded.select("key", "ok").join(packed(align(encoded)), "key", "left")
-    known = keyed.select("key", "block", "at").join(known, "key").select("block", F.struct("at", "ok", "n_groups", F.coalesce("links", F.lit(b"")).alias("links")).alias("x"))
+    known = encoded.select("key").join(packed(align(encoded)).select("key", "links"), "key", "left")
+    number = F.unhex(F.lpad(F.hex("at"), 2 * NUMBER, "0"))
+    # one binary for each: rows this narrow are most of what is shuffled
+    known = keyed.select("key", "block", "at").join(known, "key").select("block", F.concat(number, F.coalesce("links", F.lit(b""))).alias("x"))
     lists = known.repartition(n, "block").groupBy("block").agg(F.collect_list("x").alias("known"))
     joined = blocks.select("block", "ids", "counts", "at").join(lists.hint("shuffle_hash"), "block", "left")
     used = [p for p in scratch.written(spark) if p not in begun]
