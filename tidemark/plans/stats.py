@@ -26,7 +26,10 @@ SELECT confidence, n, round(mu,6) AS mean, round(sd,6) AS deviation, CAST(ceil(p
 def sample_size(spark: SparkSession, sf: str) -> DataFrame:
     """Patterns needed to tell the mean from zero and two policies apart, how fast new ones arrive, days until 500."""
     p = scored(spark, sf).groupBy(F.floor(F.col("score") * 100 + 1e-6).alias("pattern")).agg(F.avg("net").alias("m"), F.min("ts").alias("seen"))
-    s = p.agg(F.avg("m").alias("mu"), F.stddev_samp("m").alias("sd"), F.count("*").alias("n"), ((F.count("*") - 1) / ((F.max("seen") - F.min("seen")) / 86400.0)).alias("rate"))
+    days = (F.max("seen") - F.min("seen")) / 86400.0
+    # all patterns seen first at one time: an infinite rate, or none that could be told of a single pattern
+    rate = F.coalesce(F.try_divide(F.count("*") - 1, days), F.when((days == 0) & (F.count("*") > 1), F.lit(float("inf"))).when(days == 0, F.lit(float("nan"))))
+    s = p.agg(F.avg("m").alias("mu"), F.stddev_samp("m").alias("sd"), F.count("*").alias("n"), rate.alias("rate"))
     each = s.withColumn("c", F.explode(F.array(F.struct(F.lit(90).alias("confidence"), F.lit(1.645).alias("z")), F.struct(F.lit(95).alias("confidence"), F.lit(1.96).alias("z")))))
     need = lambda sd, effect: F.ceil(F.pow(F.col("c.z") * sd / effect, 2))
     return rounded(each.select("c.confidence", "n", F.col("mu").alias("mean"), F.col("sd").alias("deviation"), need(F.col("sd"), F.greatest("mu", F.lit(1e-9))).alias("need_positive"), need(0.5 * F.col("sd"), F.lit(0.1)).alias("need_difference"), F.col("rate").alias("per_day"), (F.greatest(F.lit(0.0), 500.0 - F.col("n")) / F.greatest("rate", F.lit(1e-9))).alias("days_to_500")))
