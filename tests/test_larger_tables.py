@@ -47,3 +47,14 @@ def test_means_at_a_whole_number(equals_sql):
     """Ten purchases of 51 on average: which side of it their sum ends on is up to its order."""
     (row,) = equals_sql("sophistication", events=EVENTS.format(kind="click", rows="SELECT range AS event_id, CASE WHEN range < 6 THEN 36.02 ELSE 73.47 END AS value, CASE WHEN range < 6 THEN 31 ELSE 20 END AS k FROM range(12)"))
     assert 50 in row
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rolling_flow_copies_no_row(spark, equals_sql, sf):
+    """One shuffle, by which rows were numbered, and no row sent to each of its frames."""
+    said = plan(catalog.QUERIES["rolling_flow"](spark, sf))
+    assert "Generate" not in said and said.count("Exchange hashpartitioning") == 1
+    equals_sql("rolling_flow", events=EVENTS.format(kind="click", rows="SELECT range AS event_id, 1 + range % 50 AS value, 1 AS k FROM range(40)"))

@@ -95,14 +95,16 @@ def cross(rows: DataFrame, multiple: float = 2.0, recent: int = 20) -> DataFrame
     )
 
 
-def rolling_flow(rows: DataFrame, size: int = 15) -> DataFrame:
+def rolling_flow(rows: DataFrame, size: int = 15, order: tuple[str, ...] = ("n",)) -> DataFrame:
     """For every row, its key's flow in the last ``size`` rows: shares of buys and of the largest actor, actors, velocity.
-    A row goes to the ``size`` frames it is part of, which are summed by actor, then whole: sums in code, no lists."""
+    A window gathers them, and sums are taken inside of it: no row is copied to its frames. ``order`` are columns that order
+    a key's rows as ``n`` does; with those that numbered them, the window needs no sort of its own."""
+    last = by_key(*order).rowsBetween(1 - size, 0)
     side = F.when(F.col("is_buy"), F.col("sol")).otherwise(-F.col("sol"))
-    each = rows.select("key", "n", "ts", "actor", "sol", F.col("is_buy").cast("int").alias("buy"), side.alias("side"), F.explode(F.sequence("n", F.col("n") + size - 1)).alias("frame"))
-    per = each.groupBy("key", "frame", "actor").agg(F.sum("sol").alias("s"), F.count("*").alias("c"), F.sum("buy").alias("buys"), F.sum("side").alias("net"), F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.max("n").alias("n"))
-    whole = per.groupBy("key", F.col("frame").alias("n")).agg((F.sum("buys") / F.sum("c")).alias("buy_frac"), F.count("*").cast("int").alias("actors"), (F.max("s") / F.sum("s")).alias("top_share"), ratio(F.sum("net"), F.max("t1") - F.min("t0")).alias("velocity"), F.max("n").alias("own"))
-    return whole.filter("own = n").drop("own")
+    each = rows.select("key", "n", "ts", F.collect_list(F.struct("actor", "sol")).over(last).alias("held"), F.sum(F.col("is_buy").cast("int")).over(last).alias("buys"), F.sum("sol").over(last).alias("s"), F.sum(side).over(last).alias("net"), F.min("ts").over(last).alias("t0"))
+    each = each.withColumn("who", F.array_distinct(F.transform("held", lambda x: x["actor"])))
+    of = lambda who: F.aggregate("held", F.lit(0.0), lambda total, x: total + F.when(x["actor"].eqNullSafe(who), x["sol"]).otherwise(0.0))
+    return each.select("key", "n", (F.col("buys") / F.size("held")).alias("buy_frac"), F.size("who").alias("actors"), (F.array_max(F.transform("who", of)) / F.col("s")).alias("top_share"), ratio(F.col("net"), F.col("ts") - F.col("t0")).alias("velocity"))
 
 
 def kinematics(rows: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def exec_features(spark: SparkSession, sf: str) -> DataFrame:
 SELECT key, n, round(sum(nb)*1.0/sum(c),6) AS buy_frac, CAST(count(*) AS INTEGER) AS actors, round(max(s)/sum(s),6) AS top_share, round(coalesce(sum(net)/nullif(ts-min(t0),0),0),6)+0 AS velocity FROM pr GROUP BY key, n, ts""",
 )
 def rolling_flow(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(features.rolling_flow(events_tape(spark, sf)))
+    return rounded(features.rolling_flow(events_tape(spark, sf), order=("ts", "seq")))
 
 
 @query(
