@@ -101,10 +101,12 @@ def rolling_flow(rows: DataFrame, size: int = 15, order: tuple[str, ...] = ("n",
     a key's rows as ``n`` does; with those that numbered them, the window needs no sort of its own."""
     last = by_key(*order).rowsBetween(1 - size, 0)
     side = F.when(F.col("is_buy"), F.col("sol")).otherwise(-F.col("sol"))
-    each = rows.select("key", "n", "ts", F.collect_list(F.struct("actor", "sol")).over(last).alias("held"), F.sum(F.col("is_buy").cast("int")).over(last).alias("buys"), F.sum("sol").over(last).alias("s"), F.sum(side).over(last).alias("net"), F.min("ts").over(last).alias("t0"))
-    each = each.withColumn("who", F.array_distinct(F.transform("held", lambda x: x["actor"])))
+    each = rows.select("key", "n", "ts", F.collect_list(F.struct("actor", "sol")).over(last).alias("held"), F.sum(F.col("is_buy").cast("int")).over(last).alias("buys"), F.sum(side).over(last).alias("net"), F.min("ts").over(last).alias("t0"))
+    each = each.withColumn("who", F.array_sort(F.array_distinct(F.transform("held", lambda x: x["actor"]))))
     of = lambda who: F.aggregate("held", F.lit(0.0), lambda total, x: total + F.when(x["actor"].eqNullSafe(who), x["sol"]).otherwise(0.0))
-    return each.select("key", "n", (F.col("buys") / F.size("held")).alias("buy_frac"), F.size("who").alias("actors"), (F.array_max(F.transform("who", of)) / F.col("s")).alias("top_share"), ratio(F.col("net"), F.col("ts") - F.col("t0")).alias("velocity"))
+    each = each.withColumn("sums", F.transform("who", of))
+    share = F.array_max("sums") / F.aggregate("sums", F.lit(0.0), lambda total, x: total + x)
+    return each.select("key", "n", (F.col("buys") / F.size("held")).alias("buy_frac"), F.size("who").alias("actors"), share.alias("top_share"), ratio(F.col("net"), F.col("ts") - F.col("t0")).alias("velocity"))
 
 
 def kinematics(rows: DataFrame) -> DataFrame:
