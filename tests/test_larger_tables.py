@@ -1,5 +1,7 @@
 """Queries on tables that are larger or otherwise than the given ones, against the same SQL."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -58,3 +60,11 @@ def test_rolling_flow_copies_no_row(spark, equals_sql, sf):
     said = plan(catalog.QUERIES["rolling_flow"](spark, sf))
     assert "Generate" not in said and said.count("Exchange hashpartitioning") == 1
     equals_sql("rolling_flow", events=EVENTS.format(kind="click", rows="SELECT range AS event_id, 1 + range % 50 AS value, 1 AS k FROM range(40)"))
+
+
+def test_reputation_keeps_no_table_of_pairs(spark, equals_sql, sf):
+    """Pairs of actor and key are told apart by a sort: a hash table of them grows with the rows of a task."""
+    assert not re.search(r"Aggregate\(keys=\[actor#\d+L?, key#\d+L?\]", plan(catalog.QUERIES["reputation_rowframe"](spark, sf)))
+    day = "TIMESTAMP '1995-01-01' + to_days(CAST(range % 40 AS INTEGER))"
+    orders = f"SELECT range AS o_orderkey, 150000.0 + range % 3 - 1 AS o_totalprice, {day} AS o_orderdate FROM range(60)"
+    equals_sql("reputation_rowframe", orders=orders, lineitem=f"SELECT range % 60 AS l_orderkey, range % 4 AS l_suppkey, {day} AS l_shipdate FROM range(200)")

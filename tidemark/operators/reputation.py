@@ -48,4 +48,5 @@ def by_resolution(members: DataFrame, smart: int = 3, good: float = 0.6) -> Data
 
 
 def _summary(rows: DataFrame, smart: int, good: float) -> DataFrame:
+    rows = rows.select("key", "seen", "rate").repartition("key")  # a key's actors lie apart: sums made before would be as many as the rows
     return rows.groupBy("key").agg(F.avg("rate").alias("rep_mean"), F.max("rate").alias("rep_max"), F.avg((F.col("seen") > 0).cast("double")).alias("known"), F.sum(((F.col("seen") >= smart) & (F.col("rate") >= good)).cast("int")).alias("n_smart"))
