@@ -217,3 +217,14 @@ def test_quantiles_by_group(spark):
         assert [r["a"], r["b"], r["c"]] == pytest.approx(np.quantile(x, [0.0, 0.25, 0.9]).tolist())
         assert r["tail"] == pytest.approx(x[: int(np.ceil(0.1 * len(x)))].mean())
     assert evaluation.spread_by(df.limit(0), "g", "x", {"a": 0.5}).count() == 0
+
+
+def test_bins_go_where_values_go():
+    """Walks by bins end at the leaves that walks by values end at, values at a cut and missing ones included."""
+    rng = np.random.default_rng(5)
+    cuts = [np.array([-1.0, 0.0, 0.5]), np.array([2.0])]
+    nodes = [("a", 0.0, False, 1, 2), ("b", 2.0, True, 3, 4), ("a", 0.5, True, 5, 6), *((float(k),) for k in range(4))]
+    forest = boosting.Forest.of(["a", "b"], [nodes, [("b", 2.0, False, 1, 2), (0.25,), (0.5,)]])
+    x = np.stack([rng.choice([-2, -1, 0, 0.2, 0.5, 0.7, np.nan], 300), rng.choice([1, 2, 3, np.nan], 300)], axis=1)
+    bins = np.stack([np.where(np.isnan(x[:, k]), len(c) + 1, np.searchsorted(c, x[:, k])) for k, c in enumerate(cuts)]).astype("<i2")
+    assert boosting._Walk(forest, cuts)(bins).tolist() == forest.walk(x).tolist()

@@ -110,8 +110,16 @@ def edges(rows: DataFrame, features: list[str], bins: int) -> list[np.ndarray]:
     return [np.unique(np.array(found[f"e{i}"] or [], float)) for i in range(len(features))]
 
 
+#: Rows of the state: blocks of y, of the scores so far, and of bins (feature by feature).
+STATE = "y binary, raw binary, bins binary"
+
+
+def _block(y: np.ndarray, raw: np.ndarray, bins: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x.astype(kind, copy=False).tobytes()], pa.binary()) for x, kind in ((y, "<f8"), (raw, "<f8"), (bins, "<i2"))], ["y", "raw", "bins"])
+
+
 def _binned(rows: DataFrame, features: list[str], label: str | Column, cuts: list[np.ndarray], base: float) -> DataFrame:
-    """y, raw (the score so far) and bins (int16 of each feature; the number of cuts and one: missing) of each row."""
+    """:data:`STATE`: y, raw (the score so far) and bins (of each feature; the number of cuts and one: missing)."""
     y = (F.col(label) if isinstance(label, str) else label).cast("double").alias("y")
     names = tuple(f"f{i}" for i in range(len(features)))
     picked = rows.select(y, *(F.col(c).cast("double").alias(n) for c, n in zip(features, names, strict=True))).filter("y IS NOT NULL")
@@ -119,20 +127,41 @@ def _binned(rows: DataFrame, features: list[str], label: str | Column, cuts: lis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b, names)
-            bins = np.column_stack([np.where(np.isnan(x[:, k]), len(c) + 1, np.searchsorted(c, x[:, k])) for k, c in enumerate(cuts)]).astype("<i2")
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(np.full(b.num_rows, base)), pa.array([r.tobytes() for r in bins], pa.binary())], ["y", "raw", "bins"])
-
-    return picked.mapInArrow(run, "y double, raw double, bins binary")
-
-
-def _opened(b: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    bins = np.frombuffer(b"".join(b.column("bins").to_pylist()), "<i2").reshape(-1, n)
-    return b.column("y").to_numpy(), b.column("raw").to_numpy(), bins
-
-
-def _as_matrix(bins: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
-    """Bins as values that fall on the same side of every cut."""
-    return np.column_stack([np.append(np.append(c, np.inf), np.nan)[bins[:, k]] for k, c in enumerate(cuts)])
+            bins = np.stack([np.where(np.isnan(x[:, k]), len(c) + 1, np.searchsorted(c, x[:, k])) for k, c in enumerate(cuts)])
+            yield _block(b.column("y").to_numpy(), np.full(b.num_rows, base), bins)
+
+    return picked.mapInArrow(run, STATE)
+
+
+def _opened(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for b in batches:
+        for y, raw, bins in zip(*(b.column(c) for c in ("y", "raw", "bins")), strict=True):
+            yield np.frombuffer(y.as_buffer(), "<f8"), np.frombuffer(raw.as_buffer(), "<f8"), np.frombuffer(bins.as_buffer(), "<i2").reshape(n, -1)
+
+
+class _Walk:
+    """A forest whose thresholds are cuts, walked by bins: where each bin goes from each node is looked up."""
+
+    def __init__(self, forest: Forest, cuts: list[np.ndarray]):
+        self.forest, self.wide = forest, max(len(c) for c in cuts) + 2
+        self.to = np.repeat(np.arange(len(forest.feature)), self.wide).reshape(-1, self.wide)
+        for k in np.flatnonzero(forest.feature >= 0).tolist():
+            c = cuts[forest.feature[k]]
+            goes = np.arange(self.wide) <= np.searchsorted(c, forest.threshold[k])
+            goes[len(c) + 1] = forest.missing_left[k]
+            self.to[k] = np.where(goes, forest.left[k], forest.right[k])
+        self.to, self.feature = self.to.ravel(), np.maximum(forest.feature, 0).astype(np.int64)
+        self.inner = forest.feature >= 0
+
+    def __call__(self, bins: np.ndarray) -> np.ndarray:
+        n = bins.shape[1]
+        total, rows, flat = np.zeros(n), np.arange(n), bins.ravel()
+        for root in self.forest.roots.tolist():
+            at = np.full(n, root)
+            while self.inner[at].any():
+                at = self.to[at * self.wide + flat[self.feature[at] * n + rows]]
+            total += self.forest.value[at]
+        return total
 
 
 @dataclass(frozen=True)
@@ -208,11 +237,11 @@ def _stepped(state: DataFrame, forest: Forest, cuts: list[np.ndarray]) -> DataFr
     """``state`` with the forest's trees in its scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            y, raw, bins = _opened(b, len(cuts))
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(raw + forest.walk(_as_matrix(bins, cuts))), b.column("bins")], ["y", "raw", "bins"])
+        walk = _Walk(forest, cuts)
+        for y, raw, bins in _opened(batches, len(cuts)):
+            yield _block(y, raw + walk(bins), bins)
 
-    return state.mapInArrow(run, "y double, raw double, bins binary")
+    return state.mapInArrow(run, STATE)
 
 
 def _histograms(state: DataFrame, forest: Forest, tree: Forest, level: list[int], cuts: list[np.ndarray], logistic: bool) -> np.ndarray:
@@ -223,18 +252,18 @@ def _histograms(state: DataFrame, forest: Forest, tree: Forest, level: list[int]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(level) * len(cuts) * wide, 3))
-        for b in batches:
-            y, raw, bins = _opened(b, len(cuts))
-            x = _as_matrix(bins, cuts)
-            raw = raw + forest.walk(x)
-            node = place[tree.walk(x).astype(np.int64)]
+        before, now = _Walk(forest, cuts), _Walk(tree, cuts)
+        for y, raw, bins in _opened(batches, len(cuts)):
+            raw = raw + before(bins)
+            node = place[now(bins).astype(np.int64)]
             p = 1 / (1 + np.exp(-raw)) if logistic else raw
-            values = np.column_stack([p - y, p * (1 - p) if logistic else np.ones(len(y)), np.ones(len(y))])
-            on = node >= 0
+            g, h, on = p - y, p * (1 - p) if logistic else np.ones(len(y)), node >= 0
+            if not on.all():
+                g, h, node, bins = g[on], h[on], node[on], bins[:, on]
             for f in range(len(cuts)):
-                at = (node[on] * len(cuts) + f) * wide + bins[on, f]
-                for v in range(3):
-                    total[:, v] += np.bincount(at, values[on, v], len(total))
+                at = (node * len(cuts) + f) * wide + bins[f]
+                for v, values in enumerate((g, h, None)):
+                    total[:, v] += np.bincount(at, values, len(total))
         at = np.flatnonzero(total[:, 2])
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[at, v]) for v in range(3))], ["at", "g", "h", "n"])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..sources.kept import kept_rows
 from . import boosting, evaluation
 
 
@@ -17,7 +18,8 @@ def score(model: boosting.Forest, rows: DataFrame) -> DataFrame:
 
 
 def holdout(rows: DataFrame, features: list[str], train: str, label: str = "y") -> DataFrame:
-    """AUC on the rows that ``train`` (an SQL condition) leaves out."""
+    """AUC on the rows that ``train`` (an SQL condition) leaves out. The rows are made once, for all passes over them."""
+    rows = kept_rows(rows)
     scored = score(fit(rows.filter(train), features, label), rows.filter(f"not ({train})"))
     return evaluation.auc(scored if label == "y" else scored.withColumnRenamed(label, "y"))
 

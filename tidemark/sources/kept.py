@@ -28,6 +28,13 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept_rows(df: DataFrame) -> DataFrame:
+    """``df``, written as a table of columns: for rows that are read more than once, some columns at a time."""
+    folder = f"{shared(df)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def kept_by(df: DataFrame, column: str) -> DataFrame:
     """``df``, written as a table whose folders are the values of ``column``: a filter on it reads those rows only."""
     folder = f"{shared(df)}/kept-{uuid.uuid4().hex}"
