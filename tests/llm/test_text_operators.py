@@ -215,6 +215,32 @@ def test_jaccard_join(docs, empty):
     assert jaccard_join.join(empty).count() == 0
 
 
+def test_documents_of_many_shared_cells_are_sent_once(spark):
+    rng = np.random.default_rng(5)
+    cells = [range(6)] * 40 + [(0, 1, 2)] * 5 + [(7, 8)] * 3 + [(9, 10, 11, 12)]  # several components in each
+    label = {g: g // 2 * 2 for g in range(13)}
+    rest = [(key, g, label[g], max(label[x] for x in members), 1, min(label[x] for x in members)) for key, members in enumerate(cells) for g in members]
+    rest = spark.createDataFrame(rest, "key long, gid long, label long, largest long, chunks int, lowest long").repartition(3)
+    got = jaccard_join._gathered(rest)
+    assert got.count() == got.select("gid").distinct().count() == 12  # 263 rows as cells
+    sets = {g: rng.integers(0, 1 << 40, 30 if g < 9 else 500, np.uint64, endpoint=False) for g in label}
+    for g in (2, 4):
+        sets[g] = np.append(sets[0][:29], sets[g][:1])
+    sets[11] = sets[9]
+    known = spark.createDataFrame([(g, len(x), bytearray(jaccard_join.parity_bits(x, len(x)))) for g, x in sets.items()], "gid long, n long, parity binary")
+    pairs = {tuple(r) for r in jaccard_join._across(rest, known, 75).collect()}
+    assert pairs >= {(0, 2), (0, 4), (2, 4), (9, 11)}
+    assert all(label[a] != label[b] for a, b in pairs)
+
+
+def test_cells_stay_apart_where_together_they_make_more_rows(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CHUNK", 4)
+    rest = [(key, g, g, 100 + key, 1, 0) for key in range(20) for g in (0, 100 + key)]
+    rest = spark.createDataFrame(rest, "key long, gid long, label long, largest long, chunks int, lowest long")
+    got = jaccard_join._gathered(rest)
+    assert got.filter("together").count() == 0 and got.drop("together").exceptAll(rest.drop("lowest")).count() == 0 and got.count() == 40
+
+
 def test_cells_that_differ_are_no_more_than_tokens():
     rng = np.random.default_rng(1)
     for n in (30, 150, 700):

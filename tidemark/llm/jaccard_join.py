@@ -45,7 +45,7 @@ SEEDS = 8
 #: Documents of a chunk in the last steps; rounds of nearest documents before all that are near.
 CHUNK, ROUNDS = 512, 2
 #: What a cell with several components tells its members.
-MIXED = {"keys": "<u8", "largest": "<i8", "chunks": "<i4"}
+MIXED = {"keys": "<u8", "largest": "<i8", "chunks": "<i4", "lowest": "<i8"}
 #: Documents whose tokens are sorted at once: with the number of the document before it, a hash has 56 bits.
 SORTED, TOKEN = 256, U((1 << 56) - 1)
 
@@ -317,7 +317,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
                     yield _rows(["shard", "block", "keys", "labels", "counts"], [pa.int32(), pa.int64(), *[pa.binary()] * 3], [(int(s[at[0]]), r["block"], h[at].tobytes(), to[at].tobytes(), n[at].astype("<i4").tobytes())])
 
     def differing(part: pa.Table) -> pa.Table:
-        """For each block, its cells that hold several components: the largest, and the chunks of the cell."""
+        """For each block, its cells that hold several components: the largest, the chunks of the cell, the lowest."""
         got = part.to_pylist()
         h, to, n = (np.concatenate([np.frombuffer(r[c], t) for r in got]) for c, t in (("keys", "<u8"), ("labels", "<i8"), ("counts", "<i4")))
         order = np.lexsort((to, h))
@@ -329,7 +329,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
         order = np.lexsort((to, n, h))  # of each cell, the largest comes last
         last = order[first + length - 1]
         many = length > 1
-        found = [x[many] for x in (h[first], to[last], -(-np.add.reduceat(n, first) // CHUNK))]
+        found = [x[many] for x in (h[first], to[last], -(-np.add.reduceat(n, first) // CHUNK), to[first])]
         out = []
         for r in got:
             at = np.flatnonzero(np.isin(found[0], np.frombuffer(r["keys"], "<u8")))
@@ -349,30 +349,32 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(g[keep]), pa.array(to[keep]), *(pa.array(x[at]) for x in facts.values())], ["key", "gid", "label", *facts])
 
     def mixed_cells(labels: DataFrame) -> DataFrame:
-        """The members of cells that hold several components: key, gid, label, largest, chunks."""
+        """The members of cells that hold several components: key, gid, label, largest, chunks, lowest."""
         mine = labels.select(F.shiftright("node", 20).alias("block"), F.col("node").bitwiseAND((1 << 20) - 1).cast("int").alias("at"), "label")
         labelled = entries.join(mine.groupBy("block").agg(F.collect_list(F.struct("at", "label")).alias("labels")), "block", "left")
         facts = ", ".join(f"{c} binary" for c in MIXED)
         mixed = labelled.mapInArrow(holdings, "shard int, block long, keys binary, labels binary, counts binary").groupBy("shard").applyInArrow(differing, f"block long, {facts}")
         again = labelled.join(mixed.groupBy("block").agg(F.collect_list(F.struct(*MIXED)).alias("mixed")), "block")
-        return scratch.table(again.mapInArrow(members, "key long, gid long, label long, largest long, chunks int"), "mixed")
+        return scratch.table(again.mapInArrow(members, "key long, gid long, label long, largest long, chunks int, lowest long"), "mixed")
 
     # 3. each document outside of a cell's largest component with the one nearest to it in parity, of another component:
     # the pieces of a group of near copies come together by a pair for each document, not for each two
+    rest = mixed_cells(labels)
     for _ in range(ROUNDS):
-        rest = mixed_cells(labels)
         if not rest.limit(1).count():
             break
         new = verify(_across(rest, known, percent, nearest=True), True)
-        links = links.union(new)
-        labels = components(links)
         if not new.limit(1).count():
             break
+        links = links.union(new)
+        labels = components(links)
+        rest = mixed_cells(labels)
 
     # 4. what is left, pair by pair
-    rest = mixed_cells(labels)
-    more = verify(_across(rest, known, percent), True)
-    labels = components(links.union(more))
+    if rest.limit(1).count():
+        more = verify(_across(rest, known, percent), True)
+        if more.limit(1).count():
+            labels = components(links.union(more))
 
     # all rows again
     names = same.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("low", "high", "n", "least", F.coalesce("label", "rep").alias("label"))
@@ -420,7 +422,7 @@ def _verified(pairs: DataFrame, known: DataFrame, blocks: DataFrame, n: int, siz
     near = scratch.table(near, "near")
     needed = near.select(F.col("a").alias("gid")).union(near.select("b")).distinct()
     asked = needed.select(F.shiftright("gid", 20).alias("block"), F.col("gid").bitwiseAND((1 << 20) - 1).cast("int").alias("at"))
-    wanted = B.per_block(asked, blocks.select("block", "ids", "lengths", "data"), n, "asked")
+    wanted = B.per_block(asked, blocks.select("block", "ids", "lengths", "data"), n, "asked").filter("asked IS NOT NULL")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -455,32 +457,51 @@ def _fold_low(bits: np.ndarray, to: int) -> np.ndarray:
     return bits.reshape(-1, to).sum(0, dtype=np.int64) & 1 if len(bits) > to else bits
 
 
+def _gathered(rest: DataFrame) -> DataFrame:
+    """``rest`` with all cells of one lowest component as one (``together``, key: the component): together, key, gid, label,
+    largest, chunks. Near copies share most of their cells, so a document, with its parity, is sent once instead of for
+    each cell. Documents of one cell still meet. Where this would make more rows than the cells apart, they stay apart."""
+    docs = rest.groupBy("lowest", "gid", "label").agg(F.sum("chunks").alias("rows"))
+    sizes = docs.groupBy("lowest", "label").agg(F.count("*").alias("docs"), F.sum("rows").alias("rows"))
+    groups = sizes.groupBy("lowest").agg(F.sum("docs").alias("docs"), F.sum("rows").alias("rows"), F.max(F.struct("docs", "label"))["label"].alias("largest"))
+    chunks = F.ceil(F.col("docs") / CHUNK).cast("int")
+    groups = groups.filter(F.col("docs") * chunks <= F.col("rows")).select("lowest", "largest", chunks.alias("chunks"))
+    one = docs.select("lowest", "gid", "label").join(groups, "lowest").select(F.lit(True).alias("together"), F.col("lowest").alias("key"), "gid", "label", "largest", "chunks")
+    return one.union(rest.join(groups, "lowest", "left_anti").select(F.lit(False), "key", "gid", "label", "largest", "chunks"))
+
+
 def _across(rest: DataFrame, known: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
-    """Pairs of documents in one cell but different components that may be linked. A cell's documents stand in chunks
-    (``base``); all but those of its largest component also visit every chunk (``probe``), chunk by chunk, and so meet
-    each other and that component once, CHUNK by CHUNK of them in a group. Pairs are formed and dropped inside a task; only those near in parity leave it, or with
-    ``nearest`` of each probe only the nearest."""
+    """Pairs of documents in one cell but different components that may be linked. A cell's documents (those of some
+    cells, see :func:`_gathered`) stand in chunks (``base``); all but those of its largest component also visit every chunk
+    (``probe``), chunk by chunk, and so meet each other and that component once, CHUNK by CHUNK of them in a group. Pairs
+    are formed and dropped inside a task; only those near in parity leave it, or with ``nearest`` of each probe only the
+    nearest."""
     t = percent / 100
-    rows = rest.join(known, "gid")
+    rows = _gathered(rest).join(known, "gid")
     own = F.pmod(F.xxhash64("gid"), F.col("chunks")).cast("int")
     each = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     about = ("gid", "label", "n", "parity")
-    base = rows.select("key", own.alias("chunk"), each.alias("other"), *about, F.lit(False).alias("probe"))
-    probe = rows.filter("label <> largest").select("key", each.alias("chunk"), own.alias("other"), *about, F.lit(True).alias("probe"))
+    base = rows.select("together", "key", own.alias("chunk"), each.alias("other"), *about, F.lit(False).alias("probe"))
+    probe = rows.filter("label <> largest").select("together", "key", each.alias("chunk"), own.alias("other"), *about, F.lit(True).alias("probe"))
 
     def meet(part: pa.Table) -> pa.Table:
         got = part.select(["gid", "label", "n", "parity", "probe"]).to_pylist()
         sides = [[r for r in got if r["probe"] is p] for p in (True, False)]
         out: list[tuple[int, int]] = []
         if all(sides):
-            bits = min(8 * len(r["parity"]) for r in got)
-            x, y = (np.stack([np.packbits(_fold_low(np.unpackbits(np.frombuffer(r["parity"], np.uint8)), bits).astype(np.uint8)).view("<u8") for r in s]) for s in sides)
-            (gx, lx, nx), (gy, ly, ny) = ([np.array([r[c] for r in s]) for c in ("gid", "label", "n")] for s in sides)
-            for i in range(len(gx)):
-                far = np.bitwise_count(x[i] ^ y).sum(1)
-                ok = (lx[i] != ly) & (far <= (nx[i] + ny) * (1 - t) / (1 + t) + 1e-9) & (100 * np.minimum(nx[i], ny) >= percent * np.maximum(nx[i], ny))
-                found = gy[ok] if not nearest or not ok.any() else gy[[np.flatnonzero(ok)[far[ok].argmin()]]]
-                out += [(min(int(gx[i]), g), max(int(gx[i]), g)) for g in found.tolist()]
+            (gx, lx, nx, bx), (gy, ly, ny, by) = ([np.array([r[c] for r in s]) for c in ("gid", "label", "n")] + [np.array([8 * len(r["parity"]) for r in s])] for s in sides)
+            for mine in np.unique(bx):  # sketches of one size at once, those of other sizes folded to the smaller
+                some = np.flatnonzero(bx == mine)
+                far = np.zeros((len(some), len(gy)), np.int64)
+                for theirs in np.unique(by):
+                    at, bits = np.flatnonzero(by == theirs), int(min(mine, theirs))
+                    x, y = (np.stack([np.packbits(_fold_low(np.unpackbits(np.frombuffer(s[i]["parity"], np.uint8)), bits).astype(np.uint8)).view("<u8") for i in which.tolist()]) for s, which in zip(sides, (some, at), strict=True))
+                    for k in range(len(some)):
+                        far[k, at] = np.bitwise_count(x[k] ^ y).sum(1)
+                for i, d in zip(some.tolist(), far, strict=True):
+                    ok = (lx[i] != ly) & (d <= (nx[i] + ny) * (1 - t) / (1 + t) + 1e-9) & (100 * np.minimum(nx[i], ny) >= percent * np.maximum(nx[i], ny))
+                    found = gy[ok] if not nearest or not ok.any() else gy[[np.flatnonzero(ok)[d[ok].argmin()]]]
+                    out += [(min(int(gx[i]), g), max(int(gx[i]), g)) for g in found.tolist()]
         return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
-    return base.union(probe).groupBy("key", "chunk", "other").applyInArrow(meet, "a long, b long")
+    return base.union(probe).groupBy("together", "key", "chunk", "other").applyInArrow(meet, "a long, b long")
