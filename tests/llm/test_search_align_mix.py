@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import alignment, lexical_search, mixing, queries
+from tidemark.llm import alignment, lexical_search, mixing, queries, varbyte
 
 SCHEMA = "doc_id long, text string, source string, score long, rank int, size long, bytes long, block string, key string, unit string, part int"
 
@@ -202,6 +202,18 @@ def test_alignment_of_odd_texts(spark):
     assert align(spark.createDataFrame(odd, "doc_id long, text string").repartition(5)) == aligned(odd)
 
 
+def test_segments_of_a_block_are_sent_as_one_row(spark):
+    links = {k: bytes(range(k % 3 * alignment.LINK)) for k in range(40)}
+    rows = [(block, at, links[at]) for block in (7, 1 << 24) for at in links if at % 4 != block % 3]
+    got = alignment._sent(spark.createDataFrame(rows, "block long, at int, links binary").coalesce(1)).collect()
+    assert sorted(r["block"] for r in got) == [7, 1 << 24]
+    for r in got:
+        mine = [at for block, at, _ in rows if block == r["block"]]
+        assert np.cumsum(varbyte.unpack(bytes(r["number_control"]), bytes(r["number_data"]), r["n"])).tolist() == mine
+        assert varbyte.unpack(bytes(r["size_control"]), bytes(r["size_data"]), r["n"]).tolist() == [k % 3 for k in mine]
+        assert bytes(r["links"]) == b"".join(links[k] for k in mine)
+
+
 def test_targets_fill_up_to_the_limit(spark):
     def by_hand(sizes):
         order = sorted(sizes, key=lambda s: (s is None, s or ""))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scratch, tokens
+from . import scratch, tokens, varbyte
 
 #: Bytes of text of a block, about, and its documents at most.
 BLOCK, DOCUMENTS = 4 << 20, 1 << 16
@@ -39,8 +39,10 @@ NONE = np.iinfo(np.int64).max
 STEP = 1 << 18
 #: Bits of an id in a packed link, which has both ids and whether a token of either side ends with it; bytes of a link.
 ID, LINK = 18, 5
-#: Bytes of a segment's number in its block, which come before its links.
-NUMBER = 4
+#: Segments that a task gathers by block before it sends them, and bytes of their links, about.
+SENT, SENT_BYTES = 1 << 20, 1 << 26
+#: What a task tells a block of its segments: gaps of their numbers in the block and links of each, in variable length, and the links.
+KNOWN = ("number_control", "number_data", "size_control", "size_data", "links")
 _CUT, _BLANKS = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
 
 
@@ -198,13 +200,34 @@ def _bytes(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], np.frombuffer(x.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
 
 
-def _numbers(known: pa.Array) -> np.ndarray:
-    """The number that each value begins with, highest byte first."""
-    offsets, raw = _bytes(known)
-    number = np.zeros(len(known), np.int64)
-    for c in range(NUMBER):
-        number = number << 8 | raw[offsets[:-1] + c]
-    return number
+def _sent(rows: DataFrame) -> DataFrame:
+    """block, n and :data:`KNOWN` of rows (block, at, links): what a task knows of a block's segments is one row, as rows of single
+    segments are more head than links."""
+
+    def told(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        block, at, links = (np.concatenate([h[c] for h in held]) if c < 2 else pa.concat_arrays([h[c] for h in held]) for c in range(3))
+        order = np.lexsort((at, block))
+        block, at = block[order], at[order]
+        offsets, raw = _bytes(links.take(pa.array(order)))
+        new = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        out = []
+        for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(block)], strict=True):
+            out.append((int(block[lo]), hi - lo, *varbyte.pack(np.diff(at[lo:hi], prepend=0)), *varbyte.pack(np.diff(offsets[lo : hi + 1]) // LINK), raw[offsets[lo] : offsets[hi]].tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int32(), *[pa.binary()] * len(KNOWN)], strict=True)], ["block", "n", *KNOWN])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, size = [], 0, 0
+        for b in batches:
+            if b.num_rows:
+                held.append((b.column("block").to_numpy(), b.column("at").to_numpy(), b.column("links")))
+                n, size = n + b.num_rows, size + b.column("links").nbytes
+            if n >= SENT or size >= SENT_BYTES:
+                yield from told(held)
+                held, n, size = [], 0, 0
+        if held:
+            yield from told(held)
+
+    return rows.mapInArrow(run, "block long, n int, " + ", ".join(f"{c} binary" for c in KNOWN))
 
 
 @dataclass
@@ -228,18 +251,21 @@ class Block:
         ids, counts, at = (np.frombuffer(b.column(c)[k].as_py(), kind) for c, kind in (("ids", "<i8"), ("counts", "<i8"), ("at", "<u4")))
         at, doc, known = at.astype(np.int64), np.repeat(np.arange(len(counts)), counts), b.column("known")[k].values
         n = int(at.max()) + 1 if len(at) else 0
-        size, raw = np.zeros(n, np.int64), np.zeros(0, np.uint8)
+        size, code = np.zeros(n, np.int64), np.zeros(0, np.int64)
         if n:
-            number = _numbers(known)
+            numbers, sizes = [], []
+            for number_control, number_data, size_control, size_data, m in zip(*(known.field(c).to_pylist() for c in (*KNOWN[:4], "n")), strict=True):
+                numbers.append(np.cumsum(varbyte.unpack(number_control, number_data, m), dtype=np.int64))
+                sizes.append(varbyte.unpack(size_control, size_data, m).astype(np.int64))
+            number, each = np.concatenate(numbers), np.concatenate(sizes)
+            _, raw = _bytes(known.field("links"))
+            code = np.zeros(len(raw) // LINK, np.int64)
+            for c in range(LINK):
+                code = code << 8 | raw[c::LINK]
             order = np.argsort(number)
-            offsets, raw = _bytes(known.take(pa.array(order)))
-            size[number[order]] = (np.diff(offsets) - NUMBER) // LINK
-            links = np.ones(len(raw), bool)
-            links[(offsets[:-1, None] + np.arange(NUMBER)).ravel()] = False
-            raw = raw[links]
-        code = np.zeros(len(raw) // LINK, np.int64)
-        for c in range(LINK):
-            code = code << 8 | raw[c::LINK]
+            start, each = (np.cumsum(each) - each)[order], each[order]
+            size[number[order]] = each
+            code = code[np.arange(len(code)) + np.repeat(start - np.cumsum(each) + each, each)]
         mask = (1 << ID) - 1
         first, ok = np.append(0, np.cumsum(size)), size > 0  # a segment with tokens has a link
         cuts = np.append(0, np.cumsum((code & 3) == 3))
@@ -255,23 +281,29 @@ class Block:
         total = np.append(0, np.cumsum(of_links, dtype=np.int64))
         return total[self.first[1:]] - total[self.first[:-1]]
 
-    def said(self) -> list[str]:
-        """The groups of each segment as text."""
-        out, a, b = [], [], []
-        first, last = self.first.tolist(), iter(zip(self.a.tolist(), self.b.tolist(), self.ends_a.tolist(), self.ends_b.tolist(), strict=True))
-        for n in np.diff(first).tolist():
-            groups = []
-            for _ in range(n):
-                x, y, end_a, end_b = next(last)
-                if end_a:
-                    a.append(str(x))
-                if end_b:
-                    b.append(str(y))
-                    if end_a:
-                        groups.append(f"{','.join(a)}|{','.join(b)}")
-                        a, b = [], []
-            out.append(";".join(groups))
-        return out
+    def said(self) -> list[bytes]:
+        """The groups of each segment as text, each begun by a semicolon."""
+        cut = self.ends_a & self.ends_b
+        group = np.cumsum(cut) - cut
+        of = [group[self.ends_a], group[self.ends_b]]
+        before = [np.append(0, np.cumsum(np.bincount(g, minlength=int(cut.sum())))) for g in of]
+        # of a group, all tokens of the first side come before those of the second
+        place = [np.arange(len(of[0])) + before[1][of[0]], np.arange(len(of[1])) + before[0][of[1] + 1]]
+        ids, mark = np.zeros(len(of[0]) + len(of[1]), np.int64), np.zeros(len(of[0]) + len(of[1]), np.uint8)
+        for g, p, i, first in zip(of, place, (self.a[self.ends_a], self.b[self.ends_b]), b";|", strict=True):
+            ids[p], mark[p] = i, np.where(np.append(True, g[1:] != g[:-1])[: len(g)], first, ord(","))
+        digits = len(str((1 << ID) - 1))
+        size = np.ones(len(ids), np.int64)
+        text = np.zeros((len(ids), digits + 1), np.uint8)
+        for k in range(digits):
+            text[:, digits - k] = ids // 10**k % 10 + ord("0")
+            size += (ids >= 10**k) if k else 1
+        begin = digits + 1 - size
+        text[np.arange(len(ids)), begin] = mark
+        raw = text[np.arange(digits + 1) >= begin[:, None]].tobytes()
+        tokens_of = np.append(0, np.cumsum(self.sums(self.ends_a) + self.sums(self.ends_b)))
+        at = np.append(0, np.cumsum(size))[tokens_of].tolist()
+        return [raw[lo:hi] for lo, hi in zip(at[:-1], at[1:], strict=True)]
 
 
 def _pair_counts(blocks: DataFrame) -> DataFrame:
@@ -320,12 +352,14 @@ def _digests(blocks: DataFrame) -> DataFrame:
                     docs, best = pairs.field("docs").to_numpy()[where], pairs.field("best").to_numpy()[where]
                 values = [x.sums(x.ends_a), x.sums(x.ends_b), x.groups, x.sums(np.ones(len(x.a), np.int64)), x.sums(best), x.sums(docs)]
                 sums = np.zeros((len(x.counts), len(names)), np.int64)
+                last = np.cumsum(x.counts)
                 for c, v in enumerate(values):
-                    np.add.at(sums[:, c], x.doc, v[x.at])
+                    total = np.append(0, np.cumsum(v[x.at], dtype=np.int64))
+                    sums[:, c] = total[last] - total[last - x.counts]
                 sums[~x.fine] = 0
                 said, places, end, text = x.said(), x.at.tolist(), 0, []
                 for fine, size in zip(x.fine.tolist(), x.counts.tolist(), strict=True):
-                    text.append(hashlib.sha256(";".join([said[i] for i in places[end : end + size]]).encode()).hexdigest() if fine and size else "")
+                    text.append(hashlib.sha256(b"".join([said[i] for i in places[end : end + size]])[1:]).hexdigest() if fine and size else "")
                     end += size
                 yield pa.RecordBatch.from_arrays([pa.array(x.ids, mask=x.ids == NONE), *(pa.array(sums[:, c]) for c in range(len(names))), pa.array(text)], ["doc_id", *names, "groups_sha256"])
 
@@ -341,7 +375,7 @@ def segments(docs: DataFrame, first: str, second: str) -> tuple[DataFrame, DataF
     blocks = scratch.bucketed(_blocks(docs, first, second), "blocks", "block", n)
     placed = blocks.select("block", F.posexplode(F.arrays_zip("keys", "long")).alias("at", "x")).select("block", "at", F.col("x.keys").alias("key"), F.col("x.long").alias("long"))
     keyed = scratch.bucketed(placed.repartition(n, "key"), "keyed", "key", n)
-    return blocks, keyed, scratch.bucketed(_encoded(keyed.select("key", "long").dropDuplicates(["key"]), first, second), "tokens", "key", n)
+    return blocks, keyed, scratch.bucketed(_encoded(keyed.select("key", "long").distinct(), first, second), "tokens", "key", n)
 
 
 def digest(docs: DataFrame, first: str, second: str) -> DataFrame:
@@ -358,10 +392,8 @@ def digest(docs: DataFrame, first: str, second: str) -> DataFrame:
     begun = set(scratch.written(spark))
     blocks, keyed, encoded = segments(docs, first, second)
     known = encoded.select("key").join(packed(align(encoded)).select("key", "links"), "key", "left")
-    number = F.unhex(F.lpad(F.hex("at"), 2 * NUMBER, "0"))
-    # one binary for each: rows this narrow are most of what is shuffled
-    known = keyed.select("key", "block", "at").join(known, "key").select("block", F.concat(number, F.coalesce("links", F.lit(b""))).alias("x"))
-    lists = known.repartition(n, "block").groupBy("block").agg(F.collect_list("x").alias("known"))
+    known = keyed.select("key", "block", "at").join(known.hint("shuffle_hash"), "key").select("block", "at", F.coalesce("links", F.lit(b"")).alias("links"))
+    lists = _sent(known).repartition(n, "block").groupBy("block").agg(F.collect_list(F.struct("n", *KNOWN)).alias("known"))
     joined = blocks.select("block", "ids", "counts", "at").join(lists.hint("shuffle_hash"), "block", "left")
     used = [p for p in scratch.written(spark) if p not in begun]
     linked = scratch.bucketed(joined, "linked", "block", n)
