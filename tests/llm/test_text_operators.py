@@ -1,6 +1,7 @@
 """Operators on documents against brute force, on made tables with nulls, copies, ties and long texts."""
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -191,6 +192,33 @@ def _sets(rows):
         yield i, frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])
 
 
+def test_small_tables_of_the_join_have_few_files(spark, docs):
+    """Many shuffle partitions over few documents: tables on the way have no file for each of them."""
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    before = set(scratch.written(spark))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = jaccard_join.join(docs)
+        assert found.rdd.getNumPartitions() == 1
+        files = {p: len([f for f in os.listdir(p.removeprefix("file://")) if f.startswith("part-")]) for p in scratch.written(spark) if p not in before}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    small = {p: k for p, k in files.items() if not re.search("/(blocks|sets)-", p)}
+    assert len(small) > 8 and max(small.values()) == 1
+
+
+def test_token_sets_do_not_depend_on_how_many_documents_are_taken_at_once(monkeypatch):
+    texts = [b"", b"A b", b"a b c d e f g", b"one", b"  ", *(b" ".join(b"w%d" % (i * k % 37) for i in range(60)) for k in range(9))]
+    block = blocks.Block(np.arange(len(texts)), np.array([len(t) for t in texts]), b"".join(texts))
+    want, whole, most = jaccard_join.token_sets(block, 5), words.split, []
+    monkeypatch.setattr(words, "split", lambda data, lengths, **more: most.append(len(lengths)) or whole(data, lengths, **more))
+    monkeypatch.setattr(jaccard_join, "SORTED", 3)
+    got = jaccard_join.token_sets(block, 5)
+    assert all((x == y).all() for x, y in zip(got, want, strict=True)) and max(most) == 3
+
+
 def test_jaccard_join(docs, empty):
     got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard_join.join(docs).collect())
     sets = list(_sets(made()))

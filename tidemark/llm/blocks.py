@@ -87,6 +87,7 @@ def opened(batch: pa.RecordBatch) -> Iterator[tuple[int, Block, list]]:
         r = batch.slice(k, 1)
         number, ids, lengths, data = (r.column(c)[0].as_py() for c in range(4))
         yield number, Block(np.frombuffer(ids, "<i8"), np.frombuffer(lengths, "<i8"), data), [r.column(c)[0].as_py() or [] for c in range(4, r.num_columns)]
+        scratch.released()
 
 
 def per_block(rows: DataFrame, blocks: DataFrame, n: int, name: str) -> DataFrame:

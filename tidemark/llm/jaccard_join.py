@@ -46,28 +46,25 @@ SEEDS = 8
 CHUNK, ROUNDS = 512, 2
 #: What a cell with several components tells its members.
 MIXED = {"keys": "<u8", "largest": "<i8", "chunks": "<i4", "lowest": "<i8"}
-#: Documents whose tokens are sorted at once: with the number of the document before it, a hash has 56 bits.
+#: Documents whose words are taken and whose tokens are sorted at once: with the number of the document before it, a hash has 56 bits.
 SORTED, TOKEN = 256, U((1 << 56) - 1)
+#: Documents for each file of the tables on the way, at least: partitions beyond that are more head than rows.
+FILE = 4096
 
 
 def token_sets(block: B.Block, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of the distinct tokens of a block, in order."""
-    w = words.split(block.data, block.lengths, lower=True)
-    at, h = w.runs(size)
-    doc = [w.doc_of(at)]
-    hashes = [h]
-    count = np.diff(w.first)
-    for n in range(1, size):
-        if (short := np.flatnonzero(count == n)).size:
-            at, h = w.runs(n)
-            doc.append(short)
-            hashes.append(words.mix(h[np.searchsorted(at, w.first[short])] + U(n)))
-    out = []
+    out, data, ends = [], memoryview(block.data), np.append(0, np.cumsum(block.lengths))
     for lo in range(0, len(block.ids), SORTED):
-        parts = []
-        for d, x in zip(doc, hashes, strict=True):
-            i, j = np.searchsorted(d, [lo, lo + SORTED])
-            parts.append((d[i:j] - lo).astype(U) << U(56) | x[i:j] >> U(8))
+        lengths = block.lengths[lo : lo + SORTED]
+        w = words.split(data[ends[lo] : ends[lo + len(lengths)]], lengths, lower=True)
+        at, h = w.runs(size)
+        parts = [w.doc_of(at).astype(U) << U(56) | h >> U(8)]
+        count = np.diff(w.first)
+        for n in range(1, size):
+            if (short := np.flatnonzero(count == n)).size:
+                at, h = w.runs(n)
+                parts.append(short.astype(U) << U(56) | words.mix(h[np.searchsorted(at, w.first[short])] + U(n)) >> U(8))
         some = np.sort(np.concatenate(parts))
         out.append((lo, some[np.append(True, some[1:] != some[:-1])] if len(some) else some))
     return np.concatenate([lo + (x >> U(56)).astype(np.int64) for lo, x in out] or [np.zeros(0, np.int64)]), np.concatenate([x & TOKEN for _, x in out] or [np.zeros(0, U)])
@@ -169,16 +166,17 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
 
     for seed in range(SEEDS):
         rows = scratch.table(blocks.mapInArrow(facts, "gid long, doc_id long, n long, low long, high long, cells long, bad boolean, text_md5 binary"), "sets")
-        about = rows.agg(F.sum("cells").alias("cells"), F.max("bad").alias("bad")).first()
+        about = rows.agg(F.sum("cells").alias("cells"), F.max("bad").alias("bad"), F.count("*").alias("docs")).first()
         if not about["bad"]:
             break
     else:
         raise ValueError(f"under each of {SEEDS} seeds some set fills too few cells")
     bits = B.sketch_bits(about["cells"] or 0)
+    most = max(1, -(-about["docs"] // FILE))
 
     # equal sets: the first of them stands for all
     same = rows.filter("n > 0").groupBy("low", "high", "n").agg(F.min("gid").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "gid")).alias("least"), F.count("*").alias("copies"))
-    same = scratch.table(same, "equal")
+    same = scratch.table(same, "equal", most)
     many = same.filter("copies > 1").select("low", "high", "n", "rep")
     extra = rows.join(many, ["low", "high", "n"]).filter("gid <> rep").select(F.shiftright("gid", 20).alias("block"), F.col("gid").bitwiseAND((1 << 20) - 1).cast("int").alias("at"))
     blocks = B.per_block(extra, blocks, n, "copies")
@@ -218,7 +216,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
                 parity = [parity_bits(h[first[d] : first[d] + sizes[d]], int(sizes[d])) for d in who.tolist()]
                 yield _rows(["block", "keys", "docs", "who", "sizes", "parity"], [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())], [(number, s["key"][sent].astype("<u8").tobytes(), s["doc"][sent].astype("<i4").tobytes(), gid(number, who).tolist(), sizes[who].tolist(), parity)])
 
-    sent = scratch.table(hot.mapInArrow(rarest, "block long, keys binary, docs binary, who array<long>, sizes array<long>, parity array<binary>"), "cells")
+    sent = scratch.table(hot.mapInArrow(rarest, "block long, keys binary, docs binary, who array<long>, sizes array<long>, parity array<binary>"), "cells", most)
     entries = sent.select("block", "keys", "docs")
     known = sent.select(F.explode(F.arrays_zip("who", "sizes", "parity")).alias("x")).select(F.col("x.who").alias("gid"), F.col("x.sizes").alias("n"), F.col("x.parity").alias("parity"))
     amount = entries.agg(F.sum(F.length("keys"))).first()[0] or 0
@@ -274,16 +272,16 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
                 two = np.unique(np.stack([every, d])[:, other], axis=1)
                 yield _rows(["block", "keys", "docs", "a", "b"], [pa.int64(), *[pa.binary()] * 4], [(r["block"], h[other].tobytes(), np.frombuffer(r["docs"], "<i4")[other].tobytes(), two[0].tobytes(), two[1].tobytes())])
 
-    entries = scratch.table(answered.mapInArrow(resolve, "block long, keys binary, docs binary, a binary, b binary"), "others")
+    entries = scratch.table(answered.mapInArrow(resolve, "block long, keys binary, docs binary, a binary, b binary"), "others", most)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r[c], "<i8")) for c in "ab"], ["a", "b"])
 
-    verify = lambda p, near=False: _verified(p, known, blocks, n, size, percent, near)
+    verify = lambda p, near=False: _verified(p, known, blocks, n, size, percent, near, most)
     links = verify(entries.select("a", "b").mapInArrow(pairs, "a long, b long"))
-    labels = components(links)
+    labels = components(links, most)
 
     # 2. cells that hold documents of several components beside their first
     entries = entries.select("block", "keys", "docs")
@@ -355,7 +353,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
         facts = ", ".join(f"{c} binary" for c in MIXED)
         mixed = labelled.mapInArrow(holdings, "shard int, block long, keys binary, labels binary, counts binary").groupBy("shard").applyInArrow(differing, f"block long, {facts}")
         again = labelled.join(mixed.groupBy("block").agg(F.collect_list(F.struct(*MIXED)).alias("mixed")), "block")
-        return scratch.table(again.mapInArrow(members, "key long, gid long, label long, largest long, chunks int, lowest long"), "mixed")
+        return scratch.table(again.mapInArrow(members, "key long, gid long, label long, largest long, chunks int, lowest long"), "mixed", most)
 
     # 3. each document outside of a cell's largest component with the one nearest to it in parity, of another component:
     # the pieces of a group of near copies come together by a pair for each document, not for each two
@@ -367,14 +365,14 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
         if not new.limit(1).count():
             break
         links = links.union(new)
-        labels = components(links)
+        labels = components(links, most)
         rest = mixed_cells(labels)
 
     # 4. what is left, pair by pair
     if rest.limit(1).count():
         more = verify(_across(rest, known, percent), True)
         if more.limit(1).count():
-            labels = components(links.union(more))
+            labels = components(links.union(more), most)
 
     # all rows again
     names = same.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("low", "high", "n", "least", F.coalesce("label", "rep").alias("label"))
@@ -382,7 +380,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     named = names.join(ids, "label").select("low", "high", "n", "first")
     out = rows.join(named, ["low", "high", "n"], "left")
     alone = F.col("first").isNull()
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), (alone | (F.col("first.gid") == F.col("gid"))).alias("first"), "text_md5")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), (alone | (F.col("first.gid") == F.col("gid"))).alias("first"), "text_md5").coalesce(most)
 
 
 def dedup(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
@@ -397,7 +395,7 @@ def dedup(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     return docs.join(stays, docs["doc_id"].eqNullSafe(stays["tidemark_id"]) & (F.col("tidemark_md5") == F.col("tidemark_text")), "left_semi").drop("tidemark_md5")
 
 
-def _verified(pairs: DataFrame, known: DataFrame, blocks: DataFrame, n: int, size: int, percent: int, are_near: bool) -> DataFrame:
+def _verified(pairs: DataFrame, known: DataFrame, blocks: DataFrame, n: int, size: int, percent: int, are_near: bool, most: int) -> DataFrame:
     """The pairs (a, b) that are linked: first by sizes and parity bits, unless they ``are_near`` in these, then by the sets
     themselves."""
     t = percent / 100
@@ -419,7 +417,7 @@ def _verified(pairs: DataFrame, known: DataFrame, blocks: DataFrame, n: int, siz
         # a document with many partners is a skewed key of these joins, which adaptive execution splits
         near = near.join(one, "a").join(two, "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         near = near.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(close, "a long, b long")
-    near = scratch.table(near, "near")
+    near = scratch.table(near, "near", most)
     needed = near.select(F.col("a").alias("gid")).union(near.select("b")).distinct()
     asked = needed.select(F.shiftright("gid", 20).alias("block"), F.col("gid").bitwiseAND((1 << 20) - 1).cast("int").alias("at"))
     wanted = B.per_block(asked, blocks.select("block", "ids", "lengths", "data"), n, "asked").filter("asked IS NOT NULL")
@@ -438,7 +436,7 @@ def _verified(pairs: DataFrame, known: DataFrame, blocks: DataFrame, n: int, siz
                     hi = min(len(at), lo + 256)
                     yield pa.RecordBatch.from_arrays([pa.array(gid(number, at[lo:hi])), pa.array([h[ends[i] : ends[i + 1]].astype("<u8").tobytes() for i in range(lo, hi)], pa.binary())], ["gid", "set"])
 
-    each = scratch.table(wanted.mapInArrow(sets, "gid long, set binary"), "tokens")
+    each = scratch.table(wanted.mapInArrow(sets, "gid long, set binary"), "tokens", most)
     full = near.join(each.select(F.col("gid").alias("b"), F.col("set").alias("y")), "b").join(each.select(F.col("gid").alias("a"), F.col("set").alias("x")), "a")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,7 +448,7 @@ def _verified(pairs: DataFrame, known: DataFrame, blocks: DataFrame, n: int, siz
             k = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(i).filter(k) for i in range(2)], ["a", "b"])
 
-    return scratch.table(full.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"), "linked")
+    return scratch.table(full.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"), "linked", most)
 
 
 def _fold_low(bits: np.ndarray, to: int) -> np.ndarray:

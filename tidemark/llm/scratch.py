@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 import sys
@@ -9,6 +11,7 @@ import tempfile
 import threading
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: What each thread of a session has written and not deleted.
@@ -59,10 +62,21 @@ def path(spark: SparkSession, name: str) -> str:
     return new
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return what was written: later jobs, and tasks run again after a lost executor, start here."""
+def released() -> None:
+    """In a task: free memory goes back to the system. Python workers outlive their tasks, and the C library's heap else keeps
+    the most that any of them had."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def table(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """Write ``df`` once and return what was written: later jobs, and tasks run again after a lost executor, start here.
+    ``most``: files at most, where the caller knows how much there is. Each file costs a commit, and on a local file
+    system two processes that the executor starts (chmod), so small tables should not have one for each partition."""
     spark = df.sparkSession
     at = path(spark, name)
+    df = df if most is None else df.coalesce(most)
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
