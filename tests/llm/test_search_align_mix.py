@@ -202,6 +202,23 @@ def test_alignment_of_odd_texts(spark):
     assert align(spark.createDataFrame(odd, "doc_id long, text string").repartition(5)) == aligned(odd)
 
 
+def test_tasks_without_tokenizers_do_not_keep_them(monkeypatch):
+    """A worker that has encoded segments counts and digests blocks later; both tokenizers then go."""
+    runs = {}
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            runs[schema] = run
+
+    for step in (alignment._sent, alignment._pair_counts, alignment._digests):
+        step(Rows())
+    assert len(runs) == 3
+    for run in runs.values():
+        alignment.pair.cache_clear()
+        alignment.pair(queries.tokenizer_file(), __import__("public_tokenizers").path("piece_bpe_32k.model"))
+        assert list(run(iter([]))) == [] and not alignment.pair.cache_info().currsize
+
+
 def test_segments_of_a_block_are_sent_as_one_row(spark):
     links = {k: bytes(range(k % 3 * alignment.LINK)) for k in range(40)}
     rows = [(block, at, links[at]) for block in (7, 1 << 24) for at in links if at % 4 != block % 3]

@@ -16,6 +16,7 @@ their segments by number; what is known of segments, a few bytes for each link,
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -111,6 +112,15 @@ def pair(first: str, second: str) -> Pair:
     return Pair(first, second)
 
 
+def forget() -> None:
+    """In a task that needs no tokenizers: what earlier tasks of the worker have left goes. Both with their caches are more than a
+    block with its links."""
+    if pair.cache_info().currsize:
+        pair.cache_clear()
+        gc.collect()
+        scratch.released()
+
+
 def key(segment: str) -> bytes:
     """What tells a segment from others: itself (a space first), or a zero and a digest."""
     raw = segment.encode()
@@ -142,8 +152,11 @@ def _blocks(docs: DataFrame, first: str, second: str) -> DataFrame:
                 if held >= BLOCK or len(ids) >= DOCUMENTS:
                     yield row()
                     number, ids, counts, at, known, held = number + 1, [], [], [], {}, 0
+                    scratch.released()
         if ids:
             yield row()
+        known = {}
+        scratch.released()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return rows.mapInArrow(run, "block long, ids binary, counts binary, at binary, keys array<binary>, long array<string>")
@@ -169,6 +182,7 @@ def _encoded(segments: DataFrame, first: str, second: str) -> DataFrame:
                 offsets = pa.array(np.append(0, np.cumsum(n)[1::2]), pa.int32())
                 cols = [keys, pa.array(ok), pa.array(n[::2].astype(np.int32)), *(pa.ListArray.from_arrays(offsets, pa.array(x[order].astype(np.int32))) for x in (flat, size))]
                 yield pa.RecordBatch.from_arrays(cols, ["key", "ok", "n_a", "ids", "sizes"])
+        scratch.released()
 
     return segments.mapInArrow(run, "key binary, ok boolean, n_a int, ids array<int>, sizes array<int>")
 
@@ -216,6 +230,7 @@ def _sent(rows: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int32(), *[pa.binary()] * len(KNOWN)], strict=True)], ["block", "n", *KNOWN])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held, n, size = [], 0, 0
         for b in batches:
             if b.num_rows:
@@ -226,6 +241,8 @@ def _sent(rows: DataFrame) -> DataFrame:
                 held, n, size = [], 0, 0
         if held:
             yield from told(held)
+        held = []
+        scratch.released()
 
     return rows.mapInArrow(run, "block long, n int, " + ", ".join(f"{c} binary" for c in KNOWN))
 
@@ -310,6 +327,7 @@ def _pair_counts(blocks: DataFrame) -> DataFrame:
     """block, pair, docs: how many documents of a block hold a pair linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for k in range(batch.num_rows):
                 x = Block.of(batch, k)
@@ -332,6 +350,8 @@ def _pair_counts(blocks: DataFrame) -> DataFrame:
                     lo = hi
                 on = often > 0
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(int(on.sum()), batch.column("block")[k].as_py())), pa.array(pairs[on]), pa.array(often[on])], ["block", "pair", "docs"])
+                del x, code, doc, at, pairs, where, often, each, links, on
+                scratch.released()
 
     return blocks.mapInArrow(run, "block long, pair long, docs long")
 
@@ -341,6 +361,7 @@ def _digests(blocks: DataFrame) -> DataFrame:
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for k in range(batch.num_rows):
                 x, pairs = Block.of(batch, k), batch.column("pairs")[k].values
@@ -357,11 +378,13 @@ def _digests(blocks: DataFrame) -> DataFrame:
                     total = np.append(0, np.cumsum(v[x.at], dtype=np.int64))
                     sums[:, c] = total[last] - total[last - x.counts]
                 sums[~x.fine] = 0
-                said, places, end, text = x.said(), x.at.tolist(), 0, []
+                said, end, text = x.said(), 0, []
                 for fine, size in zip(x.fine.tolist(), x.counts.tolist(), strict=True):
-                    text.append(hashlib.sha256(b"".join([said[i] for i in places[end : end + size]])[1:]).hexdigest() if fine and size else "")
+                    text.append(hashlib.sha256(b"".join([said[i] for i in x.at[end : end + size].tolist()])[1:]).hexdigest() if fine and size else "")
                     end += size
                 yield pa.RecordBatch.from_arrays([pa.array(x.ids, mask=x.ids == NONE), *(pa.array(sums[:, c]) for c in range(len(names))), pa.array(text)], ["doc_id", *names, "groups_sha256"])
+                x = pairs = docs = best = values = said = text = key = order = where = None
+                scratch.released()
 
     return blocks.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in names) + ", groups_sha256 string")
 
