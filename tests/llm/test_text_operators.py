@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import binary_tokens, blocks, decontamination, jaccard_join, language, main_text, packing, queries, scratch, secrets, substring_dedup, tokens, toxicity, varbyte, voronoi_knn, words
+from tidemark.llm.components import components
 
 SCHEMA_SHORT = "doc_id long, text string, source string"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, hash string"
@@ -261,6 +262,38 @@ def test_documents_of_many_shared_cells_are_sent_once(spark):
     assert all(label[a] != label[b] for a, b in pairs)
 
 
+def test_the_driver_plans_each_step_of_the_join_once(spark, docs, empty):
+    """The driver holds some MB for each stage and scan of a query: both sides of a meeting come from one pass, and what the
+    next step has to know is gathered while a table is written."""
+    rest = scratch.table(spark.createDataFrame([(k, g, g % 4, 3, 1, 0) for k in range(5) for g in range(9)], "key long, gid long, label long, largest long, chunks int, lowest long"), "rest")
+    known = scratch.table(spark.createDataFrame([(g, 9, bytearray(8)) for g in range(9)], "gid long, n long, parity binary"), "known")
+    met = jaccard_join._across(rest, known, 75)
+    assert met._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 6  # twice as many leaves where each side has a plan of its own
+    assert {tuple(r) for r in met.collect()} == {(a, b) for a in range(9) for b in range(a + 1, 9) if a % 4 != b % 4}
+    for rows, n in ((docs, docs.count()), (empty, 0)):
+        got, seen = scratch.observed(rows, "observed")
+        assert got.count() == seen["rows"] == n
+
+
+def test_components_of_chains_stars_and_copies(spark):
+    rng = np.random.default_rng(11)
+    links = [(k, k + 1) for k in range(1000, 1090)] + [(5, k) for k in range(2000, 2040)] + [tuple(x) for x in (3000 + rng.integers(0, 60, (45, 2))).tolist()] + [(7, 7), (9, 8), (9, 8)]
+    parent = {x: x for e in links for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    want = {(x, root(x)) for a, b in links if a != b for x in (a, b)}
+    for part in (links, []):
+        got = components(spark.createDataFrame(part, "a long, b long"), 1)
+        assert {tuple(r) for r in got.collect()} == (want if part else set())
+
+
 def test_cells_stay_apart_where_together_they_make_more_rows(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "CHUNK", 4)
     rest = [(key, g, g, 100 + key, 1, 0) for key in range(20) for g in (0, 100 + key)]

@@ -28,7 +28,7 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
@@ -165,8 +165,8 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
                 )
 
     for seed in range(SEEDS):
-        rows = scratch.table(blocks.mapInArrow(facts, "gid long, doc_id long, n long, low long, high long, cells long, bad boolean, text_md5 binary"), "sets")
-        about = rows.agg(F.sum("cells").alias("cells"), F.max("bad").alias("bad"), F.count("*").alias("docs")).first()
+        each = blocks.mapInArrow(facts, "gid long, doc_id long, n long, low long, high long, cells long, bad boolean, text_md5 binary")
+        rows, about = scratch.observed(each, "sets", cells=F.sum("cells"), bad=F.max("bad"), docs=F.count(F.lit(1)))
         if not about["bad"]:
             break
     else:
@@ -216,11 +216,12 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
                 parity = [parity_bits(h[first[d] : first[d] + sizes[d]], int(sizes[d])) for d in who.tolist()]
                 yield _rows(["block", "keys", "docs", "who", "sizes", "parity"], [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())], [(number, s["key"][sent].astype("<u8").tobytes(), s["doc"][sent].astype("<i4").tobytes(), gid(number, who).tolist(), sizes[who].tolist(), parity)])
 
-    sent = scratch.table(hot.mapInArrow(rarest, "block long, keys binary, docs binary, who array<long>, sizes array<long>, parity array<binary>"), "cells", most)
+    each = hot.mapInArrow(rarest, "block long, keys binary, docs binary, who array<long>, sizes array<long>, parity array<binary>")
+    sent, amount = scratch.observed(each, "cells", most, keys=F.sum(F.length("keys")))
+    scratch.settled(docs.sparkSession)
     entries = sent.select("block", "keys", "docs")
     known = sent.select(F.explode(F.arrays_zip("who", "sizes", "parity")).alias("x")).select(F.col("x.who").alias("gid"), F.col("x.sizes").alias("n"), F.col("x.parity").alias("parity"))
-    amount = entries.agg(F.sum(F.length("keys"))).first()[0] or 0
-    shards = max(1, amount // (1 << 19))  # some 64,000 entries each
+    shards = max(1, (amount["keys"] or 0) // (1 << 19))  # some 64,000 entries each
 
     def shard(h: np.ndarray) -> np.ndarray:
         return (h % U(shards)).astype(np.int64)
@@ -280,7 +281,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r[c], "<i8")) for c in "ab"], ["a", "b"])
 
     verify = lambda p, near=False: _verified(p, known, blocks, n, size, percent, near, most)
-    links = verify(entries.select("a", "b").mapInArrow(pairs, "a long, b long"))
+    links, _ = verify(entries.select("a", "b").mapInArrow(pairs, "a long, b long"))
     labels = components(links, most)
 
     # 2. cells that hold documents of several components beside their first
@@ -346,32 +347,34 @@ def join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
                 at = at[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(g[keep]), pa.array(to[keep]), *(pa.array(x[at]) for x in facts.values())], ["key", "gid", "label", *facts])
 
-    def mixed_cells(labels: DataFrame) -> DataFrame:
-        """The members of cells that hold several components: key, gid, label, largest, chunks, lowest."""
+    def mixed_cells(labels: DataFrame) -> tuple[DataFrame, int]:
+        """The members of cells that hold several components (key, gid, label, largest, chunks, lowest), and how many there are, about."""
         mine = labels.select(F.shiftright("node", 20).alias("block"), F.col("node").bitwiseAND((1 << 20) - 1).cast("int").alias("at"), "label")
         labelled = entries.join(mine.groupBy("block").agg(F.collect_list(F.struct("at", "label")).alias("labels")), "block", "left")
         facts = ", ".join(f"{c} binary" for c in MIXED)
         mixed = labelled.mapInArrow(holdings, "shard int, block long, keys binary, labels binary, counts binary").groupBy("shard").applyInArrow(differing, f"block long, {facts}")
         again = labelled.join(mixed.groupBy("block").agg(F.collect_list(F.struct(*MIXED)).alias("mixed")), "block")
-        return scratch.table(again.mapInArrow(members, "key long, gid long, label long, largest long, chunks int, lowest long"), "mixed", most)
+        rest, seen = scratch.observed(again.mapInArrow(members, "key long, gid long, label long, largest long, chunks int, lowest long"), "mixed", most)
+        scratch.settled(docs.sparkSession)
+        return rest, seen["rows"]
 
     # 3. each document outside of a cell's largest component with the one nearest to it in parity, of another component:
     # the pieces of a group of near copies come together by a pair for each document, not for each two
-    rest = mixed_cells(labels)
+    rest, some = mixed_cells(labels)
     for _ in range(ROUNDS):
-        if not rest.limit(1).count():
+        if not some:
             break
-        new = verify(_across(rest, known, percent, nearest=True), True)
-        if not new.limit(1).count():
+        new, found = verify(_across(rest, known, percent, nearest=True), True)
+        if not found:
             break
         links = links.union(new)
         labels = components(links, most)
-        rest = mixed_cells(labels)
+        rest, some = mixed_cells(labels)
 
     # 4. what is left, pair by pair
-    if rest.limit(1).count():
-        more = verify(_across(rest, known, percent), True)
-        if more.limit(1).count():
+    if some:
+        more, found = verify(_across(rest, known, percent), True)
+        if found:
             labels = components(links.union(more), most)
 
     # all rows again
@@ -395,9 +398,9 @@ def dedup(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     return docs.join(stays, docs["doc_id"].eqNullSafe(stays["tidemark_id"]) & (F.col("tidemark_md5") == F.col("tidemark_text")), "left_semi").drop("tidemark_md5")
 
 
-def _verified(pairs: DataFrame, known: DataFrame, blocks: DataFrame, n: int, size: int, percent: int, are_near: bool, most: int) -> DataFrame:
-    """The pairs (a, b) that are linked: first by sizes and parity bits, unless they ``are_near`` in these, then by the sets
-    themselves."""
+def _verified(pairs: DataFrame, known: DataFrame, blocks: DataFrame, n: int, size: int, percent: int, are_near: bool, most: int) -> tuple[DataFrame, int]:
+    """The pairs (a, b) that are linked, and how many there are, about: first by sizes and parity bits, unless they ``are_near`` in these,
+    then by the sets themselves."""
     t = percent / 100
     one, two = (known.select(F.col("gid").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}")) for x in "ab")
 
@@ -448,7 +451,11 @@ def _verified(pairs: DataFrame, known: DataFrame, blocks: DataFrame, n: int, siz
             k = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(i).filter(k) for i in range(2)], ["a", "b"])
 
-    return scratch.table(full.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"), "linked", most)
+    spark = pairs.sparkSession
+    scratch.settled(spark)
+    out, seen = scratch.observed(full.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"), "linked", most)
+    scratch.settled(spark)
+    return out, seen["rows"]
 
 
 def _fold_low(bits: np.ndarray, to: int) -> np.ndarray:
@@ -477,10 +484,14 @@ def _across(rest: DataFrame, known: DataFrame, percent: int, nearest: bool = Fal
     t = percent / 100
     rows = _gathered(rest).join(known, "gid")
     own = F.pmod(F.xxhash64("gid"), F.col("chunks")).cast("int")
-    each = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    about = ("gid", "label", "n", "parity")
-    base = rows.select("together", "key", own.alias("chunk"), each.alias("other"), *about, F.lit(False).alias("probe"))
-    probe = rows.filter("label <> largest").select("together", "key", each.alias("chunk"), own.alias("other"), *about, F.lit(True).alias("probe"))
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
+
+    def visits(base: bool) -> Column:
+        return F.transform(every, lambda c: F.struct((own if base else c).alias("chunk"), (c if base else own).alias("other"), F.lit(not base).alias("probe")))
+
+    # both sides from one pass: a union would plan and run all below it twice
+    at = F.explode(F.when(F.col("label") != F.col("largest"), F.concat(visits(True), visits(False))).otherwise(visits(True)))
+    dealt = rows.select("together", "key", "gid", "label", "n", "parity", at.alias("at")).select("together", "key", "at.chunk", "at.other", "gid", "label", "n", "parity", "at.probe")
 
     def meet(part: pa.Table) -> pa.Table:
         got = part.select(["gid", "label", "n", "parity", "probe"]).to_pylist()
@@ -502,4 +513,4 @@ def _across(rest: DataFrame, known: DataFrame, percent: int, nearest: bool = Fal
                     out += [(min(int(gx[i]), g), max(int(gx[i]), g)) for g in found.tolist()]
         return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
-    return base.union(probe).groupBy("together", "key", "chunk", "other").applyInArrow(meet, "a long, b long")
+    return dealt.groupBy("together", "key", "chunk", "other").applyInArrow(meet, "a long, b long")

@@ -12,7 +12,8 @@ import threading
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: What each thread of a session has written and not deleted.
 _OPEN: dict[tuple[str, int], list[str]] = {}
@@ -63,13 +64,20 @@ def path(spark: SparkSession, name: str) -> str:
 
 
 def released() -> None:
-    """In a task: free memory goes back to the system. Python workers outlive their tasks, and the C library's heap else keeps
+    """Of this Python process: free memory goes back to the system. Python workers outlive their tasks, and the C library's heap else keeps
     the most that any of them had."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):  # not every C library has it
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def settled(spark: SparkSession) -> None:
+    """In the driver, between the steps of a long job: what finished queries have left there goes. Each stage and each scan leaves a
+    block of some 4 MB, which the heap else grows by; broadcasts and shuffles, too, are dropped when the driver collects its garbage."""
+    spark._jvm.System.gc()
+    released()
+
+
 def table(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
     """Write ``df`` once and return what was written: later jobs, and tasks run again after a lost executor, start here.
     ``most``: files at most, where the caller knows how much there is. Each file costs a commit, and on a local file
@@ -81,6 +89,16 @@ def table(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def observed(df: DataFrame, name: str, most: int | None = None, **facts: Column) -> tuple[DataFrame, dict]:
+    """Like :func:`table`, with aggregates of the rows (by default their number, ``rows``) that the write gathers on its way. To ask the
+    written table takes a query more, and the driver holds some MB for each scan and stage until its garbage is collected. Tasks that
+    run again may count twice: good for sizes, bounds and whether there are rows."""
+    seen = Observation()
+    df = df if most is None else df.coalesce(most)
+    out = table(df.observe(seen, *[c.alias(k) for k, c in (facts or {"rows": F.count(F.lit(1))}).items()]), name)
+    return out, seen.get
+
+
 def written(spark: SparkSession) -> list[str]:
     """What this thread has written and not deleted so far."""
     return list(_OPEN.get(_here(spark), []))
