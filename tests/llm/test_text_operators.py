@@ -747,6 +747,26 @@ def test_voronoi_counts_ids_once(spark):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("most", [100, 100_000])
+def test_voronoi_broadcasts_nothing(spark, monkeypatch, most):
+    """A query becomes a row for each part, which Spark takes to be as small as the query. Scores are exact where they need doubles, too."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(-most, most, (700, 6))
+    vectors = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, x array<double>")
+    plans, table = [], scratch.table
+
+    def told(df, name, *more):
+        if name == "answers":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return table(df, name, *more)
+
+    monkeypatch.setattr(scratch, "table", told)
+    got = sorted(tuple(r) for r in voronoi_knn.search(vectors, vectors.filter("vec_id % 7 = 0"), 5, part_rows=30).collect())
+    assert len(plans) == 2 and not any("Broadcast" in p for p in plans)
+    scores = x @ x.T
+    assert got == sorted((q, k + 1, int(i), int(scores[q, i])) for q in range(0, 700, 7) for k, i in enumerate(sorted(set(range(700)) - {q}, key=lambda i: (-scores[q, i], i))[:5]))
+
+
 def test_sketch_never_counts_too_low(spark, docs):
     table, n = blocks.build(docs.select("doc_id", "text"), size=2000)
     bits = blocks.sketch_bits(1000)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import scratch, tokens
 
 #: Pivots at most, rows of a part at least and at most (a sixteenth of the table between), queries of a block at most.
-MAX_PIVOTS, PART, BLOCK = 1024, (512, 8192), 256
+MAX_PIVOTS, PART, BLOCK = 1024, (512, 16384), 256
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -54,15 +54,18 @@ def _ids(column) -> np.ndarray:
     return np.asarray(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k best of each row, ties to the smaller id; ``ids`` ascends; own ids are left out."""
-    scores = np.where(own[:, None] == ids, -np.inf, scores)
-    if scores.shape[1] > k:
+def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best of each row, ties to the smaller id; ``ids`` ascends, each once; scores of own ids, which
+    become -inf, and those below ``floor`` are left out."""
+    at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+    mine = np.flatnonzero(ids[at] == own)
+    scores[mine, at[mine]] = -np.inf
+    keep = scores >= floor.astype(scores.dtype)[:, None]
+    if scores.shape[1] > k and np.count_nonzero(keep) > 4 * k * len(scores):  # the floor says little
         least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        keep = scores >= least[:, None]
-    else:
-        keep = np.ones_like(scores, bool)
-    row, col = np.nonzero(keep & np.isfinite(scores))
+        keep &= scores >= least[:, None]
+    row, col = np.nonzero(keep)
+    row, col = (v[np.isfinite(scores[row, col])] for v in (row, col))
     order = np.lexsort((ids[col], -scores[row, col], row))
     row, col = row[order], col[order]
     rank = np.arange(len(row)) - np.searchsorted(row, row)
@@ -102,12 +105,12 @@ class Cells:
         return most + 1e-9 * (size * (self.norm.max(initial=0) + 1) + 1)
 
 
-def _packed(rows: pa.Table, dim: int) -> pa.Table:
+def _packed(rows: pa.Table, dim: int, kind: str) -> pa.Table:
     """A part as one row: its vectors by cell, and by id within it."""
     x, ids, cell = _matrix(rows["x"].combine_chunks(), dim), _ids(rows["vec_id"]), _ids(rows["cell"])
     order = np.lexsort((ids, cell))
     new = np.flatnonzero(np.append(True, np.diff(cell[order]) != 0))
-    return pa.table([pa.array([rows["part"][0].as_py()], pa.int64()), pa.array([cell[order][new].tolist()], pa.list_(pa.int32())), pa.array([np.diff(np.append(new, len(ids))).tolist()], pa.list_(pa.int32())), *(pa.array([v.tobytes()], pa.binary()) for v in (ids[order].astype("<i8"), x[order].astype("<f8")))], ["part", "cells", "sizes", "ids", "xs"])
+    return pa.table([pa.array([rows["part"][0].as_py()], pa.int64()), pa.array([cell[order][new].tolist()], pa.list_(pa.int32())), pa.array([np.diff(np.append(new, len(ids))).tolist()], pa.list_(pa.int32())), *(pa.array([v.tobytes()], pa.binary()) for v in (ids[order].astype("<i8"), x[order].astype(kind)))], ["part", "cells", "sizes", "ids", "xs"])
 
 
 def _merged(kept: tuple, more: tuple, k: int) -> tuple:
@@ -135,9 +138,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, max_pivots: int =
     n, dim = facts["n"], max(1, facts["dim"])
     if facts["most"] ** 2 * dim >= 2**53:
         raise ValueError("components too large for exact sums in double precision")
+    kind = "<f4" if facts["most"] ** 2 * dim < 2**24 else "<f8"  # in which all sums of a score are exact
     part_rows = part_rows or min(PART[1], max(PART[0], n // 16))
     count = max(1, min(max_pivots, n // 128))
-    sample = vectors.orderBy(F.xxhash64("vec_id", "x")).limit(count).collect()  # max_pivots at most
+    chance = F.xxhash64("vec_id", "x")
+    likely = chance <= F.lit(min(2**63 - 1, -(2**63) + 2**64 * (2 * count + 64) // n))  # else each task sends the driver a sample of its own
+    sample = vectors.filter(likely).orderBy(chance).limit(count).collect()  # max_pivots at most
     pivots = np.zeros((len(sample), dim))
     for i, r in enumerate(sample):
         pivots[i, : len(r["x"])] = r["x"]
@@ -156,7 +162,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, max_pivots: int =
     first = F.create_map(*(F.lit(v) for r in found for v in (r["cell"], int(cells.first[r["cell"]]))))
     parts = F.coalesce(F.create_map(*(F.lit(v) for kv in many.items() for v in kv))[F.col("cell")], F.lit(1)) if many else F.lit(1)
     placed = data.select("vec_id", "x", "cell", (first[F.col("cell")] + F.pmod(F.xxhash64("vec_id", "x"), parts)).cast("long").alias("part"))
-    packed = scratch.table(placed.groupBy("part").applyInArrow(lambda rows: _packed(rows, dim), "part long, cells array<int>, sizes array<int>, ids binary, xs binary"), "parts")
+    packed = scratch.table(placed.groupBy("part").applyInArrow(lambda rows: _packed(rows, dim, kind), "part long, cells array<int>, sizes array<int>, ids binary, xs binary"), "parts")
 
     def own(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
         """The part where each query begins."""
@@ -165,7 +171,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, max_pivots: int =
 
     def blocks(to: list[tuple[int, np.ndarray]], ids: np.ndarray, x: np.ndarray, floor: np.ndarray) -> Iterator[pa.RecordBatch]:
         for part, q in to:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in (ids[q].astype("<i8"), x[q].astype("<f8"), floor[q].astype("<f8")))], ["part", "queries", "qs", "floors"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in (ids[q].astype("<i8"), x[q].astype(kind), floor[q].astype("<f8")))], ["part", "queries", "qs", "floors"])
 
     def grouped(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Queries of like cells in blocks: ids, vectors and floors."""
@@ -196,8 +202,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, max_pivots: int =
         for b in tokens.slices(batches, 1):
             names, sizes = b.column(0)[0].as_py(), b.column(1)[0].as_py()
             ids, q, floor = (np.frombuffer(b.column(i)[0].as_buffer(), t) for i, t in ((2, "<i8"), (4, "<i8"), (6, "<f8")))
-            xs, qs = (np.frombuffer(b.column(i)[0].as_buffer(), "<f8").reshape(-1, dim) for i in (3, 5))
-            floor, bounds, at = floor.copy(), cells.bounds(qs), 0
+            xs, qs = (np.frombuffer(b.column(i)[0].as_buffer(), kind).reshape(-1, dim) for i in (3, 5))
+            floor, bounds, at = floor.copy(), cells.bounds(qs.astype(float)), 0
             best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
             for c, size in zip(names, sizes, strict=True):
                 rows, at = slice(at, at + size), at + size
@@ -207,24 +213,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, max_pivots: int =
                 one = np.flatnonzero(np.append(True, own_ids[1:] != own_ids[:-1]))
                 if len(one) < size:
                     scores, own_ids = np.maximum.reduceat(scores, one, axis=1), own_ids[one]
-                row, col = _best(scores, own_ids, q[pick], k)
-                value = scores[row, col]
-                keep = value >= floor[pick[row]]
-                row, col, value = row[keep], col[keep], value[keep].astype(np.int64)
-                best = _merged(best, (pick[row], own_ids[col], value), k)
+                row, col = _best(scores, own_ids, q[pick], k, floor[pick])
+                best = _merged(best, (pick[row], own_ids[col], scores[row, col].astype(np.int64)), k)
                 full = np.flatnonzero(np.bincount(best[0], minlength=len(q)) == k)
                 floor[full] = np.maximum(floor[full], best[2][np.searchsorted(best[0], full, side="right") - 1])
             yield pa.RecordBatch.from_arrays([pa.array(q[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query_id", "vec_id", "score"])
 
     def answers(sent: DataFrame) -> DataFrame:
-        met = packed.join(sent, "part").select("cells", "sizes", "ids", "xs", "queries", "qs", "floors")
+        # What a block of queries becomes, a row for each part, Spark takes to be as small as the queries: never broadcast it.
+        # Sorted, a task holds one part at a time, and queries stream by.
+        met = sent.join(packed.hint("merge"), "part").select("cells", "sizes", "ids", "xs", "queries", "qs", "floors")
         return scratch.table(met.mapInArrow(solve, out), "answers")
 
     asked = scratch.table(queries.filter("vec_id is not null").groupBy("vec_id").agg(F.min("x").alias("x")), "queries")
     sent = "part long, queries binary, qs binary, floors binary"
     begun = answers(asked.select("vec_id", "x", F.lit(None).cast("long").alias("floor")).mapInArrow(begin, sent))
     floors = begun.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-    rest = answers(asked.join(floors, "vec_id", "left").select("vec_id", "x", "floor").mapInArrow(go_on, sent))
+    rest = answers(asked.join(floors.hint("merge"), "vec_id", "left").select("vec_id", "x", "floor").mapInArrow(go_on, sent))
     best = begun.union(rest).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
