@@ -64,8 +64,9 @@ def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, floor: n
     if scores.shape[1] > k and np.count_nonzero(keep) > 4 * k * len(scores):  # the floor says little
         least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
         keep &= scores >= least[:, None]
-    row, col = np.nonzero(keep)
-    row, col = (v[np.isfinite(scores[row, col])] for v in (row, col))
+    row, col = np.divmod(np.flatnonzero(keep), keep.shape[1])  # less than half the time of np.nonzero in two dimensions
+    finite = np.isfinite(scores[row, col])
+    row, col = row[finite], col[finite]
     order = np.lexsort((ids[col], -scores[row, col], row))
     row, col = row[order], col[order]
     rank = np.arange(len(row)) - np.searchsorted(row, row)
